@@ -5,10 +5,16 @@ from __future__ import annotations
 from .common import table
 from .exact_dedup import exact_dedup
 from .packing import pack_documents
+from .quality_rules import oracle_sql as quality_sql
+from .quality_rules import quality_rules
 from .simhash import simhash_groups
 from .token_files import token_round_trip
 
 
+def op1_quality_rules(spark, sf_dir):
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -25,9 +31,10 @@ def op10_token_files(spark, sf_dir):
     return token_round_trip(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op4_simhash, op8_packing, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_exact_dedup, op4_simhash, op8_packing, op10_token_files)}
 
 ORACLE_SQL = {
+    "op1_quality_rules": quality_sql(),
     "op2_exact_dedup": r"""
         WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, row_number() OVER (w ORDER BY doc_id) = 1 AS kept, text_sha256
