@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .license_scan import license_scan
 from .packing import pack_documents
 from .quality_rules import oracle_sql as quality_sql
 from .quality_rules import quality_rules
@@ -27,11 +28,15 @@ def op8_packing(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_license_scan(spark, sf_dir):
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op10_token_files(spark, sf_dir):
     return token_round_trip(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_exact_dedup, op4_simhash, op8_packing, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_exact_dedup, op4_simhash, op8_packing, op9_license_scan, op10_token_files)}
 
 ORACLE_SQL = {
     "op1_quality_rules": quality_sql(),
