@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from . import mixing
 from .common import table
 from .exact_dedup import exact_dedup
+from .html_extract import html_extract
 from .license_scan import license_scan
 from .packing import pack_documents
 from .quality_rules import oracle_sql as quality_sql
 from .quality_rules import quality_rules
 from .simhash import simhash_groups
+from .substring_dedup import substring_dedup
 from .token_files import token_round_trip
+from .toxicity import toxicity
 
 
 def op1_quality_rules(spark, sf_dir):
@@ -20,10 +26,26 @@ def op2_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark, sf_dir):
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark, sf_dir):
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_html_extract(spark, sf_dir):
+    return html_extract(table(spark, sf_dir, "pages"))
+
+
+def op6_mixing(spark, sf_dir):
+    return mixing.mix_counts(table(spark, sf_dir, "documents")).withColumn("rate", F.round("rate", 9))
+
+
+def op7_toxicity(spark, sf_dir):
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_packing(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"))
 
@@ -36,7 +58,10 @@ def op10_token_files(spark, sf_dir):
     return token_round_trip(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_exact_dedup, op4_simhash, op8_packing, op9_license_scan, op10_token_files)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_quality_rules, op2_exact_dedup, op3_substring_dedup, op4_simhash, op5_html_extract, op6_mixing, op7_toxicity, op8_packing, op9_license_scan, op10_token_files)
+}
 
 ORACLE_SQL = {
     "op1_quality_rules": quality_sql(),
@@ -45,4 +70,5 @@ ORACLE_SQL = {
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, row_number() OVER (w ORDER BY doc_id) = 1 AS kept, text_sha256
         FROM t WINDOW w AS (PARTITION BY text_sha256)
     """,
+    "op6_mixing": mixing.oracle_sql(),
 }
