@@ -2,9 +2,57 @@
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marktide.llm.common import saved, table
+from marktide.llm.exact_dedup import exact_dedup
+from marktide.llm.mixing import mix
+from marktide.llm.packing import pack_documents
+from marktide.llm.quality_rules import quality_filter
+from marktide.llm.simhash import simhash_groups
+
+
+def _only(docs: DataFrame, keep: DataFrame) -> DataFrame:
+    """The rows of docs whose id is in keep (keep_doc); one of each id."""
+    ids = keep.select(F.col("keep_doc"))
+    return docs.join(ids, F.col("doc_id") == F.col("keep_doc"), "left_semi").select(*docs.columns)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return quality_filter(docs, table(spark, sf_dir, "labels"))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with equal texts the one with the smallest id stays."""
+    return _only(docs, exact_dedup(docs).where("kept").select(F.col("doc_id").alias("keep_doc")))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id stays."""
+    return _only(docs, simhash_groups(docs).where("doc_id = component_id").select(F.col("doc_id").alias("keep_doc")))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the target rate of its source says, in random order."""
+    return mix(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of a document in the packed sequences."""
+    return pack_documents(docs)
+
+
+STAGES = [("quality rules", quality), ("exact dedup", exact), ("simhash near-dedup", near), ("mixing", mixed), ("packing", packed)]
+#: Fingerprints, their components and tokens are beyond SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = saved(docs, f"pipeline-{name.replace(' ', '-')}")
+    return docs
