@@ -1,6 +1,8 @@
-"""All queries of the library by name, and the SQL that each must agree with."""
+"""All queries outside the subpackage for training data, by name, and the SQL that each must agree with."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import analytics, state, texts
+
+QUERIES = analytics.QUERIES | state.QUERIES | texts.QUERIES
+ORACLE_SQL = analytics.ORACLE_SQL | state.ORACLE_SQL | texts.ORACLE_SQL
