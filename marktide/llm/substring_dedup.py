@@ -6,7 +6,7 @@ and no others. Chunks are known by a 64-bit digest. A digest that stands in two
 consecutive repeats of MIN_WORDS words or more is a repeated passage, and all documents but the one with the smallest id
 lose it. One colliding digest can't make a run.
 
-Chunks are counted with map-side combining (smallest and largest document of each digest), so a passage that a third of all
+Chunks are counted with map-side combining (number and smallest document of each digest), so a passage that a third of all
 documents share costs one row a task; the join that marks repeats has one row per digest on its right side, so adaptive
 execution can split a frequent digest. No text is shuffled.
 """
@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 WINDOW = 16
 #: Chunks end at one of so many word ends, and within long words at one of 256 bytes.
 WORDS_PER_CHUNK = 5
-#: A run of repeated chunks must hold so many words: whole chunks cover over half of any passage of 50 words.
-MIN_WORDS = 25
+#: A run of repeated chunks must hold so many words. Of a passage of 50 words, chunks cut at its ends leave that many whole in
+#: 97 of 100 cases, of one of 60 words in 995 of 1000.
+MIN_WORDS = 20
 
 
 def _gear(seed: int = 42) -> np.ndarray:
@@ -75,7 +76,7 @@ def chunks(text: str | None) -> list[tuple[int, int, int, int]]:
     return list(zip(d.tolist(), start.tolist(), end.tolist(), words.tolist(), strict=True))
 
 
-_CHUNK = "doc_id long, row_key long, digest long, place int, first int, end int, words int"
+_CHUNK = "doc_id long, row_key long, digest long, place int, bytes int, end int, words int"
 
 
 def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,7 +90,7 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows: list[tuple] = []
         for i, key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            rows += [(i, key, d, k, s, e, w) for k, (d, s, e, w) in enumerate(chunks(text))]
+            rows += [(i, key, d, k, e - s, e, w) for k, (d, s, e, w) in enumerate(chunks(text))]
             if len(rows) > 50_000:
                 yield out(rows)
                 rows = []
@@ -107,8 +108,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     row_key is xxhash64 of id and text; rows with equal ids count as one document. Null ids count as the largest.
     """
     pieces = _keyed(docs, id_col, text_col).mapInArrow(_chunk_rows, _CHUNK).withColumn("doc_id", F.coalesce("doc_id", F.lit((1 << 63) - 1)))
-    shared = pieces.groupBy("digest").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select(F.col("digest").alias("d"), "low")
-    repeats = pieces.join(shared, F.col("digest") == F.col("d")).where("doc_id > low").select("row_key", "doc_id", "place", "first", "end", "words", "low").distinct()
+    shared = pieces.groupBy("digest").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("d"), "low")
+    repeats = pieces.join(shared, F.col("digest") == F.col("d")).where("doc_id > low").select("row_key", "doc_id", "place", (F.col("end") - F.col("bytes")).alias("first"), "end", "words", "low").distinct()
     by_doc = Window.partitionBy("row_key").orderBy("place")
     runs = repeats.withColumn("run", F.col("place") - F.row_number().over(by_doc))
     found = runs.groupBy("row_key", "run").agg(F.min("doc_id").alias("doc_id"), F.min("first").alias("first"), F.max("end").alias("end"), F.sum("words").alias("words"), F.min("low").alias("source_id"))
