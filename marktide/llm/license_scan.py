@@ -35,7 +35,7 @@ class Rule(NamedTuple):
 
 
 _UNDER = "(?:(?:licensed|released|distributed|available|provided|published|made available|redistributed) under(?: the)?(?: terms of(?: the)?)?) "
-_VERSION = "(?: (?:license|licence))?(?: (?:version|v))? "
+_VERSION = "(?: (?:license|licence))?(?: (?:version|v))? v?"
 _LATER = "(?: or(?: at your option)? (?:any )?later(?: version)?)"
 
 

@@ -245,7 +245,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         share = f[:, -1].mean() if len(f) else 0.0
         return Model(weights, bias, np.zeros(TOP + 1), np.ones(TOP + 1), np.r_[np.zeros(TOP + 1), 20 * share - 10])
     f = f[np.lexsort(f.T)]
-    mean, scale = f[:, :-1].mean(axis=0), f[:, :-1].std(axis=0) + 1e-6
+    mean, scale = f[:, :-1].mean(axis=0), np.maximum(f[:, :-1].std(axis=0), 0.25)
     return Model(weights, bias, mean, scale, _logistic((f[:, :-1] - mean) / scale, f[:, -1]))
 
 

@@ -1,0 +1,339 @@
+"""The operators against brute force, on small tables with nulls, empty texts, copies and extra columns."""
+
+from __future__ import annotations
+
+import hashlib
+import io
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from marktide.llm import html_extract, license_scan, mixing, packing, quality_rules, simhash, substring_dedup, token_files, tokens, toxicity
+from marktide.llm.exact_dedup import exact_dedup
+from marktide.llm.tokens import default_path
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, low long, id string, rate double"
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
+
+
+def prose(draw, n):
+    return " ".join(draw.choice(WORDS) + str(draw.randint(0, 99)) for _ in range(n))
+
+
+def rows(seed=1):
+    draw = random.Random(seed)
+    texts = [None, "", " \t\n", "one", "One  two", "one two", "a a a a", "é ñ ü", "GPL all rights reserved"]
+    texts += [prose(draw, draw.randint(1, 120)) for _ in range(40)]
+    base = prose(draw, 200)
+    texts += [base, base, base.replace("  ", " "), base + " extra", base.upper(), "x " * 30_000]
+    texts += [f"{prose(draw, 30)} {base[:700]} {prose(draw, 20)}" for _ in range(3)]
+    return [(k, t, draw.choice(["en", "de", None]), draw.choice(["s0", "s1", None]), len(t or ""), 7, "z", 0.5) for k, t in enumerate(texts)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(rows(), SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(k, k % 5 != 0, k % 7 == 0) for k in range(60)], "doc_id long, q boolean, t boolean").select("doc_id", F.col("q").cast("int").alias("quality"), F.col("t").cast("int").alias("toxic"))
+
+
+def texts():
+    return {r[0]: r[1] or "" for r in rows()}
+
+
+def test_exact_dedup(docs):
+    want = defaultdict(list)
+    for k, t in texts().items():
+        want[re.sub(r"[\x20\x09-\x0D]+", " ", t)].append(k)
+    got = {r.doc_id: r for r in exact_dedup(docs).collect()}
+    assert len(got) == len(texts())
+    for t, ids in want.items():
+        for k in ids:
+            r = got[k]
+            assert (r.keep_id, r.group_size, r.kept, r.text_sha256) == (min(ids), len(ids), k == min(ids), hashlib.sha256(t.encode()).hexdigest())
+
+
+def brute_fingerprint(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    if not w:
+        return 0
+    grams = [" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))]
+    h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def components(pairs, ids):
+    root = {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+def test_simhash(docs):
+    fp = {k: brute_fingerprint(t) for k, t in texts().items()}
+    want = components([(a, b) for a in fp for b in fp if a < b and (fp[a] ^ fp[b]).bit_count() <= 2], fp)
+    got = {r.doc_id: r for r in simhash.simhash_groups(docs).collect()}
+    assert {k: r.fingerprint for k, r in got.items()} == {k: f"{x:016x}" for k, x in fp.items()}
+    assert {k: r.component_id for k, r in got.items()} == want
+
+
+def test_simhash_search_finds_all_links(spark):
+    draw = random.Random(3)
+    fps = {draw.getrandbits(64) for _ in range(300)}
+    fps |= {f ^ (1 << draw.randrange(64)) ^ (1 << draw.randrange(64)) for f in list(fps)[:200]}
+    want = components([(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 2], fps)
+    signed = [(f - (1 << 64) if f >> 63 else f,) for f in fps]
+    links = [((r.u) & (2**64 - 1), (r.v) & (2**64 - 1)) for r in simhash.links(spark.createDataFrame(signed, "fp long")).collect()]
+    assert components(links, fps) == want
+
+
+def test_large_shards_are_dealt_again(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SHARD", 20)
+    fps = {(a << 8 | b) for a in range(16) for b in range(16)}
+    want = components([(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 2], fps)
+    links = [(r.u, r.v) for r in simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long")).collect()]
+    assert components(links, fps) == want
+
+
+def test_quality(docs, labels):
+    got = {r.doc_id: r for r in quality_rules.quality_rules(docs, labels).collect()}
+    for k, t in texts().items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        grams = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+        inside = {j for i in range(len(w) - 2) if grams[tuple(w[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        want = (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(inside))
+        r = got[k]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
+        assert r.base_failed == (len(w) < 50 or 100 * len(inside) > 50 * len(w))
+        assert not (r.base_failed and r.kept)
+    kept = quality_rules.quality_filter(docs, labels)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(k for k, r in got.items() if r.kept)
+
+
+@pytest.mark.parametrize(("n", "k"), [(300, 0), (300, 1), (5000, 3), (10, 0)])
+def test_binomial_tail(spark, n, k):
+    from math import comb
+
+    p = 0.002
+    got = spark.range(1).select(quality_rules.binomial_tail(F.lit(n).cast("long"), F.lit(k).cast("long"), p)).first()[0]
+    want = 1.0 if k >= n * p else sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+    assert got == pytest.approx(want, rel=1e-9)
+
+
+def test_chunks_resist_shifts():
+    draw = random.Random(5)
+    base = prose(draw, 400)
+    a, b = substring_dedup.chunks(base), substring_dedup.chunks("inserted words here " + base)
+    assert len({x[0] for x in a} - {x[0] for x in b}) <= 2
+    for t in (base, "é" * 999, "x" * 5000, " ", "", None):
+        found = substring_dedup.chunks(t)
+        raw = (t or "").encode()
+        assert b"".join(raw[s:e] for _, s, e, _ in found) == raw
+        assert sum(x[3] for x in found) == len((t or "").split())
+        for _, s, e, _ in found:
+            raw[s:e].decode()
+
+
+def test_substring_dedup(spark, docs):
+    got = {r.doc_id: r for r in substring_dedup.substring_dedup(docs).collect()}
+    by_text = texts()
+    base = next(k for k, t in by_text.items() if len(t.split()) == 200)
+    last = max(by_text)
+    assert len(got) == len(by_text)
+    assert got[base].n_spans == 0
+    assert got[base + 1].removed_bytes == len(by_text[base + 1].encode())
+    assert base in got[last].source_ids
+    assert all(got[k].n_spans == 0 for k in range(base))
+    draw = random.Random(11)
+    hit = 0
+    for trial in range(40):
+        passage = prose(draw, 60)
+        table = spark.createDataFrame([(1, f"{prose(draw, 40)} {passage} {prose(draw, 9)}"), (2, f"{prose(draw, 15)} {passage}")], "doc_id long, text string") if trial < 2 else None
+        if table is not None:
+            hit += substring_dedup.substring_dedup(table).where("doc_id = 2 and n_spans = 1 and array_contains(source_ids, 1)").count()
+            clean = {r.doc_id: r.text for r in substring_dedup.without_repeats(table).collect()}
+            assert len(clean[2]) < 400 and passage in clean[1]
+    assert hit == 2
+
+
+def test_mixing(spark, docs):
+    out = mixing.mix_counts(docs).collect()
+    for r in out:
+        u = int(hashlib.sha256(f"{mixing.SEED}:{r.doc_id}".encode()).hexdigest()[:13], 16) / 16**13
+        term = total = np.exp(-r.rate)
+        k = 0
+        while u >= total:
+            k += 1
+            term *= r.rate / k
+            total += term
+        assert r.copies == k
+    mixed = Counter(r.doc_id for r in mixing.mix(docs).collect())
+    assert mixed == Counter({r.doc_id: r.copies for r in out if r.copies})
+    assert mixing.mix(docs).columns == docs.columns
+    many = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 < 8, "big").otherwise("small").alias("source"))
+    got = {r.source: r.n for r in mixing.mix_counts(many, {"big": 1.0, "small": 1.0}).groupBy("source").agg(F.sum("copies").alias("n")).collect()}
+    assert abs(got["big"] - 10_000) < 400 and abs(got["small"] - 10_000) < 400
+
+
+def test_kernel_table_equals_sums():
+    draw = random.Random(2)
+    units = [bytes(draw.randint(1, 31) for _ in range(draw.randint(1, 12))) for _ in range(40)]
+    weights = np.random.default_rng(0).normal(size=32**3).astype(np.float32)
+    line = np.frombuffer(b"\0" + b"".join(u + b"\0" for u in units), np.uint8)
+    got, _ = toxicity.unit_sums(line, weights)
+    assert np.allclose(got, [toxicity.subsequences(u) @ weights for u in units], atol=1e-3)
+
+
+def test_symbols_join_letters_that_stand_alone():
+    assert toxicity.symbols("i d i o t").tobytes() == toxicity.symbols("i.d.i-o!t").tobytes() == toxicity.symbols("IDIOT").tobytes()
+    assert toxicity.symbols("it is").tobytes() != toxicity.symbols("itis").tobytes()
+    assert toxicity.symbols(None).tobytes() == b"\0"
+
+
+def test_toxicity_learns(spark):
+    draw = random.Random(9)
+    data, marks = [], []
+    for k in range(600):
+        toxic = k % 4 == 0
+        words = [draw.choice(WORDS) + draw.choice(WORDS) for _ in range(60)]
+        if toxic:
+            words[draw.randrange(60)] = draw.choice(["blockhead", "numbskull", "nitwit"])
+        data.append((k, " ".join(words)))
+        marks.append((k, int(toxic)))
+    data += [(1000, "you blo-ckhead"), (1001, "you b l o c k h e a d"), (1002, "a blockxhead here"), (1003, None), (1004, "alpha beta")]
+    out = {r.doc_id: r for r in toxicity.toxicity(spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")).collect()}
+    held = [k for k in range(600) if zlib.crc32(str(k).encode()) % 4 == 2]
+    assert all(out[k].held_out for k in held)
+    assert np.mean([out[k].predicted == (k % 4 == 0) for k in held]) > 0.95
+    assert [out[k].predicted for k in (1000, 1001, 1002)] == [1, 1, 1]
+    assert [out[k].predicted for k in (1003, 1004)] == [0, 0]
+
+
+def test_packing(docs):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(default_path("word_bpe_49k.json"))
+    out = packing.pack_documents(docs).collect()
+    pieces, places = defaultdict(list), defaultdict(list)
+    for r in out:
+        pieces[r.doc_id].append(r)
+        places[r.sequence_id].append((r.offset, r.length))
+    for k, t in texts().items():
+        ids = [*tokenizer.encode(t, add_special_tokens=False).ids, 1]
+        at = 0
+        for r in sorted(pieces[k], key=lambda r: r.start):
+            assert (r.start, r.doc_tokens) == (at, len(ids))
+            assert r.ids_crc32 == zlib.crc32(np.array(ids[at : at + r.length], "<u4").tobytes())
+            at += r.length
+        assert at == len(ids)
+    for spans in places.values():
+        at = 0
+        for offset, length in sorted(spans):
+            assert offset == at
+            at += length
+        assert at <= 2048
+
+
+def test_packing_keeps_all_limits():
+    rng = np.random.default_rng(1)
+    demand = np.stack([rng.integers(1, 900, 500), rng.integers(1, 5, 500), rng.integers(0, 300, 500)], axis=1)
+    limit = np.array([2048, 12, 600])
+    place = packing.dot_product_pack(demand, limit)
+    for s in range(place.max() + 1):
+        assert (demand[place == s].sum(axis=0) <= limit).all() and (place == s).any()
+
+
+def test_token_files(docs):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(default_path("byte_bpe_50k.json"))
+    at, want = 0, {}
+    for k, t in sorted(texts().items()):
+        ids = np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 2], "<u4")
+        want[k] = (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+    assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_files.token_round_trip(docs).collect()} == want
+
+
+def test_frames_show_damage():
+    out = io.BytesIO()
+    writer = token_files.FrameWriter(out, 2, frame=64)
+    for k in range(20):
+        writer.add(k, np.arange(k + 5))
+    writer.close()
+    table = token_files.seek_table(out)
+    assert len(table) > 3
+    found = [x for row in table for x in token_files.read_frame(out, *row)]
+    assert [(i, list(x)) for i, x in found] == [(k, list(range(k + 5))) for k in range(20)]
+    raw = bytearray(out.getvalue())
+    raw[table[1][0] + table[1][1] // 2] ^= 0xFF
+    with pytest.raises(ValueError):
+        token_files.read_frame(io.BytesIO(bytes(raw)), *table[1])
+
+
+@pytest.mark.parametrize(("name", "word_level"), [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
+def test_encoder_equals_library(name, word_level):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(default_path(name))
+    odd = ["", " ", "  a  b", "don't we'll", "a\n\n b\tc", "Ünïcödé x１２３ 漢字", "x" * 300, "1234 5,6.7", "<|endoftext|> a", " lead", "trail ", "é" * 50, "a 'm b's"]
+    got = tokens.Encoder(default_path(name), word_level).encode(odd)
+    assert [list(np.frombuffer(x, "<u4")) for x in got] == [plain.encode(t, add_special_tokens=False).ids for t in odd]
+
+
+def test_license(spark):
+    data = [(1, "Licensed under the Apache License, Version 2.0. All rights reserved."), (2, "GNU General  Public-License v3 or later"), (3, "CC BY 4.0, cc-by"), (4, None), (5, "nothing"), (6, "permission is hereby granted, free of charge, to any person obtaining a copy")]
+    out = {r.doc_id: r for r in license_scan.license_scan(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert (out[1].base_labels, out[1].n_base, out[1].first_word, out[1].n_words) == ("reserved", 1, 8, 11)
+    assert "apache-2.0" in out[1].labels
+    assert (out[2].base_labels, out[2].first_word) == ("gpl", 1)
+    assert "gpl-3.0-or-later" in out[2].labels
+    assert (out[3].n_base, out[3].first_word, out[3].last_word) == (2, 0, 4)
+    assert (out[4].n_words, out[4].labels, out[4].score, out[4].first_word) == (0, "", 0.0, None)
+    assert out[5].labels == "" and out[6].labels == "mit"
+    assert all(set(r.base_labels.split(",")) - {""} <= set(r.labels.split(",")) for r in out.values())
+
+
+def test_html(spark):
+    page = "<html><head><title>t</title><script>if (a<b) x()</script></head><body><nav><a href=1>Home</a></nav><div class='ad'>Buy this now or never</div><article><h1>The &amp; title</h1><p>A first paragraph with <b>some</b>\n words in it.</p><p>And a second one &eacute;.</p></article><div class=comments><p>Nice post, thanks for it!</p></div><footer>Imprint</footer></body></html>"
+    rows = spark.createDataFrame([(1, "u", page, 1), (2, None, None, 2), (3, "u", "", 3), (4, "u", "<p", 4)], "page_id long, url string, html string, text int")
+    out = {r.page_id: r for r in html_extract.html_extract(rows).collect()}
+    assert out[1].text == "The & title\nA first paragraph with some words in it.\nAnd a second one é."
+    assert out[1].n_chars == len(out[1].text)
+    assert [out[k].text for k in (2, 3, 4)] == ["", "", ""]
+
+
+def test_empty_tables(spark, docs, labels):
+    none, no_labels = docs.where("false"), labels.where("false")
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    for out in (
+        exact_dedup(none), simhash.simhash_groups(none), substring_dedup.substring_dedup(none), mixing.mix(none), mixing.mix_counts(none), packing.pack_documents(none),
+        license_scan.license_scan(none), token_files.token_round_trip(none), html_extract.html_extract(pages), quality_rules.quality_rules(none, no_labels), toxicity.toxicity(none, no_labels),
+    ):
+        assert out.count() == 0
+    assert toxicity.toxicity(docs, no_labels).select("score").distinct().count() == 1
+
+
+def test_null_ids_and_repeated_rows(spark, labels):
+    docs = spark.createDataFrame([(None, "a b c"), (None, "a b c"), (1, None), (1, None), (2, "a b c")], "doc_id long, text string").withColumns({"lang": F.lit(None).cast("string"), "source": F.lit("s")})
+    for out in (exact_dedup(docs), simhash.simhash_groups(docs), substring_dedup.substring_dedup(docs), mixing.mix_counts(docs), packing.pack_documents(docs), license_scan.license_scan(docs), token_files.token_round_trip(docs), quality_rules.quality_rules(docs, labels), toxicity.toxicity(docs, labels)):
+        assert out.count() == 5
+    assert exact_dedup(docs).where("kept").count() == 2

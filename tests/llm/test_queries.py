@@ -1,0 +1,44 @@
+"""The queries with SQL against DuckDB, and the pipeline against its stages done by hand."""
+
+from __future__ import annotations
+
+import duckdb
+import pytest
+
+import corpus_pipeline
+from marktide.llm.common import table
+from marktide.llm.queries import ORACLE_SQL, QUERIES
+
+D = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_query(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "labels", "pages"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{D}/{t}.parquet'")
+    got, want = QUERIES[name](spark, D).toPandas(), con.sql(ORACLE_SQL[name]).df()
+    cols = sorted(got.columns)
+    a, b = (x[cols].astype(str).sort_values(cols).reset_index(drop=True) for x in (got, want))
+    assert a.equals(b)
+
+
+def test_pipeline(spark):
+    docs = table(spark, D, "documents")
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["quality rules", "exact dedup", "simhash near-dedup", "mixing", "packing"]
+    kept = docs.join(QUERIES["op1_quality_rules"](spark, D).where("kept").select("doc_id"), "doc_id", "left_semi")
+    texts = {}
+    for r in kept.collect():
+        texts.setdefault(" ".join(r.text.split()), []).append(r.doc_id)
+    one_each = {min(v) for v in texts.values()}
+    stage = docs
+    for name, f in corpus_pipeline.STAGES[:2]:
+        stage = f(spark, stage, D)
+        assert stage.columns == docs.columns
+    assert {r.doc_id for r in stage.collect()} == one_each
+    near = {r.doc_id for r in corpus_pipeline.near(spark, stage, D).collect()}
+    groups = {(r.component_id) for r in __import__("marktide.llm.simhash", fromlist=["x"]).simhash_groups(stage).collect()}
+    assert near == groups
+    final = corpus_pipeline.run(spark, D)
+    assert {r.doc_id for r in final.select("doc_id").distinct().collect()} <= near
+    assert final.count() > 0
