@@ -1,6 +1,6 @@
 """Exact duplicates by content sort.
 
-Sampled splitters range-partition the normalised bytes, Spark's external sort places equal texts next to each other,
+Sampled splitters range-partition the normalised bytes (by their start, and a hash where texts start alike), Spark's external sort places equal texts next to each other,
 and a comparison of neighbours (on full texts) finds the groups; the smallest identifier of a group stays.
 
 A text that many rows share is combined inside each task before the shuffle (smallest id and count), so a group that
@@ -23,6 +23,8 @@ from .common import partitions
 SPACES = r"[\x20\x09-\x0D]+"
 #: Bytes of repeated texts that one task keeps to combine them over several batches.
 COMBINE_BYTES = 32 << 20
+#: Characters of a text that a splitter holds.
+HEAD = 64
 
 _LOCAL = "text string, low long, n_rows long"
 
@@ -64,11 +66,14 @@ def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Groups of two or more rows with equal normalised text: text_sha256, keep_id, group_size."""
     local = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_combine, _LOCAL)
-    ordered = local.repartitionByRange(partitions(docs.sparkSession), "text")
-    near = Window.partitionBy("text").orderBy(F.col("low").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    first = F.row_number().over(Window.partitionBy("text").orderBy(F.col("low").asc_nulls_last()))
+    # splitters are sampled on the driver, so they are bounded: the first characters and a hash instead of whole texts
+    local = local.withColumns({"head": F.substring("text", 1, HEAD), "mark": F.xxhash64("text")})
+    ordered = local.repartitionByRange(partitions(docs.sparkSession), "head", "mark")
+    same = Window.partitionBy("head", "mark", "text")
+    near = same.orderBy(F.col("low").asc_nulls_last())
+    whole = near.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return (
-        ordered.select("text", "low", F.min("low").over(near).alias("keep_id"), F.sum("n_rows").over(near).alias("group_size"), first.alias("place"))
+        ordered.select("text", F.min("low").over(whole).alias("keep_id"), F.sum("n_rows").over(whole).alias("group_size"), F.row_number().over(near).alias("place"))
         .where("place = 1 and group_size > 1")
         .select(F.sha2(F.col("text").cast("binary"), 256).alias("class_sha"), "keep_id", "group_size")
     )
