@@ -136,12 +136,14 @@ RULES: list[Rule] = [
 
 #: Parts of single words of which every text that a rule or base phrase matches has one; "cc by" is looked for apart.
 _GATE = ("licens", "licenc", "rights", "domain", "copyright", "spdx", "permission", "warrant", "proprietary", "redistribution", "commercial", "reproduced", "editorial", "personal", "commons", "public", "bsd", "cc0", "gpl", "beer", "mpl", "apache", "what")
-_GATE_GAPS = r"(?i)cc[^0-9A-Za-z\x80-\x{10FFFF}]+by"
+_GATE_GAPS = r"cc[^0-9A-Za-z\x80-\x{10FFFF}]+by"
 
 
-def _words(text: Column) -> Column:
-    """The text's words with one space before each and after the last; a single space if there is none."""
-    low = F.lower(text)  # beyond A-Z it only maps letters to letters
+def _words(low: Column) -> Column:
+    """A lower-cased text's words with one space before each and after the last; a single space if there is none.
+
+    Beyond A-Z lower-casing only maps letters to letters, so words stay where they are.
+    """
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(low, GAP, " ")), F.lit(" "))
 
 
@@ -193,11 +195,14 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     empty result; other input columns are ignored.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    low = F.lower(text)
-    gate = text.rlike(_GATE_GAPS)
+    # the generators keep costly columns from being evaluated again in each use
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.inline(F.array(F.struct(F.lower(text).alias("low")))))
+    low = F.col("low")
+    gate = low.rlike(_GATE_GAPS)
     for word in _GATE:
         gate = gate | F.contains(low, F.lit(word))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.inline(F.array(F.struct(F.regexp_count(text, F.lit(r"[0-9A-Za-z\x80-\x{10FFFF}]+")).cast("long").alias("n_words"), F.when(gate, _words(text)).otherwise(F.lit(" ")).alias("norm")))))
+    n_words = F.regexp_count(low, F.lit(r"[0-9A-Za-z\x80-\x{10FFFF}]+")).cast("long")
+    rows = rows.select("doc_id", F.inline(F.array(F.struct(n_words.alias("n_words"), F.when(gate, _words(low)).otherwise(F.lit(" ")).alias("norm")))))
     norm = F.col("norm")
     any_base = f" {_BASE_ANY}(?= )"
     base = [F.regexp_count(norm, F.lit(f" {p}(?= )")).cast("long") for p, _ in BASE]
