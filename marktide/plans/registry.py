@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analytics, state, texts
+from . import analytics, reports, state, texts
 
-QUERIES = analytics.QUERIES | state.QUERIES | texts.QUERIES
-ORACLE_SQL = analytics.ORACLE_SQL | state.ORACLE_SQL | texts.ORACLE_SQL
+QUERIES = analytics.QUERIES | state.QUERIES | texts.QUERIES | reports.QUERIES
+ORACLE_SQL = analytics.ORACLE_SQL | state.ORACLE_SQL | texts.ORACLE_SQL | reports.ORACLE_SQL
