@@ -50,12 +50,12 @@ def report_answers(spark, d):
 
 
 def student_kpis(spark, d):
-    """Per learner: hours and mean band to one decimal, lessons and results."""
+    """Per learner: hours and mean band to one decimal, lessons and results; a band of -1 is none."""
     lessons = _lessons(spark, d).groupBy("student_id").agg(F.count("*").alias("n_lessons"), half_up(F.sum("seconds") / 360).alias("tenth_hours"))
     results = _scored(spark, d).groupBy("student_id").agg(F.count("*").alias("n_results"), half_up(F.avg(F.col("band") * 10)).alias("tenth_band"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     rows = _students(spark, d).join(lessons, "student_id", "left").join(results, "student_id", "left")
-    return rows.select("student_id", zero("n_lessons"), zero("tenth_hours"), zero("n_results"), "tenth_band")
+    return rows.select("student_id", zero("n_lessons"), zero("tenth_hours"), zero("n_results"), F.coalesce("tenth_band", F.lit(-1)).alias("tenth_band"))
 
 
 def answer_keys(spark, d):
@@ -260,7 +260,7 @@ ORACLE_SQL = {
     """,
     "student_kpis": f"""
         WITH l AS (SELECT o_custkey, count(*) AS n, floor(sum({_LESSON}) / 360 + 0.5)::BIGINT AS h FROM orders GROUP BY 1), r AS (SELECT student_id, count(*) AS n, floor(avg(band * 10) + 0.5)::BIGINT AS b FROM ({_BANDS_SQL}) GROUP BY 1)
-        SELECT c_custkey AS student_id, coalesce(l.n, 0) AS n_lessons, coalesce(h, 0) AS tenth_hours, coalesce(r.n, 0) AS n_results, b AS tenth_band FROM customer LEFT JOIN l ON o_custkey = c_custkey LEFT JOIN r ON r.student_id = c_custkey
+        SELECT c_custkey AS student_id, coalesce(l.n, 0) AS n_lessons, coalesce(h, 0) AS tenth_hours, coalesce(r.n, 0) AS n_results, coalesce(b, -1) AS tenth_band FROM customer LEFT JOIN l ON o_custkey = c_custkey LEFT JOIN r ON r.student_id = c_custkey
     """,
     "answer_keys": """
         WITH q AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS i, coalesce((['alpha', 'beta', 'gamma'])[l_quantity::INT % 4 + 1], (l_quantity::INT % 4)::VARCHAR) AS a FROM lineitem)
