@@ -32,17 +32,18 @@ def grammar_keys(text: Column, most: int = 4) -> Column:
 def quotes_in(passages: DataFrame, quotes: DataFrame, words: int = 4) -> DataFrame:
     """passages (passage_id, text), quotes (quote_id, quote): pairs where the passage holds the quote from a word's start on, case and white space aside.
 
-    The first words of a quote are looked up among the passages' word windows; only hits are compared in full. Quotes of
+    The first words of a quote are looked up by hash among the passages' word windows of the lengths that occur; only hits are compared in full. Quotes of
     fewer words are compared by those they have. Shuffles or broadcasts of quotes are left to the optimizer.
     """
     norm = lambda c: F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(c), F.lit(""))), r"[ \t\n\f\r]+", " "))
     q = quotes.select("quote_id", norm("quote").alias("q")).where("q <> ''").withColumn("w", F.split("q", " "))
     # the last word of a window may go on in the passage, so windows leave it out
     q = q.withColumn("n", F.greatest(F.lit(1), F.least(F.lit(words), F.size("w") - 1)))
-    q = q.select("quote_id", "q", F.array_join(F.slice("w", 1, F.col("n")), " ").alias("lead"))
+    used = sorted(x["n"] for x in q.select("n").distinct().collect())  # at most as many rows as words
+    q = q.select("quote_id", "q", F.xxhash64(F.array_join(F.slice("w", 1, F.col("n")), " ")).alias("lead"))
     p = passages.select("passage_id", norm("text").alias("p"))
-    w, lengths = F.col("w"), F.array(*[F.lit(k) for k in range(1, words + 1)])
-    windows = F.transform(lengths, lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - k + 1)), lambda i: F.array_join(F.slice(w, i, k), " ")))
+    w, lengths = F.col("w"), F.array(*[F.lit(k) for k in used or [words]])
+    windows = F.transform(lengths, lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - k + 1)), lambda i: F.xxhash64(F.array_join(F.slice(w, i, k), " "))))
     heads = p.select("passage_id", F.split("p", " ").alias("w")).select("passage_id", F.explode(F.array_distinct(F.flatten(windows))).alias("head"))
     near = heads.join(q.select("quote_id", "lead"), F.col("head") == F.col("lead")).select("passage_id", "quote_id").distinct()
     full = near.join(p, "passage_id").join(q.select("quote_id", "q"), "quote_id")
