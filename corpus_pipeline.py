@@ -21,7 +21,7 @@ def _only(docs: DataFrame, keep: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    return quality_filter(docs, table(spark, sf_dir, "labels"))
+    return quality_filter(docs, table(spark, sf_dir, "labels"), joint=True)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

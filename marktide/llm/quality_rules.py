@@ -8,6 +8,11 @@ the sequence, so a rule needs no correction over its cutoffs. Level and risk are
 level by the number of strata too (Bonferroni). With probability 1 - LEVEL no stratum loses more than RISK of its good
 documents to the rules. A stratum without enough labels certifies nothing and its documents are judged by the base alone.
 
+With joint=True, as in the pipeline, one sequence tests the union of all rules: step k takes cutoff k of every rule, or its
+last one, so that neither risk nor level is divided by the rules. The level is divided by the strata and a pool of all
+labelled good documents, which judges strata with too few labels to certify anything: those then share the pool's
+guarantee (of all good documents at most RISK are lost to its cutoffs), which is not one for each of them.
+
 All of it is DataFrame expressions; what is computed is whole texts, in place, without a shuffle of texts.
 """
 
@@ -28,7 +33,9 @@ CUTOFFS: dict[str, tuple[float, ...]] = {
     "repeat_share": (0.9, 0.7, 0.6, 0.5, 0.4, 0.3),
     "duplicate_lines_per_line": (0.9, 0.7, 0.5, 0.4, 0.3),
 }
-#: Strata that can be certified: the ones with most good labels. It bounds the table of cutoffs, which is broadcast.
+#: Vectors of cutoffs for the union of all rules, from the one that rejects least. They are fixed ahead, not fitted to labels.
+VECTORS = [[c[min(k, len(c) - 1)] for c in CUTOFFS.values()] for k in range(max(map(len, CUTOFFS.values())))]
+#: A table of cutoffs with more strata than that is not broadcast.
 MAX_STRATA = 500
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -130,13 +137,13 @@ def binomial_tail(n: Column, k: Column, risk: float) -> Column:
 def certified_cutoffs(labelled: DataFrame, risk: float = RISK, level: float = LEVEL) -> DataFrame:
     """labelled: stratum and the features of the good documents. One row per stratum: _llm_stratum, _llm_cutoffs array<double>.
 
-    The array follows CUTOFFS; null where a rule certifies nothing. At most MAX_STRATA rows.
+    The array follows CUTOFFS; null where a rule certifies nothing.
     """
     rules = list(CUTOFFS)
     rejected = [F.count_if(F.col(r) > c).alias(f"{i}_{j}") for i, r in enumerate(rules) for j, c in enumerate(CUTOFFS[r])]
     counted = labelled.groupBy(F.coalesce("stratum", F.lit("")).alias("stratum_key")).agg(F.count("*").alias("n_good"), *rejected)
     strata = counted.agg(F.count("*").alias("n_strata"))
-    top = counted.orderBy(F.desc("n_good"), "stratum_key").limit(MAX_STRATA).crossJoin(F.broadcast(strata))  # one row
+    top = counted.crossJoin(F.broadcast(strata))  # one row
     cells = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(j).alias("step"), F.lit(c).alias("cutoff"), F.col(f"{i}_{j}").alias("k")) for i, r in enumerate(rules) for j, c in enumerate(CUTOFFS[r])])
     tested = top.select("stratum_key", "n_good", "n_strata", F.inline(cells))
     passes = binomial_tail(F.col("n_good"), F.col("k"), risk / len(rules)) <= level / (len(rules) * F.col("n_strata"))
@@ -145,6 +152,23 @@ def certified_cutoffs(labelled: DataFrame, risk: float = RISK, level: float = LE
     return best.select(F.col("stratum_key").alias("_llm_stratum"), F.array(*[f"c{i}" for i in range(len(rules))]).alias("_llm_cutoffs"))
 
 
+def joint_cutoffs(labelled: DataFrame, risk: float = RISK, level: float = LEVEL) -> DataFrame:
+    """As certified_cutoffs(), by one sequence over VECTORS; without strata that have too few labels to pass a test.
+
+    One more row, with a null stratum, has the cutoffs of the pool.
+    """
+    over = [F.count_if(F.greatest(*[(F.col(r) > c).cast("int") for r, c in zip(CUTOFFS, v, strict=True)]) == 1) for v in VECTORS]
+    counted = labelled.groupBy(F.coalesce("stratum", F.lit("")).alias("stratum_key")).agg(F.count("*").alias("n_good"), F.array(*over).alias("ks"))
+    pool = counted.agg(F.coalesce(F.sum("n_good"), F.lit(0)).alias("n_good"), F.array(*[F.sum(F.get("ks", F.lit(j))) for j in range(len(VECTORS))]).alias("ks"), (F.count("*") + 1).alias("n_tests"))
+    each = counted.crossJoin(F.broadcast(pool.select("n_tests")))  # one row
+    rows = each.union(pool.select(F.lit(None).cast("string"), "n_good", "ks", "n_tests"))
+    enough = F.col("n_good") * F.log(F.lit(1 - risk)) <= F.log(F.lit(level) / F.col("n_tests"))
+    passes = F.transform("ks", lambda k: binomial_tail(F.col("n_good"), k, risk) <= F.lit(level) / F.col("n_tests"))
+    steps = F.aggregate(passes, F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda a, ok: F.struct((a["n"] + (a["on"] & ok).cast("int")).alias("n"), (a["on"] & ok).alias("on")), lambda a: a["n"])
+    vectors = F.array(*[F.array(*map(F.lit, v)) for v in VECTORS])
+    return rows.where(enough | F.col("stratum_key").isNull()).select(F.col("stratum_key").alias("_llm_stratum"), F.when(enough, F.get(vectors, steps - 1)).alias("_llm_cutoffs"))
+
+
 def _accepted(prefix: str = "") -> Column:
     over = [F.coalesce(F.col(prefix + r) > F.get("_llm_cutoffs", F.lit(i)), F.lit(False)) for i, r in enumerate(CUTOFFS)]
     reject = over[0]
@@ -153,36 +177,44 @@ def _accepted(prefix: str = "") -> Column:
     return ~F.col(prefix + "base_failed") & ~reject
 
 
-def _cutoffs(features: DataFrame, labels: DataFrame) -> DataFrame:
-    """features: doc_id, stratum and the features of all documents; labels: doc_id, quality."""
+def _judged(rows: DataFrame, stratum: Column, features: DataFrame, labels: DataFrame, joint: bool) -> DataFrame:
+    """rows with _llm_cutoffs. features: doc_id, stratum and the features of all documents; labels: doc_id, quality."""
     good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("label_id")).distinct()
     joined = features.join(good, F.col("doc_id") == F.col("label_id"), "left_semi")
-    return saved(certified_cutoffs(joined), "cutoffs")
+    cutoffs = saved((joint_cutoffs if joint else certified_cutoffs)(joined), "cutoffs")
+    own = cutoffs.where("_llm_stratum is not null")
+    side = F.broadcast(own) if own.count() <= MAX_STRATA else own
+    found = rows.join(side, F.coalesce(stratum, F.lit("")) == F.col("_llm_stratum"), "left")
+    if not joint:
+        return found
+    pool = cutoffs.where("_llm_stratum is null").select(F.col("_llm_cutoffs").alias("_llm_pool"))
+    cut = F.when(F.col("_llm_stratum").isNull(), F.col("_llm_pool")).otherwise(F.col("_llm_cutoffs"))
+    return found.crossJoin(F.broadcast(pool)).withColumn("_llm_cutoffs", cut)  # one row
+
+
+def _features(docs: DataFrame, id_col: str, text_col: str, stratum_col: str) -> DataFrame:
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(stratum_col).cast("string").alias("stratum"), F.col(text_col).cast("string").alias("text"))
+    return saved(with_features(rows).drop("text"), "features")
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", joint: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
 
     Null texts count as empty (no words, so base_failed). Null strata form one stratum. Repeated rows are judged each;
     labels of unknown documents have no effect. An empty table gives an empty result; other input columns are ignored.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(stratum_col).cast("string").alias("stratum"), F.col(text_col).cast("string").alias("text"))
-    features = saved(with_features(rows).drop("text"), "features")
-    cutoffs = F.broadcast(_cutoffs(features, labels))  # at most MAX_STRATA rows
-    found = features.join(cutoffs, F.coalesce("stratum", F.lit("")) == F.col("_llm_stratum"), "left")
+    features = _features(docs, id_col, text_col, stratum_col)
+    found = _judged(features, F.col("stratum"), features, labels, joint)
     return found.select("doc_id", *BASE, "base_failed", _accepted().alias("kept"))
 
 
-def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
+def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", joint: bool = False) -> DataFrame:
     """The rows of docs that are kept, with their own columns; decisions as in quality_rules().
 
     The features are computed in place a second time, which is cheaper than a shuffle of the texts.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(stratum_col).cast("string").alias("stratum"), F.col(text_col).cast("string").alias("text"))
-    features = saved(with_features(rows).drop("text"), "features")
-    cutoffs = F.broadcast(_cutoffs(features, labels))
-    own = with_features(docs, text_col, "_llm_")
-    found = own.join(cutoffs, F.coalesce(F.col(stratum_col).cast("string"), F.lit("")) == F.col("_llm_stratum"), "left")
+    features = _features(docs, id_col, text_col, stratum_col)
+    found = _judged(with_features(docs, text_col, "_llm_"), F.col(stratum_col).cast("string"), features, labels, joint)
     return found.where(_accepted("_llm_")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
