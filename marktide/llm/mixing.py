@@ -2,7 +2,8 @@
 
 A source's target rate is how often each of its documents should stand in the mix: its share of the target times the size
 of the mix over its own size. Each document gets a uniform number from a hash of its id and the seed, and the Poisson
-distribution with that mean, inverted at it, tells how many copies it has. Copies are exploded and the mix is shuffled
+distribution with that mean, inverted at it, tells how many copies it has; a rate above DRAW_RATE is split into equal rates
+with a number and a draw each, so no rate is too high. Copies are exploded and the mix is shuffled
 globally, by ranges of a hash of document and copy.
 
 Sizes are sums with map-side combining, one row per source; the table of rates joins by source as a shuffle-free broadcast
@@ -20,8 +21,10 @@ from .common import let, partitions, saved
 SEED = 42
 #: The target share of a source follows its size to this power: below 1 it lifts small sources.
 TEMPERATURE = 0.7
-#: Most copies of a document: rates above it are an error, so that no copy is cut off.
-MAX_RATE = 20.0
+#: Largest mean of one Poisson draw: exp(-rate) is far from underflow, and the SQL's 200 terms hold all of its mass.
+DRAW_RATE = 100.0
+#: Copies of a document that one row of the explosion makes.
+COPIES = 10_000
 MAX_SOURCES = 10_000
 _DIGITS = 13  # hex digits of a hash that make a uniform number
 
@@ -33,7 +36,7 @@ def uniform(*parts: Column | str, seed: int = SEED) -> Column:
 
 
 def poisson_inverse(u: Column, rate: Column) -> Column:
-    """The smallest k with P(X <= k) > u for a Poisson X of mean rate; 200 terms hold all of the mass for rates up to MAX_RATE."""
+    """The smallest k with P(X <= k) > u for a Poisson X of mean rate; for rates up to DRAW_RATE."""
     start = F.struct(F.exp(-rate).alias("term"), F.exp(-rate).alias("total"), F.lit(0).alias("k"))
 
     def step(a: Column, i: Column) -> Column:
@@ -43,6 +46,14 @@ def poisson_inverse(u: Column, rate: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.when(rate <= 0, F.lit(1)).otherwise(F.ceil(rate + 12 * F.sqrt(rate) + 12).cast("int"))), start, step, lambda a: a["k"])
 
 
+def poisson_copies(key: Column, rate: Column, seed: int = SEED) -> Column:
+    """Copies of a document: one draw at uniform(key), or the sum of several where the rate is above DRAW_RATE."""
+    draws = F.ceil(rate / DRAW_RATE).cast("int")
+    one = let(uniform(key, seed=seed), lambda u: poisson_inverse(u, rate).cast("long"))
+    part = lambda i: let(uniform(key, i, seed=seed), lambda u: poisson_inverse(u, rate / draws).cast("long"))
+    return F.when(rate <= DRAW_RATE, one).otherwise(F.aggregate(F.sequence(F.lit(1), draws), F.lit(0).cast("long"), lambda a, i: a + part(i)))
+
+
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, size: Column | None = None, budget: float = 1.0, source_col: str = "source") -> DataFrame:
     """source_key, rate: one row per source. weights: target shares by source, else size ** TEMPERATURE. budget: size of the mix over that of docs.
 
@@ -56,15 +67,14 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, size: Column
         shares = sizes.withColumn("weight", F.coalesce(F.element_at(table, F.col("source_key")), F.lit(0.0)))
     total = shares.agg(F.sum("size").alias("sizes"), F.sum("weight").alias("weights"))
     rate = budget * F.col("weight") / F.col("weights") * F.col("sizes") / F.col("size")
-    ok = F.when(rate <= MAX_RATE, rate).otherwise(F.raise_error(F.concat(F.lit("the rate is too high for source "), F.col("source_key"))).cast("double"))
-    return shares.crossJoin(F.broadcast(total)).select("source_key", ok.alias("rate"))  # one row on the right
+    return shares.crossJoin(F.broadcast(total)).select("source_key", rate.alias("rate"))  # one row on the right
 
 
 def _counted(docs: DataFrame, table: DataFrame, seed: int, id_col: str, source_col: str) -> DataFrame:
     table = saved(table, "rates")
     side = F.broadcast(table) if table.count() <= MAX_SOURCES else table
     joined = docs.join(side.select(F.col("source_key").alias("_llm_source"), F.col("rate").alias("_llm_rate")), F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit("")) == F.col("_llm_source"), "left")
-    copies = let(uniform(F.col(f"`{id_col}`"), seed=seed), lambda u: poisson_inverse(u, F.coalesce(F.col("_llm_rate"), F.lit(0.0))))
+    copies = poisson_copies(F.col(f"`{id_col}`"), F.coalesce(F.col("_llm_rate"), F.lit(0.0)), seed)
     return joined.withColumn("_llm_copies", copies)
 
 
@@ -82,7 +92,10 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, budget: float
     empty table gives an empty mix. Columns of any other name are carried along.
     """
     found = _counted(docs, rates(docs, weights, budget=budget, source_col=source_col), seed, id_col, source_col)
-    copies = found.where("_llm_copies > 0").withColumn("_llm_copy", F.explode(F.sequence(F.lit(1), F.col("_llm_copies"))))
+    one = F.lit(1).cast("long")
+    # in two steps, so that no array grows with the rate
+    parts = found.where("_llm_copies > 0").withColumn("_llm_first", F.explode(F.sequence(one, F.col("_llm_copies"), F.lit(COPIES).cast("long"))))
+    copies = parts.withColumn("_llm_copy", F.explode(F.sequence(F.col("_llm_first"), F.least("_llm_copies", F.col("_llm_first") + (COPIES - 1)))))
     place = copies.withColumn("_llm_place", F.xxhash64(F.lit(seed), F.col(f"`{id_col}`").cast("string"), "_llm_copy"))
     ordered = place.repartitionByRange(partitions(docs.sparkSession), "_llm_place").sortWithinPartitions("_llm_place")
     return ordered.select(*[F.col(f"`{c}`") for c in docs.columns])

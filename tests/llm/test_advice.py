@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from marktide.llm import quality_rules
+from marktide.llm import mixing, quality_rules
 
 
 def labelled(spark, sizes):
@@ -26,3 +26,21 @@ def test_joint_rules_reject_with_enough_labels(spark):
 def test_all_strata_get_cutoffs(spark):
     rows = spark.range(700).select(F.col("id").cast("string").alias("stratum"), *[F.lit(0.0).alias(r) for r in quality_rules.CUTOFFS])
     assert quality_rules.certified_cutoffs(rows).count() == 700
+
+
+def test_no_rate_is_too_high(spark):
+    sizes = spark.createDataFrame([("big", 10_000_000.0)] * 20 + [("", 1.0)], "source string, n double").withColumn("source", F.when(F.col("source") == "big", F.concat("source", F.monotonically_increasing_id())).otherwise(F.col("source")))
+    high = {r.source_key: r.rate for r in mixing.rates(sizes, size=F.col("n")).collect()}[""]
+    assert 100 < high < 300
+    one = F.col("id").cast("string")
+    for rate in (20.5, high, 5000.0):
+        got = spark.range(2000).select(mixing.poisson_copies(one, F.lit(rate)).alias("k")).agg(F.avg("k"), F.var_samp("k")).first()
+        assert abs(got[0] - rate) < 5 * (rate / 2000) ** 0.5 and abs(got[1] / rate - 1) < 0.2
+
+
+def test_a_small_source_mixes(spark):
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.when(F.col("id") > 0, "big").alias("source"))
+    weights = {"big": 1.0, "": 30.0}
+    want = {r.doc_id: r.copies for r in mixing.mix_counts(docs, weights).where("copies > 0").collect()}
+    assert 1700 < want[0] < 2200
+    assert {r.doc_id: r["count"] for r in mixing.mix(docs, weights).groupBy("doc_id").count().collect()} == want
