@@ -2,21 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marktide.llm.common import saved, table
-from marktide.llm.exact_dedup import exact_dedup
+from marktide.llm.exact_dedup import exact_dedup, normalised
 from marktide.llm.mixing import mix
 from marktide.llm.packing import pack_documents
 from marktide.llm.quality_rules import quality_filter
 from marktide.llm.simhash import simhash_groups
 
 
+def _key(digest: Column) -> Column:
+    """Tells rows apart by id and text; null ids are equal to each other."""
+    return F.concat_ws(":", digest, F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("_llm_key", _key(F.sha2(normalised(F.col("text")).cast("binary"), 256)))
+
+
 def _only(docs: DataFrame, keep: DataFrame) -> DataFrame:
-    """The rows of docs whose id is in keep (keep_doc); one of each id."""
-    ids = keep.select(F.col("keep_doc"))
-    return docs.join(ids, F.col("doc_id") == F.col("keep_doc"), "left_semi").select(*docs.columns)
+    """The rows of docs whose id and text are in keep (keep_key); one of each such pair."""
+    found = _keyed(docs).join(keep, F.col("_llm_key") == F.col("keep_key"), "left_semi")
+    place = F.row_number().over(Window.partitionBy("_llm_key").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])))
+    return found.withColumn("_llm_place", place).where("_llm_place = 1").select(*docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,13 +35,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts the one with the smallest id stays."""
-    return _only(docs, exact_dedup(docs).where("kept").select(F.col("doc_id").alias("keep_doc")))
+    """Of documents with equal texts one row with the smallest id stays; a null id is larger than any other."""
+    return _only(docs, exact_dedup(docs).where("kept").select(_key(F.col("text_sha256")).alias("keep_key")))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
-    return _only(docs, simhash_groups(docs).where("doc_id = component_id").select(F.col("doc_id").alias("keep_doc")))
+    """Of each group of near duplicates one row with the smallest id stays; a null id is larger than any other."""
+    rows = _keyed(docs).withColumn("_llm_row", F.xxhash64("_llm_key"))
+    groups = simhash_groups(rows, id_col="_llm_row").select(F.col("doc_id").alias("row"), "component_id").distinct()
+    known = rows.select("_llm_row", "_llm_key", "doc_id").distinct().join(groups, F.col("_llm_row") == F.col("row"))
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_llm_key")
+    return _only(docs, known.groupBy("component_id").agg(F.min_by("_llm_key", first).alias("keep_key")).select("keep_key"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

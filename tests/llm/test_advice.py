@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from marktide.llm import mixing, quality_rules
 
 
@@ -44,3 +45,17 @@ def test_a_small_source_mixes(spark):
     want = {r.doc_id: r.copies for r in mixing.mix_counts(docs, weights).where("copies > 0").collect()}
     assert 1700 < want[0] < 2200
     assert {r.doc_id: r["count"] for r in mixing.mix(docs, weights).groupBy("doc_id").count().collect()} == want
+
+
+def test_stages_with_null_ids_and_repeated_rows(spark):
+    text = " ".join(f"w{k}" for k in range(400))
+    other = " ".join(f"v{k}" for k in range(400))
+    rows = [(None, "only here"), (None, "only here"), (1, text), (1, text), (1, other), (2, text), (3, other), (None, text), (4, "alone"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s")})
+    want = sorted([(None, "only here"), (1, text), (1, other), (4, "alone"), (None, None)], key=str)
+    for stage in (corpus_pipeline.exact, corpus_pipeline.near):
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns
+        assert sorted([(r.doc_id, r.text) for r in out.collect()], key=str) == want
+    near = docs.where("doc_id is null or doc_id > 3").union(docs.where("text is null").withColumn("text", F.lit(" ")))
+    assert corpus_pipeline.near(spark, near, "").where("text is null or text = ' '").count() == 1
