@@ -3,7 +3,8 @@
 A page is one pass over its tags and texts. Each word and each tag is a token with a weight, words positive and tags
 negative as a rule; the weights are log-odds of content against boilerplate, counted on labelled pages. A linear scan
 finds the contiguous run of tokens with the largest sum: the content region. What stands inside elements that never hold
-content (scripts, menus, forms, comments, ...) has no score and no part in the text.
+content (scripts, menus, buttons, ...) has no score and no part in the text. Forms, asides and elements whose class, id or
+role names boilerplate are ruled out likewise, but only while they hold a small share of the page's words outside links.
 """
 
 from __future__ import annotations
@@ -25,34 +26,51 @@ _RAW = re.compile(r"script|style|textarea|title|noscript|template|iframe|xmp", r
 _HINT = re.compile(r"(?:class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-_SKIP = frozenset("nav header footer aside form button select option label dialog menu svg canvas object audio video map head fieldset".split())
+_SKIP = frozenset("nav header footer button select option label dialog menu svg canvas object audio video map head".split())
+_MAYBE = frozenset("aside form fieldset".split())
+#: What a head may hold; any other element, and any text, ends it.
+_HEAD = frozenset("html head base basefont bgsound link meta title style script noscript template".split())
+#: Shares of the page's words outside links below which an element is ruled out: always, by its tag or a whole name, by a part of a name.
+ALWAYS, WHOLE, PART, NEVER = 2.0, 0.5, 0.2, 0.0
 #: Words of a class, id or role that name boilerplate.
 _AWAY = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social follow related recommended recommendations more-stories sidebar widget widgets nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager footer header masthead comment comments commentlist respond reply replies disqus discussion search skip toolbar copyright legal disclaimer complementary contentinfo hidden".split())
 _WORDS = re.compile(r"\S+")
 
 
-def _names(attributes: str) -> set[str]:
-    found: set[str] = set()
+def _names(attributes: str) -> tuple[set[str], set[str]]:
+    """Names in class, id, role, ...: whole ones, and those with their parts at hyphens and capitals."""
+    whole: set[str] = set()
+    parts: set[str] = set()
     for m in _HINT.finditer(attributes):
-        whole = (m[1] or m[2] or m[3] or "").lower()
-        found.update(whole.split())
-        found.update(x for x in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", m[1] or m[2] or m[3] or "").lower()) if x)
-    return found
+        value = m[1] or m[2] or m[3] or ""
+        whole.update(value.lower().split())
+        parts.update(x for x in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()) if x)
+    return whole, whole | parts
 
 
-def _away(tag: str, names: set[str], inside_article: bool) -> bool:
-    """Whether an element never holds content. A header of the article itself may hold its headline."""
+def _away(tag: str, attributes: str, inside_article: bool) -> float:
+    """The share of prose below which an element is ruled out. A header of the article itself may hold its headline."""
+    away = _AWAY
     if tag == "header" and inside_article:
-        return bool(names & _AWAY - {"header"})
-    if tag in _SKIP:
-        return True
-    return tag not in ("html", "body", "article", "main") and bool(names & _AWAY) and not (tag in _BLOCK and names & {"article", "story"} and not names & {"comment", "comments", "ad", "ads", "sidebar", "related"})
+        away = _AWAY - {"header"}
+    elif tag in _SKIP:
+        return ALWAYS
+    elif tag in _MAYBE:
+        return WHOLE
+    if not attributes or tag in ("html", "body", "article", "main"):
+        return NEVER
+    whole, names = _names(attributes)
+    if not names & away or (tag != "header" and tag in _BLOCK and names & {"article", "story"} and not names & {"comment", "comments", "ad", "ads", "sidebar", "related"}):
+        return NEVER
+    return WHOLE if whole & away else PART
 
 
 def tokens(page: str) -> list[tuple[str, str, bool]]:
     """(kind, text, content allowed) in page order. kind: "text", "link", or a tag as "p", "/p"."""
-    out: list[tuple[str, str, bool]] = []
-    stack: list[tuple[str, bool, bool, bool]] = [("", False, False, False)]  # tag; in or below: away, an article, a link
+    out: list[tuple[str, str, int]] = []
+    # elements that may be ruled out: share, words outside links, the one around it; the first is the page, the second what is always out
+    doubtful: list[list] = [[NEVER, 0, 0], [ALWAYS, 0, 0]]
+    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # tag; in or below: a doubtful element, an article, a link
     opened: Counter[str] = Counter()
     at, n = 0, len(page)
 
@@ -60,11 +78,21 @@ def tokens(page: str) -> list[tuple[str, str, bool]]:
         opened.subtract(x[0] for x in stack[k:])
         del stack[k:]
 
+    def end_head() -> None:
+        if opened["head"] > 0:
+            close(next(k for k, x in enumerate(stack) if x[0] == "head"))
+
     while at < n:
         m = _TAG.search(page, at)
         cut = m.start() if m else n
         if cut > at:
-            out.append(("link" if stack[-1][3] else "text", page[at:cut], not stack[-1][1]))
+            words = len(page[at:cut].split())
+            if words and stack[-1][0] == "head":
+                end_head()
+            _, doubt, _, link = stack[-1]
+            if not link:
+                doubtful[doubt][1] += words
+            out.append(("link" if link else "text", page[at:cut], doubt))
         if not m:
             break
         at = m.end()
@@ -75,12 +103,14 @@ def tokens(page: str) -> list[tuple[str, str, bool]]:
         if closing:
             if opened[tag] > 0:
                 close(max(k for k, x in enumerate(stack) if x[0] == tag) if stack[-1][0] != tag else len(stack) - 1)
-            out.append((f"/{tag}", "", not stack[-1][1]))
+            out.append((f"/{tag}", "", stack[-1][1]))
             continue
         if _RAW.fullmatch(tag) and not attributes.rstrip().endswith("/"):
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = end.end() if end else n
             continue
+        if tag not in _HEAD:
+            end_head()
         if tag in _BLOCK:
             # an open paragraph ends where a block begins, and with it what was left open in it
             for k in range(len(stack) - 1, 0, -1):
@@ -89,12 +119,24 @@ def tokens(page: str) -> list[tuple[str, str, bool]]:
                     break
                 if stack[k][0] in _BLOCK:
                     break
-        _, away, article, link = stack[-1]
-        out.append((tag, "", not away))
+        _, doubt, article, link = stack[-1]
+        out.append((tag, "", doubt))
         if tag not in _VOID and not attributes.rstrip().endswith("/"):
-            stack.append((tag, away or _away(tag, _names(attributes) if attributes else set(), article), article or tag in ("article", "main"), link or tag == "a"))
+            share = _away(tag, attributes, article) if doubt != 1 else NEVER
+            if share == ALWAYS:
+                doubt = 1
+            elif share > NEVER:
+                doubtful.append([share, 0, doubt])
+                doubt = len(doubtful) - 1
+            stack.append((tag, doubt, article or tag in ("article", "main"), link or tag == "a"))
             opened[tag] += 1
-    return out
+    doubtful[1][1] = 0
+    for share, words, around in reversed(doubtful[2:]):
+        doubtful[around][1] += words
+    total, away = doubtful[0][1], [False, True]
+    for share, words, around in doubtful[2:]:
+        away.append(away[around] or words < share * total)
+    return [(kind, text, not away[doubt]) for kind, text, doubt in out]
 
 
 def learn_weights(pages: list[tuple[str, list[str]]]) -> dict[str, float]:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from marktide.llm import mixing, quality_rules
+from marktide.llm import html_extract, mixing, quality_rules
 
 
 def labelled(spark, sizes):
@@ -59,3 +60,27 @@ def test_stages_with_null_ids_and_repeated_rows(spark):
         assert sorted([(r.doc_id, r.text) for r in out.collect()], key=str) == want
     near = docs.where("doc_id is null or doc_id > 3").union(docs.where("text is null").withColumn("text", F.lit(" ")))
     assert corpus_pipeline.near(spark, near, "").where("text is null or text = ' '").count() == 1
+
+
+ARTICLE = "<h1>Rain over the valley</h1><p>The rain began early in the morning and did not stop before night fell.</p><p>People had waited for it since the end of May.</p>"
+TEXT = "Rain over the valley\nThe rain began early in the morning and did not stop before night fell.\nPeople had waited for it since the end of May."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<html><head><title>t</title></head><body><div class='content with-sidebar'>{ARTICLE}</div><div class=sidebar><p>Buy now</p></div></body></html>",
+        f"<body><div class=no-sidebar><section class='entry has-comments'>{ARTICLE}</section></div></body>",
+        f"<body><div class='search-results hidden-xs'>{ARTICLE}</div><div class=ad>Buy this</div></body>",
+        f"<body><form action=x><div id=search><input> Find it here</div>{ARTICLE}<aside>See also this</aside></form></body>",
+        f"<!DOCTYPE html><html><head><meta charset=utf-8><title>t</title><link rel=x href=y><body>{ARTICLE}</body></html>",
+        f"<html><head><title>t</title><div>{ARTICLE}</div></html>",
+    ],
+)
+def test_pages_keep_their_article(page):
+    assert html_extract.extract(page) == TEXT
+
+
+def test_small_named_parts_go():
+    page = f"<body><div class='ad-banner'><p>Buy our new thing today</p></div><div class=main>{ARTICLE}</div><div class=comments><p>Nice post, thank you very much</p></div></body>"
+    assert html_extract.extract(page) == TEXT
