@@ -102,7 +102,8 @@ RULES: list[Rule] = [
     *_versioned("php license", "php license", "php", {"3 0": "3.0", "3 01": "3.01"}),
     *_versioned("zope public license", "zope", "zpl", {"2 0": "2.0", "2 1": "2.1"}),
     *_versioned("microsoft (?:public|reciprocal) license", "microsoft", "ms-pl", {"1 0": "1.0"}),
-    *_plain("mit", "mit", "(?:mit|expat|x11)(?: style)? (?:license|licence)", "mit"),
+    *_plain("mit", "mit", "mit(?: style)? (?:license|licence)", "mit"),
+    *[Rule("mit", p, name, f"{under}{name}(?: style)? (?:license|licence)") for name in ("expat", "x11") for p, under in ((GRANT, _UNDER), (NAMED, ""))],
     Rule("mit", GRANT, "permission is hereby granted", "permission is hereby granted free of charge to any person obtaining a copy"),
     Rule("isc", GRANT, "permission to use", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee"),
     *_plain("isc", "isc", "isc (?:license|licence)", "isc"),
@@ -128,7 +129,7 @@ RULES: list[Rule] = [
     Rule("reserved", NAMED, "all rights reserved", "(?:copyright (?:c )?(?:[0-9]{4} )?)?all rights reserved"),
     Rule("some-reserved", NAMED, "some rights reserved", "some rights reserved"),
     Rule("no-warranty", MENTION, "warrant", "provided as is without warrant(?:y|ies) of any kind"),
-    Rule("editorial", MENTION, "editorial use", "for (?:personal|editorial) use only"),
+    Rule("editorial", MENTION, "use only", "for (?:personal|editorial) use only"),
     Rule("noncommercial", MENTION, "commercial", "(?:for )?non ?commercial use only"),
     Rule("copyright", MENTION, "copyright", "copyright (?:c )?[0-9]{4}"),
     Rule("license", MENTION, "licensed under", "licensed under"),

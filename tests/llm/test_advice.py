@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import product
+from re import _parser as sre
+
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from marktide.llm import html_extract, mixing, quality_rules
+from marktide.llm import html_extract, license_scan, mixing, quality_rules
 
 
 def labelled(spark, sizes):
@@ -84,3 +87,38 @@ def test_pages_keep_their_article(page):
 def test_small_named_parts_go():
     page = f"<body><div class='ad-banner'><p>Buy our new thing today</p></div><div class=main>{ARTICLE}</div><div class=comments><p>Nice post, thank you very much</p></div></body>"
     assert html_extract.extract(page) == TEXT
+
+
+def written(parsed):
+    """All texts that a parsed pattern matches, with one character for each class and one turn more than the least for each repeat."""
+    out = [""]
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            one = [chr(arg)]
+        elif op == "IN":
+            one = [chr(arg[0][1][0] if str(arg[0][0]) == "RANGE" else arg[0][1])]
+        elif op == "BRANCH":
+            one = [x for branch in arg[1] for x in written(branch)]
+        elif op == "SUBPATTERN":
+            one = written(arg[3])
+        elif op == "MAX_REPEAT":
+            low, high, inner = arg
+            one = list({"".join(x) for n in {low, min(low + 1, high)} for x in product(written(inner), repeat=n)})
+        else:
+            raise ValueError(op)
+        out = [a + b for a in out for b in one]
+    return out
+
+
+def test_rules_pass_their_own_filters():
+    for rule in license_scan.RULES:
+        for text in written(sre.parse(rule.pattern)):
+            assert rule.keyword in text, (rule, text)
+            assert any(g in text for g in license_scan._GATE) or "cc by" in text, (rule, text)
+
+
+def test_texts_with_one_alternative_are_labelled(spark):
+    texts = ["For personal use only.", "for editorial use only", "Released under the Expat license", "the X11 license"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.labels for r in license_scan.license_scan(docs).orderBy("doc_id").collect()] == ["editorial", "editorial", "mit", "mit"]
