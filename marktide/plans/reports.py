@@ -143,6 +143,12 @@ def option_lines(spark, d):
     return table(spark, d, "documents").where("text is not null").select("doc_id", exams.is_option(line).alias("is_option"))
 
 
+def option_lines_all(spark, d):
+    """Every line of every text; a null text has none."""
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return lines.select("doc_id", "line_no", exams.is_option(F.col("line")).alias("is_option"))
+
+
 def question_kinds(spark, d):
     rows = _questions(spark, d)
     return rows.select("p_partkey", exams.question_subtype(F.col("text"), F.col("kind"), F.col("context")).alias("subtype"), F.array_join(exams.stated_options(F.col("text"), F.col("options")), "|").alias("options"))
@@ -234,7 +240,7 @@ def result_queue(spark, d):
     return last.join(rows.where("event_id % 11 = 0").select("result_id").distinct(), "result_id", "left_anti")
 
 
-QUERIES = {f.__name__: f for f in (report_lessons, report_students, report_results, report_answers, student_kpis, answer_keys, xlsx_export, lesson_insert, lesson_operations, student_upsert, balance_operations, schedule_prepend, log_newest, notifications, quest_launch, signal_incidents, exam_time_left, option_lines, question_kinds, answer_map, audio_links, audio_keys, json_items, masked_text, vocab_category, vocab_labels, example_gap, vocab_wave, act_reward, answer_chain, result_queue)}
+QUERIES = {f.__name__: f for f in (report_lessons, report_students, report_results, report_answers, student_kpis, answer_keys, xlsx_export, lesson_insert, lesson_operations, student_upsert, balance_operations, schedule_prepend, log_newest, notifications, quest_launch, signal_incidents, exam_time_left, option_lines, option_lines_all, question_kinds, answer_map, audio_links, audio_keys, json_items, masked_text, vocab_category, vocab_labels, example_gap, vocab_wave, act_reward, answer_chain, result_queue)}
 
 _LESSON = "(o_orderkey * 37) % 9000"
 _COINS = "CASE WHEN s >= 7200 THEN 60 WHEN s >= 3600 THEN 25 WHEN s >= 1800 THEN 10 ELSE 0 END"
@@ -294,6 +300,11 @@ ORACLE_SQL = {
         WITH l AS (SELECT doc_id, regexp_replace((['A. ', 'b) ', 'A ', 'I ', 'iv. ', ''])[doc_id % 6 + 1] || array_to_string(list_slice(string_split(text, ' '), 1, doc_id % 17), ' '), '^[ \t\n\f\r]+|[ \t\n\f\r]+$', '', 'g') AS t FROM documents WHERE text IS NOT NULL)
         SELECT doc_id, regexp_matches(t, '^[A-Za-z][.)][ \t\n\f\r]+|^[A-Za-z]$|^[ivxlcdmIVXLCDM]+\.\)?[ \t\n\f\r]+[^ \t\n\f\r]') OR (regexp_matches(t, '^[A-K][ \t\n\f\r]+[^ \t\n\f\r]') AND length(t) < 80 AND NOT regexp_matches(t, '^A[ \t\n\f\r]+[a-z]|^I[ \t\n\f\r]+(?i:am|have|was) ')) AS is_option FROM l
     """,
+    "option_lines_all": r"""
+        WITH x AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
+        l AS (SELECT doc_id, line_no::INT AS line_no, regexp_replace(line, '^[ \t\n\f\r]+|[ \t\n\f\r]+$', '', 'g') AS t FROM x)
+        SELECT doc_id, line_no, regexp_matches(t, '^[A-Za-z][.)][ \t\n\f\r]+|^[A-Za-z]$|^[ivxlcdmIVXLCDM]+\.\)?[ \t\n\f\r]+[^ \t\n\f\r]') OR (regexp_matches(t, '^[A-K][ \t\n\f\r]+[^ \t\n\f\r]') AND length(t) < 80 AND NOT regexp_matches(t, '^A[ \t\n\f\r]+[a-z]|^I[ \t\n\f\r]+(?i:am|have|was) ')) AS is_option FROM l
+    """,
     "question_kinds": f"""
         SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN CASE WHEN p_partkey % 2 = 0 THEN 'SUMMARY_DRAG' ELSE 'COLUMN_DRAG' END ELSE
             CASE WHEN (lower(text) LIKE '%map%' OR lower(text) LIKE '%plan%') AND lower(text) LIKE '%label%' THEN 'MAP_LABELLING' WHEN lower(text) LIKE '%flow-chart%' THEN 'FLOWCHART' WHEN lower(text) LIKE '%summary%' THEN 'SUMMARY' WHEN lower(text) LIKE '%note%' THEN 'NOTES' ELSE 'SENTENCE' END END AS subtype,
