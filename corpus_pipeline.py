@@ -10,7 +10,7 @@ from marktide.llm.exact_dedup import exact_dedup, normalised
 from marktide.llm.mixing import mix
 from marktide.llm.packing import pack_documents
 from marktide.llm.quality_rules import quality_filter
-from marktide.llm.simhash import simhash_groups
+from marktide.llm.simhash import similar_groups
 
 
 def _key(digest: Column) -> Column:
@@ -23,29 +23,27 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _only(docs: DataFrame, keep: DataFrame) -> DataFrame:
-    """The rows of docs whose id and text are in keep (keep_key); one of each such pair."""
-    found = _keyed(docs).join(keep, F.col("_llm_key") == F.col("keep_key"), "left_semi")
+    """The rows of docs whose id and text are in keep (_llm_keep); one of each such pair."""
+    found = _keyed(docs).join(keep, F.col("_llm_key") == F.col("_llm_keep"), "left_semi")
     place = F.row_number().over(Window.partitionBy("_llm_key").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])))
-    return found.withColumn("_llm_place", place).where("_llm_place = 1").select(*docs.columns)
+    return found.withColumn("_llm_place", place).where("_llm_place = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    return quality_filter(docs, table(spark, sf_dir, "labels"), joint=True)
+    return quality_filter(docs, table(spark, sf_dir, "labels"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal texts one row with the smallest id stays; a null id is larger than any other."""
-    return _only(docs, exact_dedup(docs).where("kept").select(_key(F.col("text_sha256")).alias("keep_key")))
+    return _only(docs, exact_dedup(docs).where("kept").select(_key(F.col("text_sha256")).alias("_llm_keep")))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates one row with the smallest id stays; a null id is larger than any other."""
-    rows = _keyed(docs).withColumn("_llm_row", F.xxhash64("_llm_key"))
-    groups = simhash_groups(rows, id_col="_llm_row").select(F.col("doc_id").alias("row"), "component_id").distinct()
-    known = rows.select("_llm_row", "_llm_key", "doc_id").distinct().join(groups, F.col("_llm_row") == F.col("row"))
-    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_llm_key")
-    return _only(docs, known.groupBy("component_id").agg(F.min_by("_llm_key", first).alias("keep_key")).select("keep_key"))
+    """Of each group of near duplicates (five words, similarity 0.8) one row with the smallest id stays; a null id is larger than any other."""
+    groups = similar_groups(_keyed(docs), row_col="_llm_key")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    return _only(docs, groups.groupBy("group_id").agg(F.min_by("row", first).alias("_llm_keep")).select("_llm_keep"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -85,9 +85,10 @@ def mix_counts(docs: DataFrame, weights: dict[str, float] | None = None, budget:
     return found.select("doc_id", "source", F.coalesce("_llm_rate", F.lit(0.0)).alias("rate"), F.col("_llm_copies").cast("long").alias("copies"))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, budget: float = 1.0, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, budget: float = 1.0, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", copy_col: str | None = None) -> DataFrame:
     """The mix: the columns of docs, each document as often as its count says, in a global random order.
 
+    copy_col: name of a further column, the number of the copy from 1.
     Null sources form one source. A null id hashes as the empty string; repeated rows of one id get equal counts. An
     empty table gives an empty mix. Columns of any other name are carried along.
     """
@@ -98,20 +99,21 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, budget: float
     copies = parts.withColumn("_llm_copy", F.explode(F.sequence(F.col("_llm_first"), F.least("_llm_copies", F.col("_llm_first") + (COPIES - 1)))))
     place = copies.withColumn("_llm_place", F.xxhash64(F.lit(seed), F.col(f"`{id_col}`").cast("string"), "_llm_copy"))
     ordered = place.repartitionByRange(partitions(docs.sparkSession), "_llm_place").sortWithinPartitions("_llm_place")
-    return ordered.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return ordered.select(*[F.col(f"`{c}`") for c in docs.columns], *([F.col("_llm_copy").alias(copy_col)] if copy_col else []))
 
 
 def oracle_sql() -> str:
-    """The counts of mix_counts() with its defaults in DuckDB's SQL."""
+    """The rows of mix() with its defaults in DuckDB's SQL: doc_id, source, copy, text; rates up to 100."""
     return f"""
         WITH RECURSIVE s AS (SELECT coalesce(source, '') AS k, count(*)::DOUBLE AS size FROM documents GROUP BY 1),
         r AS (SELECT k, pow(size, {TEMPERATURE}) / (SELECT sum(pow(size, {TEMPERATURE})) FROM s) * (SELECT sum(size) FROM s) / size AS rate FROM s),
         d AS (
-            SELECT doc_id, source, rate, ('0x' || substr(sha256('{SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, {_DIGITS}))::BIGINT / {16**_DIGITS}::DOUBLE AS u
+            SELECT doc_id, source, text, ('0x' || substr(sha256('{SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, {_DIGITS}))::BIGINT / {16**_DIGITS}::DOUBLE AS u
             FROM documents JOIN r ON k = coalesce(source, '')),
         p AS (
             SELECT k, rate, 0::BIGINT AS n, exp(-rate) AS term, exp(-rate) AS total FROM r
             UNION ALL SELECT k, rate, n + 1, term * rate / (n + 1), total + term * rate / (n + 1) FROM p WHERE n < 200),
-        c AS (SELECT k, n, total, coalesce(lag(total) OVER (PARTITION BY k ORDER BY n), 0) AS below FROM p)
-        SELECT doc_id, source, round(d.rate, 9) AS rate, (SELECT count(*) FROM c WHERE c.k = coalesce(d.source, '') AND total <= u)::BIGINT AS copies FROM d
+        c AS (SELECT k, n, total, coalesce(lag(total) OVER (PARTITION BY k ORDER BY n), 0) AS below FROM p),
+        n AS (SELECT doc_id, source, text, (SELECT count(*) FROM c WHERE c.k = coalesce(d.source, '') AND total <= u)::BIGINT AS copies FROM d)
+        SELECT doc_id, source, unnest(range(1, copies + 1)) AS copy, text FROM n
     """

@@ -1,17 +1,14 @@
 """Quality rules whose cutoffs carry a guarantee on false rejections.
 
 Every rule is a feature of a text and rejects values above a cutoff. Labelled documents are the holdout: no feature is
-fitted to them. Within each stratum (language) the cutoffs of a rule are tested from the one that rejects least to the
-one that rejects most. The hypothesis "the rule rejects more than its share of the allowed risk among good documents" is
-given up if the exact binomial probability of so few rejections is at most the level; the first cutoff that fails ends
-the sequence, so a rule needs no correction over its cutoffs. Level and risk are divided by the number of rules, and the
-level by the number of strata too (Bonferroni). With probability 1 - LEVEL no stratum loses more than RISK of its good
-documents to the rules. A stratum without enough labels certifies nothing and its documents are judged by the base alone.
-
-With joint=True, as in the pipeline, one sequence tests the union of all rules: step k takes cutoff k of every rule, or its
-last one, so that neither risk nor level is divided by the rules. The level is divided by the strata and a pool of all
-labelled good documents, which judges strata with too few labels to certify anything: those then share the pool's
-guarantee (of all good documents at most RISK are lost to its cutoffs), which is not one for each of them.
+fitted to them. The union of all rules is tested along one fixed sequence of cutoff vectors, from the one that rejects
+least to the one that rejects most. Within each stratum (language) the hypothesis "these cutoffs reject more than RISK of
+the good documents" is given up if the exact binomial probability of so few rejections is at most the level; the first
+vector that fails ends the sequence, so neither risk nor level is divided by rules or cutoffs. The level is divided by the
+number of strata and one more test (Bonferroni), a pool of all labelled good documents: it judges strata with too few
+labels to certify anything by themselves. With probability 1 - LEVEL no stratum with a certificate of its own loses more
+than RISK of its good documents to the rules; strata judged by the pool share its guarantee (of all good documents at most
+RISK are lost to its cutoffs), which is not one for each of them. Without enough labels in the pool the base alone decides.
 
 All of it is DataFrame expressions; what is computed is whole texts, in place, without a shuffle of texts.
 """
@@ -35,17 +32,20 @@ CUTOFFS: dict[str, tuple[float, ...]] = {
 }
 #: Vectors of cutoffs for the union of all rules, from the one that rejects least. They are fixed ahead, not fitted to labels.
 VECTORS = [[c[min(k, len(c) - 1)] for c in CUTOFFS.values()] for k in range(max(map(len, CUTOFFS.values())))]
-#: A table of cutoffs with more strata than that is not broadcast.
+#: A table of cutoffs with more strata than that is joined by a shuffle instead of a broadcast.
 MAX_STRATA = 500
+#: Texts of more words have their windows compared by all 64 bits of the hash, which costs more.
+PACKED_WORDS = 1 << 16
 
 _WORD = r"[^\x20\x09-\x0D]+"
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
 def _repeat_words(words: Column) -> Column:
-    """Words that lie in a 3-word window found twice or more; windows are compared by hash, at 44 bits or more.
+    """Words that lie in a 3-word window found twice or more; windows are compared by hash, at 47 bits or more.
 
-    Hashes carry their place in their low bits, so one sort of numbers puts equal windows side by side.
+    Hashes carry their place in their low bits, so one sort of numbers puts equal windows side by side. Longer texts sort
+    pairs of hash and place.
     """
     n = F.size(words)
     hashed = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
@@ -53,7 +53,15 @@ def _repeat_words(words: Column) -> Column:
     def at(low: Column) -> Column:
         return let(F.sort_array(_keyed(hashed, low)), lambda s: _covered(F.sort_array(_equal_neighbours(s, low))))
 
-    return F.when(n < 4, F.lit(0)).otherwise(let(F.length(F.bin(n.cast("long"))), at)).cast("long")
+    packed = let(F.length(F.bin(n.cast("long"))), at)
+    pairs = F.sort_array(F.transform(hashed, lambda h, i: F.struct(h.alias("h"), i.cast("long").alias("i"))))
+    return F.when(n < 4, F.lit(0)).when(n <= PACKED_WORDS, packed).otherwise(let(pairs, lambda s: _covered(F.sort_array(_equal_pairs(s))))).cast("long")
+
+
+def _equal_pairs(s: Column) -> Column:
+    """Places of the pairs (h, i) that share their hash with the pair before or after; s is sorted."""
+    twin = lambda x, k: F.coalesce(F.get(s, k - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(s, k + 1)["h"] == x["h"], F.lit(False))
+    return F.transform(F.filter(s, twin), lambda x: x["i"])
 
 
 def _keyed(hashed: Column, low: Column) -> Column:
@@ -135,27 +143,10 @@ def binomial_tail(n: Column, k: Column, risk: float) -> Column:
 
 
 def certified_cutoffs(labelled: DataFrame, risk: float = RISK, level: float = LEVEL) -> DataFrame:
-    """labelled: stratum and the features of the good documents. One row per stratum: _llm_stratum, _llm_cutoffs array<double>.
+    """labelled: stratum and the features of the good documents. _llm_stratum, _llm_cutoffs array<double> in the order of CUTOFFS.
 
-    The array follows CUTOFFS; null where a rule certifies nothing.
-    """
-    rules = list(CUTOFFS)
-    rejected = [F.count_if(F.col(r) > c).alias(f"{i}_{j}") for i, r in enumerate(rules) for j, c in enumerate(CUTOFFS[r])]
-    counted = labelled.groupBy(F.coalesce("stratum", F.lit("")).alias("stratum_key")).agg(F.count("*").alias("n_good"), *rejected)
-    strata = counted.agg(F.count("*").alias("n_strata"))
-    top = counted.crossJoin(F.broadcast(strata))  # one row
-    cells = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(j).alias("step"), F.lit(c).alias("cutoff"), F.col(f"{i}_{j}").alias("k")) for i, r in enumerate(rules) for j, c in enumerate(CUTOFFS[r])])
-    tested = top.select("stratum_key", "n_good", "n_strata", F.inline(cells))
-    passes = binomial_tail(F.col("n_good"), F.col("k"), risk / len(rules)) <= level / (len(rules) * F.col("n_strata"))
-    so_far = F.min(passes.cast("int")).over(Window.partitionBy("stratum_key", "rule").orderBy("step"))
-    best = tested.select("stratum_key", "rule", "cutoff", so_far.alias("ok")).groupBy("stratum_key").agg(*[F.min(F.when((F.col("rule") == i) & (F.col("ok") == 1), F.col("cutoff"))).alias(f"c{i}") for i in range(len(rules))])
-    return best.select(F.col("stratum_key").alias("_llm_stratum"), F.array(*[f"c{i}" for i in range(len(rules))]).alias("_llm_cutoffs"))
-
-
-def joint_cutoffs(labelled: DataFrame, risk: float = RISK, level: float = LEVEL) -> DataFrame:
-    """As certified_cutoffs(), by one sequence over VECTORS; without strata that have too few labels to pass a test.
-
-    One more row, with a null stratum, has the cutoffs of the pool.
+    One row for each stratum that has enough labels to pass a test, and one with a null stratum for the pool; the array is
+    null where nothing is certified.
     """
     over = [F.count_if(F.greatest(*[(F.col(r) > c).cast("int") for r, c in zip(CUTOFFS, v, strict=True)]) == 1) for v in VECTORS]
     counted = labelled.groupBy(F.coalesce("stratum", F.lit("")).alias("stratum_key")).agg(F.count("*").alias("n_good"), F.array(*over).alias("ks"))
@@ -177,45 +168,43 @@ def _accepted(prefix: str = "") -> Column:
     return ~F.col(prefix + "base_failed") & ~reject
 
 
-def _judged(rows: DataFrame, stratum: Column, features: DataFrame, labels: DataFrame, joint: bool) -> DataFrame:
-    """rows with _llm_cutoffs. features: doc_id, stratum and the features of all documents; labels: doc_id, quality."""
-    good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("label_id")).distinct()
-    joined = features.join(good, F.col("doc_id") == F.col("label_id"), "left_semi")
-    cutoffs = saved((joint_cutoffs if joint else certified_cutoffs)(joined), "cutoffs")
+def _judged(rows: DataFrame, stratum: Column, good: DataFrame) -> DataFrame:
+    """rows with _llm_cutoffs. good: stratum and features of the labelled good documents."""
+    cutoffs = saved(certified_cutoffs(good), "cutoffs")
     own = cutoffs.where("_llm_stratum is not null")
     side = F.broadcast(own) if own.count() <= MAX_STRATA else own
-    found = rows.join(side, F.coalesce(stratum, F.lit("")) == F.col("_llm_stratum"), "left")
-    if not joint:
-        return found
     pool = cutoffs.where("_llm_stratum is null").select(F.col("_llm_cutoffs").alias("_llm_pool"))
     cut = F.when(F.col("_llm_stratum").isNull(), F.col("_llm_pool")).otherwise(F.col("_llm_cutoffs"))
+    found = rows.join(side, F.coalesce(stratum, F.lit("")) == F.col("_llm_stratum"), "left")
     return found.crossJoin(F.broadcast(pool)).withColumn("_llm_cutoffs", cut)  # one row
 
 
-def _features(docs: DataFrame, id_col: str, text_col: str, stratum_col: str) -> DataFrame:
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(stratum_col).cast("string").alias("stratum"), F.col(text_col).cast("string").alias("text"))
-    return saved(with_features(rows).drop("text"), "features")
+def _good(labels: DataFrame) -> DataFrame:
+    return labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("_llm_label")).distinct()
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", joint: bool = False) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
     """One row per input row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
 
     Null texts count as empty (no words, so base_failed). Null strata form one stratum. Repeated rows are judged each;
     labels of unknown documents have no effect. An empty table gives an empty result; other input columns are ignored.
     """
-    features = _features(docs, id_col, text_col, stratum_col)
-    found = _judged(features, F.col("stratum"), features, labels, joint)
-    return found.select("doc_id", *BASE, "base_failed", _accepted().alias("kept"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(stratum_col).cast("string").alias("stratum"), F.col(text_col).cast("string").alias("text"))
+    features = saved(with_features(rows).drop("text"), "features")
+    good = features.join(_good(labels), F.col("doc_id") == F.col("_llm_label"), "left_semi")
+    return _judged(features, F.col("stratum"), good).select("doc_id", *BASE, "base_failed", _accepted().alias("kept"))
 
 
-def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", joint: bool = False) -> DataFrame:
+def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
     """The rows of docs that are kept, with their own columns; decisions as in quality_rules().
 
-    The features are computed in place a second time, which is cheaper than a shuffle of the texts.
+    The rows are written once with their features and judged as they are read back.
     """
-    features = _features(docs, id_col, text_col, stratum_col)
-    found = _judged(with_features(docs, text_col, "_llm_"), F.col(stratum_col).cast("string"), features, labels, joint)
-    return found.where(_accepted("_llm_")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    p = "_llm_"
+    rows = saved(with_features(docs, text_col, p), "featured")
+    id_, stratum = F.col(f"`{id_col}`").cast("long"), F.col(f"`{stratum_col}`").cast("string")
+    good = rows.select(id_.alias("doc_id"), stratum.alias("stratum"), *[F.col(p + r).alias(r) for r in CUTOFFS]).join(_good(labels), F.col("doc_id") == F.col("_llm_label"), "left_semi")
+    return _judged(rows, stratum, good).where(_accepted(p)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def oracle_sql() -> str:
@@ -227,9 +216,8 @@ def oracle_sql() -> str:
         "repeat_share": "CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0 END",
         "duplicate_lines_per_line": "n_dup_lines / lines",
     }
-    risk, level = RISK / len(rules), LEVEL / len(rules)
-    cutoffs = ", ".join(f"('{r}', {j}, {c}::DOUBLE)" for r in rules for j, c in enumerate(CUTOFFS[r]))
-    value = "CASE rule " + " ".join(f"WHEN '{r}' THEN {r}" for r in rules) + " END"
+    over = lambda v: " OR ".join(f"{r} > {c}" for r, c in zip(rules, v, strict=True))
+    steps = " UNION ALL ".join(f"SELECT doc_id, stratum, {j} AS step, {over(v)} AS rejected FROM f" for j, v in enumerate(VECTORS))
     return rf"""
         WITH d AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t FROM documents),
         w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
@@ -243,16 +231,18 @@ def oracle_sql() -> str:
                 length(regexp_replace(t, '[^!]+', '', 'g')) AS marks, length(regexp_replace(t, '[^A-Z]+', '', 'g')) AS capitals, len(string_split(t, chr(10))) AS lines
             FROM lined LEFT JOIN repeated USING (doc_id)),
         f AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed, {", ".join(f"{x} AS {r}" for r, x in rules.items())} FROM b),
-        c(rule, step, cutoff) AS (VALUES {cutoffs}),
+        r AS ({steps}),
         k AS (
-            SELECT stratum, rule, step, cutoff, count(*) AS n, count(*) FILTER ({value} > cutoff) AS k
-            FROM f CROSS JOIN c WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY ALL),
+            SELECT stratum, step, count(*) AS n, count(*) FILTER (rejected) AS k FROM r WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY ALL),
+        tests AS (SELECT *, 1 + (SELECT count(DISTINCT stratum) FROM k) AS m FROM (SELECT * FROM k UNION ALL SELECT NULL, step, sum(n)::BIGINT, sum(k)::BIGINT FROM k GROUP BY step)),
         p AS (
-            SELECT *, CASE WHEN k >= n * {risk!r} THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({risk!r}) + (n - i) * ln(1 - {risk!r})))) END
-                <= {level!r} / (SELECT count(DISTINCT stratum) FROM k) AS ok FROM k),
+            SELECT *, n * ln(1 - {RISK!r}) <= ln({LEVEL!r} / m) AS enough,
+                CASE WHEN k >= n * {RISK!r} THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({RISK!r}) + (n - i) * ln(1 - {RISK!r})))) END <= {LEVEL!r} / m AS ok FROM tests),
         best AS (
-            SELECT stratum, rule, min(cutoff) AS cutoff
-            FROM (SELECT *, bool_and(ok) OVER (PARTITION BY stratum, rule ORDER BY step) AS passed FROM p) WHERE passed GROUP BY stratum, rule),
-        rejected AS (SELECT DISTINCT doc_id FROM f JOIN best USING (stratum) WHERE {value} > cutoff)
-        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM rejected) AS kept FROM f
+            SELECT stratum, max(step) FILTER (passed) AS step
+            FROM (SELECT *, bool_and(ok) OVER (PARTITION BY stratum ORDER BY step) AS passed FROM p WHERE enough) GROUP BY stratum),
+        last AS (SELECT f.*, CASE WHEN own.stratum IS NOT NULL THEN own.step ELSE (SELECT max(step) FROM best WHERE stratum IS NULL) END AS step FROM f LEFT JOIN best AS own ON own.stratum = f.stratum)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+            NOT base_failed AND NOT coalesce(rejected, false) AS kept
+        FROM last LEFT JOIN r USING (doc_id, stratum, step)
     """

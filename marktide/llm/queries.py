@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from . import mixing
 from .common import table
 from .exact_dedup import exact_dedup
@@ -39,7 +37,7 @@ def op5_html_extract(spark, sf_dir):
 
 
 def op6_mixing(spark, sf_dir):
-    return mixing.mix_counts(table(spark, sf_dir, "documents")).withColumn("rate", F.round("rate", 9))
+    return mixing.mix(table(spark, sf_dir, "documents"), copy_col="copy").select("doc_id", "source", "copy", "text")
 
 
 def op7_toxicity(spark, sf_dir):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from itertools import product
 from re import _parser as sre
 
@@ -20,17 +21,58 @@ def labelled(spark, sizes):
     return docs, docs.where("name not like '%junk'").select("doc_id", F.lit(1).alias("quality"))
 
 
-def test_joint_rules_reject_with_enough_labels(spark):
+def test_rules_reject_with_enough_labels(spark):
     docs, labels = labelled(spark, {"en": 600, "es": 30, "nl": 0})
-    out = {r.name for r in quality_rules.quality_filter(docs, labels, joint=True).collect()}
+    out = {r.name for r in quality_rules.quality_filter(docs, labels).collect()}
     assert not {x for x in out if x.endswith("junk")} and len(out) == 630  # es and nl by the pool
     few, labels = labelled(spark, {"en": 200, "es": 30})
-    assert quality_rules.quality_filter(few, labels, joint=True).count() == 232
+    assert quality_rules.quality_filter(few, labels).count() == 232
+
+
+def brute_cutoffs(strata):
+    """strata: name to the vectors of features of its good documents. The certified step of each, and of the pool (None)."""
+    from math import comb
+
+    tests = {**strata, None: [x for rows in strata.values() for x in rows]}
+    out = {}
+    for name, rows in tests.items():
+        n, level, step = len(rows), quality_rules.LEVEL / len(tests), -1
+        tail = lambda k, n=n: sum(comb(n, i) * quality_rules.RISK**i * (1 - quality_rules.RISK) ** (n - i) for i in range(k + 1))
+        if tail(0) > level:
+            if name is not None:
+                continue
+        for j, v in enumerate(quality_rules.VECTORS):
+            k = sum(any(x > c for x, c in zip(row, v, strict=True)) for row in rows)
+            if k >= n * quality_rules.RISK or tail(k) > level:
+                break
+            step = j
+        out[name] = quality_rules.VECTORS[step] if step >= 0 else None
+    return out
 
 
-def test_all_strata_get_cutoffs(spark):
-    rows = spark.range(700).select(F.col("id").cast("string").alias("stratum"), *[F.lit(0.0).alias(r) for r in quality_rules.CUTOFFS])
-    assert quality_rules.certified_cutoffs(rows).count() == 700
+def test_cutoffs_equal_brute_force_and_keep_the_risk(spark):
+    draw = random.Random(4)
+    good = lambda: [draw.expovariate(1 / m) for m in (0.02, 0.02, 0.06, 0.05, 0.05)]
+    strata = {"a": [good() for _ in range(3000)], "b": [good() for _ in range(900)], "c": [good() for _ in range(90)]}
+    rules = list(quality_rules.CUTOFFS)
+    rows = [(s, *x) for s, xs in strata.items() for x in xs]
+    frame = spark.createDataFrame(rows, "stratum string, " + ", ".join(f"{r} double" for r in rules))
+    got = {r._llm_stratum: r._llm_cutoffs for r in quality_rules.certified_cutoffs(frame).collect()}
+    want = brute_cutoffs(strata)
+    assert got == want and got["a"] is not None and "c" not in got
+    fresh = [good() for _ in range(20_000)]
+    for cut in (c for c in got.values() if c):
+        assert sum(any(x > c for x, c in zip(row, cut, strict=True)) for row in fresh) <= quality_rules.RISK * len(fresh)
+
+
+def test_repeats_of_long_texts_are_counted_alike(spark, monkeypatch):
+    draw = random.Random(8)
+    words = [f"w{draw.randrange(20)}" for _ in range(3000)]
+    docs = spark.createDataFrame([(" ".join(words),), ("a b c a b c",), ("a b c d",)], "text string")
+    count = lambda: [r.n_repeat_words for r in quality_rules.with_features(docs).collect()]
+    packed = count()
+    monkeypatch.setattr(quality_rules, "PACKED_WORDS", 3)
+    assert count() == packed and packed[0] > 0 and packed[1:] == [6, 0]
 
 
 def test_no_rate_is_too_high(spark):
