@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Markup: comments, declarations, raw-text elements are found apart; a tag that never ends runs to the end of the page.
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(?:>|\Z)", re.S)
 _RAW = re.compile(r"script|style|textarea|title|noscript|template|iframe|xmp", re.I)
 _HINT = re.compile(r"(?:class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -35,6 +35,9 @@ ALWAYS, WHOLE, PART, NEVER = 2.0, 0.5, 0.2, 0.0
 #: Words of a class, id or role that name boilerplate.
 _AWAY = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social follow related recommended recommendations more-stories sidebar widget widgets nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager footer header masthead comment comments commentlist respond reply replies disqus discussion search skip toolbar copyright legal disclaimer complementary contentinfo hidden".split())
 _WORDS = re.compile(r"\S+")
+#: Blocks that hold running text; words right inside other elements are a kind of their own.
+_PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt blockquote pre td th figcaption summary".split())
+_TEXT = frozenset(("text", "bare", "link"))
 
 
 def _names(attributes: str) -> tuple[set[str], set[str]]:
@@ -60,17 +63,19 @@ def _away(tag: str, attributes: str, inside_article: bool) -> float:
     if not attributes or tag in ("html", "body", "article", "main"):
         return NEVER
     whole, names = _names(attributes)
+    if inside_article or names & {"article", "entry", "post", "story"}:
+        away = away - {"header"}
     if not names & away or (tag != "header" and tag in _BLOCK and names & {"article", "story"} and not names & {"comment", "comments", "ad", "ads", "sidebar", "related"}):
         return NEVER
     return WHOLE if whole & away else PART
 
 
 def tokens(page: str) -> list[tuple[str, str, bool]]:
-    """(kind, text, content allowed) in page order. kind: "text", "link", or a tag as "p", "/p"."""
+    """(kind, text, content allowed) in page order. kind: "text", "bare" (in no block of prose), "link", or a tag as "p", "/p"."""
     out: list[tuple[str, str, int]] = []
     # elements that may be ruled out: share, words outside links, the one around it; the first is the page, the second what is always out
     doubtful: list[list] = [[NEVER, 0, 0], [ALWAYS, 0, 0]]
-    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # tag; in or below: a doubtful element, an article, a link
+    stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]  # tag; in or below: a doubtful element, an article, a link, prose
     opened: Counter[str] = Counter()
     at, n = 0, len(page)
 
@@ -89,14 +94,14 @@ def tokens(page: str) -> list[tuple[str, str, bool]]:
             words = len(page[at:cut].split())
             if words and stack[-1][0] == "head":
                 end_head()
-            _, doubt, _, link = stack[-1]
+            _, doubt, _, link, prose = stack[-1]
             if not link:
                 doubtful[doubt][1] += words
-            out.append(("link" if link else "text", page[at:cut], doubt))
+            out.append(("link" if link else "text" if prose else "bare", page[at:cut], doubt))
         if not m:
             break
         at = m.end()
-        closing, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        closing, tag, attributes = m[1], m[2], m[3]
         if not tag:
             continue
         tag = tag.lower()
@@ -119,7 +124,7 @@ def tokens(page: str) -> list[tuple[str, str, bool]]:
                     break
                 if stack[k][0] in _BLOCK:
                     break
-        _, doubt, article, link = stack[-1]
+        _, doubt, article, link, prose = stack[-1]
         out.append((tag, "", doubt))
         if tag not in _VOID and not attributes.rstrip().endswith("/"):
             share = _away(tag, attributes, article) if doubt != 1 else NEVER
@@ -128,7 +133,7 @@ def tokens(page: str) -> list[tuple[str, str, bool]]:
             elif share > NEVER:
                 doubtful.append([share, 0, doubt])
                 doubt = len(doubtful) - 1
-            stack.append((tag, doubt, article or tag in ("article", "main"), link or tag == "a"))
+            stack.append((tag, doubt, article or tag in ("article", "main"), link or tag == "a", tag in _PROSE or (prose and tag not in _BLOCK)))
             opened[tag] += 1
     doubtful[1][1] = 0
     for share, words, around in reversed(doubtful[2:]):
@@ -145,7 +150,7 @@ def learn_weights(pages: list[tuple[str, list[str]]]) -> dict[str, float]:
     for page, blocks in pages:
         wanted, at, started = [" ".join(b.split()) for b in blocks], 0, False
         for kind, text, _ in tokens(page):
-            if kind in ("text", "link"):
+            if kind in _TEXT:
                 words = html.unescape(text).split()
                 if not words:
                     continue
@@ -158,7 +163,8 @@ def learn_weights(pages: list[tuple[str, list[str]]]) -> dict[str, float]:
     a, b = sum(inside.values()) + len(inside) + 1, sum(outside.values()) + len(outside) + 1
     raw = {k: math.log((inside[k] + 0.5) / a) - math.log((outside[k] + 0.5) / b) for k in inside | outside}
     # words are for, tags against: a tag common inside costs least
-    return {k: max(0.2, w) if k == "text" else min(w, -0.05) for k, w in raw.items()} | {"text": max(0.2, raw.get("text", 1.0)), "link": min(raw.get("link", -0.5), -0.2), "": min(-0.1, sum(raw.values()) / max(1, len(raw)))}
+    words = {"text": max(0.2, raw.get("text", 1.0)), "bare": max(0.1, raw.get("bare", 0.1)), "link": min(raw.get("link", -0.5), -0.2)}
+    return {k: min(w, -0.05) for k, w in raw.items()} | words | {"": min(-0.1, sum(raw.values()) / max(1, len(raw)))}
 
 
 #: Labelled pages, written for this purpose: a page and the blocks of its content.
@@ -175,6 +181,18 @@ LABELLED: list[tuple[str, list[str]]] = [
         "<body><div><a href=1>Archive</a> | <a href=2>Tags</a> | <a href=3>Feed</a></div><main><h2>On keeping bees</h2><blockquote>Bees ask for little and give a lot in return.</blockquote><p>My neighbour told me this when I was a child, and <b>I have never</b> forgotten it.<br>Now I keep four hives behind the barn.</p></main><p><a href=p>Back</a> <a href=q>Next</a></p></body>",
         ["On keeping bees", "Bees ask for little and give a lot in return.", "My neighbour told me this when I was a child, and I have never forgotten it. Now I keep four hives behind the barn."],
     ),
+    (
+        "<body><div><div>Winter sale on all coats until Friday</div><div><a href=/>Home</a><a href=/m>Map</a></div></div><div><h1>The old mill</h1><p>Nobody knows who built the mill by the river, or when its wheel last turned.</p><p>In the register of the parish it is first named in a list of debts.</p><h2>The last miller</h2><p>He sold flour to three villages and kept a goat on the roof of the shed.</p></div><div>Copyright by the valley press <a href=i>Imprint</a> <a href=p>Privacy</a></div></body>",
+        ["The old mill", "Nobody knows who built the mill by the river, or when its wheel last turned.", "In the register of the parish it is first named in a list of debts.", "The last miller", "He sold flour to three villages and kept a goat on the roof of the shed."],
+    ),
+    (
+        "<body><table><tr><td><a href=1>News</a></td><td><a href=2>Weather</a></td></tr></table><div>Dear Anna, the garden has changed a lot since you left us in spring.<br>The plum tree fell in the storm, and we planted a quince in its place.<br>Write soon and tell us how the new house is.</div><div><a href=a>Older letters</a> <a href=b>Newer letters</a></div></body>",
+        ["Dear Anna, the garden has changed a lot since you left us in spring. The plum tree fell in the storm, and we planted a quince in its place. Write soon and tell us how the new house is."],
+    ),
+    (
+        "<body><div><span>Today in the city</span> <a href=t>Tickets</a> <a href=o>Offers</a></div><h1>How to mend a chair</h1><p>Take the seat off first and look at the joints from below.</p><ol><li>Scrape the old glue away with a dull knife.</li><li>Press new glue into the holes and wait a night.</li></ol><p>Do not sit on it before the second day.</p><div>Was this page of use to you</div><ul><li><a href=1>How to mend a lamp</a></li><li><a href=2>How to mend a door</a></li></ul></body>",
+        ["How to mend a chair", "Take the seat off first and look at the joints from below.", "Scrape the old glue away with a dull knife.", "Press new glue into the holes and wait a night.", "Do not sit on it before the second day."],
+    ),
 ]
 
 
@@ -199,7 +217,7 @@ def extract(page: str | None, weights: dict[str, float] | None = None) -> str:
     """The main text of one page: blocks joined by a line feed, white space inside a block one space."""
     w, found = weights or default_weights(), tokens(page or "")
     other = w.get("", -0.3)
-    scores = [0.0 if not ok else w.get(kind, other) * (len(_WORDS.findall(text)) if kind in ("text", "link") else 1) for kind, text, ok in found]
+    scores = [0.0 if not ok else w.get(kind, other) * (len(_WORDS.findall(text)) if kind in _TEXT else 1) for kind, text, ok in found]
     start, stop = best_region(scores)
     # the region is widened to whole blocks
     while start > 0 and found[start - 1][0].lstrip("/") not in _BLOCK:
@@ -208,7 +226,7 @@ def extract(page: str | None, weights: dict[str, float] | None = None) -> str:
         stop += 1
     blocks, now = [], []
     for kind, text, ok in found[start:stop]:
-        if kind in ("text", "link"):
+        if kind in _TEXT:
             if ok:
                 now.append(text)
         elif kind.lstrip("/") in _BLOCK:

@@ -141,16 +141,22 @@ _GATE_GAPS = r"cc[^0-9A-Za-z\x80-\x{10FFFF}]+by"
 
 
 def _words(low: Column) -> Column:
-    """A lower-cased text's words with one space before each and after the last; a single space if there is none.
+    """A lower-cased text's words with one space before each and after the last; two spaces if there is none.
 
     Beyond A-Z lower-casing only maps letters to letters, so words stay where they are.
     """
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(low, GAP, " ")), F.lit(" "))
 
 
+_HITS = "array<struct<start:int,neg_stop:int,neg_priority:int,place:int,label:string>>"
+
+
 def _detections(norm: Column, rules: list[Rule]) -> Column:
-    """All matches of the rules whose keyword occurs: array of (start, stop, priority, place of the rule, label)."""
-    table = F.array(*[F.struct(F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(k).alias("place"), F.lit(r.keyword).alias("keyword"), F.lit(f" (?:{r.pattern})(?= )").alias("pattern")) for k, r in enumerate(rules)])
+    """All matches of the rules whose keyword occurs: array of (start, stop, priority, place of the rule, label).
+
+    The rules of one keyword are first tried together, as one literal expression that is compiled once.
+    """
+    none = F.array().cast(_HITS)
 
     def of(r: Column) -> Column:
         found, between = F.regexp_extract_all(norm, r["pattern"], F.lit(0)), F.split(norm, r["pattern"])
@@ -162,10 +168,17 @@ def _detections(norm: Column, rules: list[Rule]) -> Column:
             return F.struct(stop.alias("at"), F.when(pair["hit"].isNull(), a["hits"]).otherwise(F.concat(a["hits"], F.array(hit))).alias("hits"))
 
         pairs = F.zip_with(between, found, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-        none = F.array().cast("array<struct<start:int,neg_stop:int,neg_priority:int,place:int,label:string>>")
         return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("hits")), fold, lambda a: a["hits"])
 
-    return F.flatten(F.transform(F.filter(table, lambda r: F.contains(norm, r["keyword"])), of))
+    by_keyword: dict[str, list[tuple[int, Rule]]] = {}
+    for k, r in enumerate(rules):
+        by_keyword.setdefault(r.keyword, []).append((k, r))
+    parts = []
+    for keyword, group in by_keyword.items():
+        table = F.array(*[F.struct(F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(k).alias("place"), F.lit(f" (?:{r.pattern})(?= )").alias("pattern")) for k, r in group])
+        some = F.contains(norm, F.lit(keyword)) & norm.rlike(f" (?:{'|'.join(dict.fromkeys(r.pattern for _, r in group))})(?= )")
+        parts.append(F.when(some, F.flatten(F.transform(table, of))).otherwise(none))
+    return F.flatten(F.array(*parts))
 
 
 def _survivors(hits: Column) -> Column:
@@ -202,18 +215,21 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     gate = low.rlike(_GATE_GAPS)
     for word in _GATE:
         gate = gate | F.contains(low, F.lit(word))
-    n_words = F.regexp_count(low, F.lit(r"[0-9A-Za-z\x80-\x{10FFFF}]+")).cast("long")
-    rows = rows.select("doc_id", F.inline(F.array(F.struct(n_words.alias("n_words"), F.when(gate, _words(low)).otherwise(F.lit(" ")).alias("norm")))))
+    rows = rows.select("doc_id", F.inline(F.array(F.struct(_words(low).alias("norm"), gate.alias("gate")))))
     norm = F.col("norm")
     any_base = f" {_BASE_ANY}(?= )"
-    base = [F.regexp_count(norm, F.lit(f" {p}(?= )")).cast("long") for p, _ in BASE]
+    some_base = F.contains(norm, F.lit(BASE[0][0]))
+    for p, _ in BASE[1:]:
+        some_base = some_base | F.contains(norm, F.lit(p))
+    counted = lambda p: F.when(F.contains(norm, F.lit(p)), F.regexp_count(norm, F.lit(f" {p}(?= )"))).otherwise(0).cast("long")
     found = F.struct(
-        *[b.alias(f"b{k}") for k, b in enumerate(base)],
-        F.regexp_extract(norm, rf"(?s)^(.*?){any_base}", 1).alias("before_first"),
-        F.regexp_extract(norm, rf"(?s)^(.*){any_base}", 1).alias("before_last"),
-        F.when(norm == " ", F.array().cast("array<struct<priority:int,label:string>>")).otherwise(let(_detections(norm, rules or RULES), _survivors)).alias("kept"),
+        F.when(norm == "  ", F.lit(0).cast("long")).otherwise(_spaces(norm) - 1).alias("n_words"),
+        *[counted(p).alias(f"b{k}") for k, (p, _) in enumerate(BASE)],
+        F.when(some_base, F.regexp_extract(norm, rf"(?s)^(.*?){any_base}", 1)).alias("before_first"),
+        F.when(some_base, F.regexp_extract(norm, rf"(?s)^(.*){any_base}", 1)).alias("before_last"),
+        F.when(F.col("gate"), let(_detections(norm, rules or RULES), _survivors)).otherwise(F.array().cast("array<struct<priority:int,label:string>>")).alias("kept"),
     )
-    got = rows.select("doc_id", "n_words", F.inline(F.array(found)))
+    got = rows.select("doc_id", F.inline(F.array(found)))
     n_base = F.col("b0") + F.col("b1") + F.col("b2")
     some = n_base > 0
     base_labels = F.array_compact(F.array(*[F.when(F.col(f"b{k}") > 0, F.lit(label)) for k, (_, label) in enumerate(BASE)]))

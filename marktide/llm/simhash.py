@@ -15,7 +15,7 @@ which is exact and ends at 15 free bits.
 At the wide radius of similar_groups() fingerprint blocks no longer part a corpus, so there the shards are pairs of minimal
 shingle hashes: texts with a similarity of s meet in one of BANDS shards with probability 1 - (1 - s ** ROWS) ** BANDS. The
 trees and the radius prune each shard, and what is left is checked exactly on the sets of shingle hashes, unless the two
-are already connected. A shard above SHARD members or WORK hashes is dealt into pairs of blocks, which together hold all
+are already connected. A shard above MEMBERS texts or WORK hashes is dealt into pairs of blocks, which together hold all
 of its pairs. Only texts that share a shard with another send their hashes.
 """
 
@@ -40,9 +40,9 @@ RADIUS = 2
 SHARD = 4000
 #: Query and node pairs that the search holds at once, about.
 PAIRS = 1 << 21
-#: Shards of similar_groups(), and the shingle hashes that one of them holds at most before it is dealt into blocks.
+#: Shards of similar_groups(), and the members and shingle hashes that one of them holds at most before it is dealt into blocks.
 BANDS, ROWS = 6, 2
-WORK = 4_000_000
+MEMBERS, WORK = 1000, 4_000_000
 
 
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
@@ -322,7 +322,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     member = known.select("digest", "row", "n", F.explode("shards").alias("shard")).groupBy("shard", "digest").agg(F.min("row").alias("row"), F.max("n").alias("n"))
     member = saved(member, "similar-members")
     full = member.groupBy("shard").agg(F.count("*").alias("members"), F.sum("n").alias("work")).where("members > 1").withColumnRenamed("shard", "s")
-    blocks = F.ceil(F.greatest(F.col("members") / SHARD, F.col("work") / WORK)).cast("long")
+    blocks = F.ceil(F.greatest(F.col("members") / MEMBERS, F.col("work") / WORK)).cast("long")
     dealt = member.join(full, F.col("shard") == F.col("s")).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("digest"), F.col("blocks")))
     one = dealt.where("blocks = 1").select("shard", "digest", "row")
     others = dealt.where("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("other <> own")

@@ -2,13 +2,13 @@
 
 A gear hash rolls over the bytes of a text (its 16 bits hold the last 16 bytes). A chunk ends after white space where the
 top bits of the hash are low, so cuts depend on the bytes just before them alone: an insertion moves the cuts around it
-and no others. Chunks are known by a 64-bit digest. A digest that stands in two documents or more is a repeat; a run of
-consecutive repeats of MIN_WORDS words or more is a repeated passage, and all documents but the one with the smallest id
-lose it. One colliding digest can't make a run.
+and no others. From each chunk on, as few chunks as hold MIN_WORDS words are a window, known by a 96-bit digest of its
+chunks' digests; one more ends with the text. A window that stands in a document with a smaller id is a repeat, of consecutive chunks there as here;
+overlapping repeats are one passage, and all documents but the one with the smallest id lose it.
 
-Chunks are counted with map-side combining (number and smallest document of each digest), so a passage that a third of all
-documents share costs one row a task; the join that marks repeats has one row per digest on its right side, so adaptive
-execution can split a frequent digest. No text is shuffled.
+Windows are counted with map-side combining (smallest and largest document of each digest), so a passage that a third of
+all documents share costs one row a task; the join that marks repeats has one row per digest on its right side, so
+adaptive execution can split a frequent digest. No text is shuffled.
 """
 
 from __future__ import annotations
@@ -19,13 +19,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WINDOW = 16
 #: Chunks end at one of so many word ends, and within long words at one of 256 bytes.
 WORDS_PER_CHUNK = 5
-#: A run of repeated chunks must hold so many words. Of a passage of 50 words, chunks cut at its ends leave that many whole in
+#: A window holds so many words. Of a passage of 50 words, chunks cut at its ends leave that many whole in
 #: 97 of 100 cases, of one of 60 words in 995 of 1000.
 MIN_WORDS = 20
 
@@ -76,25 +76,48 @@ def chunks(text: str | None) -> list[tuple[int, int, int, int]]:
     return list(zip(d.tolist(), start.tolist(), end.tolist(), words.tolist(), strict=True))
 
 
-_CHUNK = "doc_id long, row_key long, digest long, place int, bytes int, end int, words int"
+def windows(text: str | None, min_words: int = MIN_WORDS) -> list[tuple[int, int, int, int]]:
+    """(64 bits of the digest, 32 more, bytes, words) of each window; spans as start << 32 | end."""
+    found = chunks(text)
+    if not found:
+        return []
+    digest, first, end, words = (np.array(x, np.int64) for x in zip(*found, strict=True))
+    upto = np.cumsum(words)
+    before = upto - words
+    last = np.searchsorted(upto, before + min_words)  # the first chunk by which min_words words have begun
+    spans = [(k, int(last[k])) for k in np.flatnonzero(last < len(found)).tolist()]
+    if spans and spans[-1][1] < len(found) - 1:  # one more that ends with the text, so that its last words are in a window too
+        spans.append((int(np.searchsorted(before, upto[-1] - min_words, side="right")) - 1, len(found) - 1))
+    raw, out = digest.tobytes(), []
+    for k, j in spans:
+        h = xxhash.xxh3_128_intdigest(raw[8 * k : 8 * j + 8])
+        low, high = h & (2**64 - 1), (h >> 64) & (2**32 - 1)
+        out.append((low - (1 << 64) if low >> 63 else low, high - (1 << 32) if high >> 31 else high, int(first[k]) << 32 | int(end[j]), int(before[k]) << 32 | int(upto[j])))
+    return out
 
 
-def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [x.split()[0] for x in _CHUNK.split(", ")]
-    types = [pa.int64()] * 3 + [pa.int32()] * 4
+_WINDOW = "doc_id long, row_key long, digest long, more int, bytes long, words long"
 
-    def out(rows: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*rows, strict=True)) if rows else [()] * 7
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
-    for b in batches:
-        rows: list[tuple] = []
-        for i, key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            rows += [(i, key, d, k, e - s, e, w) for k, (d, s, e, w) in enumerate(chunks(text))]
-            if len(rows) > 50_000:
-                yield out(rows)
-                rows = []
-        yield out(rows)
+def _window_rows(min_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in _WINDOW.split(", ")]
+        types = [pa.int64()] * 3 + [pa.int32()] + [pa.int64()] * 2
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 6
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+
+        for b in batches:
+            rows: list[tuple] = []
+            for i, key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                rows += [(i, key, *w) for w in windows(text, min_words)]
+                if len(rows) > 50_000:
+                    yield out(rows)
+                    rows = []
+            yield out(rows)
+
+    return run
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -103,17 +126,24 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """row_key, doc_id, first, end (bytes), words, source_id: passages that a document with a smaller id holds too.
+    """row_key, doc_id, first, end (bytes), words, source_ids: passages that documents with a smaller id hold too.
 
-    row_key is xxhash64 of id and text; rows with equal ids count as one document. Null ids count as the largest.
+    row_key is xxhash64 of id and text; rows with equal ids count as one document. Null ids count as the largest. Of the
+    documents that hold a window of the passage the smallest is named.
     """
-    pieces = _keyed(docs, id_col, text_col).mapInArrow(_chunk_rows, _CHUNK).withColumn("doc_id", F.coalesce("doc_id", F.lit((1 << 63) - 1)))
-    shared = pieces.groupBy("digest").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("d"), "low")
-    repeats = pieces.join(shared, F.col("digest") == F.col("d")).where("doc_id > low").select("row_key", "doc_id", "place", (F.col("end") - F.col("bytes")).alias("first"), "end", "words", "low").distinct()
-    by_doc = Window.partitionBy("row_key").orderBy("place")
-    runs = repeats.withColumn("run", F.col("place") - F.row_number().over(by_doc))
-    found = runs.groupBy("row_key", "run").agg(F.min("doc_id").alias("doc_id"), F.min("first").alias("first"), F.max("end").alias("end"), F.sum("words").alias("words"), F.min("low").alias("source_id"))
-    return found.where(F.col("words") >= min_words).drop("run")
+    pieces = _keyed(docs, id_col, text_col).mapInArrow(_window_rows(min_words), _WINDOW).withColumn("doc_id", F.coalesce("doc_id", F.lit((1 << 63) - 1)))
+    shared = pieces.groupBy(F.col("digest").alias("d"), F.col("more").alias("m")).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high")
+    hits = pieces.join(shared, (F.col("digest") == F.col("d")) & (F.col("more") == F.col("m"))).where("doc_id > low").select("row_key", "doc_id", "bytes", "words", "low").distinct()
+    start, stop = (lambda c: F.shiftright(c, 32)), (lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1)))
+    spans = hits.select("row_key", "doc_id", "low", start("bytes").alias("first"), stop("bytes").alias("end"), start("words").alias("w0"), stop("words").alias("w1"))
+    by_doc = Window.partitionBy("row_key").orderBy("first", "end")
+    fresh = F.coalesce(F.col("first") > F.max("end").over(by_doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    runs = spans.withColumn("fresh", fresh.cast("int")).withColumn("run", F.sum("fresh").over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("row_key", "run").agg(F.min("doc_id").alias("doc_id"), F.min("first").alias("first"), F.max("end").alias("end"), (F.max("w1") - F.min("w0")).alias("words"), F.sort_array(F.collect_set("low")).alias("source_ids")).drop("run")
+
+
+def _listed() -> Column:
+    return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("first", "end"))), lambda x: F.concat_ws("-", x["first"].cast("string"), x["end"].cast("string"))), ",").alias("spans")
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -123,13 +153,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     that keep them. Null and empty texts have no chunks and lose nothing. Repeated rows (same id) are one document and
     lose what a smaller id holds, each. An empty table gives an empty result; other input columns are ignored.
     """
-    spans = repeated_spans(docs, id_col, text_col, min_words)
-    each = spans.groupBy("row_key").agg(
+    each = repeated_spans(docs, id_col, text_col, min_words).groupBy("row_key").agg(
         F.count("*").alias("n_spans"),
         F.sum(F.col("end") - F.col("first")).cast("long").alias("removed_bytes"),
         F.sum("words").alias("removed_words"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("first", "end"))), lambda x: F.concat_ws("-", x["first"].cast("string"), x["end"].cast("string"))), ",").alias("spans"),
-        F.sort_array(F.collect_set("source_id")).alias("source_ids"),
+        _listed(),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("source_ids")))).alias("source_ids"),
     )
     rows = _keyed(docs, id_col, text_col).select("doc_id", F.col("row_key").alias("k"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
@@ -151,5 +180,5 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, text of every row, repeated passages cut out; null texts come back empty."""
-    spans = repeated_spans(docs, id_col, text_col, min_words).groupBy(F.col("row_key").alias("k")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("first", "end"))), lambda x: F.concat_ws("-", x["first"].cast("string"), x["end"].cast("string"))), ",").alias("spans"))
+    spans = repeated_spans(docs, id_col, text_col, min_words).groupBy(F.col("row_key").alias("k")).agg(_listed())
     return _keyed(docs, id_col, text_col).join(spans, F.col("row_key") == F.col("k"), "left").select("doc_id", "text", F.coalesce("spans", F.lit("")).alias("spans")).mapInArrow(_cut_out, "doc_id long, text string")

@@ -6,7 +6,9 @@ frame holds whole documents and can be read alone:
 
     "MTF1", id width in bytes (u32), documents (u32), then per document: has an id (u8), id (i64), ids (u64), then all ids
 
-All numbers are little-endian. Readers fetch the table from the end of the file and decompress only the frames they need.
+Before the seek table stands one more skippable frame, the document index: per frame its smallest and largest id (i64, u8:
+whether it holds documents without an id), documents (u32) and ids (u64). All numbers are little-endian. Readers fetch both
+tables from the end of the file and decompress only the frames that they need.
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ from pyspark.sql import functions as F
 from .common import partitions, saved, workspace
 from .tokens import default_path, encoder, in_small_batches
 
-_SKIPPABLE, _SEEKABLE = 0x184D2A5E, 0x8F92EAB1
+_SKIPPABLE, _SEEKABLE, _INDEX = 0x184D2A5E, 0x8F92EAB1, 0x184D2A5D
+_ENTRY = struct.Struct("<qqBIQ")
 #: Bytes of ids after which a frame closes.
 FRAME = 1 << 20
 
@@ -37,7 +40,7 @@ class FrameWriter:
 
     def __init__(self, out, width: int, frame: int = FRAME, level: int = 3):
         self.out, self.type, self.frame, self.zstd = out, np.dtype(f"<u{width}"), frame, zstandard.ZstdCompressor(level=level, write_checksum=True)
-        self.table, self.docs, self.size = [], [], 0
+        self.table, self.index, self.docs, self.size = [], [], [], 0
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         self.docs.append((doc_id, ids.astype(self.type, copy=False)))
@@ -52,10 +55,14 @@ class FrameWriter:
             packed = self.zstd.compress(raw)
             self.out.write(packed)
             self.table.append((len(packed), len(raw), xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF))
+            known = [i for i, _ in self.docs if i is not None]
+            self.index.append((min(known, default=1), max(known, default=0), len(known) < len(self.docs), len(self.docs), sum(len(x) for _, x in self.docs)))
             self.docs, self.size = [], 0
 
     def close(self) -> None:
         self.flush()
+        body = b"".join(_ENTRY.pack(*x) for x in self.index)
+        self.out.write(struct.pack("<II", _INDEX, len(body)) + body)
         body = b"".join(struct.pack("<III", *x) for x in self.table)
         self.out.write(struct.pack("<II", _SKIPPABLE, len(body) + 9) + body + struct.pack("<IBI", len(self.table), 0x80, _SEEKABLE))
 
@@ -75,6 +82,15 @@ def seek_table(file) -> list[tuple[int, int, int, int]]:
     return out
 
 
+def frame_index(file, table: list[tuple[int, int, int, int]]) -> list[tuple[int, int, bool, int, int]]:
+    """(smallest id, largest id, whether some have none, documents, ids) of each frame of an open file."""
+    file.seek(table[-1][0] + table[-1][1] if table else 0)
+    magic, size = struct.unpack("<II", file.read(8))
+    if magic != _INDEX or size != len(table) * _ENTRY.size:
+        raise ValueError("no document index before the seek table")
+    return [(a, b, bool(none), docs, ids) for a, b, none, docs, ids in _ENTRY.iter_unpack(file.read(size))]
+
+
 def read_frame(file, offset: int, packed: int, size: int, check: int) -> list[tuple[int | None, np.ndarray]]:
     """The documents of one frame; a ValueError if its bytes do not match the checksum."""
     file.seek(offset)
@@ -101,9 +117,10 @@ def _write(folder: str, tokenizer: str, end_id: int, frame: int):
         number, tokens = task.partitionId(), encoder(tokenizer, False)
         width = 2 if max(tokens.tokenizer.get_vocab_size(), end_id) < 1 << 16 else 4
         fs, place = _open(folder)
-        name, part = f"part-{number:06d}.zst", f".part-{number:06d}-{task.taskAttemptId()}"
+        # each attempt has a file of its own, and the manifest names that of the one that counts: nothing is ever replaced
+        name = f"part-{number:06d}-{task.taskAttemptId()}.zst"
         n_docs = n_ids = 0
-        with fs.open_output_stream(f"{place}/{part}") as out:
+        with fs.open_output_stream(f"{place}/{name}", compression=None) as out:
             writer = FrameWriter(out, width, frame)
             for b in batches:
                 ids = b.column(0).to_pylist()
@@ -113,7 +130,6 @@ def _write(folder: str, tokenizer: str, end_id: int, frame: int):
                         writer.add(ids[k], x)
                         n_docs, n_ids = n_docs + 1, n_ids + len(x)
             writer.close()
-        fs.move(f"{place}/{part}", f"{place}/{name}")  # a repeated task replaces the same file by the same bytes
         yield pa.RecordBatch.from_pydict({"file_no": [number], "path": [name], "n_docs": [n_docs], "n_tokens": [n_ids]}, schema=pa.schema([("file_no", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
     return run
@@ -133,7 +149,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     return saved(ordered.mapInArrow(_write(folder, tokenizer, end_id, frame), "file_no long, path string, n_docs long, n_tokens long"), "manifest")
 
 
-_FRAME_ROW = "file_no long, path string, base long, frame_no long, place long, packed long, size long, checksum long, first long"
+_FRAME_ROW = "file_no long, path string, frame_no long, place long, packed long, size long, checksum long, first_id long, last_id long, no_id long, n_docs long, n_tokens long"
 
 
 def _tables(folder: str):
@@ -144,29 +160,29 @@ def _tables(folder: str):
             for r in b.to_pylist():
                 fs, place = _open(folder)
                 with fs.open_input_file(f"{place}/{r['path']}") as f:
-                    for k, x in enumerate(seek_table(f)):
-                        rows.append((r["file_no"], r["path"], r["base"], k, *x))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], pa.string() if k == 1 else pa.int64()) for k in range(8)], names=names[:8])
+                    table = seek_table(f)
+                    rows += [(r["file_no"], r["path"], k, *x, *y) for k, (x, y) in enumerate(zip(table, frame_index(f, table), strict=True))]
+            yield pa.RecordBatch.from_arrays([pa.array([int(x[k]) if k != 1 else x[k] for x in rows], pa.string() if k == 1 else pa.int64()) for k in range(len(names))], names=names)
 
     return run
 
 
-_DOC_ROW = "file_no long, base long, frame_no long, at long, frame_tokens long, doc_id long, n_tokens long, ids_crc32 long"
+def frames(manifest: DataFrame, folder: str) -> DataFrame:
+    """One row per frame, from the tables at the end of each file: where it lies and which ids it holds."""
+    return manifest.select("file_no", "path").repartition("file_no").mapInArrow(_tables(folder), _FRAME_ROW)
+
 
+def _opened(folder: str, names: list[str], types: list[pa.DataType], of):
+    """Reads each frame and makes rows of its documents: of(row of the frame, documents)."""
 
-def _frames(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in _DOC_ROW.split(", ")]
         for b in batches:
             for r in b.to_pylist():
                 fs, place = _open(folder)
                 with fs.open_input_file(f"{place}/{r['path']}") as f:
                     docs = read_frame(f, r["place"], r["packed"], r["size"], r["checksum"])
-                at, total, rows = 0, sum(len(x) for _, x in docs), []
-                for i, x in docs:
-                    rows.append((r["file_no"], r["base"], r["frame_no"], at, total, i, len(x), zlib.crc32(x.astype("<u4").tobytes())))
-                    at += len(x)
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], pa.int64()) for k in range(8)], names=names)
+                cols = list(zip(*of(r, docs), strict=True)) or [()] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
     return run
 
@@ -176,15 +192,32 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
 
     Frames are read one by one through each file's seek table and spread over the cluster.
     """
-    spark = manifest.sparkSession
-    before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    files = manifest.select("file_no", "path", before.cast("long").alias("base"))  # one row per file
-    frames = files.repartition("file_no").mapInArrow(_tables(folder), _FRAME_ROW.rpartition(", ")[0])
-    found = saved(frames.repartition(partitions(spark)).mapInArrow(_frames(folder), _DOC_ROW), "token-rows")
-    sizes = found.where("at = 0").groupBy("file_no", "frame_no").agg(F.max("frame_tokens").alias("n"))
-    ahead = F.coalesce(F.sum("n").over(Window.partitionBy("file_no").orderBy("frame_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("file_no", "frame_no", ahead.cast("long").alias("ahead"))
-    return found.join(starts, ["file_no", "frame_no"]).select("doc_id", (F.col("base") + F.col("ahead") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+
+    def digest(r: dict, docs: list) -> Iterator[tuple]:
+        at = r["start"]
+        for i, x in docs:
+            yield i, at, len(x), zlib.crc32(x.astype("<u4").tobytes())
+            at += len(x)
+
+    before = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    files = manifest.select(F.col("file_no").alias("f"), before(Window.orderBy("file_no")).alias("base"))  # one row per file
+    found = frames(manifest, folder).withColumn("ahead", before(Window.partitionBy("file_no").orderBy("frame_no")))
+    found = found.join(files, F.col("file_no") == F.col("f")).select("path", "place", "packed", "size", "checksum", (F.col("base") + F.col("ahead")).alias("start"))
+    names = ["doc_id", "start", "n_tokens", "ids_crc32"]
+    return found.repartition(partitions(manifest.sparkSession)).mapInArrow(_opened(folder, names, [pa.int64()] * 4, digest), ", ".join(f"{n} long" for n in names))
+
+
+def frames_of(manifest: DataFrame, folder: str, doc_ids: list[int]) -> DataFrame:
+    """The frames that may hold one of the ids: their range of ids has it. The list is the request, so its size is known."""
+    wanted = F.array(*[F.lit(int(i)).cast("long") for i in doc_ids]).cast("array<bigint>")
+    return frames(manifest, folder).where(F.exists(wanted, lambda i: (i >= F.col("first_id")) & (i <= F.col("last_id"))))
+
+
+def read_documents(manifest: DataFrame, folder: str, doc_ids: list[int]) -> DataFrame:
+    """doc_id, ids of the documents asked for; only frames_of() them are read. Unknown ids give no row, repeated rows all."""
+    wanted = {int(i) for i in doc_ids}
+    pick = lambda _, docs: [(i, x.tolist()) for i, x in docs if i in wanted]
+    return frames_of(manifest, folder, sorted(wanted)).mapInArrow(_opened(folder, ["doc_id", "ids"], [pa.int64(), pa.list_(pa.int64())], pick), "doc_id long, ids array<long>")
 
 
 def token_round_trip(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, folder: str | None = None) -> DataFrame:

@@ -162,16 +162,64 @@ def test_substring_dedup(spark, docs):
     assert got[base + 1].removed_bytes == len(by_text[base + 1].encode())
     assert base in got[last].source_ids
     assert all(got[k].n_spans == 0 for k in range(base))
+
+
+def brute_repeats(table):
+    """doc_id to the bytes that go and the documents that keep them, from every document's windows."""
+    holders = defaultdict(set)
+    for k, t in table.items():
+        for d, m, _, _ in substring_dedup.windows(t):
+            holders[d, m].add(k)
+    out = {}
+    for k, t in table.items():
+        gone, sources = set(), set()
+        for d, m, span, _ in substring_dedup.windows(t):
+            if min(holders[d, m]) < k:
+                gone |= set(range(span >> 32, span & (2**32 - 1)))
+                sources.add(min(holders[d, m]))
+        out[k] = (len(gone), sorted(sources))
+    return out
+
+
+def test_planted_passages(spark):
     draw = random.Random(11)
-    hit = 0
-    for trial in range(40):
+    table, planted = {}, []
+    for k in range(100):
         passage = prose(draw, 60)
-        table = spark.createDataFrame([(1, f"{prose(draw, 40)} {passage} {prose(draw, 9)}"), (2, f"{prose(draw, 15)} {passage}")], "doc_id long, text string") if trial < 2 else None
-        if table is not None:
-            hit += substring_dedup.substring_dedup(table).where("doc_id = 2 and n_spans = 1 and array_contains(source_ids, 1)").count()
-            clean = {r.doc_id: r.text for r in substring_dedup.without_repeats(table).collect()}
-            assert len(clean[2]) < 400 and passage in clean[1]
-    assert hit == 2
+        table[10 * k] = f"{prose(draw, 40)} {passage} {prose(draw, 9)}"
+        table[10 * k + 1] = f"{prose(draw, 15)} {passage}"
+        table[10 * k + 2] = prose(draw, 80)
+        planted.append((10 * k, 10 * k + 1, passage))
+    docs = spark.createDataFrame(list(table.items()), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r for r in substring_dedup.substring_dedup(docs).collect()}
+    assert {k: (r.removed_bytes, r.source_ids) for k, r in got.items()} == brute_repeats(table)
+    assert sum(got[b].source_ids == [a] for a, b, _ in planted) >= 97
+    assert all(got[k].n_spans == 0 for k in table if k % 10 != 1)
+    left = {r.doc_id: r.text for r in substring_dedup.without_repeats(docs).collect()}
+    assert all(passage in left[a] for a, _, passage in planted)
+    assert sum(len(left[b].split()) < 50 for _, b, _ in planted) >= 95
+
+
+def test_pieces_of_many_documents_stay(spark):
+    """A text of one chunk each of forty documents is no passage of any of them."""
+    draw = random.Random(12)
+    sources = {k: prose(draw, 120) for k in range(40)}
+    parts = []
+    for t in sources.values():
+        raw, found = t.encode(), substring_dedup.chunks(t)
+        _, s, e, _ = next(x for x in found[3:] if 3 <= x[3] < 12)
+        parts.append(raw[s:e].decode())
+    docs = spark.createDataFrame([*sources.items(), (99, "".join(parts))], "doc_id long, text string")
+    assert substring_dedup.substring_dedup(docs).where("n_spans > 0").count() == 0
+
+
+def test_all_sources_of_a_passage_are_named(spark):
+    draw = random.Random(13)
+    a, b, c = (prose(draw, 70) for _ in range(3))
+    rows = [(1, a), (2, b), (3, c), (4, f"{a} {b} {prose(draw, 30)} {c}"), (4, f"{a} {b} {prose(draw, 30)} {c}"), (None, a)]
+    out = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r.source_ids for r in out if r.doc_id == 4] == [[1, 2, 3]] * 2
+    assert [r.source_ids for r in out if r.doc_id is None] == [[1]]
 
 
 def test_mixing(spark, docs):
@@ -252,6 +300,24 @@ def test_packing(docs):
         assert at <= 2048
 
 
+def test_conversations_pack_under_all_limits(spark):
+    turns = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    words = F.size(F.split(F.coalesce("text", F.lit("")), " "))
+    examples = turns.groupBy(F.col("conv_id").alias("example_id")).agg(F.sum(words).alias("tokens"), F.count("*").alias("segments"), F.sum(F.when(F.col("role") == "assistant", words).otherwise(0)).alias("loss_tokens"))
+    want = {r.example_id: (r.tokens, r.segments, r.loss_tokens) for r in examples.collect()}
+    limit = (max(x[0] for x in want.values()) + 200, 16, max(x[2] for x in want.values()) + 50)
+    out = packing.pack_examples(examples.coalesce(2), *limit).collect()
+    assert sorted(r.example_id for r in out) == sorted(want)
+    held = defaultdict(list)
+    for r in out:
+        held[r.sequence_id].append(want[r.example_id])
+    sums = [tuple(map(sum, zip(*x, strict=True))) for x in held.values()]
+    assert all(a <= b for s in sums for a, b in zip(s, limit, strict=True))
+    assert len(held) < len(want) and len({np.argmax(np.array(s) / limit) for s in sums}) > 1  # more than one limit binds
+    with pytest.raises(Exception, match="exceeds a limit"):
+        packing.pack_examples(examples, 5, 1, 1).collect()
+
+
 def test_packing_keeps_all_limits():
     rng = np.random.default_rng(1)
     demand = np.stack([rng.integers(1, 900, 500), rng.integers(1, 5, 500), rng.integers(0, 300, 500)], axis=1)
@@ -273,6 +339,24 @@ def test_token_files(docs):
     assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_files.token_round_trip(docs).collect()} == want
 
 
+def test_requested_documents_open_few_frames(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    path, folder = default_path("byte_bpe_50k.json"), f"file://{tmp_path}/files"
+    draw = random.Random(14)
+    data = {2 * k: prose(draw, 300) for k in range(200)}
+    docs = spark.createDataFrame([*data.items(), (None, "no id"), (6, "twice")], "doc_id long, text string")
+    manifest = token_files.write_token_files(docs, folder, path, frame=8 << 10)
+    every = token_files.frames(manifest, folder).count()
+    asked = [4, 6, 7, 301, 398, 10_000]
+    few = token_files.frames_of(manifest, folder, asked).count()
+    assert every > 40 and few <= 6
+    got = sorted((r.doc_id, r.ids) for r in token_files.read_documents(manifest, folder, asked).collect())
+    encode = lambda t: [*Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids, 2]
+    assert got == sorted((k, encode(t)) for k, t in [(4, data[4]), (6, data[6]), (6, "twice"), (398, data[398])])
+    assert token_files.read_documents(manifest, folder, []).count() == 0
+
+
 def test_frames_show_damage():
     out = io.BytesIO()
     writer = token_files.FrameWriter(out, 2, frame=64)
@@ -312,6 +396,38 @@ def test_license(spark):
     assert all(set(r.base_labels.split(",")) - {""} <= set(r.labels.split(",")) for r in out.values())
 
 
+def brute_licenses(text):
+    """n_words, n_base, first_word, last_word, base_labels, labels, score by Python's regular expressions."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    norm = f" {' '.join(words)} "
+    places, base = [], set()
+    for phrase, label in license_scan.BASE:
+        p = phrase.split()
+        at = [k for k in range(len(words)) if words[k : k + len(p)] == p]
+        places += at
+        base |= {label} if at else set()
+    hits = [(m.start() + 1, -m.end(), -r.priority, k, r.label) for k, r in enumerate(license_scan.RULES) if r.keyword in norm for m in re.finditer(f" (?:{r.pattern})(?= )", norm)]
+    kept = []
+    for start, neg_stop, neg_priority, _, label in sorted(hits):
+        if not any(s <= start and -neg_stop <= e and p >= -neg_priority for s, e, p, _ in kept):
+            kept.append((start, -neg_stop, -neg_priority, label))
+    best = max((p for *_, p, _ in kept), default=0)
+    score = {3: 1.0, 2: 0.8, 1: 0.5, 0: 0.5 if places else 0.0}[best]
+    return (len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | {x[-1] for x in kept})), score)
+
+
+def test_license_equals_brute_force(spark, docs):
+    draw = random.Random(15)
+    lines = ["licensed under the", "apache license version 2 0", "GNU General Public License", "either version 2 or any later version", "CC BY-SA 4.0", "cc by nc nd 3.0", "creative commons attribution share alike 4 0", "all rights reserved", "SPDX-License-Identifier: GPL-2.0 or later", "lgpl v2.1", "the MIT license", "copyright (c) 2019", "public domain", "for personal use only", "bsd 3 clause", "proprietary and confidential", "ISC licence", "mozilla public license v2.0", "é ü", "what the", "permission", "version 3", "or later"]
+    rows = [(k, " ".join(draw.choice(lines) if draw.random() < 0.6 else draw.choice(WORDS) for _ in range(draw.randint(0, 12)))) for k in range(300)]
+    own = spark.createDataFrame([*rows, (900, None), (901, " \n")], "doc_id long, text string")
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.col("doc_id") + 1000, "text")
+    every = own.union(docs.select(F.col("doc_id") + 2000, "text")).union(table)
+    text = {r.doc_id: r.text for r in every.collect()}
+    for r in license_scan.license_scan(every).collect():
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) == brute_licenses(text[r.doc_id]), text[r.doc_id]
+
+
 def test_html(spark):
     page = "<html><head><title>t</title><script>if (a<b) x()</script></head><body><nav><a href=1>Home</a></nav><div class='ad'>Buy this now or never</div><article><h1>The &amp; title</h1><p>A first paragraph with <b>some</b>\n words in it.</p><p>And a second one &eacute;.</p></article><div class=comments><p>Nice post, thanks for it!</p></div><footer>Imprint</footer></body></html>"
     rows = spark.createDataFrame([(1, "u", page, 1), (2, None, None, 2), (3, "u", "", 3), (4, "u", "<p", 4)], "page_id long, url string, html string, text int")

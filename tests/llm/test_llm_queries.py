@@ -77,7 +77,7 @@ def test_large_shards_lose_no_link(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     group = lambda: {r.doc_id: r.group_id for r in simhash.similar_groups(docs).collect()}
     whole = group()
-    monkeypatch.setattr(simhash, "SHARD", 10)
+    monkeypatch.setattr(simhash, "MEMBERS", 10)
     dealt = group()
     assert len(set(whole.values())) == len(set(dealt.values())) < 40
     assert len({(whole[k], dealt[k]) for k in whole}) == len(set(whole.values()))
