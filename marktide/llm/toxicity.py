@@ -1,13 +1,13 @@
 """Toxicity by a support vector machine over a gapped subsequence kernel, with Nystroem landmarks.
 
 A text is read as units: white-space words, of which only letters count, so that marks and digits put between the letters
-change nothing; letters that stand alone one after another are one unit. The kernel of two units sums, over all three-letter
+change nothing; letters that stand alone one after another are one unit. The kernel of two units sums, over all four-letter
 subsequences (the ends of a unit count as letters), the product of their decayed occurrences. A subsequence may skip
 letters up to a span of SPAN, which is what tolerates inserted characters. Values are scaled by the units' lengths.
 
-The machine is trained on sentences that carry the label of their document: a unit is an example once for each toxic and
-once for each clean sentence that holds it. Landmarks are the units most associated with either label. A Nystroem machine
-is a weighted sum of kernels with landmarks, hence linear in the subsequences: it folds into one table of 32^3 weights,
+The machine is trained on sentences that carry the label of their document: a unit is an example of either label, weighed
+by its share of toxic and of clean sentences that hold it. Landmarks are the units most associated with either label. A
+Nystroem machine is a weighted sum of kernels with landmarks, hence linear in the subsequences: it folds into one table of 32^4 weights,
 and a document is scored in one vectorised pass. Its most suspicious units and its length give the score by a logistic
 curve fitted on the same sample.
 """
@@ -26,13 +26,15 @@ from pyspark.sql import functions as F
 from .common import saved
 from .tokens import in_small_batches
 
-SPAN, DECAY = 5, 0.7
+SPAN, DECAY = 6, 0.6
+LETTERS = 32**4
 #: Bounds of the training sample (documents of each label, those with the smallest hash of their id), of the units learned
 #: from, and of the landmarks. Nothing else depends on a bound.
 MAX_DOCS, MAX_UNITS, LANDMARKS = 6_000, 12_000, 160
-#: Sentences of toxic documents that hold a unit by chance: so many are no evidence.
-CHANCE = 2
-TOP, FLOOR = 3, -1.0
+#: A unit that no sentence holds would count as clean with this many sentences' weight, so a single toxic one is little evidence.
+PRIOR = 0.25
+#: Slack of the machine; unit scores below FLOOR are no evidence for a document; so many of its units count.
+SLACK, FLOOR, TOP = 10.0, 0.25, 3
 THRESHOLD = 0.3
 _SENTENCE = re.compile(r"[.!?\n]+")
 
@@ -67,8 +69,8 @@ def symbols(text: str | None) -> np.ndarray:
 def length_norms(n: np.ndarray) -> np.ndarray:
     """The scale of units of n letters: what their kernel with themselves is if no subsequence repeats."""
     total = np.zeros(len(n))
-    for s in range(2, SPAN + 1):
-        total += np.maximum(n + 2 - s, 0) * (s - 1) * DECAY ** (2 * s)
+    for s in range(3, SPAN + 1):
+        total += np.maximum(n + 2 - s, 0) * ((s - 1) * (s - 2) // 2) * DECAY ** (2 * s)
     return np.sqrt(np.maximum(total, 1e-9))
 
 
@@ -80,41 +82,46 @@ def unit_sums(c: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarra
         return np.zeros(0), np.zeros(0, np.int64)
     of = np.cumsum(zero, dtype=np.int32)
     x = c.astype(np.int32)
+    first, second, third = x << 15, x << 10, x << 5
     total = np.zeros(len(c), np.float32)
-    for s in range(2, SPAN + 1):
+    for s in range(3, SPAN + 1):
         m = len(c) - s
         if m <= 0:
             break
-        part = np.zeros(m, np.float32)
-        outer = (x[:m] << 10) + x[s : s + m]
-        for a in range(1, s):
-            part += weights[outer + (x[a : a + m] << 5)]
-        part[of[s - 1 : s - 1 + m] != of[:m]] = 0
-        total[:m] += part * np.float32(DECAY**s)
+        i = np.flatnonzero(of[s - 1 : s - 1 + m] == of[:m])  # all of it lies in one unit
+        outer, part = first[i] + x[i + s], np.zeros(len(i), np.float32)
+        for a in range(1, s - 1):
+            two = outer + second[i + a]
+            for b in range(a + 1, s):
+                part += weights[two + third[i + b]]
+        total[i] += part * np.float32(DECAY**s)
     sums = np.add.reduceat(total.astype(np.float64), ends)[:-1]
     return sums / length_norms(np.diff(ends) - 1), ends[:-1]
 
 
-def subsequences(unit: bytes) -> np.ndarray:
-    """The scaled feature vector of one unit (its symbols), 32^3 long."""
+def subsequences(unit: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The scaled features of one unit (its symbols): their places in a table of LETTERS, and their values."""
     c = np.frombuffer(b"\0" + unit + b"\0", np.uint8).astype(np.int64)
-    out = np.zeros(32**3)
-    for s in range(2, SPAN + 1):
+    place, value = [], []
+    for s in range(3, SPAN + 1):
         for i in range(len(c) - s):
-            for a in range(1, s):
-                out[(c[i] << 10) + (c[i + a] << 5) + c[i + s]] += DECAY**s
-    return (out / length_norms(np.array([len(unit)]))).astype(np.float32)
+            for a in range(1, s - 1):
+                for b in range(a + 1, s):
+                    place.append((c[i] << 15) + (c[i + a] << 10) + (c[i + b] << 5) + c[i + s])
+                    value.append(DECAY**s)
+    known, at = np.unique(np.array(place, np.int64), return_inverse=True)
+    return known, (np.bincount(at, weights=value, minlength=len(known)) / length_norms(np.array([len(unit)]))).astype(np.float32)
 
 
 class Model(NamedTuple):
-    weights: np.ndarray  # 32^3, of the units' machine
+    weights: np.ndarray  # LETTERS, of the units' machine
     bias: float
     mean: np.ndarray  # of the document features
     scale: np.ndarray
     curve: np.ndarray  # of the logistic curve, its constant last
 
 
-def _svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 1.0, steps: int = 25) -> tuple[np.ndarray, float]:
+def _svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = SLACK, steps: int = 25) -> tuple[np.ndarray, float]:
     """Squared-hinge linear machine by Newton's method; the constant is not regularised."""
     x = np.c_[z, np.ones(len(z))]
     w, ridge = np.zeros(x.shape[1]), np.r_[np.ones(z.shape[1]), 1e-6]
@@ -147,22 +154,29 @@ def fit_units(units: list[bytes], toxic: np.ndarray, clean: np.ndarray) -> tuple
     """Units with the numbers of toxic and clean sentences that hold them: the weight table and the bias."""
     toxic, clean = toxic.astype(float), clean.astype(float)
     if not len(units) or not toxic.sum() or not clean.sum():
-        return np.zeros(32**3, np.float32), FLOOR
+        return np.zeros(LETTERS, np.float32), FLOOR
     balance = clean.sum() / toxic.sum()
-    gap = toxic * balance - clean
-    lift = gap / np.sqrt(toxic * balance**2 + clean + balance**2)
+    for_, against = toxic * balance, clean + PRIOR * balance
+    lean = (for_ - against) / (for_ + against)
+    lift = np.maximum(lean, 0) * np.sqrt(toxic) - np.maximum(-lean, 0) * np.sqrt(clean / balance)
     order = np.lexsort((np.arange(len(units)), -lift))
     half = LANDMARKS // 2
-    chosen = list(dict.fromkeys([*order[:half], *order[::-1][:half]]))
-    phi = np.stack([subsequences(units[k]) for k in chosen])
-    line = np.frombuffer(b"\0" + b"".join(u + b"\0" for u in units), np.uint8)
-    kernel = np.stack([unit_sums(line, p)[0] for p in phi], axis=1)
+    chosen = [k for k in dict.fromkeys([*order[:half], *order[::-1][:half]]) if len(units[k]) > 1]
+    phi = [subsequences(units[k]) for k in chosen]
+    line, table = np.frombuffer(b"\0" + b"".join(u + b"\0" for u in units), np.uint8), np.zeros(LETTERS, np.float32)
+    kernel = np.empty((len(units), len(chosen)))
+    for k, (place, value) in enumerate(phi):
+        table[place] = value
+        kernel[:, k] = unit_sums(line, table)[0]
+        table[place] = 0
     values, vectors = np.linalg.eigh(kernel[chosen] + 1e-3 * np.eye(len(chosen)))
     root = (vectors / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T
     z = kernel @ root
-    positive = np.maximum(toxic - CHANCE, 0) * balance
-    w, bias = _svm(np.r_[z, z], np.r_[np.ones(len(z)), -np.ones(len(z))], np.r_[np.sqrt(positive), np.sqrt(clean + 0.5)] + 1e-9)
-    return ((root @ w) @ phi).astype(np.float32), bias
+    weight = np.sqrt(for_ + against)
+    w, bias = _svm(np.r_[z, z], np.r_[np.ones(len(z)), -np.ones(len(z))], np.r_[weight * (1 + lean), weight * (1 - lean)] / 2 + 1e-9)
+    for (place, value), x in zip(phi, root @ w, strict=True):
+        table[place] += value * np.float32(x)
+    return table, bias
 
 
 def document_features(texts: list[str | None], weights: np.ndarray, bias: float) -> np.ndarray:
@@ -235,7 +249,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     picked = F.broadcast(saved(picked.select("label_id", "toxic"), "toxic-labels"))  # at most 2 * MAX_DOCS short rows
     sample = saved(docs.join(picked, F.col("doc_id") == F.col("label_id")).select("text", "toxic"), "toxic-sample")
     counts = sample.mapInArrow(_count_units, "unit binary, toxic long, clean long").groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    counts = saved(counts.where(f"toxic > {CHANCE} or clean > 1"), "toxic-units")
+    counts = saved(counts.where("toxic > 0 or clean > 1"), "toxic-units")
     most = [counts.orderBy(F.desc(c), "unit").limit(MAX_UNITS // 2) for c in ("toxic", "clean")]
     rows = most[0].union(most[1]).distinct().toPandas().sort_values("unit")
     weights, bias = fit_units([bytes(u) for u in rows["unit"]], rows["toxic"].to_numpy(), rows["clean"].to_numpy())
