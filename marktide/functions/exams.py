@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -138,3 +141,38 @@ def clean_markup(html: Column, arrow: str = "<span class='arrow'></span>") -> Co
     t = F.regexp_replace(t, r"(?i) style=\"[;\s]*\"", "")
     t = F.regexp_replace(t, rf"(?i)>\s*{_ARROW}\s*<", f">{arrow}<")
     return F.regexp_replace(t, rf"(?i)(?:^|<br\s*/?>|\n)\s*{_ARROW}\s*(?=<br\s*/?>|\n|<|$)", arrow)
+
+
+def without_citation_tags(text: Column) -> Column:
+    """Text without the tags that a writing tool puts around its sources: openings with the white space after them, runs of ] with that before."""
+    # The opening tag, and the closing brackets.
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"\[cite_start\]\s*", "")
+    return F.regexp_replace(t, r"\s*\]+", "")
+
+
+def repaired(text: Column) -> Column:
+    """Text in which UTF-8 that was read as Windows-1252 is put right again, where that gives symbols; letters stay as they are.
+
+    A run of such characters is repaired if its bytes are UTF-8 and all it stands for lies at U+2000 or beyond.
+    """
+
+    def byte(c: str) -> int | None:
+        try:
+            return c.encode("cp1252")[0]
+        except UnicodeEncodeError:
+            return ord(c) if 0x80 <= ord(c) <= 0xFF else None
+
+    def put(m: re.Match) -> str:
+        raw = [byte(c) for c in m[0]]
+        try:
+            out = bytes(raw).decode("utf-8")
+        except (TypeError, UnicodeDecodeError):
+            return m[0]
+        return out if all(ord(c) >= 0x2000 for c in out) else m[0]
+
+    odd = re.compile("[\u0080-\u00ff\u0152\u0153\u0160\u0161\u0178\u017d\u017e\u0192\u02c6\u02dc\u2013-\u2026\u2030\u2039\u203a\u20ac\u2122]+")
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: odd.sub(put, t), na_action="ignore")
+
+    return F.pandas_udf(run, "string")(text)

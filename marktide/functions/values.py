@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,12 +58,19 @@ def plain_key(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
 
 
-_ACCENTED, _BARE = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+def _letters() -> tuple[str, str]:
+    """Letters below U+2000 that decompose into a plain one and marks, and what is left of them: a table made by rule."""
+    pairs = [(c, unicodedata.normalize("NFD", c)) for c in map(chr, range(0xC0, 0x2000))]
+    pairs = [(c, d[0]) for c, d in pairs if len(d) > 1 and all(unicodedata.combining(x) for x in d[1:])]
+    return "".join(c for c, _ in pairs), "".join(d for _, d in pairs)
+
+
+_ACCENTED, _BARE = _letters()
 
 
 def item_key(text: Column) -> Column:
-    """plain_key() after Latin accents are taken off."""
-    return plain_key(F.translate(F.lower(text), _ACCENTED, _BARE))
+    """plain_key() after accents and other marks are taken off, written as one letter or as marks of their own."""
+    return plain_key(F.regexp_replace(F.translate(text, _ACCENTED, _BARE), r"\p{Mn}", ""))
 
 
 def clock(seconds: Column) -> Column:
@@ -69,6 +78,34 @@ def clock(seconds: Column) -> Column:
     return F.concat(F.floor(seconds / 60).cast("string"), F.lit(":"), F.lpad((seconds % 60).cast("int").cast("string"), 2, "0"))
 
 
+def marked_time(seconds: Column) -> Column:
+    """m:ss, or h:mm:ss from an hour on; below 0 is 0:00, null is null."""
+    s = F.greatest(seconds.cast("long"), F.lit(0))
+    two = lambda x: F.lpad(x.cast("long").cast("string"), 2, "0")
+    h, m = F.floor(s / 3600), F.floor(s % 3600 / 60)
+    tail = F.concat(F.lit(":"), two(s % 60))
+    return F.when(seconds.isNull(), F.lit(None)).when(h > 0, F.concat(h.cast("string"), F.lit(":"), two(m), tail)).otherwise(F.concat(m.cast("string"), tail))
+
+
+def clock_long(seconds: Column) -> Column:
+    """hh:mm:ss; null counts as 0."""
+    s = F.coalesce(seconds.cast("long"), F.lit(0))
+    two = lambda x: F.lpad(x.cast("long").cast("string"), 2, "0")
+    return F.concat(F.when(s >= 360_000, F.floor(s / 3600).cast("string")).otherwise(two(F.floor(s / 3600))), F.lit(":"), two(F.floor(s % 3600 / 60)), F.lit(":"), two(s % 60))
+
+
+def mark_seconds(mark: Column) -> Column:
+    """Seconds of m:ss or h:mm:ss; null for what is neither."""
+    p = F.split(mark, ":")
+    n = lambda k: F.get(p, F.lit(k)).try_cast("int")
+    return F.when(F.size(p) == 3, n(0) * 3600 + n(1) * 60 + n(2)).when(F.size(p) == 2, n(0) * 60 + n(1))
+
+
+def money(amount: Column) -> Column:
+    """Whole money with dots between thousands and its sign; null counts as 0."""
+    return F.concat(F.translate(F.format_number(F.coalesce(amount.cast("long"), F.lit(0)), 0), ",", "."), F.lit("đ"))
+
+
 def title_case(text: Column) -> Column:
     """The first letter of each word raised, the rest as it is."""
     return F.array_join(F.transform(F.split(text, " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1_000_000))), " ")

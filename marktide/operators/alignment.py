@@ -3,30 +3,56 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marktide.functions.values import plain_key
-
-_B, _E = r"(?:^|[^a-z0-9_])", r"(?:$|[^a-z0-9_])"
-# The grammar structures that are looked for, on lower-cased text; both Java and RE2 read them alike.
-GRAMMAR = (
-    ("not_only", rf"{_B}not only[^a-z0-9_.?!][^.?!]*[^a-z0-9_.?!]but[^a-z0-9_.?!](?:[^.?!]*[^a-z0-9_.?!])?also{_E}"),
-    ("neg_inversion", rf"{_B}(?:never|rarely|seldom|hardly|scarcely|no sooner|nowhere|little)[ \t\n\f\r]+(?:had|has|have|did|does|was|were|is|are|will|would|can|could)[ \t\n\f\r]+[a-z0-9_]"),
-    ("passive_report", rf"{_B}(?:is|are|was|were|has been|have been)[ \t\n\f\r]+(?:said|believed|thought|reported|known|expected|considered|claimed|estimated|alleged|presumed|rumou?red)[ \t\n\f\r]+to{_E}"),
-    ("cleft_it", rf"{_B}it[ \t\n\f\r]+(?:is|was)(?:[ \t\n\f\r,'-]|[ \t\n\f\r,'-][a-z0-9_ \t\n\f\r,'-]{{0,43}}[ \t\n\f\r,'-])(?:that|who|which){_E}"),
-    ("correlative_comp", rf"{_B}the[ \t\n\f\r]+[a-z0-9_]+(?:er|more|less|better|worse)[^a-z0-9_.?!](?:[^.?!]*[^a-z0-9_.?!])?the[ \t\n\f\r]+[a-z0-9_]+(?:er|more|less|better|worse){_E}"),
-    ("third_cond", rf"{_B}if[^a-z0-9_.?!][^.?!]*[^a-z0-9_.?!]had[^a-z0-9_.?!](?:[^.?!]*[^a-z0-9_.?!])?would have{_E}"),
-)
+from marktide.functions.values import half_up, mark_seconds, marked_time, plain_key, sentences, squeeze, strip_tags
+
+# Letters, digits and the low line are word characters in all scripts; both Java and RE2 read these classes alike.
+_W = r"\pL\pN_"
+_B, _E = rf"(?:^|[^{_W}])", rf"(?:$|[^{_W}])"
+#: From one word to another of the same sentence, with or without words between.
+_TO = rf"[^{_W}.?!](?:[^.?!]*[^{_W}.?!])?"
+_GAP = r"[ \t\n\f\r]+"
+# The words that the structures are made of.
+_NEGATIVE = "never|rarely|seldom|hardly|scarcely|no sooner|nowhere|little"
+_AUXILIARY = "had|has|have|did|does|was|were|is|are|will|would|can|could"
+_BE = "is|are|was|were|has been|have been"
+_REPORTED = "said|believed|thought|reported|known|expected|considered|claimed|estimated|alleged|presumed|rumou?red"
+_MORE = rf"the{_GAP}[{_W}]+(?:er|more|less|better|worse)"
+#: The structures that are looked for, in lower-cased text, between word boundaries.
+_CORES = {
+    "not_only": f"not only{_TO}but{_TO}also",
+    "neg_inversion": rf"(?:{_NEGATIVE}){_GAP}(?:{_AUXILIARY}){_GAP}[{_W}]+",
+    "passive_report": f"(?:{_BE}){_GAP}(?:{_REPORTED}){_GAP}to",
+    "cleft_it": rf"it{_GAP}(?:is|was)(?:[ \t\n\f\r,'-]|[ \t\n\f\r,'-][{_W} \t\n\f\r,'-]{{0,43}}?[ \t\n\f\r,'-])(?:that|who|which)",
+    "correlative_comp": f"{_MORE}{_TO}{_MORE}",
+    "third_cond": f"if{_TO}had{_TO}would have",
+}
+GRAMMAR = tuple((k, f"{_B}({core}){_E}") for k, core in _CORES.items())
+#: Structures that an analysis reports at most, and characters of the sentence that shows one.
+MOST_STRUCTURES, SHOWN_CHARS = 4, 300
+
+
+def grammar_items(text: Column) -> Column:
+    """The first structures of GRAMMAR that a text holds: array of (key, sentence). Null holds none.
+
+    sentence is the first one with the beginning of the match, or else the match itself.
+    """
+    full = F.coalesce(text, F.lit(""))
+    low, parts = F.lower(full), sentences(full)
 
+    def item(key: str, pattern: str) -> Column:
+        match = F.regexp_extract(low, pattern, 1)
+        begin = F.substring(match, 1, 25)
+        shown = F.coalesce(F.get(F.filter(parts, lambda s: F.contains(F.lower(s), begin)), F.lit(0)), match)
+        return F.when(match != "", F.struct(F.lit(key).alias("key"), F.substring(F.trim(shown), 1, SHOWN_CHARS).alias("sentence")))
 
-def grammar_keys(text: Column, most: int = 4) -> Column:
-    """The first structures of GRAMMAR that a text holds, at most so many."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return F.slice(F.array_compact(F.array(*[F.when(F.rlike(low, F.lit(p)), F.lit(k)) for k, p in GRAMMAR])), 1, most)
+    return F.slice(F.array_compact(F.array(*[item(k, p) for k, p in GRAMMAR])), 1, MOST_STRUCTURES)
 
 
 def quotes_in(passages: DataFrame, quotes: DataFrame, words: int = 4) -> DataFrame:
@@ -39,12 +65,15 @@ def quotes_in(passages: DataFrame, quotes: DataFrame, words: int = 4) -> DataFra
     q = quotes.select("quote_id", norm("quote").alias("q")).where("q <> ''").withColumn("w", F.split("q", " "))
     # the last word of a window may go on in the passage, so windows leave it out
     q = q.withColumn("n", F.greatest(F.lit(1), F.least(F.lit(words), F.size("w") - 1)))
-    used = sorted(x["n"] for x in q.select("n").distinct().collect())  # at most as many rows as words
-    q = q.select("quote_id", "q", F.xxhash64(F.array_join(F.slice("w", 1, F.col("n")), " ")).alias("lead"))
+    used = sorted(x["n"] for x in q.select("n").distinct().collect()) or [words]  # at most as many rows as words
+    lead = lambda w, i, k: F.xxhash64(*[F.get(w, i + j) for j in range(k)])
+    first = F.coalesce(*[F.when(F.col("n") == k, lead(F.col("w"), F.lit(0), k)) for k in used])
+    q = q.select("quote_id", "q", first.alias("lead"))
     p = passages.select("passage_id", norm("text").alias("p"))
-    w, lengths = F.col("w"), F.array(*[F.lit(k) for k in used or [words]])
-    windows = F.transform(lengths, lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - k + 1)), lambda i: F.xxhash64(F.array_join(F.slice(w, i, k), " "))))
-    heads = p.select("passage_id", F.split("p", " ").alias("w")).select("passage_id", F.explode(F.array_distinct(F.flatten(windows))).alias("head"))
+    w = F.col("w")
+    each = lambda k: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(w) - k)), lambda i: lead(w, i, k))
+    windows = F.concat(*map(each, used))
+    heads = p.select("passage_id", F.split("p", " ").alias("w")).select("passage_id", F.explode(F.array_distinct(windows)).alias("head"))
     near = heads.join(q.select("quote_id", "lead"), F.col("head") == F.col("lead")).select("passage_id", "quote_id").distinct()
     full = near.join(p, "passage_id").join(q.select("quote_id", "q"), "quote_id")
     return full.where(F.contains(F.concat(F.lit(" "), F.col("p")), F.concat(F.lit(" "), F.col("q")))).select("passage_id", "quote_id")
@@ -58,93 +87,242 @@ def best_sentences(sentences: DataFrame, key: str, query: Column, text: str = "s
     return rated.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "off")
 
 
+def _close_blocks(limit: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, number, begin, end, texts, out = None, -1, 0.0, 0.0, [], []
+        started = False
+
+        def rows() -> pa.RecordBatch:
+            cols = list(zip(*out, strict=True)) or [()] * 5
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.string()), strict=True)], names=["key", "block_no", "start_s", "end_s", "block_text"])
+
+        for b in batches:
+            for k, s, e, t in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                fresh = not started or k != key
+                if fresh or e - begin > limit:
+                    if texts:
+                        out.append((key, number, begin, end, " ".join(texts)))
+                    key, number, begin, texts, started = k, 0 if fresh else number + 1, s, [], True
+                end = e
+                texts.append(t)
+            yield rows()
+        if texts:
+            out.append((key, number, begin, end, " ".join(texts)))
+        yield rows()
+
+    return run
+
+
 def transcript_blocks(segments: DataFrame, key: str, order: str, start: str, end: str, text: str, block: float = 8.0) -> DataFrame:
-    """Joins segments in order; one that would end over block seconds after its block's start opens the next block."""
-    item = F.struct(F.col(order).alias("o"), F.col(start).cast("double").alias("s"), F.col(end).cast("double").alias("e"), F.trim(F.coalesce(F.col(text), F.lit(""))).alias("t"))
-    rows = segments.groupBy(key).agg(F.sort_array(F.collect_list(item)).alias("x"))  # one recording a group
-    none = F.array().cast("array<struct<s:double,e:double,t:string>>")
+    """Joins segments in order; one that would end over block seconds after its block's start opens the next block.
 
-    def step(a: Column, x: Column) -> Column:
-        last = F.element_at(a, F.greatest(F.size(a), F.lit(1)))
-        fresh = F.struct(x["s"].alias("s"), x["e"].alias("e"), x["t"].alias("t"))
-        grown = F.struct(last["s"].alias("s"), x["e"].alias("e"), F.concat(last["t"], F.lit(" "), x["t"]).alias("t"))
-        return F.when(x["t"] == "", a).when(F.size(a) == 0, F.array(fresh)).when(x["e"] - last["s"] > block, F.concat(a, F.array(fresh))).otherwise(F.concat(F.slice(a, 1, F.size(a) - 1), F.array(grown)))
+    Segments without text are left out. A recording is folded in its order by one task, which holds the open block alone.
+    """
+    rows = segments.select(F.col(key).cast("string").alias("key"), F.col(start).cast("double").alias("s"), F.col(end).cast("double").alias("e"), F.trim(F.coalesce(text, F.lit(""))).alias("t"), F.col(order).alias("o")).where("t <> ''")
+    ordered = rows.repartition("key").sortWithinPartitions("key", "o", "s", "e", "t").select("key", "s", "e", "t")
+    found = ordered.mapInArrow(_close_blocks(block), "key string, block_no int, start_s double, end_s double, block_text string")
+    return found.select(F.col("key").cast(segments.schema[key].dataType).alias(key), "block_no", "start_s", "end_s", "block_text")
 
-    blocks = rows.select(key, F.posexplode(F.aggregate("x", none, step)).alias("block_no", "b"))
-    return blocks.select(key, "block_no", F.col("b.s").alias("start_s"), F.col("b.e").alias("end_s"), F.col("b.t").alias("block_text"))
 
+def hinted_block(blocks: DataFrame, hints: DataFrame, key: str) -> DataFrame:
+    """hints (key, hint): the start of the block of its recording with most hint words, the first of equals; no row without a hit."""
+    words = F.filter(F.regexp_extract_all(plain_key(F.coalesce("hint", F.lit(""))), F.lit("[a-z]{3,}"), F.lit(0)), lambda w: ~w.isin(HINT_STOP))
+    text = F.concat(F.lit(" "), plain_key(F.col("block_text")), F.lit(" "))
+    rows = blocks.join(hints.select(key, words.alias("_h")), key)
+    votes = F.size(F.filter("_h", lambda w: F.contains(text, F.concat(F.lit(" "), w, F.lit(" ")))))
+    return rows.withColumn("_v", votes).where("_v > 0").groupBy(key).agg(F.max_by("start_s", F.struct("_v", -F.col("block_no"))).alias("anchor"))
 
-_BLOCK = re.compile(r"\(((?:\d{1,2}:)?\d{1,2}:\d{2})\s*-\s*(?:\d{1,2}:)?\d{1,2}:\d{2}\)")
-_CITE = re.compile(r"(\s*)\[((?:\d{1,2}:)?\d{1,2}:\d{2})\]")
 
+# How times are written in transcripts and answers, and words of a hint that say nothing.
+_TIME = r"\d{1,2}:\d{2}(?::\d{2})?"
+_MARK = rf"\(({_TIME})\s*-\s*{_TIME}\)"
+_CITE = rf"\[({_TIME})\]"
+_RANGE = rf"[\[(]\s*({_TIME})\s*(?:-|–|—|to)\s*{_TIME}\s*[\])]"
+HINT_STOP = "about answer choose correct each following from have into most more option question that the their these this what which with would your".split()
 
-def _seconds(mark: str) -> int:
-    total = 0
-    for part in mark.split(":"):
-        total = 60 * total + int(part)
-    return total
 
+def _spaced_key(text: Column) -> Column:
+    return F.concat(F.lit(" "), plain_key(F.coalesce(text, F.lit(""))), F.lit(" "))
 
-def _plain(text: str) -> str:
-    return " ".join(re.findall(r"[a-z0-9]+", (text or "").lower()))
 
+def marked_blocks(transcript: Column) -> Column:
+    """The marked blocks of a transcript in order: array of (second, text), text as its plain key between blanks."""
+    t = F.coalesce(transcript, F.lit(""))
+    marks, texts = F.regexp_extract_all(t, F.lit(_MARK), F.lit(1)), F.split(t, _MARK)
+    return F.transform(marks, lambda m, k: F.struct(mark_seconds(m).alias("second"), _spaced_key(F.get(texts, k + 1)).alias("text")))
 
-def marked_blocks(transcript: str) -> list[tuple[int, str]]:
-    """(start in seconds, plain text between blanks) of each marked block."""
-    marks = list(_BLOCK.finditer(transcript or ""))
-    stops = [m.start() for m in marks[1:]] + [len(transcript or "")]
-    return [(_seconds(m[1]), f" {_plain(transcript[m.end():stop])} ") for m, stop in zip(marks, stops, strict=True)]
 
+def _ways(answer: Column, articles: bool) -> Column:
+    """Accepted wordings of an answer, longest first: alternatives at / ; | or, as they are and (articles) without their article."""
+    parts = F.transform(F.split(F.coalesce(answer, F.lit("")), r"(?i)\s*(?:/|;|\||\bor\b)\s*"), plain_key)
+    every = F.array_union(parts, F.transform(parts, lambda p: F.regexp_replace(p, "^(?:a|an|the) +", ""))) if articles else F.array_distinct(parts)
+    usable = F.filter(every, lambda p: (F.length(p) >= 3) & ~p.rlike("^[0-9]+$"))
+    return F.transform(F.array_sort(F.transform(usable, lambda p: F.struct((-F.length(p)).alias("n"), p.alias("p")))), lambda x: x["p"])
 
-def _ways(answer: str) -> list[str]:
-    """Accepted wordings, longest first: alternatives at / ; | or, with and without an article."""
-    out = {_plain(x) for x in re.split(r"\s*[/;|]\s*|\s+or\s+", answer or "", flags=re.I)}
-    out |= {x.split(" ", 1)[1] for x in out if x.split(" ", 1)[0] in ("a", "an", "the") and " " in x}
-    return sorted((x for x in out if len(x) >= 3 and not x.isdigit()), key=lambda x: (-len(x), x))
 
+def _holds(block: Column, way: Column) -> Column:
+    return F.contains(block["text"], F.concat(F.lit(" "), way, F.lit(" ")))
 
-def answer_anchor(transcript: str, answers: list[str], index: int) -> int | None:
-    """Where the answer number index is spoken: in its only block, else in the first block after the answers before it."""
+
+def answer_anchor(transcript: Column, correct: Column, answers: Column | None = None, index: Column | None = None) -> Column:
+    """The second at which an answer is spoken: of its only block, else of its first block after those of the answers before it.
+
+    answers: the answers of the part in order, correct being number index (from 0). An answer before it that is not found
+    moves nothing. Null if the answer is not proven by a block.
+    """
     blocks = marked_blocks(transcript)
-    if not 0 <= index < len(answers or []):
-        return None
-    for way in _ways(answers[index]):
-        hits = [s for s, text in blocks if f" {way} " in text]
-        if len(hits) == 1:
-            return hits[0]
-    cursor, at = -1, None
-    for k, answer in enumerate(answers[: index + 1]):
-        places = [b for b, (_, text) in enumerate(blocks) if any(f" {w} " in text for w in _ways(answer))]
-        n = bisect_right(places, cursor)
-        if n < len(places):
-            cursor = places[n]
-            at = blocks[cursor][0] if k == index else None
-    return at
-
-
-def hint_anchor(transcript: str, hints: str, index: int | None = None, count: int | None = None) -> int | None:
-    """The block with most hint words (the first of equals), else the one at the question's relative place."""
+
+    def found(b: Column) -> Column:
+        hits = F.transform(_ways(correct, True), lambda w: F.filter(b, lambda x: _holds(x, w)))
+        only = F.get(F.filter(hits, lambda h: F.size(h) == 1), F.lit(0))
+        first = F.get(only, F.lit(0))["second"]
+        if answers is None or index is None:
+            return first
+        start = F.struct(F.lit(-1).alias("cursor"), F.lit(False).alias("here"))
+
+        def step(a: Column, answer: Column) -> Column:
+            ways = _ways(answer, False)
+            places = F.filter(F.transform(b, lambda x, k: F.when((k > a["cursor"]) & F.exists(ways, lambda w: _holds(x, w)), k)), lambda k: k.isNotNull())
+            at = F.get(places, F.lit(0))
+            return F.struct(F.coalesce(at, a["cursor"]).alias("cursor"), at.isNotNull().alias("here"))
+
+        upto = F.when((index >= 0) & (index < F.size(answers)), F.slice(answers, 1, index + 1)).otherwise(F.array().cast("array<string>"))
+        last = F.aggregate(upto, start, step)
+        return F.coalesce(first, F.when(last["here"], F.get(b, last["cursor"])["second"]))
+
+    return F.get(F.transform(F.array(blocks), found), F.lit(0))
+
+
+def hint_anchor(transcript: Column, hints: Column, index: Column | None = None, count: Column | None = None) -> Column:
+    """The block with most hint words (the first of equals), else the one at the question's relative place; null without blocks."""
     blocks = marked_blocks(transcript)
-    words = [w for w in _plain(hints).split() if len(w) >= 3]
-    votes = [sum(f" {w} " in text for w in words) for _, text in blocks]
-    if blocks and max(votes) > 0:
-        return blocks[votes.index(max(votes))][0]
-    if not blocks or index is None or index < 0:
-        return None
-    share = min(1.0, (index + 0.5) / (count or len(blocks)))
-    return blocks[min(len(blocks) - 1, int(share * len(blocks)))][0]
+    words = F.filter(F.regexp_extract_all(plain_key(F.coalesce(hints, F.lit(""))), F.lit("[a-z]{3,}"), F.lit(0)), lambda w: ~w.isin(HINT_STOP))
+
+    def found(b: Column) -> Column:
+        votes = F.transform(b, lambda x, k: F.struct((-F.size(F.filter(words, lambda w: _holds(x, w)))).alias("n"), k.alias("k"), x["second"].alias("s")))
+        best = F.get(F.array_sort(votes), F.lit(0))
+        voted = F.when(best["n"] < 0, best["s"])
+        if index is None:
+            return voted
+        share = F.least(F.lit(1.0), (index + F.lit(0.5)) / F.when(count > 0, count).otherwise(F.size(b)) if count is not None else (index + F.lit(0.5)) / F.size(b))
+        placed = F.when((index >= 0) & (F.size(b) > 0), F.get(b, F.least(F.size(b) - 1, F.floor(share * F.size(b)).cast("int")))["second"])
+        return F.coalesce(voted, placed)
+
+    return F.get(F.transform(F.array(blocks), found), F.lit(0))
+
+
+def settled_citations(answer: Column, transcript: Column, correct: Column, answers: Column | None = None, index: Column | None = None, hints: Column | None = None, count: Column | None = None, again: str = "Listen again: ") -> Column:
+    """An answer text with one proven time: the first cited time becomes the anchor and the others go.
+
+    The anchor is where the answer is spoken, else where most hints are, else the real block nearest to the first cited
+    time, if that lies after the first block or the question is the first one. Without an anchor all cited times go;
+    without a cited time the anchor is added at the end.
+    """
+    one_form = F.regexp_replace(F.regexp_replace(F.coalesce(answer, F.lit("")), _RANGE, "[$1]"), rf"\(({_TIME})\)", "[$1]")
+    blocks = F.transform(marked_blocks(transcript), lambda b: b["second"])
+    cited = mark_seconds(F.regexp_extract(one_form, _CITE, 1))
+    near = F.get(F.array_sort(F.transform(blocks, lambda s: F.struct(F.abs(s - cited).alias("d"), s.alias("s")))), F.lit(0))["s"]
+    first = F.coalesce(index == 0, F.lit(False)) if index is not None else F.lit(False)
+    guess = F.when(cited.isNotNull() & ((cited > F.array_min(blocks)) | first), near)
+    anchor = F.when(F.size(blocks) > 0, F.coalesce(answer_anchor(transcript, correct, answers, index), hint_anchor(transcript, F.lit("") if hints is None else hints, index, count), guess))
+    mark = F.concat(F.lit("["), marked_time(anchor), F.lit("]"))
+    none = F.regexp_replace(one_form, rf"\s*{_CITE}", "")
+    head, rest = (F.regexp_extract(one_form, rf"(?s)^(.*?){_CITE}(.*)$", k) for k in (1, 3))
+    replaced = F.concat(head, mark, F.regexp_replace(rest, rf"\s*{_CITE}", ""))
+    added = F.concat(F.regexp_replace(one_form, r"\s+$", ""), F.lit(f"\n\n{again}"), mark)
+    return F.when(anchor.isNull(), none).when(cited.isNotNull(), replaced).otherwise(added)
+
+
+def transcript_slice(transcript: Column, part: Column, parts: Column, index: Column, questions: Column, limit: int = 23_000, slack: int = 500) -> Column:
+    """So many characters of a transcript around the place of a question (index, from 0, or null) of a part.
+
+    The place is that of the question among its part's questions, in the middle without one. A slice that does not begin
+    at the start begins at the next marker if that is near.
+    """
+    t = F.coalesce(transcript, F.lit(""))
+    n = F.length(t)
+    inside = F.coalesce(F.when((index >= 0) & (questions > 0), (index + F.lit(0.5)) / questions), F.lit(0.5))
+    center = half_up((part + inside) / F.greatest(parts, F.lit(1)) * n)
+    start = F.greatest(F.lit(0), F.least(n - limit, center - limit // 2)).cast("int")
+    marker = F.locate("(", F.substring(t, start + 1, F.lit(slack))) - 1
+    begin = F.when((start > 0) & (marker >= 0), start + marker).otherwise(start)
+    return F.when(n <= limit, t).otherwise(F.substring(t, begin + 1, F.lit(limit)))
+
+
+def target_paragraph(passage: Column, label: Column, least: int = 30) -> Column:
+    """The paragraph that a letter names (A the first), of those without a heading and of at least so many characters; else an empty text."""
+    letter = F.regexp_replace(F.upper(F.trim(F.coalesce(label, F.lit("")))), "[.)]$", "")
+    texts = F.transform(F.regexp_extract_all(F.coalesce(passage, F.lit("")), F.lit("(?is)<p(?:[ \t\n\f\r][^>]*)?>(.*?)</p>"), F.lit(1)), lambda x: F.when(x.rlike("(?i)<h[1-6]"), "").otherwise(strip_tags(x, "")))
+    long = F.filter(texts, lambda x: F.length(x) >= least)
+    return F.coalesce(F.when(letter.rlike("^[A-Z]$"), F.get(long, F.ascii(letter) - 65)), F.lit(""))
+
+
+# Lengths of a quotation, of a sentence that may stand in the answer itself, of a shown excerpt; words that prove nothing.
+QUOTE_CHARS, INLINE_CHARS, EXCERPT_CHARS, MOST_QUOTES = (4, 300), 24, 300, 3
+EVIDENCE_STOP = "the and for with that this from which what when where does were was are has have had into than then only answer correct question option student read reading passage".split()
+_EVIDENCE = r"(?i)\[\[EVIDENCE:\s*([\s\S]*?)\s*\]\]"
+
+
+def evidence_key(text: Column) -> Column:
+    """Curly quotes straight, white space one space, lower case."""
+    return F.lower(squeeze(F.translate(F.coalesce(text, F.lit("")), "’“”", "'\"\"")))
+
+
+def marked_evidence(draft: Column, passage: Column) -> Column:
+    """The first quotations that a draft marks and the passage holds, each once."""
+    key, least, most = evidence_key(passage), *QUOTE_CHARS
+    found = F.transform(F.regexp_extract_all(F.coalesce(draft, F.lit("")), F.lit(_EVIDENCE), F.lit(1)), lambda q: F.struct(F.trim(q).alias("q"), evidence_key(q).alias("k")))
+    good = F.filter(found, lambda x: F.length(x["k"]).between(least, most) & F.contains(key, x["k"]))
+    keys = F.transform(good, lambda x: x["k"])
+    return F.slice(F.transform(F.filter(good, lambda x, i: F.array_position(keys, x["k"]) == i + 1), lambda x: x["q"]), 1, MOST_QUOTES)
+
+
+def passage_sentences(passage: Column) -> Column:
+    return F.split(F.coalesce(passage, F.lit("")), r"(?<=[.!?])[ \t\n\f\r]+|\n+")
+
+
+def has_inline_evidence(draft: Column, passage: Column) -> Column:
+    """Whether a sentence of the passage stands in the draft itself, outside its markers."""
+    plain = evidence_key(F.regexp_replace(F.coalesce(draft, F.lit("")), _EVIDENCE, ""))
+    return F.exists(F.transform(passage_sentences(passage), evidence_key), lambda s: (F.length(s) >= INLINE_CHARS) & F.contains(plain, s))
 
 
-def settle_citations(answer: str, transcript: str, anchor: int | None) -> str:
-    """The first cited time becomes the anchor and the others go; without an anchor all go."""
-    mark, used = None if anchor is None else f"[{anchor // 60}:{anchor % 60:02d}]", []
+def _evidence_words(text: Column) -> Column:
+    return F.array_except(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z][a-z'-]{2,}"), F.lit(0)), F.array(*map(F.lit, EVIDENCE_STOP)))
 
-    def put(m: re.Match) -> str:
-        used.append(1)
-        return m[1] + mark if mark and len(used) == 1 else ""
 
-    out = _CITE.sub(put, answer or "")
-    return f"{out.rstrip()}\n\nListen again: {mark}" if mark and not used else out
+def fallback_evidence(passage: Column, correct: Column, query: Column) -> Column:
+    """The sentence that holds the answer, has most words of the query and is nearest to 150 characters, cut at a word; null if there is none."""
+    want, words = evidence_key(correct), _evidence_words(query)
+    parts = F.filter(F.transform(passage_sentences(passage), lambda s: F.regexp_replace(F.regexp_replace(s, r"[ \t\n\f\r]+", " "), "^[ -]+|[ -]+$", "")), lambda s: F.length(evidence_key(s)) >= QUOTE_CHARS[0])
+
+    def rated(s: Column, i: Column) -> Column:
+        exact = (F.length(want) > 2) & F.contains(evidence_key(s), want)
+        return F.struct((-exact.cast("int")).alias("e"), (-F.size(F.array_intersect(_evidence_words(s), words))).alias("o"), F.abs(F.length(s) - 150).alias("d"), i.alias("i"), s.alias("s"))
+
+    best = F.get(F.array_sort(F.transform(parts, rated)), F.lit(0))["s"]
+    cut = F.substring(best, 1, EXCERPT_CHARS)
+    at_word = F.when(F.contains(cut, F.lit(" ")), F.regexp_replace(cut, r" [^ ]*$", "")).otherwise(cut)
+    return F.when(F.length(best) > EXCERPT_CHARS, F.trim(at_word)).otherwise(best)
+
+
+def proven(draft: Column, passage: Column, correct: Column, query: Column) -> Column:
+    """A draft with its proof: marked quotations as plain ones in it, and at the end the markers that hold.
+
+    A sentence of the passage in the draft is proof enough; else the marked quotations that the passage holds count, and
+    without any the best sentence.
+    """
+    marked = marked_evidence(draft, passage)
+    best = fallback_evidence(passage, correct, query)
+    shown = F.when(has_inline_evidence(draft, passage), F.array().cast("array<string>")).when(F.size(marked) > 0, marked).otherwise(F.array_compact(F.array(best)))
+    text = F.regexp_replace(F.coalesce(draft, F.lit("")), _EVIDENCE, "“$1”")
+    lines = F.array_join(F.transform(shown, lambda q: F.concat(F.lit("[[EVIDENCE: "), q, F.lit("]]"))), "\n")
+    return F.when(F.size(shown) > 0, F.concat(F.regexp_replace(text, r"\s+$", ""), F.lit("\n\n"), lines)).otherwise(text)
+
+
+def _plain(text: str) -> str:
+    return " ".join(re.findall(r"[a-z0-9]+", (text or "").lower()))
 
 
 def _alike(a: str, b: str) -> bool:
@@ -156,11 +334,12 @@ def _alike(a: str, b: str) -> bool:
 
 
 def grounded(phrase: str, source: str, gap: int = 0) -> bool:
-    """Whether the words of a phrase stand in the source in order, each within gap words of the one before, inflection aside."""
+    """Whether the words of a phrase stand in the source in order, inflection aside, each the next one like it within gap words."""
     want, have = _plain(phrase).split(), _plain(source).split()
     ends = {k for k, t in enumerate(have) if want and _alike(want[0], t)}
     for word in want[1:]:
-        ends = {j for k in ends for j in range(k + 1, min(len(have), k + 2 + gap)) if _alike(word, have[j])}
+        after = (next((j for j in range(k + 1, min(len(have), k + 2 + gap)) if _alike(word, have[j])), None) for k in ends)
+        ends = {j for j in after if j is not None}
     return bool(ends)
 
 
@@ -173,10 +352,19 @@ def grounded_udf(phrase: Column, source: Column, gap: Column) -> Column:
     return F.pandas_udf(run, "boolean")(phrase, source, gap)
 
 
-def hint_anchor_udf(transcript: Column, hints: Column) -> Column:
-    """hint_anchor() on columns."""
+def quoted_in(quote: Column, source: Column) -> Column:
+    """Whether a quotation of five words or more stands in the source: whole, or its first or last five words."""
+    q, s = plain_key(F.coalesce(quote, F.lit(""))), plain_key(F.coalesce(source, F.lit("")))
+    words = F.split(q, " ")
+    some = lambda a: F.contains(s, F.array_join(a, " "))
+    return (F.size(words) >= 5) & (F.contains(s, q) | some(F.slice(words, 1, 5)) | some(F.slice(words, -5, 5)))
+
 
-    def run(transcript: pd.Series, hints: pd.Series) -> pd.Series:
-        return pd.Series([hint_anchor(t, h) for t, h in zip(transcript, hints, strict=True)], dtype="Int32")
+def grounded_items(items: DataFrame, source: str, word: str = "word", category: str = "category", sentence: str = "source_sentence") -> DataFrame:
+    """The vocabulary items that their source holds: grammar by its sentence, phrasal verbs with up to four words between, others as they stand.
 
-    return F.pandas_udf(run, "int")(transcript, hints)
+    A source without any word proves nothing and drops nothing.
+    """
+    gap = F.when(F.col(category) == "phrasal_verb", 4).otherwise(0)
+    ok = F.when(F.col(category) == "grammar", quoted_in(F.col(sentence), F.col(source))).otherwise(grounded_udf(F.coalesce(word, F.lit("")), F.coalesce(source, F.lit("")), gap))
+    return items.where((plain_key(F.coalesce(source, F.lit(""))) == "") | ok)

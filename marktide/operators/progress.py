@@ -77,8 +77,8 @@ def node_state(passed: Column, opens: Column, closes: Column, prior_passed: Colu
     )
 
 
-def rewards_due(progress: DataFrame, rules: DataFrame) -> DataFrame:
-    """rules (reward_id, kind milestone/total_score/streak, target), a short list: those that each row of progress has reached."""
+def rewards_due(progress: DataFrame, rules: DataFrame, key: str) -> DataFrame:
+    """rules (key, reward_id, kind milestone/total_score/streak, target, ...): those of its key that each row of progress has reached."""
+    rows = progress.join(rules, key)
     value = F.when(F.col("kind") == "milestone", F.col("completed")).when(F.col("kind") == "total_score", F.col("total_score")).otherwise(F.col("streak"))
-    table = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in ("reward_id", "kind", "target")]) for r in rules.collect()])
-    return progress.select("*", F.inline(table)).where(value >= F.greatest(F.lit(0), F.col("target")))
+    return rows.where(value >= F.greatest(F.lit(0), F.col("target")))

@@ -18,6 +18,12 @@ CONNECTORS = ["in response to", "in terms of", "as a result of", "with regard to
 CATEGORIES = ["word", "phrasal_verb", "idiom", "collocation", "grammar"]
 ALIASES = {"phrasal verb": "phrasal_verb", "phrasalverb": "phrasal_verb", "phrasal": "phrasal_verb", "idioms": "idiom", "expression": "collocation", "fixed expression": "collocation", "collocations": "collocation", "prepositional phrase": "collocation", "linking phrase": "collocation", "grammar structure": "grammar", "structure": "grammar", "single word": "word", "vocabulary": "word", "vocab": "word"}
 DROP = "__drop__"
+COPULAS = "being been be is are was were".split()
+AUXILIARIES = "have has had is are was were am be been being will would".split()
+TENSE_WORDS = (" tense", "passive voice", "passive tense")
+LEADING_PREPOSITIONS = "in on at by with for as of to from due owing prior apart regardless".split()
+NO_VERB = "the a an in on at by".split()
+THIRD_AFTER_WORD, THIRD = "with to for on".split(), "with to for on of from".split()
 
 
 def spaced(text: Column) -> Column:
@@ -34,6 +40,7 @@ def known_category(label: Column) -> Column:
 
 def is_template(pattern: Column) -> Column:
     """Whether a grammar item has slots or names a structure, so that it is more than one conjugated phrase."""
+    # Signs of a slot, names of slots, names of structures.
     return (
         pattern.rlike(r"\.\.\.|…|\+|/") | pattern.rlike(r"\b(?:S|V|O|N|sb|sth|adj|inf|to-infinitive|infinitive)\b")
         | pattern.rlike("(?i)inversion|passive|cleft|conditional|comparative|correlative|relative clause|reported speech|subjunctive|gerund")
@@ -49,40 +56,55 @@ def _head(word: Column) -> Column:
 
 
 def categories(items: DataFrame, prepositional: DataFrame, basic: DataFrame, word: str = "word", label: str = "category") -> DataFrame:
-    """items with word (spaced, phrasal verbs cut to the verb itself) and category; items that are dropped are left out.
+    """items with word (a phrasal verb cut to the verb itself) and category; items that are dropped are left out.
 
     prepositional (phrase) lists verbs whose preposition keeps its meaning, basic (verb) everyday verbs; both are joined by
-    their text, so they may be long. figurative (boolean) is used if items has it. Known phrases decide first; then the
-    shape of the phrase: a particle after a verb makes a phrasal verb, an idiom needs evidence that it is figurative.
+    their text, so they may be long. figurative, established (boolean), confidence and meaning are used if items has them.
+    Known phrases decide first; then the shape of the phrase: a particle after a verb makes a phrasal verb, an idiom needs
+    evidence that it is figurative, of no low confidence. A leading "to" goes from phrasal verbs alone.
     """
-    figurative = F.coalesce(F.col("figurative"), F.lit(False)) if "figurative" in items.columns else F.lit(False)
+    have = lambda c, other: F.col(c) if c in items.columns else other
+    figurative = F.coalesce(have("figurative", F.lit(False)), F.lit(False))
+    sure = F.coalesce(have("established", F.lit(True)), F.lit(True)) & (F.lower(F.coalesce(have("confidence", F.lit("")), F.lit(""))) != "low")
     start = spaced(F.col(word))
-    rows = items.withColumns({"_given": known_category(F.col(label)), "_verb": _head(start), "_w": F.coalesce(_head(start), F.regexp_replace(start, "^to (?=[^ ]+ [^ ])", "")), "_raw": start, "_figurative": figurative})
+    rows = items.withColumns({"_head": _head(start), "_given": known_category(F.col(label)), "_figurative": figurative & sure, "_meaning": F.lower(F.coalesce(have("meaning", F.lit("")), F.lit("")))})
+    rows = rows.withColumn("_w", F.coalesce("_head", start))
+    rows = rows.withColumns({"_t": F.split("_w", " "), "_bare": F.when(F.col("_w").rlike("^to [^ ]+ [^ ]"), F.substring("_w", 4, 1_000_000)).otherwise(F.col("_w"))})
+    rows = rows.withColumn("_bt", F.split("_bare", " "))
     lists = prepositional.select(F.col("phrase").alias("_p")).distinct()
     everyday = basic.select(F.col("verb").alias("_b")).distinct()
-    rows = rows.withColumns({"_t": F.split("_w", " "), "_first": F.element_at(F.split("_w", " "), 1)})
-    rows = rows.join(lists, F.col("_w") == F.col("_p"), "left").join(everyday, F.col("_first") == F.col("_b"), "left")
-    t, raw = F.col("_t"), F.col("_raw")
-    n, second, last = F.size(t), F.get(t, F.lit(1)), F.element_at(t, -1)
-    particle = F.coalesce(second.isin(PARTICLES), F.lit(False))
-    bare = F.col("_b").isNotNull() & (n == 2) & F.coalesce(second.isin(PLAIN_PREPOSITIONS), F.lit(False))
-    with_particle = particle & ((n == 2) | ((n == 3) & last.isin("with", "to", "for", "on", "of", "from")))
-    by_shape = F.when(bare, DROP).when(with_particle, "phrasal_verb").otherwise("collocation")
-    copula = F.col("_first").isin("being", "been", "be", "is", "are", "was", "were")
-    later = F.exists(F.slice(t, 2, 100), lambda x: x.isin(PARTICLES))
-    category = (
-        F.when(F.col("_given") == DROP, DROP)
-        .when(F.col("_verb").isNotNull(), "phrasal_verb")
-        .when(F.col("_p").isNotNull() | raw.isin(CONNECTORS + FIXED_PHRASES), F.lit("collocation"))
-        .when(raw.isin(IDIOMS), "idiom")
-        .when((n == 1) & F.col("_given").isin("idiom", "collocation", "word"), "word")
-        .when(F.col("_given") == "grammar", F.when((n <= 4) & F.col("_first").isin("in", "on", "at", "by", "with", "for", "as", "of", "to", "from", "due", "owing", "prior", "apart", "regardless"), by_shape).when(is_template(F.col(word)), "grammar").otherwise(DROP))
-        .when((F.col("_given") == "idiom") & F.col("_figurative"), "idiom")
-        .when(F.col("_given") == "phrasal_verb", F.when(copula | (n < 2), DROP).when(later, "phrasal_verb").when(bare, DROP).otherwise("collocation"))
-        .otherwise(by_shape)
+    rows = rows.join(lists, F.regexp_replace("_w", "^to ", "") == F.col("_p"), "left").join(everyday, F.get("_bt", F.lit(0)) == F.col("_b"), "left")
+    w, t, bt = F.col("_w"), F.col("_t"), F.col("_bt")
+    n, first, second, third, last = F.size(t), F.get(t, F.lit(0)), F.get(t, F.lit(1)), F.get(t, F.lit(2)), F.element_at(t, -1)
+    within = lambda c, words: F.coalesce(c.isin(words), F.lit(False))
+    particle, everyday_verb = within(second, PARTICLES), F.col("_b").isNotNull()
+    locked = F.col("_p").isNotNull() & ~w.isin(PHRASAL)
+    c = F.when(F.col("_head").isNotNull(), "phrasal_verb").otherwise(F.col("_given"))
+    known = (
+        F.when(locked | w.isin(FIXED_PHRASES), "collocation").when(w.isin(IDIOMS), "idiom").when(w.isin(PHRASAL), "phrasal_verb").when(w.isin(CONNECTORS), "collocation")
+        .when((w != "") & (n == 1) & c.isin("idiom", "collocation"), "word").when((c == "grammar") & (n <= 4) & within(first, LEADING_PREPOSITIONS), "collocation").otherwise(c)
     )
-    kept = rows.withColumn("_c", category).where(F.col("_c") != DROP)
-    shown = F.when(F.col("_c") == "phrasal_verb", F.col("_w")).otherwise(F.col("_raw"))
+    rows = rows.withColumn("_c", F.when(F.col("_given") == DROP, DROP).otherwise(known))
+    c = F.col("_c")
+    with_particle = particle & ((n == 2) | ((n == 3) & within(third, THIRD_AFTER_WORD)))
+    c = F.when((c == "word") & (n > 1), F.when(with_particle, "phrasal_verb").otherwise("collocation")).otherwise(c)
+    two = (n == 2) & ~within(first, NO_VERB) & within(last, PARTICLES)
+    c = F.when(c == "idiom", F.when(w.isin(IDIOMS) | F.col("_figurative"), "idiom").when(two, "phrasal_verb").otherwise("collocation")).otherwise(c)
+    shaped = F.when((n == 2) & within(second, PLAIN_PREPOSITIONS) & everyday_verb, DROP).when(particle & ((n == 2) | ((n == 3) & within(third, THIRD))), "phrasal_verb").otherwise("collocation")
+    rows = rows.withColumn("_c", c)
+    rows = rows.withColumn("_c", F.when((F.col("_c") == "collocation") & ~locked, shaped).otherwise(F.col("_c")))
+    later = F.exists(F.slice(bt, 2, 100), lambda x: x.isin(PARTICLES))
+    verb = (
+        F.when(F.col("_bare").isin(PHRASAL), "phrasal_verb").when(within(F.get(bt, F.lit(0)), COPULAS) | (F.size(bt) < 2), DROP).when(later, "phrasal_verb")
+        .when(everyday_verb & within(F.get(bt, F.lit(1)), PLAIN_PREPOSITIONS), DROP).otherwise("collocation")
+    )
+    was_verb = F.col("_c") == "phrasal_verb"
+    rows = rows.withColumns({"_shown": F.when(F.col("_head").isNotNull(), F.col("_head")).otherwise(F.trim(F.col(word))), "_was": was_verb, "_c": F.when(was_verb, verb).otherwise(F.col("_c"))})
+    now = F.get(F.split(F.when(F.col("_was"), F.col("_bare")).otherwise(w), " "), F.lit(0))
+    tense = F.exists(F.array(*map(F.lit, TENSE_WORDS)), lambda x: F.contains(F.col("_meaning"), x))
+    gone = (F.col("_c").isin("collocation", "word", "idiom") & within(now, AUXILIARIES) & tense) | ((F.col("_c") == "grammar") & ~is_template(F.coalesce(F.col(word), F.lit(""))))
+    kept = rows.where((F.col("_c") != DROP) & ~gone)
+    shown = F.when(F.col("_was") & (F.col("_bare") != w), F.col("_bare")).otherwise(F.col("_shown"))
     return kept.withColumns({word: shown, label: F.col("_c")}).select(*dict.fromkeys([*items.columns, label]))
 
 
@@ -90,21 +112,35 @@ def categories(items: DataFrame, prepositional: DataFrame, basic: DataFrame, wor
 TYPES = {"single_word": "word", "word": "word", "grammar_template": "grammar", "grammar": "grammar", "phrasal_verb": "phrasal_verb", "prepositional_verb": "collocation", "collocation": "collocation", "fixed_phrase": "collocation", "prepositional_phrase": "collocation", "expression": "collocation", "idiom": "idiom"}
 
 
-def apply_labels(items: DataFrame, labels: DataFrame, word: str = "word", label: str = "category") -> DataFrame:
+def apply_labels(items: DataFrame, labels: DataFrame, word: str = "word", label: str = "category", place: str | None = None) -> DataFrame:
     """items with the category that labels (word, keep, established, figurative, lexical_type, confidence) give their word.
 
     An idiom needs figurative true and a phrasal verb of low confidence is a collocation. Items that a label does not keep
-    are dropped, items without a label stay as they are. Of several labels of a word the largest counts.
+    are dropped, items without a label stay as they are. Of several labels of a word the largest counts. place: a column of
+    both tables, from 0; where both have as many rows, an item without a label of its word takes the one at its place. If
+    labels has canonical_form, a phrasal verb takes it where its source_sentence (or example) holds it.
     """
-    one = labels.groupBy(spaced(F.col("word")).alias("_w")).agg(F.max(F.struct("keep", "established", "figurative", "lexical_type", "confidence")).alias("_l"))
+    canonical = F.col("canonical_form") if "canonical_form" in labels.columns else F.lit(None).cast("string")
+    parts = F.struct("keep", "established", "figurative", "lexical_type", "confidence", canonical.alias("canonical_form"))
+    one = labels.groupBy(spaced(F.col("word")).alias("_w")).agg(F.max(parts).alias("_l"))
     rows = items.join(one, spaced(F.col(word)) == F.col("_w"), "left")
+    if place:
+        sizes = items.agg(F.count("*").alias("_n")).crossJoin(labels.agg(F.count("*").alias("_m")))  # one row
+        at = labels.groupBy(F.col(place).alias("_i")).agg(F.max(parts).alias("_o"))
+        rows = rows.join(at, F.col(place) == F.col("_i"), "left").crossJoin(F.broadcast(sizes))
+        rows = rows.withColumn("_l", F.coalesce("_l", F.when(F.col("_n") == F.col("_m"), F.col("_o"))))
     kind = F.regexp_replace(F.trim(F.lower(F.coalesce(F.col("_l.lexical_type"), F.lit("")))), "[- ]", "_")
     base = F.try_element_at(F.create_map(*[F.lit(x) for kv in TYPES.items() for x in kv]), kind)
     low = F.lower(F.trim(F.coalesce(F.col("_l.confidence"), F.lit("medium")))) == "low"
     weak = ((base == "idiom") & ~F.coalesce(F.col("_l.figurative"), F.lit(False))) | ((base == "phrasal_verb") & low)
     gone = ~F.coalesce(F.col("_l.keep"), F.lit(True)) | ~F.coalesce(F.col("_l.established"), F.lit(True)) | kind.isin("not_lexical", "drop")
     found = F.when(weak, "collocation").otherwise(F.coalesce(base, F.col(label)))
-    return rows.where(~gone).withColumn(label, found).withColumn("figurative", F.col("_l.figurative")).select(*dict.fromkeys([*items.columns, "figurative"]))
+    form = spaced(F.col("_l.canonical_form"))
+    context = F.coalesce(*[F.col(c) for c in ("source_sentence", "example") if c in items.columns], F.lit(""))
+    held = F.contains(F.concat(F.lit(" "), spaced(F.regexp_replace(F.lower(context), "[^a-z0-9' ]", " ")), F.lit(" ")), F.concat(F.lit(" "), form, F.lit(" ")))
+    cut = (kind == "phrasal_verb") & F.size(F.split(form, " ")).between(2, 5) & held
+    out = rows.where(~gone).withColumns({word: F.when(F.coalesce(cut, F.lit(False)), form).otherwise(F.col(word)), label: found, "figurative": F.col("_l.figurative"), "established": F.col("_l.established"), "confidence": F.col("_l.confidence")})
+    return out.select(*dict.fromkeys([*items.columns, "figurative", "established", "confidence"]))
 
 
 def gapped(word: Column, example: Column, gap: str = "·····") -> Column:
@@ -146,6 +182,13 @@ def act_reward(ante: Column, factor: Column, chain: Column, boss: Column, pot: C
     return half_up(base * F.when(boss, 2).otherwise(1) * pot)
 
 
+def tile_answers(answers: DataFrame, tiles: DataFrame, who: list[str], order: list[str]) -> DataFrame:
+    """answers (who, order, card_id, tile_id) against tiles (tile_id, card_id): right if the tile is the card's own; with the chain of right ones."""
+    known = tiles.select(F.col("tile_id").alias("_t"), F.col("card_id").alias("_c"))
+    rows = answers.join(known, F.col("tile_id") == F.col("_t"), "left").withColumn("right", F.coalesce(F.col("card_id") == F.col("_c"), F.lit(False))).drop("_t", "_c")
+    return answer_chains(rows, who, order, "right")
+
+
 def answer_chains(answers: DataFrame, who: list[str], order: list[str], correct: str) -> DataFrame:
     """answers with chain: right answers in a row up to each, 0 at a wrong one."""
     w = Window.partitionBy(*who).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

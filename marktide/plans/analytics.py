@@ -130,14 +130,6 @@ def attempt_cap(spark, d):
     return n.withColumn("allowed", F.col("n_attempts") < 3)
 
 
-def attempt_gate(spark, d):
-    """The first reason that keeps an attempt from starting."""
-    hour = F.hour("at") * 0 + F.col("attempt_id") % 24
-    used = F.row_number().over(Window.partitionBy("student_id", "exam_id").orderBy("at", "attempt_id")) - 1
-    reason = F.when(F.col("student_id") % 97 == 0, "banned").when(hour < 6, "not_open").when(hour > 21, "closed").when((F.col("exam_id") % 11 == 0) & (F.col("attempt_id") % 3 != 0), "browser").when((F.col("exam_id") % 7 == 0) & (F.col("attempt_id") % 5 == 0), "passcode").when(F.col("used") >= 2, "attempts").otherwise("open")
-    return attempts(spark, d).withColumn("used", used).select("attempt_id", reason.alias("reason"))
-
-
 def category_shortfall(spark, d):
     target = spark.createDataFrame([("A", 20_000), ("N", 30_000), ("R", 10_000), ("X", 5)], "label string, wanted long")
     have = items(spark, d).groupBy("label").agg(F.count("*").alias("n"))
@@ -153,7 +145,7 @@ def answer_percent(spark, d):
     return items(spark, d).groupBy("attempt_id").agg(percent(F.count_if(F.col("mark") < 4), F.count("*")).alias("progress"))
 
 
-QUERIES = {f.__name__: f for f in (error_by_type, weak_students_top6, student_type_profile, finance_stats, unpaid_by_student, roster_totals, lesson_earnings, skill_time_split, band_lookup, band_histogram, band_filter, avg_band, band_series, recent_distinct_tests, scoring_groups, attempt_score, question_numbers, attempt_cap, attempt_gate, category_shortfall, rolling_cap, answer_percent)}
+QUERIES = {f.__name__: f for f in (error_by_type, weak_students_top6, student_type_profile, finance_stats, unpaid_by_student, roster_totals, lesson_earnings, skill_time_split, band_lookup, band_histogram, band_filter, avg_band, band_series, recent_distinct_tests, scoring_groups, attempt_score, question_numbers, attempt_cap, category_shortfall, rolling_cap, answer_percent)}
 
 _ORDER = "l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate"
 _GROUPED = f"""
@@ -196,10 +188,6 @@ ORACLE_SQL = {
         SELECT l_orderkey AS attempt_id, max(first_no) AS last_first, sum(first_no)::BIGINT AS sum_first, max(CASE WHEN pts > 1 THEN first_no || '-' || (first_no + pts - 1) ELSE first_no::VARCHAR END) AS top_label FROM f GROUP BY 1
     """,
     "attempt_cap": "SELECT o_custkey AS student_id, o_orderkey % 50 AS exam_id, count(*) AS n_attempts, count(*) < 3 AS allowed FROM orders GROUP BY 1, 2",
-    "attempt_gate": """
-        WITH t AS (SELECT o_orderkey AS a, o_custkey AS s, o_orderkey % 50 AS e, o_orderkey % 24 AS h, row_number() OVER (PARTITION BY o_custkey, o_orderkey % 50 ORDER BY o_orderdate, o_orderkey) - 1 AS used FROM orders)
-        SELECT a AS attempt_id, CASE WHEN s % 97 = 0 THEN 'banned' WHEN h < 6 THEN 'not_open' WHEN h > 21 THEN 'closed' WHEN e % 11 = 0 AND a % 3 <> 0 THEN 'browser' WHEN e % 7 = 0 AND a % 5 = 0 THEN 'passcode' WHEN used >= 2 THEN 'attempts' ELSE 'open' END AS reason FROM t
-    """,
     "category_shortfall": "SELECT label, count(l_orderkey) AS n, greatest(0, wanted - count(l_orderkey))::BIGINT AS short FROM (VALUES ('A', 20000), ('N', 30000), ('R', 10000), ('X', 5)) t(label, wanted) LEFT JOIN lineitem ON l_returnflag = label GROUP BY label, wanted",
     "rolling_cap": "SELECT user_id, count(*) AS n, min(ts) AS oldest FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 50) GROUP BY 1",
     "answer_percent": "SELECT l_orderkey AS attempt_id, floor(100.0 * count(*) FILTER (l_partkey % 5 < 4) / count(*) + 0.5)::BIGINT AS progress FROM lineitem GROUP BY 1",

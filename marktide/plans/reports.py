@@ -192,25 +192,6 @@ def masked_text(spark, d):
     return table(spark, d, "pages").select("page_id", F.length(bare).alias("n_left"), F.md5(bare.cast("binary")).alias("digest"))
 
 
-def _cards(spark, d):
-    rows = table(spark, d, "part")
-    verb = F.element_at(F.array(*map(F.lit, ("depend on", "carry out", "look at", "carry out the plan", "go over", "in terms of", "bear fruit", "look forward to", "make peace", "to carry on"))), (F.col("p_partkey") % 10 + 1).cast("int"))
-    word = F.when(F.col("p_partkey") % 3 > 0, verb).otherwise(F.element_at(F.split("p_name", " "), 1))
-    label = F.element_at(F.array(*map(F.lit, ("Idioms", "phrasal-verb", "word", "collocation", "other", "__drop__"))), (F.col("p_partkey") % 6 + 1).cast("int"))
-    return rows.select("p_partkey", word.alias("word"), label.alias("category"))
-
-
-def vocab_category(spark, d):
-    prepositional = spark.createDataFrame([("depend on",), ("rely on",)], "phrase string")
-    basic = spark.createDataFrame([("look",), ("go",), ("make",)], "verb string")
-    return vocabulary.categories(_cards(spark, d), prepositional, basic)
-
-
-def vocab_labels(spark, d):
-    labels = spark.createDataFrame([("bear fruit", True, True, True, "idiom", "high"), ("carry out", True, None, None, "phrasal verb", "low"), ("look at", False, None, None, "drop", None), ("go over", True, False, None, "phrasal_verb", "high"), ("make peace", True, True, False, "idiom", "high")], "word string, keep boolean, established boolean, figurative boolean, lexical_type string, confidence string")
-    return vocabulary.apply_labels(_cards(spark, d), labels).withColumn("figurative", F.coalesce("figurative", F.lit(False)))
-
-
 def example_gap(spark, d):
     words = F.split("text", " ")
     word = F.regexp_replace(F.get(words, (F.col("item_id") % 9).cast("int")), "[^a-zA-Z]", "")
@@ -240,7 +221,7 @@ def result_queue(spark, d):
     return last.join(rows.where("event_id % 11 = 0").select("result_id").distinct(), "result_id", "left_anti")
 
 
-QUERIES = {f.__name__: f for f in (report_lessons, report_students, report_results, report_answers, student_kpis, answer_keys, xlsx_export, lesson_insert, lesson_operations, student_upsert, balance_operations, schedule_prepend, log_newest, notifications, quest_launch, signal_incidents, exam_time_left, option_lines, option_lines_all, question_kinds, answer_map, audio_links, audio_keys, json_items, masked_text, vocab_category, vocab_labels, example_gap, vocab_wave, act_reward, answer_chain, result_queue)}
+QUERIES = {f.__name__: f for f in (report_lessons, report_students, report_results, report_answers, student_kpis, answer_keys, xlsx_export, lesson_insert, lesson_operations, student_upsert, balance_operations, schedule_prepend, log_newest, notifications, quest_launch, signal_incidents, exam_time_left, option_lines, option_lines_all, question_kinds, answer_map, audio_links, audio_keys, json_items, masked_text, example_gap, vocab_wave, act_reward, answer_chain, result_queue)}
 
 _LESSON = "(o_orderkey * 37) % 9000"
 _COINS = "CASE WHEN s >= 7200 THEN 60 WHEN s >= 3600 THEN 25 WHEN s >= 1800 THEN 10 ELSE 0 END"
@@ -254,7 +235,6 @@ _QUESTION = r"""
         CASE p_partkey % 3 WHEN 0 THEN chr((65 + p_partkey % 6)::INT) WHEN 1 THEN upper(w[2]) ELSE 'none' END AS answer
     FROM (SELECT *, string_split(p_name || ' ' || lower(p_type) || ' ' || lower(p_brand), ' ') AS w FROM part)
 """
-_CARD = "SELECT p_partkey, CASE WHEN p_partkey % 3 > 0 THEN (['depend on', 'carry out', 'look at', 'carry out the plan', 'go over', 'in terms of', 'bear fruit', 'look forward to', 'make peace', 'to carry on'])[p_partkey % 10 + 1] ELSE string_split(p_name, ' ')[1] END AS word, p_partkey % 6 AS k FROM part"
 ORACLE_SQL = {
     "report_lessons": f"SELECT o_orderkey AS lesson_id, o_orderdate AS at, c_name AS name, coalesce(skills, '') AS skills, floor({_LESSON} / 60 + 0.5)::BIGINT AS minutes, {_CENTS.format('o_totalprice')} AS amount_cents, CASE WHEN o_orderstatus = 'F' THEN 'paid' ELSE 'unpaid' END AS paid FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN (SELECT l_orderkey, string_agg(DISTINCT l_returnflag, ' - ' ORDER BY l_returnflag) AS skills FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey",
     "report_students": f"SELECT c_custkey AS student_id, c_name AS name, c_mktsegment AS cefr, coalesce(debt, 0)::BIGINT AS debt_cents FROM customer LEFT JOIN (SELECT o_custkey, sum({_CENTS.format('o_totalprice')}) AS debt FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1) ON o_custkey = c_custkey",
@@ -318,15 +298,6 @@ ORACLE_SQL = {
     "audio_keys": "SELECT p_partkey, CASE WHEN ok THEN 'exam-audio/' || p_name END AS path, CASE WHEN ok THEN p_partkey::VARCHAR END AS token FROM (SELECT *, p_partkey % 3 > 0 AND p_partkey % 5 > 0 AND p_partkey % 7 > 0 AS ok FROM part)",
     "json_items": "SELECT event_id, CASE event_id % 7 WHEN 0 THEN 2 WHEN 4 THEN 0 WHEN 5 THEN -1 WHEN 6 THEN -1 ELSE 1 END::INT AS n_items, CASE WHEN event_id % 7 < 4 THEN (props ->> 'k')::BIGINT ELSE -1 END AS k FROM events",
     "masked_text": f"SELECT page_id, length(t)::INT AS n_left, md5(t) AS digest FROM (SELECT page_id, {_MASK} AS t FROM pages)",
-    "vocab_category": f"""
-        SELECT p_partkey, CASE WHEN word = 'carry out the plan' THEN 'carry out' WHEN word = 'to carry on' THEN 'carry on' ELSE word END AS word,
-            CASE WHEN word IN ('carry out', 'carry out the plan', 'look forward to', 'go over', 'to carry on') THEN 'phrasal_verb' WHEN word IN ('depend on', 'in terms of', 'make peace') THEN 'collocation' WHEN word = 'bear fruit' THEN 'idiom' ELSE 'word' END AS category
-        FROM ({_CARD}) WHERE k <> 5 AND word <> 'look at' AND NOT (strpos(word, ' ') = 0 AND k = 1)
-    """,
-    "vocab_labels": f"""
-        SELECT p_partkey, word, CASE word WHEN 'bear fruit' THEN 'idiom' WHEN 'carry out' THEN 'collocation' WHEN 'make peace' THEN 'collocation' ELSE (['Idioms', 'phrasal-verb', 'word', 'collocation', 'other', '__drop__'])[k + 1] END AS category,
-            word = 'bear fruit' AS figurative FROM ({_CARD}) WHERE word NOT IN ('look at', 'go over')
-    """,
     "act_reward": "SELECT event_id, floor((floor((5 + event_id % 12 * 3) * (([1.0, 1.4, 1.6, 1.5, 1.3])[event_id % 5 + 1])::DOUBLE + 0.5) + event_id % 4) * (CASE WHEN event_id % 3 = 0 THEN 2 ELSE 1 END) * 1.5::DOUBLE + 0.5)::BIGINT AS reward FROM events",
     "answer_chain": "SELECT event_id, (sum((value >= 30)::INT) OVER (PARTITION BY user_id, lost ORDER BY ts, event_id))::BIGINT AS chain FROM (SELECT *, sum((value < 30)::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS lost FROM events)",
     "result_queue": "SELECT event_id % 4000 AS result_id, arg_max(event_id, (ts, event_id)) AS event_id, max(ts) AS at FROM events GROUP BY 1 HAVING NOT bool_or(event_id % 11 = 0)",

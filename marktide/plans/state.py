@@ -34,8 +34,8 @@ def quest_node_state(spark, d):
 
 
 def quest_rewards(spark, d):
-    rules = spark.createDataFrame([("m3", "milestone", 3), ("s1500", "total_score", 1500), ("k5", "streak", 5)], "reward_id string, kind string, target long")
-    return progress.rewards_due(quest_progress(spark, d), rules).select("student_id", "reward_id")
+    rules = spark.createDataFrame([("t", "m3", "milestone", 3), ("t", "s1500", "total_score", 1500), ("t", "k5", "streak", 5)], "topic_id string, reward_id string, kind string, target long")
+    return progress.rewards_due(quest_progress(spark, d).withColumn("topic_id", F.lit("t")), rules, "topic_id").select("student_id", "reward_id")
 
 
 def coin_rewards(spark, d):

@@ -20,12 +20,7 @@ def sentence_split(spark, d):
 
 
 def text_key(spark, d):
-    return table(spark, d, "part").select("p_partkey", item_key(F.concat(F.col("p_name"), F.lit(" É-") , F.col("p_type"))).alias("item_key"), plain_key(F.concat(F.col("p_name"), F.lit(" É-"), F.col("p_type"))).alias("word_key"))
-
-
-def grammar_detect(spark, d):
-    keys = alignment.grammar_keys(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", F.array_join(keys, ",").alias("keys")).where("keys <> ''")
+    return table(spark, d, "part").select("p_partkey", item_key(F.concat(F.col("p_name"), F.lit(" É-Nguyễn Thị Ngọc Đạt e\u0301 "), F.col("p_type"))).alias("item_key"), plain_key(F.concat(F.col("p_name"), F.lit(" É-"), F.col("p_type"))).alias("word_key"))
 
 
 def evidence_valid(spark, d):
@@ -47,7 +42,7 @@ def label_join(spark, d):
     labels = table(spark, d, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     docs = table(spark, d, "documents").select("doc_id", "lang")
     by_lang = docs.join(labels, "doc_id").groupBy("lang").agg(F.max_by("toxic", F.col("doc_id")).alias("usual"))
-    return docs.join(labels, "doc_id", "left").join(F.broadcast(by_lang), "lang", "left").select("doc_id", F.coalesce("toxic", "usual").alias("label"), F.col("toxic").isNull().alias("inferred"))
+    return docs.join(labels, "doc_id", "left").join(by_lang, "lang", "left").select("doc_id", F.coalesce("toxic", "usual").alias("label"), F.col("toxic").isNull().alias("inferred"))
 
 
 def _segments(spark, d):
@@ -60,15 +55,6 @@ def transcript_blocks(spark, d):
     return blocks.select("conv_id", "block_no", F.concat(F.lit("("), clock(F.col("start_s")), F.lit(" - "), clock(F.col("end_s")), F.lit(")")).alias("mark"), F.length("block_text").alias("n_chars"))
 
 
-def hint_anchor(spark, d):
-    """Where a conversation's last turn is closest to, by words."""
-    blocks = alignment.transcript_blocks(_segments(spark, d), "conv_id", "turn", "s", "e", "text")
-    mark = F.concat(F.lit("("), clock(F.col("start_s")), F.lit(" - "), clock(F.col("end_s")), F.lit(")\n"), F.col("block_text"), F.lit("\n\n"))
-    script = blocks.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block_no", mark.alias("m")))), lambda x: x["m"]), "").alias("script"))
-    last = table(spark, d, "conversations").groupBy("conv_id").agg(F.max_by("text", "turn").alias("hint"))
-    return script.join(last, "conv_id").select("conv_id", alignment.hint_anchor_udf("script", "hint").alias("anchor"))
-
-
 def phrase_ground(spark, d):
     """Whether the words of an item stand in the document with its number, with and without gaps."""
     rows = table(spark, d, "benchmark").join(table(spark, d, "documents").select("doc_id", F.col("text").alias("source")), F.col("doc_id") == F.col("item_id"))
@@ -81,7 +67,7 @@ def nearest_marker(spark, d):
     return _segments(spark, d).groupBy("conv_id").agg(F.min_by("s", F.struct(F.abs(F.col("s") - cited), F.col("turn"))).alias("nearest"))
 
 
-QUERIES = {f.__name__: f for f in (html_strip, sentence_split, text_key, grammar_detect, evidence_valid, evidence_fallback, label_join, transcript_blocks, hint_anchor, phrase_ground, nearest_marker)}
+QUERIES = {f.__name__: f for f in (html_strip, sentence_split, text_key, evidence_valid, evidence_fallback, label_join, transcript_blocks, phrase_ground, nearest_marker)}
 
 _S = r"[ \t\n\f\r]+"
 _SPLIT = rf"string_split(regexp_replace(text, '([.?!]){_S}', '\1' || chr(1), 'g'), chr(1))"
@@ -89,8 +75,7 @@ _KEY = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
 ORACLE_SQL = {
     "html_strip": rf"SELECT page_id, length(t)::INT AS n_chars, md5(t) AS digest FROM (SELECT page_id, trim(regexp_replace(replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '{_S}', ' ', 'g')) AS t FROM pages)",
     "sentence_split": f"SELECT doc_id, len({_SPLIT})::INT AS n_sentences, list_max(list_transform({_SPLIT}, lambda x: length(x)))::INT AS longest FROM documents",
-    "text_key": "SELECT p_partkey, " + _KEY.format("strip_accents(p_name || ' É-' || p_type)") + " AS item_key, " + _KEY.format("p_name || ' É-' || p_type") + " AS word_key FROM part",
-    "grammar_detect": "SELECT * FROM (SELECT doc_id, array_to_string(list_slice(list_filter([" + ", ".join("CASE WHEN regexp_matches(lower(text), '" + p.replace("'", "''") + f"') THEN '{k}' END" for k, p in alignment.GRAMMAR) + "], lambda x: x IS NOT NULL), 1, 4), ',') AS keys FROM documents) WHERE keys <> ''",
+    "text_key": "SELECT p_partkey, " + _KEY.format("strip_accents(p_name || ' É-Nguyễn Thị Ngọc Đạt e\u0301 ' || p_type)") + " AS item_key, " + _KEY.format("p_name || ' É-' || p_type") + " AS word_key FROM part",
     "evidence_valid": rf"WITH p AS (SELECT doc_id, trim(regexp_replace(lower(coalesce(text, '')), '{_S}', ' ', 'g')) AS p FROM documents), q AS (SELECT item_id, trim(regexp_replace(lower(coalesce(text, '')), '{_S}', ' ', 'g')) AS q FROM benchmark) SELECT DISTINCT doc_id AS passage_id, item_id AS quote_id FROM p JOIN q ON q <> '' AND contains(' ' || p, ' ' || q)",
     "evidence_fallback": f"""
         WITH s AS (SELECT doc_id, unnest({_SPLIT}) AS sentence, generate_subscripts({_SPLIT}, 1) - 1 AS pos FROM documents),

@@ -23,16 +23,19 @@ def windowed(events: DataFrame, late: str = "1 day") -> DataFrame:
 
 
 def activity_windows(spark: SparkSession, path: str) -> DataFrame:
-    """Runs the stream over what is there and returns its windows."""
+    """Runs the stream over what is there and returns its windows.
+
+    Update mode: a batch writes the windows that it changed, keyed by its number, and the state of windows older than the
+    watermark goes. Readers take the last version of each window.
+    """
     out = new_path(spark, "activity")
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "event_type", "n", "top").write.mode("overwrite").parquet(f"{out}/{number}")
+        batch.select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "event_type", "n", "top").write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    query = windowed(heartbeats(spark, path)).writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", f"{out}-log").trigger(availableNow=True).start()
+    query = windowed(heartbeats(spark, path)).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{out}-log").trigger(availableNow=True).start()
     query.awaitTermination()
-    last = query.lastProgress["batchId"] if query.lastProgress else 0
-    return spark.read.parquet(f"{out}/{last}")
+    return merging.newest(spark.read.parquet(out), ["hour", "event_type"], [F.desc("batch")]).drop("batch")
 
 
 def ledger_sink(spark: SparkSession, table: str):

@@ -2,21 +2,15 @@
 
 from __future__ import annotations
 
-import io
 import random
-import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from marktide.functions import values
 from marktide.operators import alignment, merging, progress, scoring
-from marktide.sources import docx
 from marktide.streaming.presence import ledger_sink
 
-SCRIPT = "(0:10 - 0:20)\nThe caller says the answer is error and asks for help.\n\n(1:15 - 1:25)\nThe agent repeats the word error while explaining the follow-up process.\n"
-
-
 def one(spark, column):
     return spark.range(1).select(column).first()[0]
 
@@ -85,13 +79,16 @@ def test_overlay_twice_is_once(spark):
     assert sorted(map(tuple, once.collect())) == [(1, "a", 1), (2, "b", 5), (3, "c", 6)] == sorted(map(tuple, merging.overlay(once, b, "id").collect()))
 
 
-def test_anchors():
-    assert alignment.answer_anchor(SCRIPT, ["error", "other"], 0) == 10
-    assert alignment.answer_anchor(SCRIPT, ["error", "error"], 1) == 75
-    assert alignment.answer_anchor(SCRIPT, ["not present"], 0) is None
-    assert alignment.hint_anchor(SCRIPT, "follow-up process") == 75
-    assert alignment.settle_citations("See [1:15] and [2:00].", SCRIPT, 10) == "See [0:10] and."
-    assert alignment.settle_citations("See [1:15].", SCRIPT, None) == "See."
+def test_overlay_of_repeated_keys(spark):
+    a = spark.createDataFrame([(1, "a", 1), (1, "b", None), (None, "x", 3)], "id int, x string, y int")
+    b = spark.createDataFrame([(1, None, 5), (1, "c", 4), (2, "d", None)], "id int, x string, y int")
+    assert sorted(map(tuple, merging.overlay(a, b, "id").collect()), key=str) == [(1, "c", 4), (2, "d", None)]
+
+
+def test_changed_tells_nulls_apart(spark):
+    a = spark.createDataFrame([(1, None, 5), (2, None, None), (3, 1, 1)], "id int, x int, y int")
+    b = spark.createDataFrame([(1, 5, None), (2, None, None), (4, None, None)], "id int, x int, y int")
+    assert sorted(map(tuple, merging.changed(a, b, "id").collect())) == [(1, False), (4, True)]
 
 
 def test_grounded():
@@ -101,26 +98,6 @@ def test_grounded():
     assert not alignment.grounded("", "text")
 
 
-def test_grammar(spark):
-    text = "Never had it been so. It is said to rain; the bigger the box, the heavier the load."
-    assert one(spark, alignment.grammar_keys(F.lit(text))) == ["neg_inversion", "passive_report", "correlative_comp"] or one(spark, alignment.grammar_keys(F.lit(text)))[:2] == ["neg_inversion", "passive_report"]
-
-
-def _docx(lines):
-    body = "".join(f"<w:p><w:r><w:t>{x}</w:t></w:r></w:p>" for x in lines)
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
-        z.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{body}</w:body></w:document>')
-    return out.getvalue()
-
-
-def test_docx(spark, tmp_path):
-    (tmp_path / "a.docx").write_bytes(_docx(["[TITLE] T", "[PASSAGE] P", "[QUESTIONS]", "[CHOICE]", "Which one?", "A. red", "*B. blue", "[BLANK]", "The sky is ____"]))
-    (tmp_path / "b.docx").write_bytes(b"no archive")
-    rows = docx.read_exams(spark.read.format("binaryFile").load(str(tmp_path))).orderBy("path", "question_no").collect()
-    assert [(r.type, r.text, r.options, r.correct, r.error) for r in rows] == [("CHOICE", "Which one?", ["red", "blue"], [1], None), ("BLANK", "The sky is ____", [], [], None), (None, None, [], [], "not a Word document")]
-
-
 def test_ledger_sink_is_idempotent(spark):
     put = ledger_sink(spark, "ledger_test")
     batch = spark.createDataFrame([(1, 10), (2, 20), (2, 30)], "op_id long, ts long")
