@@ -2,8 +2,8 @@
 
 A gear hash rolls over the bytes of a text (its 16 bits hold the last 16 bytes). A chunk ends after white space where the
 top bits of the hash are low, so cuts depend on the bytes just before them alone: an insertion moves the cuts around it
-and no others. From each chunk on, as few chunks as hold MIN_WORDS words are a window, known by a 96-bit digest of its
-chunks' digests; one more ends with the text. A window that stands in a document with a smaller id is a repeat, of consecutive chunks there as here;
+and no others. From each chunk on, as few chunks as hold MIN_WORDS words are a window, known by 96 bits summed
+from its chunks' digests; one more ends with the text. A window that stands in a document with a smaller id is a repeat, of consecutive chunks there as here;
 overlapping repeats are one passage, and all documents but the one with the smallest id lose it.
 
 Windows are counted with map-side combining (smallest and largest document of each digest), so a passage that a third of
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tokens import in_small_batches
+
 WINDOW = 16
 #: Chunks end at one of so many word ends, and within long words at one of 256 bytes.
 WORDS_PER_CHUNK = 5
@@ -40,60 +43,92 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def cuts(raw: bytes) -> np.ndarray:
-    """Ascending chunk ends of a text's UTF-8 bytes, the last its length."""
-    b = np.frombuffer(raw, np.uint8)
-    n = len(b)
-    if not n:
-        return np.zeros(0, np.int64)
-    g = _GEAR[b]
+class Chunks(NamedTuple):
+    """The chunks of some texts, in order: which text, digest (two unsigned 64-bit numbers a row), first byte, end, words."""
+
+    text: np.ndarray
+    digest: np.ndarray
+    first: np.ndarray
+    end: np.ndarray
+    words: np.ndarray
+
+
+def chunk_table(texts: list[str | None]) -> Chunks:
+    """Cuts texts into chunks, all in one pass: WINDOW bytes that count as nothing stand before each."""
+    raws = [(t or "").encode("utf-8", "replace") for t in texts]
+    size = np.array([len(r) for r in raws], np.int64)
+    begin = np.cumsum(np.r_[0, size[:-1]]) + WINDOW * np.arange(1, len(raws) + 1) if len(raws) else size
+    joined = b"\0" * WINDOW + (b"\0" * WINDOW).join(raws)
+    b = np.frombuffer(joined, np.uint8)
+    own = np.ones(len(b), bool)
+    for k in range(1, WINDOW + 1):
+        own[begin - k] = False
+    g = np.where(own, _GEAR[b], np.uint16(0))
     h = g.copy()
-    for k in range(1, min(WINDOW, n)):
+    for k in range(1, WINDOW):
         h[k:] += g[:-k] << np.uint16(k)
-    space = _SPACE[b]
-    word_end = space.copy()
+    space = _SPACE[b] | ~own
+    word_end = space & own
     word_end[:-1] &= ~space[1:]  # the next byte starts a word
-    whole = np.ones(n, bool)
+    whole = np.ones(len(b), bool)
     whole[:-1] = (b[1:] & 0xC0) != 0x80  # the next byte starts a character
-    hit = (word_end & (h < (1 << 16) // WORDS_PER_CHUNK)) | (~space & whole & (h < 256))
-    hit[-1] = True
-    return np.flatnonzero(hit) + 1
+    hit = own & ((word_end & (h < (1 << 16) // WORDS_PER_CHUNK)) | (~space & whole & (h < 256)))
+    some = size > 0
+    hit[begin[some] + size[some] - 1] = True
+    end = np.flatnonzero(hit) + 1
+    text = np.searchsorted(begin, end - 1, side="right") - 1
+    start = np.r_[0, end[:-1]][: len(end)]
+    new = np.r_[True, text[1:] != text[:-1]] if len(end) else np.zeros(0, bool)
+    start[new] = begin[text[new]]
+    first = ~space
+    first[1:] &= space[:-1]
+    count = np.cumsum(first)
+    words = np.diff(np.r_[0, count[end - 1]])
+    digest = xxhash.xxh3_128_digest
+    found = b"".join([digest(joined[s:e].rstrip()) for s, e in zip(start.tolist(), end.tolist(), strict=True)])
+    return Chunks(text, np.frombuffer(found, "<u8").reshape(-1, 2), start - begin[text], end - begin[text], words)
 
 
 def chunks(text: str | None) -> list[tuple[int, int, int, int]]:
-    """(digest as signed 64 bits, first byte, end, words) of each chunk."""
-    raw = (text or "").encode("utf-8", "replace")
-    end = cuts(raw)
-    if not len(end):
-        return []
-    start = np.r_[0, end[:-1]]
-    space = _SPACE[np.frombuffer(raw, np.uint8)]
-    first = ~space
-    first[1:] &= space[:-1]
-    words = np.diff(np.r_[0, np.cumsum(first)[end - 1]])
-    digest = xxhash.xxh64_intdigest
-    d = np.array([digest(raw[s:e].rstrip()) for s, e in zip(start.tolist(), end.tolist(), strict=True)], np.uint64).view(np.int64)
-    return list(zip(d.tolist(), start.tolist(), end.tolist(), words.tolist(), strict=True))
+    """(digest, first byte, end, words) of each chunk."""
+    c = chunk_table([text])
+    return list(zip(c.digest[:, 0].tolist(), c.first.tolist(), c.end.tolist(), c.words.tolist(), strict=True))
 
 
-def windows(text: str | None, min_words: int = MIN_WORDS) -> list[tuple[int, int, int, int]]:
-    """(64 bits of the digest, 32 more, bytes, words) of each window; spans as start << 32 | end."""
-    found = chunks(text)
-    if not found:
-        return []
-    digest, first, end, words = (np.array(x, np.int64) for x in zip(*found, strict=True))
-    upto = np.cumsum(words)
+#: Odd multipliers: a window's digest is the sum of its chunks' digests times their powers, modulo 2^64.
+_STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
+
+
+def window_table(texts: list[str | None], min_words: int = MIN_WORDS) -> tuple[np.ndarray, ...]:
+    """Of each window: which text, 64 bits of its digest, 32 more, its bytes and its words; spans as start << 32 | end."""
+    text, digest, first, end, words = chunk_table(texts)
+    n = len(text)
+    upto = np.cumsum(words, dtype=np.int64)
     before = upto - words
+    stop_of = np.searchsorted(text, np.arange(len(texts)), side="right") - 1  # the last chunk of each text
     last = np.searchsorted(upto, before + min_words)  # the first chunk by which min_words words have begun
-    spans = [(k, int(last[k])) for k in np.flatnonzero(last < len(found)).tolist()]
-    if spans and spans[-1][1] < len(found) - 1:  # one more that ends with the text, so that its last words are in a window too
-        spans.append((int(np.searchsorted(before, upto[-1] - min_words, side="right")) - 1, len(found) - 1))
-    raw, out = digest.tobytes(), []
-    for k, j in spans:
-        h = xxhash.xxh3_128_intdigest(raw[8 * k : 8 * j + 8])
-        low, high = h & (2**64 - 1), (h >> 64) & (2**32 - 1)
-        out.append((low - (1 << 64) if low >> 63 else low, high - (1 << 32) if high >> 31 else high, int(first[k]) << 32 | int(end[j]), int(before[k]) << 32 | int(upto[j])))
-    return out
+    begin = np.flatnonzero(last <= stop_of[text]) if n else np.zeros(0, np.int64)
+    stop = last[begin]
+    # one more for each text that ends with it, so that its last words are in a window too
+    final = np.r_[text[begin][1:] != text[begin][:-1], True] if len(begin) else np.zeros(0, bool)
+    tail = stop_of[text[begin[final]]]
+    short = tail > stop[final]
+    extra = np.searchsorted(before, upto[tail[short]] - min_words, side="right") - 1
+    begin, stop = np.r_[begin, extra], np.r_[stop, tail[short]]
+    total, power, on, k = np.zeros((len(begin), 2), np.uint64), np.ones(2, np.uint64), np.arange(len(begin)), 0
+    while len(on):
+        total[on] += digest[begin[on] + k] * power
+        power = power * _STEP
+        k += 1
+        on = on[begin[on] + k <= stop[on]]
+    ahead = before[np.searchsorted(text, text[begin])] if n else stop  # words of the texts before
+    more = (total[:, 1] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return text[begin], total[:, 0].copy().view(np.int64), more, first[begin] << 32 | end[stop], (before[begin] - ahead) << 32 | (upto[stop] - ahead)
+
+
+def windows(text: str | None, min_words: int = MIN_WORDS) -> list[tuple[int, int, int, int]]:
+    """(64 bits of the digest, 32 more, bytes, words) of each window of one text."""
+    return list(zip(*(x.tolist() for x in window_table([text], min_words)[1:]), strict=True))
 
 
 _WINDOW = "doc_id long, row_key long, digest long, more int, bytes long, words long"
@@ -102,20 +137,11 @@ _WINDOW = "doc_id long, row_key long, digest long, more int, bytes long, words l
 def _window_rows(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in _WINDOW.split(", ")]
-        types = [pa.int64()] * 3 + [pa.int32()] + [pa.int64()] * 2
-
-        def out(rows: list[tuple]) -> pa.RecordBatch:
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 6
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
-
         for b in batches:
-            rows: list[tuple] = []
-            for i, key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                rows += [(i, key, *w) for w in windows(text, min_words)]
-                if len(rows) > 50_000:
-                    yield out(rows)
-                    rows = []
-            yield out(rows)
+            for start, texts in in_small_batches(b.column(2).to_pylist()):
+                text, *cols = window_table(texts, min_words)
+                at = pa.array(text + start)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *map(pa.array, cols)], names=names)
 
     return run
 
