@@ -40,10 +40,18 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five words, similarity 0.8) one row with the smallest id stays; a null id is larger than any other."""
-    groups = similar_groups(_keyed(docs), row_col="_llm_key")
+    """Of each group of near duplicates (five words, similarity 0.8) one row with the smallest id stays; a null id is larger than any other.
+
+    Texts meet only the list of rows that go, which Spark sends to all tasks while its file is small. Only if rows are
+    repeated (same id and text) texts are shuffled to keep one of each.
+    """
+    groups = saved(similar_groups(_keyed(docs), row_col="_llm_key"), "near-groups")
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
-    return _only(docs, groups.groupBy("group_id").agg(F.min_by("row", first).alias("_llm_keep")).select("_llm_keep"))
+    keep = groups.groupBy("group_id").agg(F.min_by("row", first).alias("_llm_keep"))
+    if not groups.groupBy("row").count().where("count > 1").isEmpty():
+        return _only(docs, keep.select("_llm_keep"))
+    gone = saved(groups.join(keep, F.col("row") == F.col("_llm_keep"), "left_anti").select(F.col("row").alias("_llm_gone")), "near-gone")
+    return _keyed(docs).join(gone, F.col("_llm_key") == F.col("_llm_gone"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

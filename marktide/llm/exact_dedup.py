@@ -1,7 +1,8 @@
 """Exact duplicates by content sort.
 
-Sampled splitters range-partition the normalised bytes (by their start, and a hash where texts start alike), Spark's external sort places equal texts next to each other,
-and a comparison of neighbours (on full texts) finds the groups; the smallest identifier of a group stays.
+Splitters are sampled from the table, by the start of a normalised text and a hash where texts start alike; they deal the
+texts into ranges, Spark's external sort places equal texts next to each other, and a comparison of neighbours (on full
+texts) finds the groups; the smallest identifier of a group stays.
 
 A text that many rows share is combined inside each task before the shuffle (smallest id and count), so a group that
 holds a third of all rows sends one row per task. Rows are then labelled through a join on the SHA-256 of the normalised
@@ -11,9 +12,11 @@ text, which adaptive execution can split where one digest is frequent.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,10 +26,10 @@ from .common import partitions
 SPACES = r"[\x20\x09-\x0D]+"
 #: Bytes of repeated texts that one task keeps to combine them over several batches.
 COMBINE_BYTES = 32 << 20
-#: Characters of a text that a splitter holds.
-HEAD = 64
+#: Characters of a text that a splitter holds, and rows that are sampled for each range.
+HEAD, SAMPLES = 64, 20
 
-_LOCAL = "text string, low long, n_rows long"
+_LOCAL = "text string, low long, n_rows long, part int"
 
 
 def normalised(text):
@@ -34,11 +37,21 @@ def normalised(text):
     return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), SPACES, " ")
 
 
-def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, text) to one row for each different text of a batch; frequent texts once for the whole task."""
-    spaces, schema = re.compile(SPACES), pa.schema([("text", pa.string()), ("low", pa.int64()), ("n_rows", pa.int64())])
-    held: dict[str, list] = {}
-    room = COMBINE_BYTES
+def _splitters(rows: DataFrame, n: int) -> list[tuple[str, int]]:
+    """n - 1 ascending (start, hash) that part the texts of rows about evenly. The sample is SAMPLES short rows for each range."""
+    head = F.substring(normalised(F.substring("text", 1, 4 * HEAD)), 1, HEAD)
+    picked = rows.select(head.alias("head"), F.xxhash64("text").alias("mark")).orderBy(F.rand(42)).limit(SAMPLES * n).collect()
+    found = sorted({(r.head, r.mark) for r in picked})
+    return [found[len(found) * k // n] for k in range(1, n)] if found else []
+
+
+def _combine(splitters: list[tuple[str, int]]):
+    """Rows (id, text) to one row for each different text of a batch, with its range; frequent texts once for the whole task."""
+    spaces, schema = re.compile(SPACES), pa.schema([("text", pa.string()), ("low", pa.int64()), ("n_rows", pa.int64()), ("part", pa.int32())])
+
+    def part(text: str) -> int:
+        h = xxhash.xxh64_intdigest(text.encode("utf-8", "replace"))
+        return bisect_right(splitters, (text[:HEAD], h - (1 << 64) if h >> 63 else h))
 
     def add(groups: dict[str, list], text: str, low) -> None:
         g = groups.setdefault(text, [low, 0])
@@ -48,28 +61,32 @@ def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def out(groups: dict[str, list]) -> pa.RecordBatch:
         cols = list(zip(*groups.values(), strict=True)) or [(), ()]
-        return pa.RecordBatch.from_arrays([pa.array(list(groups), pa.string()), *(pa.array(c, pa.int64()) for c in cols)], schema=schema)
-
-    for batch in batches:
-        groups: dict[str, list] = {}
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            text = spaces.sub(" ", text or "")
-            add(held if text in held else groups, text, i)
-        for text in [t for t, g in groups.items() if g[1] > 1]:
-            if (n := len(text.encode())) <= room:
-                room -= n
-                held[text] = groups.pop(text)
-        yield out(groups)
-    yield out(held)
+        return pa.RecordBatch.from_arrays([pa.array(list(groups), pa.string()), *(pa.array(c, pa.int64()) for c in cols), pa.array(map(part, groups), pa.int32())], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = {}
+        room = COMBINE_BYTES
+        for batch in batches:
+            groups: dict[str, list] = {}
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                text = spaces.sub(" ", text or "")
+                add(held if text in held else groups, text, i)
+            for text in [t for t, g in groups.items() if g[1] > 1]:
+                if (n := len(text.encode())) <= room:
+                    room -= n
+                    held[text] = groups.pop(text)
+            yield out(groups)
+        yield out(held)
+
+    return run
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Groups of two or more rows with equal normalised text: text_sha256, keep_id, group_size."""
-    local = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_combine, _LOCAL)
-    # splitters are sampled on the driver, so they are bounded: the first characters and a hash instead of whole texts
-    local = local.withColumns({"head": F.substring("text", 1, HEAD), "mark": F.xxhash64("text")})
-    ordered = local.repartitionByRange(partitions(docs.sparkSession), "head", "mark")
-    same = Window.partitionBy("head", "mark", "text")
+    rows, n = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), partitions(docs.sparkSession)
+    local = rows.mapInArrow(_combine(_splitters(rows, n)), _LOCAL)
+    ordered = local.repartitionById(n, F.col("part"))
+    same = Window.partitionBy("part", "text")
     near = same.orderBy(F.col("low").asc_nulls_last())
     whole = near.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return (
