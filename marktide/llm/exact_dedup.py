@@ -38,9 +38,10 @@ def normalised(text):
 
 
 def _splitters(rows: DataFrame, n: int) -> list[tuple[str, int]]:
-    """n - 1 ascending (start, hash) that part the texts of rows about evenly. The sample is SAMPLES short rows for each range."""
+    """n - 1 ascending (start, hash) that part the texts of rows about evenly. The sample is about SAMPLES short rows for each range."""
+    size = rows.count()
     head = F.substring(normalised(F.substring("text", 1, 4 * HEAD)), 1, HEAD)
-    picked = rows.select(head.alias("head"), F.xxhash64("text").alias("mark")).orderBy(F.rand(42)).limit(SAMPLES * n).collect()
+    picked = rows.where(F.rand(42) < SAMPLES * n / max(1, size)).select(head.alias("head"), F.xxhash64("text").alias("mark")).collect()
     found = sorted({(r.head, r.mark) for r in picked})
     return [found[len(found) * k // n] for k in range(1, n)] if found else []
 

@@ -319,15 +319,15 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row.cast("string").alias("row"), F.col(text_col).cast("string").alias("text"))
     known = saved(rows.mapInArrow(_sketches(words, seed), _SKETCH), "sketches")
     # one row for each different set in each of its shards
-    member = known.select("digest", "row", "n", F.explode("shards").alias("shard")).groupBy("shard", "digest").agg(F.min("row").alias("row"), F.max("n").alias("n"))
-    member = saved(member, "similar-members")
+    member = saved(known.select("digest", "n", F.explode("shards").alias("shard")).distinct(), "similar-members")
     full = member.groupBy("shard").agg(F.count("*").alias("members"), F.sum("n").alias("work")).where("members > 1").withColumnRenamed("shard", "s")
     blocks = F.ceil(F.greatest(F.col("members") / MEMBERS, F.col("work") / WORK)).cast("long")
     dealt = member.join(full, F.col("shard") == F.col("s")).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("digest"), F.col("blocks")))
-    one = dealt.where("blocks = 1").select("shard", "digest", "row")
+    one = dealt.where("blocks = 1").select("shard", "digest")
     others = dealt.where("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("other <> own")
-    dealt = saved(one.union(others.select(F.xxhash64("shard", F.least("own", "other"), F.greatest("own", "other")), "digest", "row")), "similar-shards")
-    wanted = saved(dealt.select("row").distinct(), "similar-rows")
+    dealt = saved(one.union(others.select(F.xxhash64("shard", F.least("own", "other"), F.greatest("own", "other")), "digest")), "similar-shards")
+    first = known.groupBy("digest").agg(F.min("row").alias("row"))
+    wanted = saved(first.join(dealt.select(F.col("digest").alias("d")).distinct(), F.col("digest") == F.col("d"), "left_semi").select("row"), "similar-rows")
     sets = known.join(wanted, "row", "left_semi").select(F.col("digest").alias("d"), "fp", "hashes")
     placed = dealt.select("shard", "digest").join(sets, F.col("digest") == F.col("d")).select("shard", "digest", "fp", "hashes")
     found = placed.repartition("shard").sortWithinPartitions("shard", "digest").mapInArrow(_similar(similarity, radius_for(similarity)), "u binary, v binary")
