@@ -41,6 +41,7 @@ def question_subtype(text: Column, kind: Column, context: Column) -> Column:
 
 def stated_options(text: Column, options: Column) -> Column:
     """options, or where there are none the three answers that the instruction names."""
+    # The two sets of three answers.
     low, three = F.lower(F.coalesce(text, F.lit(""))), lambda a, b: rf"(?s)\b{a}\b.*\b{b}\b.*\bnot\s+given\b"
     given = lambda a, b: low.rlike(three(a, b)) | low.contains(f"{a}/{b}/not given")
     found = (
@@ -121,12 +122,14 @@ def json_items(text: Column) -> Column:
 
 def masked(html: Column, mark: str = "█") -> Column:
     """Each word outside tags as 2 to 8 marks (by a hash of the word and its place); numbering markers and blanks stay."""
+    # Markers of numbering and blanks that stay, and the letters of a word.
     keep = r"<[^>]+>|\[\d+\]|\(\d+\)|\b\d+\b\.|_{2,}|\.{4,}"
     parts = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(rf"(?s)({keep}|[a-zA-Z0-9À-ỹ]+|.)"), F.lit(1))
     size = lambda x, i: (F.pmod(F.xxhash64(x, i), F.lit(7)) + 2).cast("int")
     return F.array_join(F.transform(parts, lambda x, i: F.when(x.rlike("^[a-zA-Z0-9À-ỹ]+$"), F.repeat(F.lit(mark), size(x, i))).otherwise(x)), "")
 
 
+# Endings of image links, and the ways of writing an arrow (one character each, or a word of characters).
 _IMAGE = r"https?://[^\s<\"']+(?:\.jpg|\.jpeg|\.png|\.gif|\.webp)"
 _ARROW = r"(?:[↓⬇▼⇩→]|\|\s*v|->|-&gt;|&rarr;|&darr;)"
 

@@ -1,4 +1,7 @@
-"""Text alignment: evidence quotes, grammar patterns, transcripts, grounding of phrases."""
+"""Text alignment: evidence quotes, grammar patterns, transcripts, grounding of phrases.
+
+A null text counts as an empty one: it has no structure, quotation, block or word. Empty tables give empty results.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Merges of two versions of a keyed table, as joins."""
+"""Merges of two versions of a keyed table, as joins.
+
+Keys are not null where nothing else is said: a null key matches no other. newest() and keep_first() need a total order for a
+defined result. An empty side leaves the other as it is.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Quests, streaks, coins, spaced repetition: what depends on the order of a learner's events."""
+"""Quests, streaks, coins, spaced repetition: what depends on the order of a learner's events.
+
+The order that callers give must be total for a defined result; repeated rows count each (days of login once). Rows of a null
+learner are those of one more learner. Null amounts add nothing; empty tables give empty results.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Changes to the records of learners, and what is detected in the events of an exam."""
+"""Changes to the records of learners, and what is detected in the events of an exam.
+
+Changes of unknown or null learners have no effect but where a function adds new ones. Repeated changes count each, of edits
+the largest row of a key. Empty tables of changes change nothing.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Exam scoring: answer sets, question groups, bands, error analysis."""
+"""Exam scoring: answer sets, question groups, bands, error analysis.
+
+A null answer is skipped, a null key counts as an empty text. Repeated rows count each, null groups are groups of their own,
+and empty tables give empty results.
+"""
 
 from __future__ import annotations
 

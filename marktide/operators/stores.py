@@ -128,6 +128,14 @@ def inventory_after(ops: DataFrame, stock: DataFrame) -> DataFrame:
     return rows.select("student_id", added.alias("consumables"), union("permanents", "_p").alias("permanents"), union("reviewed", "_r").alias("reviewed"))
 
 
+def union_all(*arrays: Column) -> Column:
+    """The different elements of text arrays, first come first; null counts as an empty array."""
+    out = F.array().cast("array<string>")
+    for a in arrays:
+        out = F.array_union(out, F.coalesce(a, F.array().cast("array<string>")))
+    return out
+
+
 def normalised_attempts(attempts: DataFrame) -> DataFrame:
     """attempts (who, node, attempt_id, score, total, percentage, passed, at, place): one row of each id.
 

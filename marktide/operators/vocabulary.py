@@ -1,4 +1,7 @@
-"""Vocabulary: categories of phrases, gapped examples and the word game."""
+"""Vocabulary: categories of phrases, gapped examples and the word game.
+
+A null word counts as an empty one, a null label as a word. Repeated items are decided each; empty tables give empty results.
+"""
 
 from __future__ import annotations
 

@@ -294,8 +294,18 @@ ORACLE_SQL = {
         WITH q AS (SELECT *, list_transform(options, lambda o, i: coalesce(nullif(upper(regexp_extract(trim(o), '^([A-Za-z])(?:[.)]\s+|\s+|$)', 1)), ''), chr((i + 64)::INT)) = upper(trim(answer)) OR upper(trim(o)) = upper(trim(answer))) AS hit, list_transform(options, lambda o: trim(regexp_replace(o, '^\s*[A-Za-z][.)]\s*', ''))) AS bank FROM ({_QUESTION}) WHERE options IS NOT NULL)
         SELECT p_partkey, (coalesce(list_position(hit, true), 0) - 1)::INT AS place, list_position(hit, true) IS NULL AS unmatched, CASE WHEN regexp_matches(answer, '^[A-Za-z]$') THEN coalesce(bank[ascii(upper(answer)) - 64], answer) ELSE answer END AS bank FROM q
     """,
-    "audio_links": "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'https://drive.google.com/uc?export=download&id=f' || page_id WHEN 1 THEN 'https://drive.google.com/uc?export=download&id=q' || page_id ELSE url END AS link FROM pages",
-    "audio_keys": "SELECT p_partkey, CASE WHEN ok THEN 'exam-audio/' || p_name END AS path, CASE WHEN ok THEN p_partkey::VARCHAR END AS token FROM (SELECT *, p_partkey % 3 > 0 AND p_partkey % 5 > 0 AND p_partkey % 7 > 0 AS ok FROM part)",
+    "audio_links": """
+        WITH u AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'https://drive.google.com/file/d/f' || page_id || '/view' WHEN 1 THEN 'https://drive.google.com/open?id=q' || page_id || '&x=1' ELSE url END AS url FROM pages),
+        i AS (SELECT *, coalesce(nullif(regexp_extract(url, 'drive\\.google\\.com/file/d/([^/]+)', 1), ''), nullif(regexp_extract(url, 'drive\\.google\\.com/open\\?id=([^&]+)', 1), '')) AS id FROM u)
+        SELECT page_id, CASE WHEN id IS NULL THEN url ELSE 'https://drive.google.com/uc?export=download&id=' || id END AS link FROM i
+    """,
+    "audio_keys": """
+        WITH r AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'other/' ELSE 'exam-audio/' END || p_name || CASE WHEN p_partkey % 5 = 0 THEN '' ELSE '|' END || CASE WHEN p_partkey % 7 > 0 THEN p_partkey::VARCHAR ELSE '' END AS raw FROM part),
+        k AS (SELECT p_partkey, replace(replace(rtrim(base64(encode(raw)), '='), '+', '-'), '/', '_') AS key FROM r),
+        d AS (SELECT p_partkey, decode(from_base64(rpad(replace(replace(key, '-', '+'), '_', '/'), ((length(key) + 3) // 4 * 4)::INT, '='))) AS t FROM k),
+        s AS (SELECT p_partkey, strpos(t, '|') AS bar, t FROM d)
+        SELECT p_partkey, CASE WHEN ok THEN substr(t, 1, bar - 1) END AS path, CASE WHEN ok THEN substr(t, bar + 1) END AS token FROM (SELECT *, bar > 0 AND starts_with(t, 'exam-audio/') AND bar < length(t) AS ok FROM s)
+    """,
     "json_items": "SELECT event_id, CASE event_id % 7 WHEN 0 THEN 2 WHEN 4 THEN 0 WHEN 5 THEN -1 WHEN 6 THEN -1 ELSE 1 END::INT AS n_items, CASE WHEN event_id % 7 < 4 THEN (props ->> 'k')::BIGINT ELSE -1 END AS k FROM events",
     "masked_text": f"SELECT page_id, length(t)::INT AS n_left, md5(t) AS digest FROM (SELECT page_id, {_MASK} AS t FROM pages)",
     "act_reward": "SELECT event_id, floor((floor((5 + event_id % 12 * 3) * (([1.0, 1.4, 1.6, 1.5, 1.3])[event_id % 5 + 1])::DOUBLE + 0.5) + event_id % 4) * (CASE WHEN event_id % 3 = 0 THEN 2 ELSE 1 END) * 1.5::DOUBLE + 0.5)::BIGINT AS reward FROM events",

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
+from marktide.functions.values import number, plain_key
 from marktide.operators import filters, merging, scoring, stores, submission
+from marktide.plans import state
 from marktide.plans.analytics import _BANDS_SQL, _GROUPED, _scored
+from marktide.sources import docx
 from marktide.sources.shared import new_path
 from marktide.sources.tables import ITEM_ORDER, attempts, items, reviews, table
-from marktide.streaming import store
+from marktide.streaming import stateful, store
 from marktide.streaming.presence import heartbeats
 
 NODES = ["click", "view", "signup", "purchase", "error"]
@@ -299,11 +302,84 @@ def exam_store(spark, d):
     return kept
 
 
+def exam_documents(spark, d):
+    """Twelve parts as a tagged document: three blocks of four questions, each with a context; the questions read from its lines."""
+    n = F.col("p_partkey")
+    k, block = n % 12, F.floor(n / 4) % 3
+    lits = lambda *xs: F.array(*[x if isinstance(x, Column) else F.lit(x) for x in xs])
+    none = F.array().cast("array<string>")
+    head = F.when(k == 0, lits(F.concat(F.lit("[TITLE] Exam "), F.floor(n / 12).cast("string")), "[TIME] 35", "[PASSAGE]", "A passage.", "[QUESTIONS]")).otherwise(none)
+    tag = F.when(block == 0, "[CHOICE]").when(block == 1, "[MATCHING]").otherwise("[SHORT_ANSWER]")
+    opening = F.when(n % 4 == 0, F.concat(lits(tag, "[CONTEXT]", F.concat(F.lit("About "), F.col("p_name")), "[/CONTEXT]", "Answer them all."), F.when(block == 1, lits("A. river", "B. wheel", "C. stone")).otherwise(none))).otherwise(none)
+    ask = F.concat((k + 1).cast("string"), F.when(n % 2 == 0, ". ").otherwise(") "), F.col("p_name"), F.lit("?"))
+    own = F.when(block == 0, lits(F.concat(F.lit("A. "), F.col("p_name")), F.concat(F.lit("B) "), F.col("p_type")))).otherwise(none)
+    answer = F.when(n % 5 == 0, "*b").when(n % 5 == 1, F.concat(F.lit("* "), F.upper("p_name"))).when(n % 5 == 2, "*A").when(n % 5 == 3, "*nowhere")
+    lines = table(spark, d, "part").select(F.floor(n / 12).alias("path"), n, F.posexplode(F.array_compact(F.concat(head, opening, lits(ask), own, F.array(answer)))).alias("j", "text"))
+    rows = lines.select("path", (n * 100 + F.col("j")).cast("int").alias("line_no"), F.col("text").alias("html"), "text")
+    q = docx.exam_questions(rows).join(docx.exam_heads(rows).select(F.col("path").alias("_p"), "title", "minutes"), F.col("path") == F.col("_p"))
+    return q.select("path", "title", "minutes", "number", "passage_index", "kind", "subtype", "instruction", "context", "text", F.array_join("options", "|").alias("options"), "answer", F.coalesce("place", F.lit(-1)).alias("place"), "unmatched")
+
+
+def results_sync(spark, d):
+    """Results of learners in two writes into a store of versions; the second write comes twice."""
+    n = F.col("event_id")
+    rows = table(spark, d, "events").groupBy((n % 700).alias("result_id"), (n % 2).cast("int").alias("write")).agg(F.max(n).alias("score"), F.max(F.when(n % 3 == 0, F.col("event_type"))).alias("feedback"))
+    path = new_path(spark, "results")
+    put = store.merge_sink(path, lambda old, new: stores.keyed_upsert(old, new, "result_id"))
+    for write in (0, 1, 1):
+        put(rows.where(F.col("write") == write).drop("write"), write)
+    return store.newest_version(spark, path).select("result_id", "score", F.coalesce("feedback", F.lit("")).alias("feedback"))
+
+
+def srs_stream(spark, d):
+    rows = heartbeats(spark, f"{d}/events.parquet").select(F.col("user_id").alias("student_id"), "event_type", "event_id", F.col("ts").alias("at"), (F.col("value") >= 50).alias("remembered"))
+    out = stateful.collected(stateful.card_stream(rows, ["student_id", "event_type"]), new_path(spark, "card-stream"))
+    return out.select("event_id", "box", F.col("due").cast("timestamp_ntz").alias("due"))
+
+
+def balance_stream(spark, d):
+    e = heartbeats(spark, f"{d}/events.parquet")
+    delta = F.when(F.col("event_type") == "purchase", -F.floor("value")).otherwise(F.floor(F.floor("value") / 10))
+    rows = e.select(F.col("user_id").alias("student_id"), "event_id", F.col("ts").alias("at"), delta.alias("delta"))
+    return stateful.collected(stateful.balance_stream(rows, "student_id"), new_path(spark, "balance-stream"))
+
+
+def exam_average(spark, d):
+    """The mean band of each exam over bands that are text: none and an empty one count as 0, what is no number not at all."""
+    n = F.col("attempt_id")
+    text = F.when(n % 9 == 0, "N/A").when(n % 9 == 1, "").when(n % 9 > 2, F.format_string("%.1f", F.col("band")))
+    band = number(F.when(F.col("band").isNull() & (n % 9 > 2), "N/A").otherwise(text))
+    rows = _scored(spark, d).select((n % 50).alias("exam_id"), F.when(~F.isnan(band), band).alias("b"))
+    return rows.groupBy("exam_id").agg(F.coalesce(F.floor(F.avg("b") * 10 + F.lit(0.5)), F.lit(-1)).alias("tenths"), F.count("b").alias("n"))
+
+
+def single_answers(spark, d):
+    n = F.col("p_partkey")
+    kind = F.when(n % 3 == 0, "CHOICE").when(n % 3 == 1, "BLANK").otherwise("MATCHING")
+    key = F.when(n % 4 == 0, F.concat(F.lit(" "), F.initcap("p_name"), F.lit(" / other"))).otherwise(F.col("p_name"))
+    given = F.when(n % 5 == 0, F.upper("p_name")).when(n % 5 == 1, "OTHER ").when(n % 5 < 4, F.col("p_name"))
+    return table(spark, d, "part").select(n, F.coalesce(scoring.single_correct(kind, key, given), F.lit(False)).alias("correct"))
+
+
+def permanents_merge(spark, d):
+    """Permanent gifts of a device's backup, of the last state and of a new one: none is lost."""
+    n = F.col("c_custkey")
+    three = [F.when(n % 2 == 0, F.array(F.lit("crown"), F.lit("hat"))), F.array(F.lit("hat"), F.concat(F.lit("p"), (n % 4).cast("string"))), F.when(n % 3 == 0, F.array(F.lit("p1")))]
+    return table(spark, d, "customer").select(n, F.array_join(stores.union_all(*three), ",").alias("permanents"))
+
+
+def vocab_counts(spark, d):
+    """Per brand: items asked for, different ones returned, how many are missing and how many were repeats."""
+    rows = table(spark, d, "part").select("p_brand", plain_key(F.concat("p_name", F.lit(" "), (F.col("p_partkey") % 3).cast("string"))).alias("k"))
+    n, asked = F.countDistinct("k"), F.lit(15)
+    return rows.groupBy("p_brand").agg(F.least(n, asked).alias("returned"), F.greatest(F.lit(0), asked - n).alias("shortfall"), (F.count("*") - n).alias("dropped"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         submission_results, submission_progress, submission_unlocked, submission_operations, recalculated_scores, integrity_strikes, attempt_feedback, answer_places, exam_groups, options_shared, sections_placed, catalog_match, edits_shared, option_lengths, first_questions, trimmed_names, attempt_order,
-        workspace_tables, usable_reads, vocab_store, owner_cards, newest_vocab, notebook_merge, own_write, teacher_write, debt_cleared, reward_codes, role_writes, inventory, attempts_normalised, attempts_merged, latest_attempt, journal_replay, exam_store,
+        workspace_tables, usable_reads, vocab_store, owner_cards, newest_vocab, notebook_merge, own_write, teacher_write, debt_cleared, reward_codes, role_writes, inventory, attempts_normalised, attempts_merged, latest_attempt, journal_replay, exam_store, exam_documents, results_sync, srs_stream, balance_stream, exam_average, single_answers, permanents_merge, vocab_counts,
     )
 }
 
@@ -443,4 +519,27 @@ ORACLE_SQL = {
     "latest_attempt": f"WITH raw AS ({_RAW.format('', '')}), z AS (WITH {_NORMAL}) SELECT who, node, attempt_id FROM z QUALIFY row_number() OVER (PARTITION BY who, node ORDER BY place DESC) = 1",
     "journal_replay": "SELECT attempt_id FROM (SELECT o_orderkey AS attempt_id, count(*) FILTER (o_orderkey % 7 = 3) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS n FROM orders) WHERE n = 0",
     "exam_store": "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN upper(p_name) ELSE p_name END AS p_name FROM part WHERE p_partkey % 10 <> 0",
+    "exam_documents": """
+        WITH q AS (SELECT p_partkey AS n, p_partkey // 12 AS path, p_partkey % 12 + 1 AS k, p_partkey // 4 % 3 AS b, p_name, p_type, first_value(p_name) OVER (PARTITION BY p_partkey // 4 ORDER BY p_partkey) AS about,
+            CASE p_partkey % 5 WHEN 0 THEN 'b' WHEN 1 THEN upper(p_name) WHEN 2 THEN 'A' WHEN 3 THEN 'nowhere' END AS answer FROM part),
+        o AS (SELECT *, CASE b WHEN 0 THEN ['A. ' || p_name, 'B) ' || p_type] WHEN 1 THEN ['A. river', 'B. wheel', 'C. stone'] ELSE [] END AS options, CASE WHEN b < 2 AND n % 5 = 0 THEN 1 WHEN b < 2 AND n % 5 = 2 THEN 0 ELSE -1 END AS place FROM q)
+        SELECT path, 'Exam ' || path AS title, 35 AS minutes, k::INT AS number, 0 AS passage_index, (['CHOICE', 'MATCHING', 'BLANK'])[b + 1] AS kind, 'SENTENCE' AS subtype, 'Answer them all.' AS instruction, '<div>About ' || about || '</div>' AS context, p_name || '?' AS text,
+            array_to_string(options, '|') AS options, coalesce(answer, '') AS answer, place, answer IS NULL OR (b < 2 AND place < 0) AS unmatched FROM o
+    """,
+    "results_sync": """
+        WITH r AS (SELECT event_id % 700 AS id, event_id % 2 AS w, max(event_id) AS score, max(event_type) FILTER (event_id % 3 = 0) AS f FROM events GROUP BY 1, 2)
+        SELECT id AS result_id, arg_max(score, w) AS score, coalesce(max(f) FILTER (w = 1), max(f) FILTER (w = 0), '') AS feedback FROM r GROUP BY 1
+    """,
+    "srs_stream": state.ORACLE_SQL["srs_schedule"],
+    "balance_stream": state.ORACLE_SQL["coin_balance"],
+    "exam_average": f"""
+        WITH t AS (SELECT attempt_id AS n, CASE WHEN attempt_id % 9 = 0 THEN NULL WHEN attempt_id % 9 < 3 THEN 0 ELSE band END AS b FROM ({_BANDS_SQL}))
+        SELECT n % 50 AS exam_id, coalesce(floor(avg(b) * 10 + 0.5)::BIGINT, -1) AS tenths, count(b) AS n FROM t GROUP BY 1
+    """,
+    "single_answers": """
+        WITH t AS (SELECT p_partkey AS n, p_name AS name, CASE WHEN p_partkey % 5 = 0 THEN upper(p_name) WHEN p_partkey % 5 = 1 THEN 'OTHER ' WHEN p_partkey % 5 < 4 THEN p_name END AS given FROM part)
+        SELECT n AS p_partkey, coalesce(CASE WHEN n % 3 = 1 THEN lower(trim(coalesce(given, ''))) = name OR n % 4 = 0 AND lower(trim(coalesce(given, ''))) = 'other' ELSE n % 4 > 0 AND given = name END, false) AS correct FROM t
+    """,
+    "permanents_merge": "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'crown,' ELSE '' END || 'hat,p' || c_custkey % 4 || CASE WHEN c_custkey % 3 = 0 AND c_custkey % 4 <> 1 THEN ',p1' ELSE '' END AS permanents FROM customer",
+    "vocab_counts": "WITH k AS (SELECT p_brand, count(*) AS n, count(DISTINCT p_name || ' ' || p_partkey % 3) AS u FROM part GROUP BY 1) SELECT p_brand, least(u, 15) AS returned, greatest(0, 15 - u) AS shortfall, n - u AS dropped FROM k",
 }

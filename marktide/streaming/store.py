@@ -36,3 +36,22 @@ def run_change_log(changes_stream: DataFrame, path: str, owner: str) -> None:
 def cards(spark: SparkSession, path: str, owner: str, value=None) -> dict[str, DataFrame]:
     """Live cards and tombstones of all owners, or of one. Empty cached reads don't occur: the log is the state."""
     return stores.latest_state(changes(spark, path, owner, value), [owner, "card_id"], ["at", "change_id"], "deleted")
+
+
+def merge_sink(path: str, merge):
+    """A foreachBatch function that keeps a table in versions: version n is merge(version n - 1, batch n), the first one the batch itself.
+
+    A batch that is run again reads the same older version and replaces its own, so a replay changes nothing.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        new = merge(batch.sparkSession.read.parquet(f"{path}/version={number - 1}"), batch) if number else merge(batch.limit(0), batch)
+        new.write.mode("overwrite").parquet(f"{path}/version={number}")
+
+    return put
+
+
+def newest_version(spark: SparkSession, path: str) -> DataFrame:
+    rows = spark.read.parquet(path)
+    last = rows.agg(F.max("version")).first()[0]
+    return rows.where(F.col("version") == F.lit(last)).drop("version")
