@@ -24,9 +24,22 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_MADE: list[str] = []
+
+
 def workspace(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/marktide/{label}-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_dir(spark)}/marktide/{label}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes the intermediate tables and files that this process made; to be called once results are written. How many there were."""
+    done = 0
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        done += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return done
 
 
 def saved(df: DataFrame, label: str) -> DataFrame:

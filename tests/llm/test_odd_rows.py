@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 import zlib
 
@@ -89,3 +90,15 @@ def test_very_long_texts(spark):
     assert (got[1].n_tokens, got[1].ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
     page = spark.createDataFrame([(1, "u", f"<article><p>{long}</p></article>")], "page_id long, url string, html string")
     assert html_extract.html_extract(page).first().n_chars == len(" ".join(long.split()))
+
+
+def test_intermediate_tables_can_be_cleared(spark, tmp_path):
+    from marktide.llm import common
+
+    common.clear(spark)
+    docs = spark.createDataFrame([(1, "a b c"), (2, "a b c")], "doc_id long, text string")
+    simhash.simhash_groups(docs).write.parquet(f"{tmp_path}/out")
+    made = [p.removeprefix("file://") for p in common._MADE]
+    assert made and all(map(os.path.exists, made))
+    assert common.clear(spark) == len(made) and not any(map(os.path.exists, made))
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 2
