@@ -109,6 +109,29 @@ def role_write(server: DataFrame, local: DataFrame, teacher: bool) -> DataFrame:
     return local if teacher else server
 
 
+#: How a write changes a table that is not the learners': by key for any role, or as the role says.
+KEYED = {"results": "result_id", "live_sessions": "session_id", "system_logs": "log_id", "reward_codes": "code"}
+
+
+def synced(server: dict[str, DataFrame], local: dict[str, DataFrame], teacher: bool, me: Column, ledger: DataFrame, rules: dict[str, str]) -> dict[str, DataFrame]:
+    """All tables of a workspace after one write of some of them: what was not written stays.
+
+    students follow rules (teacher) or own_write(); tables of KEYED are joined by key; of any other a teacher's write
+    replaces the table and a learner's is ignored.
+    """
+    out = dict(server)
+    for name, rows in local.items():
+        if name not in server:
+            out[name] = rows
+        elif name == "students":
+            out[name] = merging.write_members(server[name], rows, "student_id", rules, ledger) if teacher else own_write(server[name], rows, me, ledger)
+        elif name in KEYED:
+            out[name] = keyed_upsert(server[name], rows, KEYED[name])
+        else:
+            out[name] = role_write(server[name], rows, teacher)
+    return out
+
+
 def inventory_after(ops: DataFrame, stock: DataFrame) -> DataFrame:
     """ops (student_id, consumables map, permanents array, reviewed_quiz) put into stock (student_id, consumables, permanents, reviewed).
 

@@ -257,6 +257,25 @@ def role_writes(spark, d):
     return out[0].unionByName(out[1])
 
 
+def workspace_sync(spark, d):
+    """One learner's write of learners, results and exams, and a teacher's, on the same workspace: what each leaves."""
+    results = table(spark, d, "events").select((F.col("event_id") % 900).alias("result_id"), F.col("event_id").alias("score"))
+    last = lambda rows: rows.groupBy("result_id").agg(F.max("score").alias("score"))
+    server = {"students": _people(spark, d), "results": last(results.where("score % 2 = 0")), "exams": table(spark, d, "part").select("p_partkey").where("p_partkey % 2 = 0"), "links": table(spark, d, "supplier").select("s_suppkey")}
+    local = {"students": _changed_people(spark, d), "results": last(results.where("score % 3 = 0")), "exams": table(spark, d, "part").select("p_partkey").where("p_partkey % 5 = 0")}
+    none = _people(spark, d).where("false").select("student_id")
+    rules = {"name": "overlay", "coins": "ledger"}
+    out = None
+    for role in ("student", "teacher"):
+        got = stores.synced(server, local, role == "teacher", F.lit("S6@X.ORG"), none, rules)
+        parts = [got["students"].select(F.col("student_id").alias("key"), F.concat_ws(":", "name", F.col("coins").cast("string")).alias("value")).withColumn("name", F.lit("students")), got["results"].select(F.col("result_id").alias("key"), F.col("score").cast("string").alias("value")).withColumn("name", F.lit("results"))]
+        parts += [got[n].select(F.col(c).alias("key"), F.lit("").alias("value")).withColumn("name", F.lit(n)) for n, c in (("exams", "p_partkey"), ("links", "s_suppkey"))]
+        for part in parts:
+            part = part.withColumn("role", F.lit(role))
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
 def inventory(spark, d):
     n = F.col("event_id")
     ops = table(spark, d, "events").select(F.col("user_id").alias("student_id"), F.when(n % 3 > 0, F.create_map(F.col("event_type"), (n % 4).cast("double") - 0.5)).alias("consumables"), F.when(n % 7 == 0, F.array(F.concat(F.lit(" p"), (n % 3).cast("string")), F.lit(""))).alias("permanents"), F.when(n % 11 == 0, F.concat(F.lit("z"), (n % 4).cast("string"))).alias("reviewed_quiz"))
@@ -379,7 +398,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         submission_results, submission_progress, submission_unlocked, submission_operations, recalculated_scores, integrity_strikes, attempt_feedback, answer_places, exam_groups, options_shared, sections_placed, catalog_match, edits_shared, option_lengths, first_questions, trimmed_names, attempt_order,
-        workspace_tables, usable_reads, vocab_store, owner_cards, newest_vocab, notebook_merge, own_write, teacher_write, debt_cleared, reward_codes, role_writes, inventory, attempts_normalised, attempts_merged, latest_attempt, journal_replay, exam_store, exam_documents, results_sync, srs_stream, balance_stream, exam_average, single_answers, permanents_merge, vocab_counts,
+        workspace_tables, usable_reads, vocab_store, owner_cards, newest_vocab, notebook_merge, own_write, teacher_write, debt_cleared, reward_codes, role_writes, workspace_sync, inventory, attempts_normalised, attempts_merged, latest_attempt, journal_replay, exam_store, exam_documents, results_sync, srs_stream, balance_stream, exam_average, single_answers, permanents_merge, vocab_counts,
     )
 }
 
@@ -506,6 +525,14 @@ ORACLE_SQL = {
         SELECT code, coalesce(made, -1) AS made, coalesce(l.who, s.who, -1) AS redeemed_by FROM s FULL JOIN l USING (code)
     """,
     "role_writes": "SELECT o_orderkey AS attempt_id, 'teacher' AS role FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, 'student' FROM orders WHERE o_orderkey % 2 = 0",
+    "workspace_sync": f"""
+        WITH p AS ({_PEOPLE}), r AS (SELECT event_id % 900 AS k, max(event_id) FILTER (event_id % 2 = 0) AS s, max(event_id) FILTER (event_id % 3 = 0) AS l FROM events WHERE event_id % 2 = 0 OR event_id % 3 = 0 GROUP BY 1), b(role) AS (VALUES ('student'), ('teacher'))
+        SELECT role, 'results' AS name, k AS key, coalesce(l, s)::VARCHAR AS value FROM r CROSS JOIN b
+        UNION ALL SELECT role, 'links', s_suppkey, '' FROM supplier CROSS JOIN b
+        UNION ALL SELECT role, 'exams', p_partkey, '' FROM part CROSS JOIN b WHERE CASE role WHEN 'teacher' THEN p_partkey % 5 = 0 ELSE p_partkey % 2 = 0 END
+        UNION ALL SELECT 'student', 'students', n, name || ':' || CASE WHEN n = 6 THEN greatest(coins, coins + n % 3 - 1) ELSE coins END FROM p
+        UNION ALL SELECT 'teacher', 'students', n, 'Mine:' || greatest(coins, coins + n % 3 - 1) FROM p WHERE n % 6 <> 5
+    """,
     "inventory": """
         WITH g AS (SELECT user_id, event_type AS k, sum(floor(event_id % 4 - 0.5))::BIGINT AS n FROM events WHERE event_id % 3 > 0 AND floor(event_id % 4 - 0.5) > 0 GROUP BY 1, 2),
         h AS (SELECT c_custkey AS s, 'view' AS k, 5::BIGINT AS n FROM customer WHERE c_custkey < 200 AND c_custkey % 2 = 0), u AS (SELECT s, k, sum(n)::BIGINT AS n FROM (SELECT * FROM h UNION ALL SELECT user_id, k, n FROM g) GROUP BY 1, 2),
