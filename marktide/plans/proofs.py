@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from marktide.functions.exams import repaired, without_citation_tags
+from marktide.functions.exams import clean_markup, repaired, without_citation_tags
 from marktide.operators import alignment
 from marktide.plans.texts import _KEY, _S, _segments
 from marktide.sources.tables import table
@@ -123,6 +123,16 @@ def repaired_symbols(spark, d):
     return table(spark, d, "part").select("p_partkey", repaired(text).alias("text"))
 
 
+def cleaned_markup(spark, d):
+    """Names in markup with image links, colours of their own and arrows, as they are shown."""
+    n, name = F.col("p_partkey"), F.col("p_name")
+    html = (
+        F.when(n % 4 == 0, F.concat(name, F.lit(" [Image 12] https://x.org/"), n.cast("string"), F.lit(".PNG"))).when(n % 4 == 1, F.concat(F.lit('a <font size="2" color="red">'), name, F.lit("</font> b")))
+        .when(n % 4 == 2, F.concat(F.lit('<p style="color: red; margin: 0">'), name, F.lit('</p><b style="background-color:#fff">x</b>'))).otherwise(F.concat(F.lit("<p>"), name, F.lit("</p> ↓ <p>x</p> ->  <p>y</p>")))
+    )
+    return table(spark, d, "part").select(n, clean_markup(html).alias("html"))
+
+
 def vocab_grounded(spark, d):
     """Words and quotations taken from each document and looked for in it or in the next one: those that it holds, and the counts."""
     n, words = F.col("doc_id"), F.split(F.coalesce("text", F.lit("")), " ")
@@ -136,7 +146,7 @@ def vocab_grounded(spark, d):
     return both.select("category", "requested", F.coalesce("returned", F.lit(0)).alias("returned"), (F.col("requested") - F.coalesce("returned", F.lit(0))).alias("dropped"))
 
 
-QUERIES = {f.__name__: f for f in (grammar_detect, grammar_sentences, hint_anchor, answer_anchors, citations, evidence_markers, evidence_best, evidence_proven, transcript_part, target_paragraphs, citation_tags, repaired_symbols, vocab_grounded)}
+QUERIES = {f.__name__: f for f in (grammar_detect, grammar_sentences, hint_anchor, answer_anchors, citations, evidence_markers, evidence_best, evidence_proven, transcript_part, target_paragraphs, citation_tags, cleaned_markup, repaired_symbols, vocab_grounded)}
 
 
 def _text(x: str) -> str:
@@ -224,6 +234,13 @@ ORACLE_SQL = {
         SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '' ELSE coalesce(long[page_id % 5 + 1], '') END AS paragraph FROM x
     """,
     "citation_tags": "SELECT item_id, text || ' x' AS text FROM benchmark",
+    "cleaned_markup": r"""
+        WITH h AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name || ' [Image 12] https://x.org/' || p_partkey || '.PNG' WHEN 1 THEN 'a <font size="2" color="red">' || p_name || '</font> b'
+            WHEN 2 THEN '<p style="color: red; margin: 0">' || p_name || '</p><b style="background-color:#fff">x</b>' ELSE '<p>' || p_name || '</p> ↓ <p>x</p> ->  <p>y</p>' END AS t FROM part),
+        a AS (SELECT p_partkey, regexp_replace(regexp_replace(t, '(?i)\[Image\s*\d+\]', '', 'g'), '(?i)(https?://[^\s<]+\.(?:jpg|jpeg|png|gif|webp))', '<img src="\1" alt="" />', 'g') AS t FROM h),
+        b AS (SELECT p_partkey, regexp_replace(regexp_replace(t, '(?i)<font[^>]+color="[^"]*"[^>]*>(.*?)</font>', '<span>\1</span>', 'g'), '( style=")\s*(?:color|background(?:-color)?)\s*:[^;"]*;?', '\1', 'g') AS t FROM a)
+        SELECT p_partkey, regexp_replace(replace(t, ' style=""', ''), '>\s*(?:[↓⬇▼⇩→]|->)\s*<', '><span class=''arrow''></span><', 'g') AS html FROM b
+    """,
     "repaired_symbols": "SELECT p_partkey, p_name || ' →  Ã© é' AS text FROM part",
 }
 # answer_anchors and citations fold over answers, vocab_grounded compares words by inflection; tests hold them to plain Python
