@@ -60,7 +60,7 @@ def answer_anchors(spark, d):
     """The second at which each answer is spoken, by its text alone and by the order of the answers."""
     alone = alignment.answer_anchor(F.col("script"), F.col("correct"))
     ordered = alignment.answer_anchor(F.col("script"), F.col("correct"), F.col("answers"), F.col("index"))
-    return _listening(spark, d).select("p_partkey", alone.alias("alone"), ordered.alias("ordered"))
+    return _listening(spark, d).select("p_partkey", F.coalesce(alone, F.lit(-1)).alias("alone"), F.coalesce(ordered, F.lit(-1)).alias("ordered"))
 
 
 def citations(spark, d):
@@ -204,7 +204,47 @@ _BEST = f"""
     r AS (SELECT *, CASE WHEN length(want) > 2 AND contains({_norm('x')}, want) THEN 1 ELSE 0 END AS exact, len(list_distinct(list_filter(regexp_extract_all(lower(x), '[a-z][a-z''-]{{2,}}'), lambda w: list_contains(words, w)))) AS overlap FROM c WHERE length({_norm('x')}) >= 4),
     best AS (SELECT doc_id, CASE WHEN length(x) > 300 THEN trim(regexp_replace(substr(x, 1, 300), ' [^ ]*$', '')) ELSE x END AS excerpt FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY exact DESC, overlap DESC, abs(length(x) - 150), i) = 1)
 """
+_T = r"\d{1,2}:\d{2}(?::\d{2})?"
+_MARKS = rf"\(({_T})\s*-\s*{_T}\)"
+_SECONDS = "list_transform(regexp_extract_all(script, '" + _MARKS + "', 1), lambda m: CASE WHEN len(string_split(m, ':')) = 3 THEN split_part(m, ':', 1)::INT * 3600 + split_part(m, ':', 2)::INT * 60 + split_part(m, ':', 3)::INT ELSE split_part(m, ':', 1)::INT * 60 + split_part(m, ':', 2)::INT END)"
+
+
+def _ways_sql(x: str, articles: bool) -> str:
+    """The wordings of an answer of three letters or more, longest first."""
+    parts = rf"list_transform(string_split_regex({x}, '(?i)\s*(?:/|;|\||\bor\b)\s*'), lambda p: {_KEY.format('p')})"
+    every = f"list_distinct(list_concat({parts}, list_transform({parts}, lambda p: regexp_replace(p, '^(?:a|an|the) +', ''))))" if articles else f"list_distinct({parts})"
+    return f"list_transform(list_sort(list_transform(list_filter({every}, lambda p: length(p) >= 3 AND NOT regexp_matches(p, '^[0-9]+$')), lambda p: {{'n': -length(p), 'w': p}})), lambda x: x.w)"
+
+
+def _next_block(k: int, after: str) -> str:
+    """The first block beyond one that holds answer k."""
+    return f"list_filter(range(1, len(blocks) + 1), lambda b: b > {after} AND len(list_filter(ways{k}, lambda w: contains(blocks[b], ' ' || w || ' '))) > 0)[1]"
+
+
+_ANCHORS = f"""
+    WITH r AS (SELECT p_partkey, ({_texts(_SCRIPTS)})[p_partkey // 6 % 3 + 1] AS script, [({_texts(_ANSWERS)})[p_partkey % 6 + 1], ({_texts(_ANSWERS)})[p_partkey // 7 % 6 + 1], ({_texts(_ANSWERS)})[p_partkey // 3 % 6 + 1]] AS answers, p_partkey % 4 AS i FROM part),
+    b AS (SELECT *, {_SECONDS} AS secs, list_transform(string_split_regex(script, '{_MARKS}')[2:], lambda t: ' ' || {_KEY.format('t')} || ' ') AS blocks, CASE WHEN i = 0 THEN answers[1] ELSE answers[i] END AS correct FROM r),
+    w AS (SELECT *, {_ways_sql('correct', True)} AS ways, {", ".join(f"{_ways_sql(f'answers[{k}]', False)} AS ways{k}" for k in (1, 2, 3))} FROM b),
+    a AS (SELECT *, list_filter(list_transform(ways, lambda w: list_filter(range(1, len(blocks) + 1), lambda b: contains(blocks[b], ' ' || w || ' '))), lambda h: len(h) = 1)[1][1] AS only_, {_next_block(1, '0')} AS p1 FROM w),
+    c AS (SELECT *, {_next_block(2, 'coalesce(p1, 0)')} AS p2 FROM a),
+    d AS (SELECT *, {_next_block(3, 'coalesce(p2, p1, 0)')} AS p3 FROM c)
+"""
+_RANGES = rf"[\[(]\s*({_T})\s*(?:-|–|—|to)\s*{_T}\s*[\])]"
+_CITED = rf"regexp_replace(regexp_replace(({_texts(_DRAFTS)})[p_partkey // 2 % 4 + 1], '{_RANGES}', '[\1]', 'g'), '\(({_T})\)', '[\1]', 'g')"
+_CITATIONS = rf"""{_ANCHORS},
+    e AS (SELECT *, i - 1 AS k, len(blocks) AS nb, {_CITED} AS t, coalesce(secs[only_], secs[CASE i WHEN 1 THEN p1 WHEN 2 THEN p2 WHEN 3 THEN p3 END]) AS spoken, CASE WHEN p_partkey % 5 = 0 THEN ['old', 'mill', 'and', 'wheel'] ELSE [] END AS hints FROM d),
+    f AS (SELECT *, regexp_extract(t, '\[({_T})\]', 1) AS c, list_transform(blocks, lambda b: len(list_filter(hints, lambda h: contains(b, ' ' || h || ' ')))) AS votes FROM e),
+    g AS (SELECT *, CASE WHEN c <> '' THEN CASE WHEN len(string_split(c, ':')) = 3 THEN split_part(c, ':', 1)::INT * 3600 + split_part(c, ':', 2)::INT * 60 + split_part(c, ':', 3)::INT ELSE split_part(c, ':', 1)::INT * 60 + split_part(c, ':', 2)::INT END END AS cited FROM f),
+    h AS (SELECT *, CASE WHEN nb > 0 THEN coalesce(spoken, CASE WHEN list_max(votes) > 0 THEN secs[list_position(votes, list_max(votes))] END, CASE WHEN k >= 0 THEN secs[least(nb - 1, floor(least(1, (k + 0.5::DOUBLE) / 3) * nb))::INT + 1] END,
+        CASE WHEN cited > list_min(secs) OR k = 0 AND cited IS NOT NULL THEN list_sort(list_transform(secs, lambda x: {{'d': abs(x - cited), 's': x}}))[1].s END) END AS anchor FROM g),
+    m AS (SELECT *, '[' || CASE WHEN anchor >= 3600 THEN anchor // 3600 || ':' || lpad((anchor % 3600 // 60)::VARCHAR, 2, '0') ELSE (anchor // 60)::VARCHAR END || ':' || lpad((anchor % 60)::VARCHAR, 2, '0') || ']' AS mark FROM h)
+"""
 ORACLE_SQL = {
+    "citations": rf"""{_CITATIONS}
+        SELECT p_partkey, CASE WHEN anchor IS NULL THEN regexp_replace(t, '\s*\[{_T}\]', '', 'g') WHEN cited IS NOT NULL THEN regexp_extract(t, '(?s)^(.*?)\[{_T}\](.*)$', 1) || mark || regexp_replace(regexp_extract(t, '(?s)^(.*?)\[{_T}\](.*)$', 2), '\s*\[{_T}\]', '', 'g')
+            ELSE regexp_replace(t, '\s+$', '') || chr(10) || chr(10) || 'Listen again: ' || mark END AS text FROM m
+    """,
+    "answer_anchors": f"{_ANCHORS} SELECT p_partkey, coalesce(secs[only_], -1) AS alone, coalesce(secs[only_], secs[CASE i WHEN 1 THEN p1 WHEN 2 THEN p2 WHEN 3 THEN p3 END], -1) AS ordered FROM d",
     "grammar_detect": _grammar("doc_id", "SELECT doc_id, coalesce(text, '') AS t FROM documents"),
     "grammar_sentences": _grammar("p_partkey", f"SELECT p_partkey, concat_ws(' ', p_name, ({_texts(_STORY)})[p_partkey % 5 + 1], p_type, CASE WHEN p_partkey % 3 = 0 THEN ({_texts(_STORY)})[p_partkey // 5 % 5 + 1] END) AS t FROM part"),
     "hint_anchor": f"""
@@ -243,4 +283,4 @@ ORACLE_SQL = {
     """,
     "repaired_symbols": "SELECT p_partkey, p_name || ' →  Ã© é' AS text FROM part",
 }
-# answer_anchors and citations fold over answers, vocab_grounded compares words by inflection; tests hold them to plain Python
+# vocab_grounded compares words by inflection, which tests do by hand
