@@ -158,10 +158,11 @@ def _texts(xs: list[str]) -> str:
 
 
 def _grammar(key: str, rows: str) -> str:
-    patterns = ", ".join(f"({i}, '{k}', {_text(p)})" for i, (k, p) in enumerate(alignment.GRAMMAR))
+    # one branch for each pattern: as constants they are compiled once
+    found = " UNION ALL ".join(f"SELECT {key}, t, {i} AS k, '{k}' AS key, regexp_extract(lower(t), {_text(p)}, 1) AS m FROM d" for i, (k, p) in enumerate(alignment.GRAMMAR))
     parts = rf"string_split(regexp_replace(t, '([.?!]){_S}', '\1' || chr(1), 'g'), chr(1))"
     return f"""
-        WITH d AS ({rows}), g(k, key, pat) AS (VALUES {patterns}), m AS (SELECT {key}, t, k, key, regexp_extract(lower(t), pat, 1) AS m FROM d CROSS JOIN g),
+        WITH d AS ({rows}), m AS ({found}),
         h AS (SELECT *, {parts} AS s FROM m WHERE m <> '' QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY k) <= 4)
         SELECT {key}, key, substr(trim(coalesce(list_filter(s, lambda x: contains(lower(x), substr(m, 1, 25)))[1], m)), 1, 300) AS sentence FROM h
     """
