@@ -12,6 +12,7 @@ from .quality_rules import oracle_sql as quality_sql
 from .quality_rules import quality_rules
 from .simhash import simhash_groups
 from .substring_dedup import substring_dedup
+from .token_counts import token_counts
 from .token_files import token_round_trip
 from .toxicity import toxicity
 
@@ -56,9 +57,13 @@ def op10_token_files(spark, sf_dir):
     return token_round_trip(table(spark, sf_dir, "documents"))
 
 
+def op11_token_counts(spark, sf_dir):
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_exact_dedup, op3_substring_dedup, op4_simhash, op5_html_extract, op6_mixing, op7_toxicity, op8_packing, op9_license_scan, op10_token_files)
+    for f in (op1_quality_rules, op2_exact_dedup, op3_substring_dedup, op4_simhash, op5_html_extract, op6_mixing, op7_toxicity, op8_packing, op9_license_scan, op10_token_files, op11_token_counts)
 }
 
 ORACLE_SQL = {

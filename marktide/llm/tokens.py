@@ -29,7 +29,7 @@ def default_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def _byte_letters() -> dict[int, str]:
+def byte_letters() -> dict[int, str]:
     """The letters that byte-level tokenizers write for bytes (a public, fixed convention), by Latin-1 code point."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in plain]
@@ -46,7 +46,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.word_level = Tokenizer.from_file(path), word_level
-        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.model, self.letters = self.tokenizer.model, byte_letters()
         self.memo: dict[str, bytes] = {}  # of pieces after a space
         self.lead: dict[str, bytes] = {}  # of pieces at the start of a text, where that differs
         self.marks: dict[str, bytes] = {}
