@@ -8,6 +8,7 @@ from .exact_dedup import exact_dedup
 from .html_extract import html_extract
 from .license_scan import license_scan
 from .packing import pack_documents
+from .periodic_runs import run_digests
 from .quality_rules import oracle_sql as quality_sql
 from .quality_rules import quality_rules
 from .simhash import simhash_groups
@@ -61,9 +62,13 @@ def op11_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op13_periodic_runs(spark, sf_dir):
+    return run_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_exact_dedup, op3_substring_dedup, op4_simhash, op5_html_extract, op6_mixing, op7_toxicity, op8_packing, op9_license_scan, op10_token_files, op11_token_counts)
+    for f in (op1_quality_rules, op2_exact_dedup, op3_substring_dedup, op4_simhash, op5_html_extract, op6_mixing, op7_toxicity, op8_packing, op9_license_scan, op10_token_files, op11_token_counts, op13_periodic_runs)
 }
 
 ORACLE_SQL = {
