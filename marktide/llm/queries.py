@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import hard_negatives, mixing
 from .common import table
 from .exact_dedup import exact_dedup
 from .html_extract import html_extract
@@ -62,13 +62,17 @@ def op11_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark, sf_dir):
+    return hard_negatives.mined(table(spark, sf_dir, "embeddings"))
+
+
 def op13_periodic_runs(spark, sf_dir):
     return run_digests(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_exact_dedup, op3_substring_dedup, op4_simhash, op5_html_extract, op6_mixing, op7_toxicity, op8_packing, op9_license_scan, op10_token_files, op11_token_counts, op13_periodic_runs)
+    for f in (op1_quality_rules, op2_exact_dedup, op3_substring_dedup, op4_simhash, op5_html_extract, op6_mixing, op7_toxicity, op8_packing, op9_license_scan, op10_token_files, op11_token_counts, op12_hard_negatives, op13_periodic_runs)
 }
 
 ORACLE_SQL = {
@@ -79,4 +83,5 @@ ORACLE_SQL = {
         FROM t WINDOW w AS (PARTITION BY text_sha256)
     """,
     "op6_mixing": mixing.oracle_sql(),
+    "op12_hard_negatives": hard_negatives.oracle_sql(),
 }
