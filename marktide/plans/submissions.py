@@ -340,27 +340,28 @@ def exam_documents(spark, d):
 
 
 def results_sync(spark, d):
-    """Results of learners in two writes into a store of versions; the second write comes twice."""
+    """Results of learners in two writes to the log of changes; the second write comes twice."""
     n = F.col("event_id")
     rows = table(spark, d, "events").groupBy((n % 700).alias("result_id"), (n % 2).cast("int").alias("write")).agg(F.max(n).alias("score"), F.max(F.when(n % 3 == 0, F.col("event_type"))).alias("feedback"))
     path = new_path(spark, "results")
-    put = store.merge_sink(path, lambda old, new: stores.keyed_upsert(old, new, "result_id"))
+    put = store.change_sink(path, "write")
     for write in (0, 1, 1):
-        put(rows.where(F.col("write") == write).drop("write"), write)
-    return store.newest_version(spark, path).select("result_id", "score", F.coalesce("feedback", F.lit("")).alias("feedback"))
+        put(rows.where(F.col("write") == write), write)
+    return store.folded(store.changes(spark, path).drop("batch"), "result_id", "write").select("result_id", "score", F.coalesce("feedback", F.lit("")).alias("feedback"))
 
 
 def srs_stream(spark, d):
     rows = heartbeats(spark, f"{d}/events.parquet").select(F.col("user_id").alias("student_id"), "event_type", "event_id", F.col("ts").alias("at"), (F.col("value") >= 50).alias("remembered"))
     out = stateful.collected(stateful.card_stream(rows, ["student_id", "event_type"]), new_path(spark, "card-stream"))
-    return out.select("event_id", "box", F.col("due").cast("timestamp_ntz").alias("due"))
+    return out.where("NOT late").select("event_id", "box", F.col("due").cast("timestamp_ntz").alias("due"))
 
 
 def balance_stream(spark, d):
     e = heartbeats(spark, f"{d}/events.parquet")
     delta = F.when(F.col("event_type") == "purchase", -F.floor("value")).otherwise(F.floor(F.floor("value") / 10))
     rows = e.select(F.col("user_id").alias("student_id"), "event_id", F.col("ts").alias("at"), delta.alias("delta"))
-    return stateful.collected(stateful.balance_stream(rows, "student_id"), new_path(spark, "balance-stream"))
+    out = stateful.collected(stateful.balance_stream(rows, "student_id"), new_path(spark, "balance-stream"))
+    return out.where("NOT late").select("event_id", "student_id", "balance")
 
 
 def exam_average(spark, d):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marktide.operators import merging
@@ -38,6 +38,22 @@ def activity_windows(spark: SparkSession, path: str) -> DataFrame:
     return merging.newest(spark.read.parquet(out), ["hour", "event_type"], [F.desc("batch")]).drop("batch")
 
 
+def sessions(events: DataFrame, who: list[str], gap, late: str = "30 seconds") -> DataFrame:
+    """events (who, at), a stream: the stretches in which someone was there, once they have closed: who, began, ended, n.
+
+    Each event keeps its stretch open for the time gap (a text, or a column: by activity); an event with a gap of zero
+    counts for nothing. In append mode a stretch comes out when the watermark has passed its end, and its state goes.
+    """
+    w = F.session_window("at", gap)
+    found = events.withWatermark("at", late).groupBy(*who, w.alias("w")).agg(F.count("*").alias("n"))
+    return found.select(*who, F.col("w.start").alias("began"), F.col("w.end").alias("ended"), "n")
+
+
+def present(stretches: DataFrame, as_of: Column) -> DataFrame:
+    """Who was there at a time: stretches that had begun and had not yet ended."""
+    return stretches.where((F.col("began") <= as_of) & (as_of < F.col("ended")))
+
+
 def ledger_sink(spark: SparkSession, table: str):
     """A foreachBatch function that appends operations (op_id, ...) once: those already in the table, or earlier in the batch, are left out.
 

@@ -38,20 +38,12 @@ def cards(spark: SparkSession, path: str, owner: str, value=None) -> dict[str, D
     return stores.latest_state(changes(spark, path, owner, value), [owner, "card_id"], ["at", "change_id"], "deleted")
 
 
-def merge_sink(path: str, merge):
-    """A foreachBatch function that keeps a table in versions: version n is merge(version n - 1, batch n), the first one the batch itself.
+def folded(log: DataFrame, key: str, order: str) -> DataFrame:
+    """The keyed table that a log of writes leaves: of each field the newest value that is not null.
 
-    A batch that is run again reads the same older version and replaces its own, so a replay changes nothing.
+    A plain aggregate, so tasks combine a key's writes before the shuffle; a write that is in the log twice changes
+    nothing. Rows without a key are left out.
     """
-
-    def put(batch: DataFrame, number: int) -> None:
-        new = merge(batch.sparkSession.read.parquet(f"{path}/version={number - 1}"), batch) if number else merge(batch.limit(0), batch)
-        new.write.mode("overwrite").parquet(f"{path}/version={number}")
-
-    return put
-
-
-def newest_version(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.parquet(path)
-    last = rows.agg(F.max("version")).first()[0]
-    return rows.where(F.col("version") == F.lit(last)).drop("version")
+    fields = [c for c in log.columns if c not in (key, order)]
+    newest = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in fields]
+    return log.where(F.col(key).isNotNull()).groupBy(key).agg(*newest)
