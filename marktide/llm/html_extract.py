@@ -1,10 +1,11 @@
-"""Main text of web pages by the maximum-scoring subsequence of a page's words and tags.
+"""Main text of web pages by maximum-scoring subsequences of a page's words and tags.
 
 A page is one pass over its tags and texts. Each word and each tag is a token with a weight, words positive and tags
 negative as a rule; the weights are log-odds of content against boilerplate, counted on labelled pages. A linear scan
-finds the contiguous run of tokens with the largest sum: the content region. What stands inside elements that never hold
-content (scripts, menus, buttons, ...) has no score and no part in the text. Forms, asides and elements whose class, id or
-role names boilerplate are ruled out likewise, but only while they hold a small share of the page's words outside links.
+finds the contiguous run of tokens with the largest sum: the content region. Menus, headers, footers, forms, asides and
+elements whose class, id or role names boilerplate weigh minus infinity, however much they hold, so no region crosses
+them; inside an article or a paragraph they weigh nothing and are cut out of the text. What the scan then finds in the
+rest of the page joins the text if it holds prose, so a list of links in the middle doesn't end an article.
 """
 
 from __future__ import annotations
@@ -27,56 +28,89 @@ _HINT = re.compile(r"(?:class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _SKIP = frozenset("nav header footer button select option label dialog menu svg canvas object audio video map head".split())
-_MAYBE = frozenset("aside form fieldset".split())
+_MAYBE = frozenset("form fieldset".split())
 #: What a head may hold; any other element, and any text, ends it.
 _HEAD = frozenset("html head base basefont bgsound link meta title style script noscript template".split())
-#: Shares of the page's words outside links below which an element is ruled out: always, by its tag or a whole name, by a part of a name.
-ALWAYS, WHOLE, PART, NEVER = 2.0, 0.5, 0.2, 0.0
-#: Words of a class, id or role that name boilerplate.
-_AWAY = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social follow related recommended recommendations more-stories sidebar widget widgets nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager footer header masthead comment comments commentlist respond reply replies disqus discussion search skip toolbar copyright legal disclaimer complementary contentinfo hidden".split())
+#: Why an element may be ruled out: it always is; as an advert or a notice; by another name or as an aside, unless it holds the
+#: page's headline; as a form, unless the page is laid out in it.
+NEVER, ALWAYS, ADVERT, NAMED, FORM = range(5)
+#: What the scan may do with a token: take it, take it but cut it out of the text, or never cross it.
+TAKE, CUT, WALL = range(3)
+#: Words of a class, id or role that name boilerplate: adverts and notices, and other parts of a page.
+_ADVERTS = frozenset("ad ads advert adverts advertisement advertisements advertising adsense adslot adunit sponsor sponsored sponsors cookie cookies consent gdpr notice notices".split())
+_AWAY = frozenset("promo promotion banner alert alerts popup modal overlay newsletter subscribe subscription signup login share sharing social follow related recommended recommendations more-stories sidebar widget widgets nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager footer header masthead comment comments commentlist respond reply replies disqus discussion search skip toolbar copyright legal disclaimer complementary contentinfo".split())
+#: Names with one of these tell what a page has beside its content, or how it looks.
+_ABOUT = frozenset("with has no without open closed enabled disabled".split())
+#: Words of prose that a further region has at least, and words of a paragraph of which two show that a form is the page.
+PROSE_WORDS, PARAGRAPH_WORDS = 8, 10
 _WORDS = re.compile(r"\S+")
 #: Blocks that hold running text; words right inside other elements are a kind of their own.
 _PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt blockquote pre td th figcaption summary".split())
 _TEXT = frozenset(("text", "bare", "link"))
+#: Fields that a visitor fills in, elements that lay out a page, and skipped elements that stand between blocks.
+_CONTROLS, _LAYOUT, _WALLS = frozenset("input textarea select button".split()), frozenset("h1 main article nav header footer".split()), frozenset("dialog menu head".split())
 
 
-def _names(attributes: str) -> tuple[set[str], set[str]]:
-    """Names in class, id, role, ...: whole ones, and those with their parts at hyphens and capitals."""
-    whole: set[str] = set()
-    parts: set[str] = set()
+def _names(attributes: str) -> list[tuple[str, frozenset[str]]]:
+    """The names in class, id, role, ..., each with its parts at hyphens and capitals."""
+    found = []
     for m in _HINT.finditer(attributes):
-        value = m[1] or m[2] or m[3] or ""
-        whole.update(value.lower().split())
-        parts.update(x for x in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()) if x)
-    return whole, whole | parts
-
-
-def _away(tag: str, attributes: str, inside_article: bool) -> float:
-    """The share of prose below which an element is ruled out. A header of the article itself may hold its headline."""
-    away = _AWAY
-    if tag == "header" and inside_article:
-        away = _AWAY - {"header"}
-    elif tag in _SKIP:
+        for name in (m[1] or m[2] or m[3] or "").split():
+            found.append((name.lower(), frozenset(x for x in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if x)))
+    return found
+
+
+def _away(tag: str, attributes: str, inside_article: bool) -> int:
+    """Why an element may be ruled out. A header of the article itself may hold its headline."""
+    if tag in _SKIP and not (tag == "header" and inside_article):
         return ALWAYS
-    elif tag in _MAYBE:
-        return WHOLE
-    if not attributes or tag in ("html", "body", "article", "main"):
-        return NEVER
-    whole, names = _names(attributes)
-    if inside_article or names & {"article", "entry", "post", "story"}:
-        away = away - {"header"}
-    if not names & away or (tag != "header" and tag in _BLOCK and names & {"article", "story"} and not names & {"comment", "comments", "ad", "ads", "sidebar", "related"}):
+    if tag in ("html", "body"):
         return NEVER
-    return WHOLE if whole & away else PART
+    found = NAMED if tag == "aside" else FORM if tag in _MAYBE else NEVER
+    for name, parts in _names(attributes) if attributes else ():
+        if parts & _ABOUT:
+            continue
+        if parts & _ADVERTS:
+            return ADVERT
+        away = _AWAY - {"header"} if inside_article or tag == "header" or parts & {"article", "entry", "post", "story"} else _AWAY
+        if tag == "main" or tag == "article" and not parts & {"comment", "comments", "reply"}:
+            continue
+        if name == "hidden" or name in away or parts & away and not (parts & {"article", "story"} and not parts & {"comment", "comments", "sidebar", "related"}):
+            found = NAMED
+    return found
+
+
+class _Doubt:
+    """An element that may be ruled out, in the one around it; wall: it stands between blocks."""
+
+    __slots__ = ("why", "around", "wall", "headline", "layout", "controls", "paragraphs")
+
+    def __init__(self, why: int, around: _Doubt | None, wall: bool):
+        self.why, self.around, self.wall = why, around, wall
+        self.headline = self.layout = self.controls = False
+        self.paragraphs = 0
 
+    def out(self) -> bool:
+        if self.why == NAMED:
+            return not self.headline
+        if self.why == FORM:
+            return self.controls and not (self.headline or self.layout or self.paragraphs >= 2)
+        return self.why in (ALWAYS, ADVERT)
 
-def tokens(page: str) -> list[tuple[str, str, bool]]:
-    """(kind, text, content allowed) in page order. kind: "text", "bare" (in no block of prose), "link", or a tag as "p", "/p"."""
-    out: list[tuple[str, str, int]] = []
-    # elements that may be ruled out: share, words outside links, the one around it; the first is the page, the second what is always out
-    doubtful: list[list] = [[NEVER, 0, 0], [ALWAYS, 0, 0]]
-    stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]  # tag; in or below: a doubtful element, an article, a link, prose
+
+def _all(doubt: _Doubt | None) -> Iterator[_Doubt]:
+    while doubt is not None:
+        yield doubt
+        doubt = doubt.around
+
+
+def tokens(page: str) -> list[tuple[str, str, int]]:
+    """(kind, text, TAKE, CUT or WALL) in page order. kind: "text", "bare" (in no block of prose), "link", or a tag as "p", "/p"."""
+    out: list[tuple[str, str, _Doubt | None]] = []
+    # tag; in or below: a doubtful element, an article, a link, prose
+    stack: list[tuple[str, _Doubt | None, bool, bool, bool]] = [("", None, False, False, False)]
     opened: Counter[str] = Counter()
+    doubtful: list[_Doubt] = []
     at, n = 0, len(page)
 
     def close(k: int) -> None:
@@ -95,8 +129,9 @@ def tokens(page: str) -> list[tuple[str, str, bool]]:
             if words and stack[-1][0] == "head":
                 end_head()
             _, doubt, _, link, prose = stack[-1]
-            if not link:
-                doubtful[doubt][1] += words
+            if doubt is not None and prose and not link and words >= PARAGRAPH_WORDS:
+                for d in _all(doubt):
+                    d.paragraphs += 1
             out.append(("link" if link else "text" if prose else "bare", page[at:cut], doubt))
         if not m:
             break
@@ -110,6 +145,9 @@ def tokens(page: str) -> list[tuple[str, str, bool]]:
                 close(max(k for k, x in enumerate(stack) if x[0] == tag) if stack[-1][0] != tag else len(stack) - 1)
             out.append((f"/{tag}", "", stack[-1][1]))
             continue
+        if tag in _CONTROLS and not (tag == "input" and "hidden" in attributes.lower()):
+            for d in _all(stack[-1][1]):
+                d.controls = True
         if _RAW.fullmatch(tag) and not attributes.rstrip().endswith("/"):
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = end.end() if end else n
@@ -125,23 +163,22 @@ def tokens(page: str) -> list[tuple[str, str, bool]]:
                 if stack[k][0] in _BLOCK:
                     break
         _, doubt, article, link, prose = stack[-1]
+        if tag in _LAYOUT:
+            for d in _all(doubt):
+                d.layout, d.headline = True, d.headline or tag in ("h1", "main")
         out.append((tag, "", doubt))
         if tag not in _VOID and not attributes.rstrip().endswith("/"):
-            share = _away(tag, attributes, article) if doubt != 1 else NEVER
-            if share == ALWAYS:
-                doubt = 1
-            elif share > NEVER:
-                doubtful.append([share, 0, doubt])
-                doubt = len(doubtful) - 1
+            why = _away(tag, attributes, article) if doubt is None or doubt.why != ALWAYS else NEVER
+            if why != NEVER:
+                doubt = _Doubt(why, doubt, (tag in _BLOCK or tag in _WALLS) and not prose and not article)
+                doubtful.append(doubt)
             stack.append((tag, doubt, article or tag in ("article", "main"), link or tag == "a", tag in _PROSE or (prose and tag not in _BLOCK)))
             opened[tag] += 1
-    doubtful[1][1] = 0
-    for share, words, around in reversed(doubtful[2:]):
-        doubtful[around][1] += words
-    total, away = doubtful[0][1], [False, True]
-    for share, words, around in doubtful[2:]:
-        away.append(away[around] or words < share * total)
-    return [(kind, text, not away[doubt]) for kind, text, doubt in out]
+    state: dict[int, int] = {}
+    for d in doubtful:  # those around come first
+        around = state[id(d.around)] if d.around is not None else TAKE
+        state[id(d)] = max(around, (WALL if d.wall else CUT) if d.out() else TAKE)
+    return [(kind, text, TAKE if d is None else state[id(d)]) for kind, text, d in out]
 
 
 def learn_weights(pages: list[tuple[str, list[str]]]) -> dict[str, float]:
@@ -213,28 +250,59 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return span
 
 
+def content_regions(found: list[tuple[str, str, int]], scores: list[float]) -> list[tuple[int, int]]:
+    """The best region, and the best ones of what is left of the page, as long as they hold prose; in page order."""
+    prose = [0]
+    for kind, text, state in found:
+        prose.append(prose[-1] + (len(_WORDS.findall(text)) if kind == "text" and state == TAKE else 0))
+    regions: list[tuple[int, int]] = []
+
+    def rest(begin: int, end: int) -> None:
+        """Cuts what is left at the walls, so that a long page isn't scanned again for each of its regions."""
+        at = begin
+        for k in range(begin, end + 1):
+            if k == end or scores[k] == -math.inf:
+                if prose[k] - prose[at] >= PROSE_WORDS:
+                    todo.append((at, k))
+                at = k + 1
+
+    todo = [(0, len(found))]
+    while todo:
+        a, b = todo.pop()
+        start, stop = best_region(scores[a:b])
+        start, stop = a + start, a + stop
+        if stop == start or regions and prose[stop] - prose[start] < PROSE_WORDS:
+            continue
+        regions.append((start, stop))
+        rest(a, start)
+        rest(stop, b)
+    return sorted(regions)
+
+
 def extract(page: str | None, weights: dict[str, float] | None = None) -> str:
     """The main text of one page: blocks joined by a line feed, white space inside a block one space."""
     w, found = weights or default_weights(), tokens(page or "")
     other = w.get("", -0.3)
-    scores = [0.0 if not ok else w.get(kind, other) * (len(_WORDS.findall(text)) if kind in _TEXT else 1) for kind, text, ok in found]
-    start, stop = best_region(scores)
-    # the region is widened to whole blocks
-    while start > 0 and found[start - 1][0].lstrip("/") not in _BLOCK:
-        start -= 1
-    while stop < len(found) and found[stop][0].lstrip("/") not in _BLOCK:
-        stop += 1
-    blocks, now = [], []
-    for kind, text, ok in found[start:stop]:
-        if kind in _TEXT:
-            if ok:
-                now.append(text)
-        elif kind.lstrip("/") in _BLOCK:
-            blocks.append("".join(now))
-            now = []
-        elif kind == "br":
-            now.append(" ")
-    blocks.append("".join(now))
+    scores = [-math.inf if state == WALL else 0.0 if state == CUT else w.get(kind, other) * (len(_WORDS.findall(text)) if kind in _TEXT else 1) for kind, text, state in found]
+    blocks, last = [], 0
+    for start, stop in content_regions(found, scores):
+        # a region is widened to whole blocks
+        while start > last and found[start - 1][0].lstrip("/") not in _BLOCK and scores[start - 1] > -math.inf:
+            start -= 1
+        while stop < len(found) and found[stop][0].lstrip("/") not in _BLOCK and scores[stop] > -math.inf:
+            stop += 1
+        now = []
+        for kind, text, state in found[max(start, last) : stop]:
+            if kind in _TEXT:
+                if state != CUT:
+                    now.append(text)
+            elif kind.lstrip("/") in _BLOCK:
+                blocks.append("".join(now))
+                now = []
+            elif kind == "br":
+                now.append(" ")
+        blocks.append("".join(now))
+        last = stop
     joined = (" ".join(html.unescape(b).split()) for b in blocks)
     return "\n".join(b for b in joined if b)
 
