@@ -15,8 +15,15 @@ which is exact and ends at 15 free bits.
 At the wide radius of similar_groups() fingerprint blocks no longer part a corpus, so there the shards are pairs of minimal
 shingle hashes: texts with a similarity of s meet in one of BANDS shards with probability 1 - (1 - s ** ROWS) ** BANDS. The
 trees and the radius prune each shard, and what is left is checked exactly on the sets of shingle hashes, unless the two
-are already connected. A shard above MEMBERS texts or WORK hashes is dealt into pairs of blocks, which together hold all
-of its pairs. Only texts that share a shard with another send their hashes.
+are already connected. Only texts that share a shard with another send their hashes.
+
+A passage that many texts share makes a large shard of texts that are not similar, and so does a group of many copies. A
+shard above MEMBERS texts or WORK hashes is therefore not searched in pairs. First stars: its texts, dealt at random, are
+compared with a few of them only, which joins groups of copies. Then prefixes: two texts that are similar share one of the
+rarest of their shingles (a fifth of each set, and any order of shingles that is the same for all texts will do), so texts
+meet by these, and only where some that are not yet connected meet they are searched. Boilerplate is frequent, so it makes
+no text meet another, and a group of copies is connected already; no pair is lost by either. What is left are texts of
+which many are almost similar: these alone are searched in pairs of blocks, which costs the square of their number.
 """
 
 from __future__ import annotations
@@ -40,9 +47,11 @@ RADIUS = 2
 SHARD = 4000
 #: Query and node pairs that the search holds at once, about.
 PAIRS = 1 << 21
-#: Shards of similar_groups(), and the members and shingle hashes that one of them holds at most before it is dealt into blocks.
+#: Shards of similar_groups(), and the members and shingle hashes that one of them holds at most before it is dealt otherwise.
 BANDS, ROWS = 6, 2
-MEMBERS, WORK = 1000, 4_000_000
+MEMBERS, WORK = 400, 4_000_000
+#: Texts that the others of a piece are compared with; shingles in so many texts count as frequent; of these, so many are sent to all tasks.
+STARS, OFTEN, SENT = 8, 16, 500_000
 
 
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
@@ -263,10 +272,20 @@ def _sketches(words: int, seed: int):
     return run
 
 
-def similar_links(fp: np.ndarray, sets: list[np.ndarray], similarity: float, radius: int) -> list[tuple[int, int]]:
-    """One shard's members to pairs that connect all whose fingerprints are within the radius and whose sets are similar."""
+def _alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    both = np.intersect1d(a, b, assume_unique=True).size
+    return both >= similarity * (len(a) + len(b) - both)
+
+
+def similar_links(fp: np.ndarray, sets: list[np.ndarray], similarity: float, radius: int, label: list | None = None) -> list[tuple[int, int]]:
+    """One shard's members to pairs that connect all whose fingerprints are within the radius and whose sets are similar.
+
+    label: members with equal labels are connected already.
+    """
     forest, size = BKForest(np.zeros(len(fp), np.int64), fp), np.array([len(x) for x in sets])
-    root, out, query = list(range(len(fp))), [], np.arange(len(fp))
+    first: dict = {}
+    root = [first.setdefault(x, k) for k, x in enumerate(label)] if label else list(range(len(fp)))
+    out, query, known = [], np.arange(len(fp)), np.array(root)
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -277,27 +296,28 @@ def similar_links(fp: np.ndarray, sets: list[np.ndarray], similarity: float, rad
     step = max(1, PAIRS // max(1, len(fp)))
     for k in range(0, len(fp), step):
         q, at = forest.within(query[k : k + step], radius)
-        near = np.minimum(size[q], size[at]) >= similarity * np.maximum(size[q], size[at])
+        near = (known[q] != known[at]) & (np.minimum(size[q], size[at]) >= similarity * np.maximum(size[q], size[at]))
         for a, b in zip(q[near].tolist(), at[near].tolist(), strict=True):
-            if (ra := find(a)) == (rb := find(b)):
-                continue
-            both = np.intersect1d(sets[a], sets[b], assume_unique=True).size
-            if both >= similarity * (size[a] + size[b] - both):
+            if (ra := find(a)) != (rb := find(b)) and _alike(sets[a], sets[b], similarity):
                 root[max(ra, rb)] = min(ra, rb)
                 out.append((a, b))
     return out
 
 
-def _similar(similarity: float, radius: int):
+_LINK = pa.schema([("shard", pa.int64()), ("u", pa.binary()), ("v", pa.binary())])
+
+
+def _grouped(each):
+    """Rows (shard, digest, fp, hashes, label), sorted by shard and digest: each(members of one shard) gives links (shard, u, v)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []  # of one shard: shard, digest, fp, hashes
+        held: list[tuple] = []
 
         def out() -> pa.RecordBatch:
-            pairs = similar_links(np.array([x[2] for x in held], np.int64), [np.frombuffer(x[3], "<u4") for x in held], similarity, radius) if len(held) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([held[p[k]][1] for p in pairs], pa.binary()) for k in (0, 1)], names=["u", "v"])
+            return pa.RecordBatch.from_pylist([{"shard": held[0][0], "u": u, "v": v} for u, v in each(held)] if held else [], schema=_LINK)
 
         for b in batches:
-            for x in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+            for x in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
                 if held and held[0][0] != x[0]:
                     yield out()
                     held.clear()
@@ -308,6 +328,129 @@ def _similar(similarity: float, radius: int):
     return run
 
 
+def _similar(similarity: float, radius: int):
+    """Links of all members of a shard."""
+
+    def each(held: list[tuple]) -> list[tuple]:
+        if len(held) < 2 or held[0][4] is not None and len({x[4] for x in held}) < 2:
+            return []
+        pairs = similar_links(np.array([x[2] for x in held], np.int64), [np.frombuffer(x[3], "<u4") for x in held], similarity, radius, None if held[0][4] is None else [x[4] for x in held])
+        return [(held[a][1], held[b][1]) for a, b in pairs]
+
+    return _grouped(each)
+
+
+def _stars(similarity: float):
+    """Links of the members of a piece to the first of its stars that is similar; a star comes out with nothing. Not all links."""
+
+    def each(held: list[tuple]) -> list[tuple]:
+        stars: list[tuple] = []
+        out = []
+        for _, digest, _, hashes, _ in held:
+            h = np.frombuffer(hashes, "<u4")
+            hub = next((d for d, x in stars if min(len(x), len(h)) >= similarity * max(len(x), len(h)) and _alike(x, h, similarity)), None)
+            if hub is None and len(stars) < STARS:
+                stars.append((digest, h))
+                out.append((digest, None))
+            elif hub is not None:
+                out.append((digest, hub))
+        return out
+
+    return _grouped(each)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shingle hashes and the texts of a batch that have them."""
+    for b in batches:
+        h, n = np.unique(np.concatenate([np.frombuffer(x, "<u4") for x in b.column(0).to_pylist()] or [np.zeros(0, "<u4")]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(n.astype(np.int64))], names=["hash", "n"])
+
+
+def prefix(h: np.ndarray, often: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """So many of a set's rarest hashes that a similar set has one of them among its own. often, ascending, with their counts."""
+    if not len(h):
+        return h
+    at = np.minimum(np.searchsorted(often, h), max(0, len(often) - 1))
+    count = np.where(often[at] == h, counts[at], 0) if len(often) else np.zeros(len(h), np.int64)
+    return h[np.lexsort((h, count))][: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1]
+
+
+def _prefixes(often: np.ndarray, counts: np.ndarray, similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [prefix(np.frombuffer(x, "<u4"), often, counts, similarity) for x in b.column(1).to_pylist()]
+            of = np.repeat(np.arange(len(found)), [len(x) for x in found])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of)), pa.array(np.concatenate(found or [np.zeros(0, "<u4")]).astype(np.int64))], names=["digest", "hash"])
+
+    return run
+
+
+def _searched(dealt: DataFrame, sets: DataFrame, search) -> DataFrame:
+    """dealt (shard, digest, label) with the sets of their texts through a search: links (shard, u, v)."""
+    placed = dealt.select("shard", "digest", "label").join(sets, F.col("digest") == F.col("d")).select("shard", "digest", "fp", "hashes", "label")
+    return placed.repartition("shard").sortWithinPartitions("shard", "digest").mapInArrow(search, "shard long, u binary, v binary")
+
+
+def _parts(members: Column, work: Column) -> Column:
+    """Into how many parts a shard is dealt."""
+    return F.ceil(F.greatest(members / MEMBERS, work / WORK)).cast("long")
+
+
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """Rows (shard, digest, label, parts), dealt into so many blocks and these into pairs, which together hold all pairs of a shard."""
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("digest"), F.col("parts")))
+    one = dealt.where("parts <= 1").select("shard", "digest", "label")
+    others = dealt.where("parts > 1").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).where("other <> own")
+    return one.union(others.select(F.xxhash64("shard", F.least("own", "other"), F.greatest("own", "other")), "digest", "label"))
+
+
+def _large_links(large: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+    """large (shard, digest, n): links (u, v) that connect all similar texts that share one of these shards."""
+    sets_of = lambda rows: known.join(rows.select(F.col("digest").alias("d")).distinct(), F.col("digest") == F.col("d"), "left_semi").select(F.col("digest").alias("d"), "fp", "hashes").dropDuplicates(["d"])
+    large = saved(large, "similar-large")
+    sets = saved(sets_of(large), "similar-sets")
+    rows, none, stars, before = large, F.lit(None).cast("binary"), None, math.inf
+    while True:
+        sizes = rows.groupBy("shard").agg(_parts(F.count("*"), F.sum("n")).alias("pieces")).withColumnRenamed("shard", "s")
+        dealt = saved(rows.join(sizes, F.col("shard") == F.col("s")).select("shard", "digest", "n", "pieces"), "similar-pieces")
+        piece = F.xxhash64("shard", F.pmod(F.xxhash64("digest"), F.col("pieces")))
+        found = saved(_searched(dealt.select(piece.alias("shard"), "digest", none.alias("label")), sets, _stars(similarity)), "similar-stars")
+        linked = found.where("v IS NOT NULL").select("u", "v")
+        stars = linked if stars is None else stars.union(linked)
+        again = dealt.where("pieces > 1").join(found.where("v IS NULL").select(F.col("shard").alias("s"), F.col("u").alias("d")), (piece == F.col("s")) & (F.col("digest") == F.col("d")), "left_semi")
+        rows = saved(again.select("shard", "digest", "n"), "similar-again")
+        if not (now := rows.count()) or now > before / 2:  # few are stars of others; the prefixes find the rest
+            break
+        before = now
+    root = components(stars).select(F.col("u").alias("d"), F.col("v").alias("root"))
+    label = saved(large.select("digest", "n").distinct().join(root, F.col("digest") == F.col("d"), "left").select(F.col("digest").alias("l"), "n", F.coalesce("root", "digest").alias("label")), "similar-labels")
+    counted = saved(sets.select("hashes").mapInArrow(_counted, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN), "similar-often")
+    least = OFTEN
+    while counted.where(F.col("n") >= least).count() > SENT:  # any order of shingles gives right results; the most frequent matter most
+        least *= 4
+    often = counted.where(F.col("n") >= least).orderBy("hash").toPandas()
+    told = known.sparkSession.sparkContext.broadcast((often["hash"].to_numpy(np.int64), often["n"].to_numpy(np.int64)))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _prefixes(*told.value, similarity)(batches)
+
+    met = sets.select("d", "hashes").mapInArrow(prefixes, "digest binary, hash long").join(label, F.col("digest") == F.col("l")).select("digest", "hash", "label", "n")
+    met = saved(met, "similar-prefixes")
+    open_ = met.groupBy(F.col("hash").alias("h")).agg(F.min("label").alias("a"), F.max("label").alias("b"), _parts(F.count("*"), F.sum("n")).alias("parts")).where("a <> b")
+    rows = saved(met.join(open_, F.col("hash") == F.col("h")).select(F.col("hash").alias("shard"), "digest", "label", "n", "parts"), "similar-met")
+    search = _similar(similarity, radius_for(similarity))
+    last = _searched(rows.where("parts <= 1"), sets, search)
+    # texts whose rarest shingles are common to many that are not connected: almost similar ones, searched in pairs of blocks
+    common = saved(rows.where("parts > 1").select(F.col("digest").alias("c"), "label").distinct(), "similar-common")
+    if not common.isEmpty():
+        rest = large.join(common, F.col("digest") == F.col("c")).select("shard", "digest", "n", "label")
+        parts = rest.groupBy(F.col("shard").alias("s")).agg(_parts(F.count("*"), F.sum("n")).alias("parts"))
+        dealt = saved(_in_blocks(rest.join(parts, F.col("shard") == F.col("s")).select("shard", "digest", "label", "parts")), "similar-blocks")
+        last = last.union(_searched(dealt, sets, search))
+    last = last.select("u", "v")
+    return stars.union(last)
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, words: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
     """One row per input row: doc_id, row, group_id (equal for texts that are linked, directly or over others).
 
@@ -321,15 +464,14 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # one row for each different set in each of its shards
     member = saved(known.select("digest", "n", F.explode("shards").alias("shard")).distinct(), "similar-members")
     full = member.groupBy("shard").agg(F.count("*").alias("members"), F.sum("n").alias("work")).where("members > 1").withColumnRenamed("shard", "s")
-    blocks = F.ceil(F.greatest(F.col("members") / MEMBERS, F.col("work") / WORK)).cast("long")
-    dealt = member.join(full, F.col("shard") == F.col("s")).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("digest"), F.col("blocks")))
-    one = dealt.where("blocks = 1").select("shard", "digest")
-    others = dealt.where("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("other <> own")
-    dealt = saved(one.union(others.select(F.xxhash64("shard", F.least("own", "other"), F.greatest("own", "other")), "digest")), "similar-shards")
+    member = saved(member.join(full, F.col("shard") == F.col("s")).select("shard", "digest", "n", F.greatest(F.col("members") / MEMBERS, F.col("work") / WORK).alias("fill")), "similar-shards")
+    dealt = member.where("fill <= 1").select("shard", "digest", F.lit(None).cast("binary").alias("label"))
     first = known.groupBy("digest").agg(F.min("row").alias("row"))
-    wanted = saved(first.join(dealt.select(F.col("digest").alias("d")).distinct(), F.col("digest") == F.col("d"), "left_semi").select("row"), "similar-rows")
-    sets = known.join(wanted, "row", "left_semi").select(F.col("digest").alias("d"), "fp", "hashes")
-    placed = dealt.select("shard", "digest").join(sets, F.col("digest") == F.col("d")).select("shard", "digest", "fp", "hashes")
-    found = placed.repartition("shard").sortWithinPartitions("shard", "digest").mapInArrow(_similar(similarity, radius_for(similarity)), "u binary, v binary")
+    wanted = saved(first.join(member.select(F.col("digest").alias("d")).distinct(), F.col("digest") == F.col("d"), "left_semi").select("row"), "similar-rows")
+    one = known.join(wanted, "row", "left_semi")
+    found = _searched(dealt, one.select(F.col("digest").alias("d"), "fp", "hashes"), _similar(similarity, radius_for(similarity))).select("u", "v")
+    large = member.where("fill > 1").select("shard", "digest", "n")
+    if not large.isEmpty():
+        found = found.union(_large_links(large, one, similarity))
     root = components(found).select("u", F.col("v").alias("root"))
     return known.select("doc_id", "row", "digest").join(root, F.col("digest") == F.col("u"), "left").select("doc_id", "row", F.coalesce("root", "digest").alias("group_id"))

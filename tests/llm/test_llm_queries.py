@@ -32,7 +32,7 @@ def similar(a, b):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "labels", "pages"):
+    for t in ("documents", "labels", "pages", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{D}/{t}.parquet'")
     got, want = QUERIES[name](spark, D).toPandas(), con.sql(ORACLE_SQL[name]).df()
     cols = sorted(got.columns)
