@@ -5,15 +5,14 @@ A null text counts as an empty one: it has no structure, quotation, block or wor
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marktide.functions.values import half_up, mark_seconds, marked_time, plain_key, sentences, squeeze, strip_tags
+from marktide.operators import search
 
 # Letters, digits and the low line are word characters in all scripts; both Java and RE2 read these classes alike.
 _W = r"\pL\pN_"
@@ -58,30 +57,6 @@ def grammar_items(text: Column) -> Column:
     return F.slice(F.array_compact(F.array(*[item(k, p) for k, p in GRAMMAR])), 1, MOST_STRUCTURES)
 
 
-def quotes_in(passages: DataFrame, quotes: DataFrame, words: int = 4) -> DataFrame:
-    """passages (passage_id, text), quotes (quote_id, quote): pairs where the passage holds the quote from a word's start on, case and white space aside.
-
-    The first words of a quote are looked up by hash among the passages' word windows of the lengths that occur; only hits are compared in full. Quotes of
-    fewer words are compared by those they have. Shuffles or broadcasts of quotes are left to the optimizer.
-    """
-    norm = lambda c: F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(c), F.lit(""))), r"[ \t\n\f\r]+", " "))
-    q = quotes.select("quote_id", norm("quote").alias("q")).where("q <> ''").withColumn("w", F.split("q", " "))
-    # the last word of a window may go on in the passage, so windows leave it out
-    q = q.withColumn("n", F.greatest(F.lit(1), F.least(F.lit(words), F.size("w") - 1)))
-    used = sorted(x["n"] for x in q.select("n").distinct().collect()) or [words]  # at most as many rows as words
-    lead = lambda w, i, k: F.xxhash64(*[F.get(w, i + j) for j in range(k)])
-    first = F.coalesce(*[F.when(F.col("n") == k, lead(F.col("w"), F.lit(0), k)) for k in used])
-    q = q.select("quote_id", "q", first.alias("lead"))
-    p = passages.select("passage_id", norm("text").alias("p"))
-    w = F.col("w")
-    each = lambda k: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(w) - k)), lambda i: lead(w, i, k))
-    windows = F.concat(*map(each, used))
-    heads = p.select("passage_id", F.split("p", " ").alias("w")).select("passage_id", F.explode(F.array_distinct(windows)).alias("head"))
-    near = heads.join(q.select("quote_id", "lead"), F.col("head") == F.col("lead")).select("passage_id", "quote_id").distinct()
-    full = near.join(p, "passage_id").join(q.select("quote_id", "q"), "quote_id")
-    return full.where(F.contains(F.concat(F.lit(" "), F.col("p")), F.concat(F.lit(" "), F.col("q")))).select("passage_id", "quote_id")
-
-
 def best_sentences(sentences: DataFrame, key: str, query: Column, text: str = "sentence", pos: str = "pos") -> DataFrame:
     """The sentence of each key with most words in common with the query (an array), nearest to 150 characters, first."""
     overlap = F.size(F.array_intersect(F.array_distinct(F.split(plain_key(F.col(text)), " ")), query))
@@ -324,37 +299,6 @@ def proven(draft: Column, passage: Column, correct: Column, query: Column) -> Co
     return F.when(F.size(shown) > 0, F.concat(F.regexp_replace(text, r"\s+$", ""), F.lit("\n\n"), lines)).otherwise(text)
 
 
-def _plain(text: str) -> str:
-    return " ".join(re.findall(r"[a-z0-9]+", (text or "").lower()))
-
-
-def _alike(a: str, b: str) -> bool:
-    if a == b:
-        return True
-    if min(len(a), len(b)) < 4:
-        return False
-    return b.startswith(a[: max(4, len(a) - 2)]) or a.startswith(b[: max(4, len(b) - 2)])
-
-
-def grounded(phrase: str, source: str, gap: int = 0) -> bool:
-    """Whether the words of a phrase stand in the source in order, inflection aside, each the next one like it within gap words."""
-    want, have = _plain(phrase).split(), _plain(source).split()
-    ends = {k for k, t in enumerate(have) if want and _alike(want[0], t)}
-    for word in want[1:]:
-        after = (next((j for j in range(k + 1, min(len(have), k + 2 + gap)) if _alike(word, have[j])), None) for k in ends)
-        ends = {j for j in after if j is not None}
-    return bool(ends)
-
-
-def grounded_udf(phrase: Column, source: Column, gap: Column) -> Column:
-    """grounded() on columns; text matching by inflection has no built-in form."""
-
-    def run(phrase: pd.Series, source: pd.Series, gap: pd.Series) -> pd.Series:
-        return pd.Series([grounded(p, s, int(g)) for p, s, g in zip(phrase, source, gap, strict=True)])
-
-    return F.pandas_udf(run, "boolean")(phrase, source, gap)
-
-
 def quoted_in(quote: Column, source: Column) -> Column:
     """Whether a quotation of five words or more stands in the source: whole, or its first or last five words."""
     q, s = plain_key(F.coalesce(quote, F.lit(""))), plain_key(F.coalesce(source, F.lit("")))
@@ -369,5 +313,5 @@ def grounded_items(items: DataFrame, source: str, word: str = "word", category:
     A source without any word proves nothing and drops nothing.
     """
     gap = F.when(F.col(category) == "phrasal_verb", 4).otherwise(0)
-    ok = F.when(F.col(category) == "grammar", quoted_in(F.col(sentence), F.col(source))).otherwise(grounded_udf(F.coalesce(word, F.lit("")), F.coalesce(source, F.lit("")), gap))
+    ok = F.when(F.col(category) == "grammar", quoted_in(F.col(sentence), F.col(source))).otherwise(search.stands_in(search.words_of(F.col(word)), search.words_of(F.col(source)), gap))
     return items.where((plain_key(F.coalesce(source, F.lit(""))) == "") | ok)

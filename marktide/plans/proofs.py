@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from marktide.functions.exams import clean_markup, repaired, without_citation_tags
 from marktide.operators import alignment
-from marktide.plans.texts import _KEY, _S, _segments
+from marktide.plans.texts import _KEY, _S, ALIKE_SQL, _segments
 from marktide.sources.tables import table
 
 
@@ -283,5 +283,24 @@ ORACLE_SQL = {
         SELECT p_partkey, regexp_replace(replace(t, ' style=""', ''), '>\s*(?:[↓⬇▼⇩→]|->)\s*<', '><span class=''arrow''></span><', 'g') AS html FROM b
     """,
     "repaired_symbols": "SELECT p_partkey, p_name || ' →  Ã© é' AS text FROM part",
+    "vocab_grounded": f"""
+        WITH RECURSIVE i AS (
+            SELECT doc_id AS n, doc_id + CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS in_id, ['grammar', 'phrasal_verb', 'collocation'][doc_id % 3 + 1] AS category,
+                   list_filter(string_split({_KEY.format("concat_ws(' ', string_split(coalesce(text, ''), ' ')[4], string_split(coalesce(text, ''), ' ')[CASE WHEN doc_id % 3 = 1 THEN 7 ELSE 5 END])")}, ' '), lambda x: x <> '') AS ws,
+                   {_KEY.format("array_to_string(string_split(coalesce(text, ''), ' ')[5:13], ' ')")} AS q
+            FROM documents
+        ),
+        a AS (SELECT i.*, {_KEY.format("coalesce(text, '')")} AS s FROM i JOIN documents d ON d.doc_id = in_id),
+        w AS (SELECT n, len(ws) AS size, generate_subscripts(ws, 1) AS k, unnest(ws) AS word FROM a WHERE category <> 'grammar'),
+        t AS (SELECT n, generate_subscripts(string_split(s, ' '), 1) AS pos, unnest(string_split(s, ' ')) AS word FROM a WHERE category <> 'grammar'),
+        m AS (SELECT n, k, size, pos FROM w JOIN t USING (n) WHERE {ALIKE_SQL.format(a="w.word", b="t.word")}),
+        ends AS (SELECT n, k, size, pos FROM m WHERE k = 1
+            UNION SELECT e.n, m.k, e.size, m.pos FROM ends e JOIN m ON m.n = e.n AND m.k = e.k + 1 AND m.pos > e.pos AND m.pos <= e.pos + CASE WHEN e.n % 3 = 1 THEN 5 ELSE 1 END),
+        ok AS (SELECT DISTINCT n FROM ends WHERE k = size),
+        g AS (
+            SELECT category, s = '' OR CASE WHEN category = 'grammar' THEN len(string_split(q, ' ')) >= 5 AND (contains(s, q) OR contains(s, array_to_string(string_split(q, ' ')[1:5], ' ')) OR contains(s, array_to_string(string_split(q, ' ')[-5:], ' '))) ELSE n IN (SELECT n FROM ok) END AS kept
+            FROM a
+        )
+        SELECT category, count(*) AS requested, count(*) FILTER (kept) AS returned, count(*) - count(*) FILTER (kept) AS dropped FROM g GROUP BY 1
+    """,
 }
-# vocab_grounded compares words by inflection, which tests do by hand

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marktide.functions.values import clock, item_key, plain_key, sentences, strip_tags
-from marktide.operators import alignment
+from marktide.operators import alignment, search
 from marktide.sources.tables import table
 
 
@@ -26,7 +26,7 @@ def text_key(spark, d):
 def evidence_valid(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("passage_id"), "text")
     quotes = table(spark, d, "benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"))
-    return alignment.quotes_in(docs, quotes)
+    return search.quotes_in(docs, quotes)
 
 
 def evidence_fallback(spark, d):
@@ -56,9 +56,12 @@ def transcript_blocks(spark, d):
 
 
 def phrase_ground(spark, d):
-    """Whether the words of an item stand in the document with its number, with and without gaps."""
-    rows = table(spark, d, "benchmark").join(table(spark, d, "documents").select("doc_id", F.col("text").alias("source")), F.col("doc_id") == F.col("item_id"))
-    return rows.select("item_id", alignment.grounded_udf("text", "source", F.lit(0)).alias("exact"), alignment.grounded_udf("text", "source", F.lit(4)).alias("loose"))
+    """Whether the words of an item stand in some document, with and without gaps."""
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("phrase_id"), F.col("text").alias("phrase"), F.explode(F.array(F.lit(0), F.lit(4))).alias("gap"))
+    found = search.phrases_in(items, table(spark, d, "documents").select(F.col("doc_id").alias("source_id"), "text"))
+    held = found.groupBy("phrase_id").agg(F.bool_or(F.col("gap") == 0).alias("e"), F.bool_or(F.col("gap") == 4).alias("l"))
+    rows = table(spark, d, "benchmark").join(held, F.col("item_id") == F.col("phrase_id"), "left")
+    return rows.select("item_id", F.coalesce("e", F.lit(False)).alias("exact"), F.coalesce("l", F.lit(False)).alias("loose"))
 
 
 def nearest_marker(spark, d):
@@ -72,11 +75,12 @@ QUERIES = {f.__name__: f for f in (html_strip, sentence_split, text_key, evidenc
 _S = r"[ \t\n\f\r]+"
 _SPLIT = rf"string_split(regexp_replace(text, '([.?!]){_S}', '\1' || chr(1), 'g'), chr(1))"
 _KEY = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
+ALIKE_SQL = "({a} = {b} OR (length({a}) >= 4 AND length({b}) >= 4 AND (starts_with({b}, substr({a}, 1, greatest(4, length({a}) - 2))) OR starts_with({a}, substr({b}, 1, greatest(4, length({b}) - 2))))))"
 ORACLE_SQL = {
     "html_strip": rf"SELECT page_id, length(t)::INT AS n_chars, md5(t) AS digest FROM (SELECT page_id, trim(regexp_replace(replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '{_S}', ' ', 'g')) AS t FROM pages)",
     "sentence_split": f"SELECT doc_id, len({_SPLIT})::INT AS n_sentences, list_max(list_transform({_SPLIT}, lambda x: length(x)))::INT AS longest FROM documents",
     "text_key": "SELECT p_partkey, " + _KEY.format("strip_accents(p_name || ' É-Nguyễn Thị Ngọc Đạt e\u0301 ' || p_type)") + " AS item_key, " + _KEY.format("p_name || ' É-' || p_type") + " AS word_key FROM part",
-    "evidence_valid": rf"WITH p AS (SELECT doc_id, trim(regexp_replace(lower(coalesce(text, '')), '{_S}', ' ', 'g')) AS p FROM documents), q AS (SELECT item_id, trim(regexp_replace(lower(coalesce(text, '')), '{_S}', ' ', 'g')) AS q FROM benchmark) SELECT DISTINCT doc_id AS passage_id, item_id AS quote_id FROM p JOIN q ON q <> '' AND contains(' ' || p, ' ' || q)",
+    "evidence_valid": rf"WITH p AS (SELECT doc_id, trim(regexp_replace(lower(coalesce(text, '')), '{_S}', ' ', 'g')) AS p FROM documents), q AS (SELECT item_id, trim(regexp_replace(lower(coalesce(text, '')), '{_S}', ' ', 'g')) AS q FROM benchmark) SELECT DISTINCT doc_id AS passage_id, item_id AS quote_id FROM p JOIN q ON q <> '' AND contains(p, q)",
     "evidence_fallback": f"""
         WITH s AS (SELECT doc_id, unnest({_SPLIT}) AS sentence, generate_subscripts({_SPLIT}, 1) - 1 AS pos FROM documents),
         r AS (SELECT item_id, pos, sentence, len(list_intersect(list_distinct(string_split({_KEY.format("s.sentence")}, ' ')), list_distinct(string_split({_KEY.format("b.text")}, ' ')))) AS overlap FROM s JOIN benchmark b ON b.item_id = s.doc_id)
@@ -91,5 +95,19 @@ ORACLE_SQL = {
             FROM f JOIN t ON t.conv_id = f.conv_id AND t.k = f.k + 1)
         SELECT conv_id, block_no, '(' || (b // 60) || ':' || lpad((b % 60)::VARCHAR, 2, '0') || ' - ' || (max(e) // 60) || ':' || lpad((max(e) % 60)::VARCHAR, 2, '0') || ')' AS mark, max(n)::INT AS n_chars FROM f GROUP BY conv_id, block_no, b
     """,
+    "phrase_ground": f"""
+        WITH RECURSIVE b AS (SELECT item_id, list_filter(string_split({_KEY.format("coalesce(text, '')")}, ' '), lambda x: x <> '') AS ws FROM benchmark),
+        w AS (SELECT item_id, len(ws) AS size, generate_subscripts(ws, 1) AS k, unnest(ws) AS word FROM b),
+        d AS (SELECT doc_id, list_filter(string_split({_KEY.format("coalesce(text, '')")}, ' '), lambda x: x <> '') AS ws FROM documents),
+        t AS (SELECT doc_id, generate_subscripts(ws, 1) AS pos, unnest(ws) AS word FROM d),
+        pairs AS (SELECT DISTINCT w.word AS a, v.word AS b FROM w JOIN (SELECT DISTINCT word FROM t) v ON substr(w.word, 1, 4) = substr(v.word, 1, 4) AND {ALIKE_SQL.format(a="w.word", b="v.word")}),
+        m AS (SELECT item_id, doc_id, k, size, pos FROM w JOIN pairs ON a = w.word JOIN t ON t.word = b),
+        whole AS (SELECT m.* FROM m JOIN (SELECT item_id, doc_id FROM m GROUP BY item_id, doc_id HAVING count(DISTINCT k) = max(size)) USING (item_id, doc_id)),
+        steps AS (SELECT x.item_id, x.doc_id, gap, x.k, x.pos, min(y.pos) AS next FROM whole x CROSS JOIN (VALUES (0), (4)) g(gap) JOIN whole y ON y.item_id = x.item_id AND y.doc_id = x.doc_id AND y.k = x.k + 1 AND y.pos > x.pos AND y.pos <= x.pos + 1 + gap GROUP BY ALL),
+        ends AS (SELECT item_id, doc_id, gap, k, pos, size FROM whole CROSS JOIN (VALUES (0), (4)) g(gap) WHERE k = 1
+            UNION SELECT e.item_id, e.doc_id, e.gap, e.k + 1, next, size FROM ends e JOIN steps s ON s.item_id = e.item_id AND s.doc_id = e.doc_id AND s.gap = e.gap AND s.k = e.k AND s.pos = e.pos),
+        held AS (SELECT item_id, bool_or(gap = 0) AS e, bool_or(gap = 4) AS l FROM ends WHERE k = size GROUP BY 1)
+        SELECT item_id, coalesce(e, false) AS exact, coalesce(l, false) AS loose FROM benchmark LEFT JOIN held USING (item_id)
+    """,
     "nearest_marker": "SELECT conv_id, arg_min(turn * 3, (abs(turn * 3 - (conv_id * 7) % 23), turn))::DOUBLE AS nearest FROM conversations GROUP BY conv_id",
 }

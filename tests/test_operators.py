@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marktide.functions import values
-from marktide.operators import alignment, merging, progress, scoring
+from marktide.operators import merging, progress, scoring, search
 from marktide.streaming.presence import ledger_sink
 
 def one(spark, column):
@@ -91,11 +91,10 @@ def test_changed_tells_nulls_apart(spark):
     assert sorted(map(tuple, merging.changed(a, b, "id").collect())) == [(1, False), (4, True)]
 
 
-def test_grounded():
-    assert alignment.grounded("carried out", "They carry out the plan")
-    assert alignment.grounded("carry out", "They carry it all out", 4)
-    assert not alignment.grounded("carry out", "They carry it all out")
-    assert not alignment.grounded("", "text")
+def test_grounded(spark):
+    asked = [("carried out", "They carry out the plan", 0), ("carry out", "They carry it all out", 4), ("carry out", "They carry it all out", 0), ("", "text", 0)]
+    rows = spark.createDataFrame(asked, "phrase string, source string, gap int").select(search.stands_in(search.words_of(F.col("phrase")), search.words_of(F.col("source")), F.col("gap")).alias("x"))
+    assert [r.x for r in rows.collect()] == [True, True, False, False]
 
 
 def test_ledger_sink_is_idempotent(spark):
