@@ -405,10 +405,9 @@ def _in_blocks(rows: DataFrame) -> DataFrame:
 
 
 def _large_links(large: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
-    """large (shard, digest, n): links (u, v) that connect all similar texts that share one of these shards."""
-    sets_of = lambda rows: known.join(rows.select(F.col("digest").alias("d")).distinct(), F.col("digest") == F.col("d"), "left_semi").select(F.col("digest").alias("d"), "fp", "hashes").dropDuplicates(["d"])
+    """large (shard, digest, n): links (u, v) that connect all similar texts that share one of these shards. known: d, fp, hashes."""
     large = saved(large, "similar-large")
-    sets = saved(sets_of(large), "similar-sets")
+    sets = saved(known.join(large.select(F.col("digest").alias("_d")).distinct(), F.col("d") == F.col("_d"), "left_semi"), "similar-sets")
     rows, none, stars, before = large, F.lit(None).cast("binary"), None, math.inf
     while True:
         sizes = rows.groupBy("shard").agg(_parts(F.count("*"), F.sum("n")).alias("pieces")).withColumnRenamed("shard", "s")
@@ -429,7 +428,7 @@ def _large_links(large: DataFrame, known: DataFrame, similarity: float) -> DataF
     while counted.where(F.col("n") >= least).count() > SENT:  # any order of shingles gives right results; the most frequent matter most
         least *= 4
     often = counted.where(F.col("n") >= least).orderBy("hash").toPandas()
-    told = known.sparkSession.sparkContext.broadcast((often["hash"].to_numpy(np.int64), often["n"].to_numpy(np.int64)))
+    told = large.sparkSession.sparkContext.broadcast((often["hash"].to_numpy(np.int64), often["n"].to_numpy(np.int64)))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _prefixes(*told.value, similarity)(batches)
@@ -439,7 +438,10 @@ def _large_links(large: DataFrame, known: DataFrame, similarity: float) -> DataF
     open_ = met.groupBy(F.col("hash").alias("h")).agg(F.min("label").alias("a"), F.max("label").alias("b"), _parts(F.count("*"), F.sum("n")).alias("parts")).where("a <> b")
     rows = saved(met.join(open_, F.col("hash") == F.col("h")).select(F.col("hash").alias("shard"), "digest", "label", "n", "parts"), "similar-met")
     search = _similar(similarity, radius_for(similarity))
-    last = _searched(rows.where("parts <= 1"), sets, search)
+    # texts that share many of their rarest shingles meet in many equal groups: each is searched once
+    group = F.array_sort(F.collect_set(F.struct("digest", "label"))).alias("group")  # MEMBERS at most
+    groups = rows.where("parts <= 1").groupBy("shard").agg(group).select("group").distinct()
+    last = _searched(groups.select(F.xxhash64("group").alias("shard"), F.inline("group")), sets, search)
     # texts whose rarest shingles are common to many that are not connected: almost similar ones, searched in pairs of blocks
     common = saved(rows.where("parts > 1").select(F.col("digest").alias("c"), "label").distinct(), "similar-common")
     if not common.isEmpty():
@@ -468,8 +470,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     dealt = member.where("fill <= 1").select("shard", "digest", F.lit(None).cast("binary").alias("label"))
     first = known.groupBy("digest").agg(F.min("row").alias("row"))
     wanted = saved(first.join(member.select(F.col("digest").alias("d")).distinct(), F.col("digest") == F.col("d"), "left_semi").select("row"), "similar-rows")
-    one = known.join(wanted, "row", "left_semi")
-    found = _searched(dealt, one.select(F.col("digest").alias("d"), "fp", "hashes"), _similar(similarity, radius_for(similarity))).select("u", "v")
+    one = saved(known.join(wanted, "row", "left_semi").select(F.col("digest").alias("d"), "fp", "hashes"), "similar-one")
+    found = _searched(dealt, one, _similar(similarity, radius_for(similarity))).select("u", "v")
     large = member.where("fill > 1").select("shard", "digest", "n")
     if not large.isEmpty():
         found = found.union(_large_links(large, one, similarity))
