@@ -5,10 +5,8 @@ fitted to them. The union of all rules is tested along one fixed sequence of cut
 least to the one that rejects most. Within each stratum (language) the hypothesis "these cutoffs reject more than RISK of
 the good documents" is given up if the exact binomial probability of so few rejections is at most the level; the first
 vector that fails ends the sequence, so neither risk nor level is divided by rules or cutoffs. The level is divided by the
-number of strata and one more test (Bonferroni), a pool of all labelled good documents: it judges strata with too few
-labels to certify anything by themselves. With probability 1 - LEVEL no stratum with a certificate of its own loses more
-than RISK of its good documents to the rules; strata judged by the pool share its guarantee (of all good documents at most
-RISK are lost to its cutoffs), which is not one for each of them. Without enough labels in the pool the base alone decides.
+number of strata (Bonferroni). With probability 1 - LEVEL no stratum loses more than RISK of its good documents to the
+rules. A stratum with too few labels to certify any cutoffs of its own loses nothing to them: there the base alone decides.
 
 All of it is DataFrame expressions; what is computed is whole texts, in place, without a shuffle of texts.
 """
@@ -145,19 +143,16 @@ def binomial_tail(n: Column, k: Column, risk: float) -> Column:
 def certified_cutoffs(labelled: DataFrame, risk: float = RISK, level: float = LEVEL) -> DataFrame:
     """labelled: stratum and the features of the good documents. _llm_stratum, _llm_cutoffs array<double> in the order of CUTOFFS.
 
-    One row for each stratum that has enough labels to pass a test, and one with a null stratum for the pool; the array is
-    null where nothing is certified.
+    One row for each stratum; the array is null where nothing is certified.
     """
     over = [F.count_if(F.greatest(*[(F.col(r) > c).cast("int") for r, c in zip(CUTOFFS, v, strict=True)]) == 1) for v in VECTORS]
     counted = labelled.groupBy(F.coalesce("stratum", F.lit("")).alias("stratum_key")).agg(F.count("*").alias("n_good"), F.array(*over).alias("ks"))
-    pool = counted.agg(F.coalesce(F.sum("n_good"), F.lit(0)).alias("n_good"), F.array(*[F.sum(F.get("ks", F.lit(j))) for j in range(len(VECTORS))]).alias("ks"), (F.count("*") + 1).alias("n_tests"))
-    each = counted.crossJoin(F.broadcast(pool.select("n_tests")))  # one row
-    rows = each.union(pool.select(F.lit(None).cast("string"), "n_good", "ks", "n_tests"))
+    rows = counted.crossJoin(F.broadcast(counted.agg(F.count("*").alias("n_tests"))))  # one row
     enough = F.col("n_good") * F.log(F.lit(1 - risk)) <= F.log(F.lit(level) / F.col("n_tests"))
     passes = F.transform("ks", lambda k: binomial_tail(F.col("n_good"), k, risk) <= F.lit(level) / F.col("n_tests"))
     steps = F.aggregate(passes, F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda a, ok: F.struct((a["n"] + (a["on"] & ok).cast("int")).alias("n"), (a["on"] & ok).alias("on")), lambda a: a["n"])
     vectors = F.array(*[F.array(*map(F.lit, v)) for v in VECTORS])
-    return rows.where(enough | F.col("stratum_key").isNull()).select(F.col("stratum_key").alias("_llm_stratum"), F.when(enough, F.get(vectors, steps - 1)).alias("_llm_cutoffs"))
+    return rows.select(F.col("stratum_key").alias("_llm_stratum"), F.when(enough, F.get(vectors, steps - 1)).alias("_llm_cutoffs"))
 
 
 def _accepted(prefix: str = "") -> Column:
@@ -171,12 +166,8 @@ def _accepted(prefix: str = "") -> Column:
 def _judged(rows: DataFrame, stratum: Column, good: DataFrame) -> DataFrame:
     """rows with _llm_cutoffs. good: stratum and features of the labelled good documents."""
     cutoffs = saved(certified_cutoffs(good), "cutoffs")
-    own = cutoffs.where("_llm_stratum is not null")
-    side = F.broadcast(own) if own.count() <= MAX_STRATA else own
-    pool = cutoffs.where("_llm_stratum is null").select(F.col("_llm_cutoffs").alias("_llm_pool"))
-    cut = F.when(F.col("_llm_stratum").isNull(), F.col("_llm_pool")).otherwise(F.col("_llm_cutoffs"))
-    found = rows.join(side, F.coalesce(stratum, F.lit("")) == F.col("_llm_stratum"), "left")
-    return found.crossJoin(F.broadcast(pool)).withColumn("_llm_cutoffs", cut)  # one row
+    side = F.broadcast(cutoffs) if cutoffs.count() <= MAX_STRATA else cutoffs
+    return rows.join(side, F.coalesce(stratum, F.lit("")) == F.col("_llm_stratum"), "left")
 
 
 def _good(labels: DataFrame) -> DataFrame:
@@ -234,14 +225,14 @@ def oracle_sql() -> str:
         r AS ({steps}),
         k AS (
             SELECT stratum, step, count(*) AS n, count(*) FILTER (rejected) AS k FROM r WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY ALL),
-        tests AS (SELECT *, 1 + (SELECT count(DISTINCT stratum) FROM k) AS m FROM (SELECT * FROM k UNION ALL SELECT NULL, step, sum(n)::BIGINT, sum(k)::BIGINT FROM k GROUP BY step)),
+        tests AS (SELECT *, (SELECT count(DISTINCT stratum) FROM k) AS m FROM k),
         p AS (
             SELECT *, n * ln(1 - {RISK!r}) <= ln({LEVEL!r} / m) AS enough,
                 CASE WHEN k >= n * {RISK!r} THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({RISK!r}) + (n - i) * ln(1 - {RISK!r})))) END <= {LEVEL!r} / m AS ok FROM tests),
         best AS (
             SELECT stratum, max(step) FILTER (passed) AS step
             FROM (SELECT *, bool_and(ok) OVER (PARTITION BY stratum ORDER BY step) AS passed FROM p WHERE enough) GROUP BY stratum),
-        last AS (SELECT f.*, CASE WHEN own.stratum IS NOT NULL THEN own.step ELSE (SELECT max(step) FROM best WHERE stratum IS NULL) END AS step FROM f LEFT JOIN best AS own ON own.stratum = f.stratum)
+        last AS (SELECT f.*, own.step FROM f LEFT JOIN best AS own ON own.stratum = f.stratum)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
             NOT base_failed AND NOT coalesce(rejected, false) AS kept
         FROM last LEFT JOIN r USING (doc_id, stratum, step)

@@ -26,23 +26,20 @@ def labelled(spark, sizes):
 def test_rules_reject_with_enough_labels(spark):
     docs, labels = labelled(spark, {"en": 600, "es": 30, "nl": 0})
     out = {r.name for r in quality_rules.quality_filter(docs, labels).collect()}
-    assert not {x for x in out if x.endswith("junk")} and len(out) == 630  # es and nl by the pool
+    # es and nl have no certificate of their own and lose nothing to cutoffs
+    assert {x for x in out if x.endswith("junk")} == {"es-junk", "nl-junk"} and len(out) == 632
     few, labels = labelled(spark, {"en": 200, "es": 30})
     assert quality_rules.quality_filter(few, labels).count() == 232
 
 
 def brute_cutoffs(strata):
-    """strata: name to the vectors of features of its good documents. The certified step of each, and of the pool (None)."""
+    """strata: name to the vectors of features of its good documents. The certified step of each."""
     from math import comb
 
-    tests = {**strata, None: [x for rows in strata.values() for x in rows]}
     out = {}
-    for name, rows in tests.items():
-        n, level, step = len(rows), quality_rules.LEVEL / len(tests), -1
+    for name, rows in strata.items():
+        n, level, step = len(rows), quality_rules.LEVEL / len(strata), -1
         tail = lambda k, n=n: sum(comb(n, i) * quality_rules.RISK**i * (1 - quality_rules.RISK) ** (n - i) for i in range(k + 1))
-        if tail(0) > level:
-            if name is not None:
-                continue
         for j, v in enumerate(quality_rules.VECTORS):
             k = sum(any(x > c for x, c in zip(row, v, strict=True)) for row in rows)
             if k >= n * quality_rules.RISK or tail(k) > level:
@@ -61,12 +58,24 @@ def test_cutoffs_equal_brute_force_and_keep_the_risk(spark):
     frame = spark.createDataFrame(rows, "stratum string, " + ", ".join(f"{r} double" for r in rules))
     got = {r._llm_stratum: r._llm_cutoffs for r in quality_rules.certified_cutoffs(frame).collect()}
     want = brute_cutoffs(strata)
-    assert got == want and got["a"] is not None and "c" not in got
+    assert got == want and got["a"] is not None and got["c"] is None
     fresh = [good() for _ in range(20_000)]
     for cut in (c for c in got.values() if c):
         assert sum(any(x > c for x, c in zip(row, cut, strict=True)) for row in fresh) <= quality_rules.RISK * len(fresh)
 
 
+def test_cutoffs_bind_and_only_where_they_are_certified(spark):
+    """On sf0.1 cutoffs reject documents that the base passes, and none in a language that has too few labels."""
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    judged = quality_rules.quality_rules(docs, labels).join(docs.select("doc_id", "lang"), "doc_id")
+    lost = {r.lang: r.n for r in judged.where("NOT base_failed AND NOT kept").groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    good = labels.where("quality = 1").select("doc_id").distinct().join(docs.select("doc_id", "lang"), "doc_id")
+    have = {r.lang: r.n for r in good.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    certain = {k for k, n in have.items() if (1 - quality_rules.RISK) ** n <= quality_rules.LEVEL / len(have)}
+    assert lost and sum(lost.values()) > 50 and set(lost) <= certain
+
+
 def test_repeats_of_long_texts_are_counted_alike(spark, monkeypatch):
     draw = random.Random(8)
     words = [f"w{draw.randrange(20)}" for _ in range(3000)]
