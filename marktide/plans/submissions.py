@@ -6,10 +6,10 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from marktide.functions.values import number, plain_key
-from marktide.operators import filters, merging, scoring, stores, submission
+from marktide.operators import ordered, filters, merging, scoring, stores, submission
 from marktide.plans import state
 from marktide.plans.analytics import _BANDS_SQL, _GROUPED, _scored
-from marktide.sources import docx
+from marktide.sources import docx, docx_format
 from marktide.sources.shared import new_path
 from marktide.sources.tables import ITEM_ORDER, attempts, items, reviews, table
 from marktide.streaming import stateful, store
@@ -321,8 +321,8 @@ def exam_store(spark, d):
     return kept
 
 
-def exam_documents(spark, d):
-    """Twelve parts as a tagged document: three blocks of four questions, each with a context; the questions read from its lines."""
+def _exam_lines(spark, d):
+    """Twelve parts as a tagged document: three blocks of four questions, each with a context."""
     n = F.col("p_partkey")
     k, block = n % 12, F.floor(n / 4) % 3
     lits = lambda *xs: F.array(*[x if isinstance(x, Column) else F.lit(x) for x in xs])
@@ -334,11 +334,28 @@ def exam_documents(spark, d):
     own = F.when(block == 0, lits(F.concat(F.lit("A. "), F.col("p_name")), F.concat(F.lit("B) "), F.col("p_type")))).otherwise(none)
     answer = F.when(n % 5 == 0, "*b").when(n % 5 == 1, F.concat(F.lit("* "), F.upper("p_name"))).when(n % 5 == 2, "*A").when(n % 5 == 3, "*nowhere")
     lines = table(spark, d, "part").select(F.floor(n / 12).alias("path"), n, F.posexplode(F.array_compact(F.concat(head, opening, lits(ask), own, F.array(answer)))).alias("j", "text"))
-    rows = lines.select("path", (n * 100 + F.col("j")).cast("int").alias("line_no"), F.col("text").alias("html"), "text")
+    return lines.select("path", (n * 100 + F.col("j")).cast("int").alias("line_no"), F.col("text").alias("html"), "text")
+
+
+def _questions_of(rows):
     q = docx.exam_questions(rows).join(docx.exam_heads(rows).select(F.col("path").alias("_p"), "title", "minutes"), F.col("path") == F.col("_p"))
     return q.select("path", "title", "minutes", "number", "passage_index", "kind", "subtype", "instruction", "context", "text", F.array_join("options", "|").alias("options"), "answer", F.coalesce("place", F.lit(-1)).alias("place"), "unmatched")
 
 
+def exam_documents(spark, d):
+    """The questions of the tagged documents, from their lines."""
+    return _questions_of(_exam_lines(spark, d))
+
+
+def exam_files(spark, d):
+    """The same documents written as Word files and read back by their format."""
+    folder = new_path(spark, "exams")
+    docx_format.write_documents(_exam_lines(spark, d).withColumn("path", F.col("path").cast("string")), folder)
+    rows = docx_format.read_documents(spark, folder).where("error IS NULL")
+    rows = ordered.written(rows.withColumn("path", F.regexp_extract("path", r"(\d+)\.docx$", 1).cast("long")), "exam-lines")  # read once
+    return _questions_of(rows)
+
+
 def results_sync(spark, d):
     """Results of learners in two writes to the log of changes; the second write comes twice."""
     n = F.col("event_id")
@@ -399,7 +416,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         submission_results, submission_progress, submission_unlocked, submission_operations, recalculated_scores, integrity_strikes, attempt_feedback, answer_places, exam_groups, options_shared, sections_placed, catalog_match, edits_shared, option_lengths, first_questions, trimmed_names, attempt_order,
-        workspace_tables, usable_reads, vocab_store, owner_cards, newest_vocab, notebook_merge, own_write, teacher_write, debt_cleared, reward_codes, role_writes, workspace_sync, inventory, attempts_normalised, attempts_merged, latest_attempt, journal_replay, exam_store, exam_documents, results_sync, srs_stream, balance_stream, exam_average, single_answers, permanents_merge, vocab_counts,
+        workspace_tables, usable_reads, vocab_store, owner_cards, newest_vocab, notebook_merge, own_write, teacher_write, debt_cleared, reward_codes, role_writes, workspace_sync, inventory, attempts_normalised, attempts_merged, latest_attempt, journal_replay, exam_store, exam_documents, exam_files, results_sync, srs_stream, balance_stream, exam_average, single_answers, permanents_merge, vocab_counts,
     )
 }
 
@@ -571,3 +588,4 @@ ORACLE_SQL = {
     "permanents_merge": "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'crown,' ELSE '' END || 'hat,p' || c_custkey % 4 || CASE WHEN c_custkey % 3 = 0 AND c_custkey % 4 <> 1 THEN ',p1' ELSE '' END AS permanents FROM customer",
     "vocab_counts": "WITH k AS (SELECT p_brand, count(*) AS n, count(DISTINCT p_name || ' ' || p_partkey % 3) AS u FROM part GROUP BY 1) SELECT p_brand, least(u, 15) AS returned, greatest(0, 15 - u) AS shortfall, n - u AS dropped FROM k",
 }
+ORACLE_SQL["exam_files"] = ORACLE_SQL["exam_documents"]

@@ -79,12 +79,30 @@ def paragraph_html(p: ElementTree.Element) -> str:
     return f"<div{shown}>{found}</div>" if shown else found
 
 
+def _grid(t: ElementTree.Element) -> list[list[ElementTree.Element | None]]:
+    """The cells of a table at each place of its grid: a merged cell stands at all of its places. As many columns as the first row has."""
+    rows: list[list[ElementTree.Element | None]] = []
+    for row in t.findall(f"{_W}tr"):
+        out: list[ElementTree.Element | None] = []
+        for c in row.findall(f"{_W}tc"):
+            properties = c.find(f"{_W}tcPr")
+            get = lambda name, p=properties: None if p is None else p.find(f"{_W}{name}")
+            span, merge = get("gridSpan"), get("vMerge")
+            goes_on = merge is not None and merge.get(f"{_W}val", "continue") == "continue"
+            for _ in range(max(1, int(span.get(f"{_W}val", "1"))) if span is not None else 1):
+                k = len(out)
+                out.append(rows[-1][k] if goes_on and rows and k < len(rows[-1]) else c)
+        rows.append(out)
+    width = len(rows[0]) if rows else 0
+    return [(r + [None] * width)[:width] for r in rows]
+
+
 def table_html(t: ElementTree.Element) -> str:
-    """A table with its cells' paragraphs; the first row is the head."""
+    """A table with its cells' own paragraphs (not those of tables in them); the first row is the head."""
     rows = []
-    for k, row in enumerate(t.findall(f"{_W}tr")):
+    for k, row in enumerate(_grid(t)):
         tag = "td" if k else "th"
-        cells = ("".join(f"<div>{x}</div>" for x in map(paragraph_html, c.findall(f"{_W}p")) if x) for c in row.findall(f"{_W}tc"))
+        cells = ("".join(f"<div>{x}</div>" for x in map(paragraph_html, () if c is None else c.findall(f"{_W}p")) if x) for c in row)
         rows.append("<tr>" + "".join(f"<{tag}>{c}</{tag}>" for c in cells) + "</tr>")
     return "<table><tbody>" + "".join(rows) + "</tbody></table>" if rows else ""
 
