@@ -125,9 +125,12 @@ def _spaced_key(text: Column) -> Column:
 
 
 def marked_blocks(transcript: Column) -> Column:
-    """The marked blocks of a transcript in order: array of (second, text), text as its plain key between blanks."""
-    t = F.coalesce(transcript, F.lit(""))
-    marks, texts = F.regexp_extract_all(t, F.lit(_MARK), F.lit(1)), F.split(t, _MARK)
+    """The marked blocks of a transcript in order: array of (second, text), text as its plain key between blanks.
+
+    The first marker opens a block wherever it stands, later ones at the start of a line only: others belong to the text.
+    """
+    from_first = F.concat(F.lit("\n"), F.regexp_extract(F.coalesce(transcript, F.lit("")), rf"{_MARK}[\s\S]*", 0))
+    marks, texts = F.regexp_extract_all(from_first, F.lit(rf"\n\s*{_MARK}"), F.lit(1)), F.split(from_first, rf"\n\s*{_MARK}")
     return F.transform(marks, lambda m, k: F.struct(mark_seconds(m).alias("second"), _spaced_key(F.get(texts, k + 1)).alias("text")))
 
 

@@ -78,3 +78,9 @@ def weakest_labels(rates: DataFrame, who: str, label: str, least: int = 2, below
     """Each learner's worst label with enough items, if its rate is below the bound; ties by label."""
     w = Window.partitionBy(who).orderBy("rate", label)
     return rates.where(F.col("total") >= least).withColumn("_n", F.row_number().over(w)).where((F.col("_n") == 1) & (F.col("rate") < below)).drop("_n")
+
+
+def mean_bands(results: DataFrame, exam: str, band: Column) -> DataFrame:
+    """Per exam the mean of its bands in tenths, -1 without any, and their number n. band: a number; NaN (no number) doesn't count."""
+    rows = results.select(exam, F.when(~F.isnan(band), band).alias("_b"))
+    return rows.groupBy(exam).agg(F.coalesce(F.floor(F.avg("_b") * 10 + F.lit(0.5)), F.lit(-1)).alias("tenths"), F.count("_b").alias("n"))

@@ -5,7 +5,7 @@ An exam's questions and one learner's rewards are few, so folds over them may ho
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from marktide.functions.values import coin_amount, or_zero, places, plain_key, squeeze, strip_tags
@@ -213,6 +213,31 @@ def new_by_key(items: DataFrame, taken: DataFrame, text: str, order: list[str])
     return first.join(old, F.col("_k") == F.col("_t"), "left_anti").drop("_k", "_n")
 
 
+def written_new(items: DataFrame, taken: DataFrame, text: str, order: list[str], path: str) -> DataFrame:
+    """Writes new_by_key() to path and gives requested, blank, returned and dropped: one row, counted while the rows went by.
+
+    No pass is made for the counts. A task that is run again may be counted in an attempt of its own; the write decides
+    which attempt counts, so that the figures are those of the rows written.
+    """
+    if items.isEmpty():  # Spark leaves out what has no rows, and its counts with it
+        new_by_key(items, taken, text, order).write.parquet(path)
+        return items.sparkSession.createDataFrame([(0, 0, 0, 0)], "requested long, blank long, returned long, dropped long")
+    asked, found = Observation(), Observation()
+    blank = F.count_if(plain_key(F.coalesce(text, F.lit(""))) == "")
+    seen = items.observe(asked, F.count(F.lit(1)).alias("requested"), blank.alias("blank"))
+    new_by_key(seen, taken, text, order).observe(found, F.count(F.lit(1)).alias("returned")).write.parquet(path)
+    a, f = asked.get, found.get
+    row = (a.get("requested", 0), a.get("blank", 0), f.get("returned", 0), a.get("requested", 0) - f.get("returned", 0))
+    return items.sparkSession.createDataFrame([row], "requested long, blank long, returned long, dropped long")
+
+
+def shortfalls(items: DataFrame, group: str, key: Column, asked: int) -> DataFrame:
+    """Per group of items: different ones by key that are returned of those asked for, how many are missing, how many were repeats."""
+    n, wanted = F.count_distinct("_k"), F.lit(asked)
+    counts = items.withColumn("_k", key).groupBy(group)
+    return counts.agg(F.least(n, wanted).alias("returned"), F.greatest(F.lit(0), wanted - n).alias("shortfall"), (F.count("*") - n).alias("dropped"))
+
+
 def different_texts(values: Column) -> Column:
     """The different texts of an array that are not empty, trimmed, in order; null counts as an empty array."""
     return F.array_distinct(F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")))

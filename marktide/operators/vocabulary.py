@@ -85,7 +85,7 @@ def categories(items: DataFrame, prepositional: DataFrame, basic: DataFrame, wor
     c = F.when(F.col("_head").isNotNull(), "phrasal_verb").otherwise(F.col("_given"))
     known = (
         F.when(locked | w.isin(FIXED_PHRASES), "collocation").when(w.isin(IDIOMS), "idiom").when(w.isin(PHRASAL), "phrasal_verb").when(w.isin(CONNECTORS), "collocation")
-        .when((w != "") & (n == 1) & c.isin("idiom", "collocation"), "word").when((c == "grammar") & (n <= 4) & within(first, LEADING_PREPOSITIONS), "collocation").otherwise(c)
+        .when((w != "") & (n == 1) & c.isin("idiom", "collocation"), "word").when((c == "grammar") & (n <= 4) & w.rlike(rf"^(?:{'|'.join(LEADING_PREPOSITIONS)})(?![\pL\pN_])"), "collocation").otherwise(c)
     )
     rows = rows.withColumn("_c", F.when(F.col("_given") == DROP, DROP).otherwise(known))
     c = F.col("_c")

@@ -386,8 +386,7 @@ def exam_average(spark, d):
     n = F.col("attempt_id")
     text = F.when(n % 9 == 0, "N/A").when(n % 9 == 1, "").when(n % 9 > 2, F.format_string("%.1f", F.col("band")))
     band = number(F.when(F.col("band").isNull() & (n % 9 > 2), "N/A").otherwise(text))
-    rows = _scored(spark, d).select((n % 50).alias("exam_id"), F.when(~F.isnan(band), band).alias("b"))
-    return rows.groupBy("exam_id").agg(F.coalesce(F.floor(F.avg("b") * 10 + F.lit(0.5)), F.lit(-1)).alias("tenths"), F.count("b").alias("n"))
+    return scoring.mean_bands(_scored(spark, d).withColumn("exam_id", n % 50), "exam_id", band)
 
 
 def single_answers(spark, d):
@@ -407,9 +406,7 @@ def permanents_merge(spark, d):
 
 def vocab_counts(spark, d):
     """Per brand: items asked for, different ones returned, how many are missing and how many were repeats."""
-    rows = table(spark, d, "part").select("p_brand", plain_key(F.concat("p_name", F.lit(" "), (F.col("p_partkey") % 3).cast("string"))).alias("k"))
-    n, asked = F.countDistinct("k"), F.lit(15)
-    return rows.groupBy("p_brand").agg(F.least(n, asked).alias("returned"), F.greatest(F.lit(0), asked - n).alias("shortfall"), (F.count("*") - n).alias("dropped"))
+    return submission.shortfalls(table(spark, d, "part"), "p_brand", plain_key(F.concat("p_name", F.lit(" "), (F.col("p_partkey") % 3).cast("string"))), 15)
 
 
 QUERIES = {

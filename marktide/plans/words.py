@@ -8,6 +8,7 @@ from marktide.operators import submission, vocabulary
 from marktide.operators.vocabulary import CONNECTORS, COPULAS, FIXED_PHRASES, IDIOMS, LEADING_PREPOSITIONS, NO_VERB, PARTICLES, PHRASAL, PLAIN_PREPOSITIONS, THIRD, THIRD_AFTER_WORD
 from marktide.plans.proofs import _texts
 from marktide.plans.texts import _KEY
+from marktide.sources.shared import new_path
 from marktide.sources.tables import table
 
 _PHRASES = ["depend on", "to depend on", "carry out", "look at", "to look at", "carry out the plan", "go over", "in terms of", "bear fruit", "look forward to", "make peace", "to carry on", "being put off", "kick the bucket", "window", "cut corners on", "not only + V", "walk away from", "is seen", "of the kind"]
@@ -54,11 +55,20 @@ def labels_by_place(spark, d):
     return vocabulary.apply_labels(cards, labels, place="place").select("p_partkey", "word", "category")
 
 
-def vocab_new(spark, d):
-    """The first of each name that is not known yet."""
+def _names(spark, d):
     items = table(spark, d, "part").select("p_partkey", F.concat(F.upper("p_name"), F.lit(" - "), (F.col("p_partkey") % 7).cast("string")).alias("word"))
     taken = table(spark, d, "part").where("p_size < 10").select(F.concat("p_name", F.lit(" "), (F.col("p_partkey") % 3).cast("string")).alias("word"))
-    return submission.new_by_key(items, taken, "word", ["p_partkey"])
+    return items, taken
+
+
+def vocab_new(spark, d):
+    """The first of each name that is not known yet."""
+    return submission.new_by_key(*_names(spark, d), "word", ["p_partkey"])
+
+
+def vocab_written(spark, d):
+    """What writing the new names has counted on its way."""
+    return submission.written_new(*_names(spark, d), "word", ["p_partkey"], new_path(spark, "new-words"))
 
 
 def tile_chain(spark, d):
@@ -67,7 +77,7 @@ def tile_chain(spark, d):
     return vocabulary.tile_answers(e, tiles, ["who"], ["at", "event_id"]).select("event_id", "right", "chain")
 
 
-QUERIES = {f.__name__: f for f in (vocab_category, vocab_labels, labels_by_place, vocab_new, tile_chain)}
+QUERIES = {f.__name__: f for f in (vocab_category, vocab_labels, labels_by_place, vocab_new, vocab_written, tile_chain)}
 
 
 def _at(xs: list[str], k: int) -> str:
@@ -119,3 +129,4 @@ ORACLE_SQL = {
         SELECT event_id, ok AS "right", (sum(ok::INT) OVER (PARTITION BY user_id, lost ORDER BY ts, event_id))::BIGINT AS chain FROM l
     """,
 }
+ORACLE_SQL["vocab_written"] = f"SELECT (SELECT count(*) FROM part) AS requested, 0::BIGINT AS blank, count(*) AS returned, (SELECT count(*) FROM part) - count(*) AS dropped FROM ({ORACLE_SQL['vocab_new']})"

@@ -124,6 +124,22 @@ def test_vocabulary_rules(spark):
     assert vocabulary.categories(low, spark.createDataFrame([], "phrase string"), spark.createDataFrame([], "verb string")).first().category == "collocation"
 
 
+def test_markers_open_blocks_at_the_start_of_lines(spark):
+    blocks = lambda t: [(r["second"], r["text"].strip()) for r in one(spark, alignment.marked_blocks(F.lit(t)))]
+    inside = "(0:10 - 0:20) the wheel (0:30 - 0:40) the mill"
+    assert blocks(inside) == [(10, "the wheel 0 30 0 40 the mill")]
+    assert one(spark, alignment.answer_anchor(F.lit(inside), F.lit("mill"))) == 10
+    assert blocks("Part 1 (0:05 - 0:09)\nhello (0:06 - 0:07) you\n  (0:10 - 0:20) more\n\n(1:02:03 - 1:02:09) end") == [(5, "hello 0 06 0 07 you"), (10, "more"), (3723, "end")]
+    assert blocks("no marker") == blocks("") == []
+
+
+def test_leading_prepositions_end_at_a_word_boundary(spark):
+    rows = [(1, "to-infinitive + V"), (2, "to + V"), (3, "today + V"), (4, "in/on + noun"), (5, "be + to-infinitive")]
+    items = spark.createDataFrame([(k, w, "grammar") for k, w in rows], "k int, word string, category string")
+    got = {r.k: r.category for r in vocabulary.categories(items, spark.createDataFrame([], "phrase string"), spark.createDataFrame([], "verb string")).collect()}
+    assert got[1] == got[2] == got[4] == "collocation" and got[3] == got[5] == "grammar"
+
+
 W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 
 

@@ -70,3 +70,15 @@ def test_words_alike(spark, a, b, same):
     assert alike(a, b) == same or (a, b) == ("reading", "read")
     row = spark.range(1).select(search.alike(F.lit(a), F.lit(b)).alias("x"), (search.word_class(F.lit(a)) == search.word_class(F.lit(b))).alias("c")).first()
     assert row.x == alike(a, b) and (row.c or not row.x)
+
+
+def test_counts_of_a_write(spark, tmp_path):
+    from marktide.operators import submission
+
+    items = spark.createDataFrame([(1, "A b"), (2, "a-B"), (3, None), (4, " "), (5, "c"), (6, "known")], "n int, word string")
+    taken = spark.createDataFrame([("Known",), (None,)], "word string")
+    got = submission.written_new(items, taken, "word", ["n"], f"file://{tmp_path}/a")
+    assert tuple(got.first()) == (6, 2, 2, 4)
+    assert sorted(r.n for r in spark.read.parquet(f"file://{tmp_path}/a").collect()) == [1, 5]
+    assert tuple(submission.written_new(items.limit(0), taken, "word", ["n"], f"file://{tmp_path}/b").first()) == (0, 0, 0, 0)
+    assert tuple(submission.written_new(items.where("n = 6"), taken, "word", ["n"], f"file://{tmp_path}/c").first()) == (1, 0, 0, 1)
