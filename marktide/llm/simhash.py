@@ -49,9 +49,11 @@ SHARD = 4000
 PAIRS = 1 << 21
 #: Shards of similar_groups(), and the members and shingle hashes that one of them holds at most before it is dealt otherwise.
 BANDS, ROWS = 6, 2
-MEMBERS, WORK = 400, 4_000_000
+MEMBERS, WORK = 1000, 4_000_000
 #: Texts that the others of a piece are compared with; shingles in so many texts count as frequent; of these, so many are sent to all tasks.
 STARS, OFTEN, SENT = 8, 16, 500_000
+#: Texts that meet by a rare shingle and are searched at once; of more, each would be searched again for every shingle that they share.
+LIGHT = 32
 
 
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
@@ -435,15 +437,15 @@ def _large_links(large: DataFrame, known: DataFrame, similarity: float) -> DataF
 
     met = sets.select("d", "hashes").mapInArrow(prefixes, "digest binary, hash long").join(label, F.col("digest") == F.col("l")).select("digest", "hash", "label", "n")
     met = saved(met, "similar-prefixes")
-    open_ = met.groupBy(F.col("hash").alias("h")).agg(F.min("label").alias("a"), F.max("label").alias("b"), _parts(F.count("*"), F.sum("n")).alias("parts")).where("a <> b")
-    rows = saved(met.join(open_, F.col("hash") == F.col("h")).select(F.col("hash").alias("shard"), "digest", "label", "n", "parts"), "similar-met")
+    open_ = met.groupBy(F.col("hash").alias("h")).agg(F.min("label").alias("a"), F.max("label").alias("b"), ((F.count("*") <= LIGHT) & (F.sum("n") <= WORK)).alias("light")).where("a <> b")
+    rows = saved(met.join(open_, F.col("hash") == F.col("h")).select(F.col("hash").alias("shard"), "digest", "label", "light"), "similar-met")
     search = _similar(similarity, radius_for(similarity))
     # texts that share many of their rarest shingles meet in many equal groups: each is searched once
-    group = F.array_sort(F.collect_set(F.struct("digest", "label"))).alias("group")  # MEMBERS at most
-    groups = rows.where("parts <= 1").groupBy("shard").agg(group).select("group").distinct()
+    group = F.array_sort(F.collect_set(F.struct("digest", "label"))).alias("group")  # LIGHT at most
+    groups = rows.where("light").groupBy("shard").agg(group).select("group").distinct()
     last = _searched(groups.select(F.xxhash64("group").alias("shard"), F.inline("group")), sets, search)
     # texts whose rarest shingles are common to many that are not connected: almost similar ones, searched in pairs of blocks
-    common = saved(rows.where("parts > 1").select(F.col("digest").alias("c"), "label").distinct(), "similar-common")
+    common = saved(rows.where("NOT light").select(F.col("digest").alias("c"), "label").distinct(), "similar-common")
     if not common.isEmpty():
         rest = large.join(common, F.col("digest") == F.col("c")).select("shard", "digest", "n", "label")
         parts = rest.groupBy(F.col("shard").alias("s")).agg(_parts(F.count("*"), F.sum("n")).alias("parts"))
