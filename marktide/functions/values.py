@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value worked out once a row: what stands in a lambda or twice in branches is else worked out at each mention."""
+    return F.get(F.transform(F.array(value), lambda x: then(x)), F.lit(0))
+
+
 def half_up(x: Column) -> Column:
     """Rounds half toward plus infinity, to a long."""
     return F.floor(x + F.lit(0.5))

@@ -120,16 +120,17 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(plain_key(F.coalesce(text, F.lit(""))), " "), lambda w: w != "")
 
 
-def stands_in(phrase: Column, source: Column, gap: Column) -> Column:
+def stands_in(phrase: Column, source: Column, gap: Column, nearest: bool = True) -> Column:
     """Whether the words of a phrase (an array) stand in a source (an array) in order, each alike and at most gap (0 to 4)
-    words after the one before; of several the nearest counts. The ends of the phrase's beginnings are followed word by
-    word through the source."""
+    words after the one before; of several the nearest counts, or each of them (nearest=False). The ends of the phrase's
+    beginnings are followed word by word through the source."""
 
     def following(ends: Column, word: Column) -> Column:
-        def after(e: Column) -> Column:
-            return F.coalesce(*[F.when((F.lit(d - 1) <= gap) & alike(word, F.get(source, e + d)), e + d) for d in range(1, 6)])
+        def places(e: Column) -> list[Column]:
+            return [F.when((F.lit(d - 1) <= gap) & alike(word, F.get(source, e + d)), e + d) for d in range(1, 6)]
 
-        return F.array_distinct(F.array_compact(F.transform(ends, after)))
+        found = F.transform(ends, lambda e: F.coalesce(*places(e))) if nearest else F.flatten(F.transform(ends, lambda e: F.array(*places(e))))
+        return F.array_distinct(F.array_compact(found))
 
     first = F.get(phrase, F.lit(0))
     ends = F.filter(F.transform(source, lambda w, i: F.when(alike(first, w), i)), lambda e: e.isNotNull())
