@@ -12,6 +12,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Rows in a few partitions for each core: for work that is heavy by the row, as a small file is one or two tasks."""
+    return rows.repartition(3 * rows.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as attempts and lessons."""
     seconds = (F.col("o_orderkey") * 37) % 9000
