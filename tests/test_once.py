@@ -21,3 +21,9 @@ def test_citations_read_their_transcript_once(spark):
     out = row.select(alignment.settled_citations(*cols, F.col("answers"), F.col("index"), F.col("hints"), F.lit(3)).alias("x"))
     assert out.first().x == "See [1:15]."
     assert out._jdf.queryExecution().optimizedPlan().toString().count("[\\s\\S]*") <= 2
+
+
+def test_proof_of_a_long_draft(spark):
+    row = spark.createDataFrame([("a b  c " * 60_000, "The old mill stands here now. " * 6000)], "draft string, passage string")
+    rows, took = seconds(row.select(F.length(alignment.proven(F.col("draft"), F.col("passage"), F.lit("mill"), F.lit("mill"))).alias("n")))
+    assert rows[0].n > 360_000 and took < 15
