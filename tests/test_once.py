@@ -27,3 +27,10 @@ def test_proof_of_a_long_draft(spark):
     row = spark.createDataFrame([("a b  c " * 60_000, "The old mill stands here now. " * 6000)], "draft string, passage string")
     rows, took = seconds(row.select(F.length(alignment.proven(F.col("draft"), F.col("passage"), F.lit("mill"), F.lit("mill"))).alias("n")))
     assert rows[0].n > 360_000 and took < 15
+
+
+def test_hints_of_a_long_block(spark):
+    words = ["w" + "".join(chr(97 + int(c)) for c in str(k)) for k in range(1000, 1400)]
+    blocks = spark.createDataFrame([(1, 0, 5.0, "x - y " * 150_000 + words[0])], "k int, block_no int, start_s double, block_text string")
+    rows, took = seconds(alignment.hinted_block(blocks, spark.createDataFrame([(1, " ".join(words))], "k int, hint string"), "k"))
+    assert [r.anchor for r in rows] == [5.0] and took < 15
