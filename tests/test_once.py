@@ -34,3 +34,9 @@ def test_hints_of_a_long_block(spark):
     blocks = spark.createDataFrame([(1, 0, 5.0, "x - y " * 150_000 + words[0])], "k int, block_no int, start_s double, block_text string")
     rows, took = seconds(alignment.hinted_block(blocks, spark.createDataFrame([(1, " ".join(words))], "k int, hint string"), "k"))
     assert [r.anchor for r in rows] == [5.0] and took < 15
+
+
+def test_structures_of_a_long_text(spark):
+    text = "The old mill stands here. " * 6000 + "Never had I seen it."
+    rows, took = seconds(spark.createDataFrame([(text,)], "t string").select(F.explode(alignment.grammar_items(F.col("t"))).alias("x")))
+    assert [tuple(r.x) for r in rows] == [("neg_inversion", "Never had I seen it.")] and took < 15
