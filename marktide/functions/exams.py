@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from marktide.functions.values import let
+
 _S = r"[ \t\n\f\r]"
 
 
@@ -104,20 +106,27 @@ def json_items(text: Column) -> Column:
     stands between the first [ and the last ]. A fence around it is taken off. Null if there is no list.
     """
     t = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), rf"^{_S}+|{_S}+$", ""))
-    raw = F.trim(F.when(t.startswith("```"), F.regexp_replace(F.btrim(t, F.lit("`")), "^(?i:json)", "")).otherwise(t))
-    raw = F.regexp_replace(raw, rf"^{_S}+", "")
+    bare = let(t, lambda x: F.trim(F.when(x.startswith("```"), F.regexp_replace(F.btrim(x, F.lit("`")), "^(?i:json)", "")).otherwise(x)))
     as_list = lambda x: F.from_json(F.when(x.startswith("["), x), "array<variant>")
-    fields = F.from_json(F.when(raw.startswith("{"), raw), "map<string,variant>")
     # malformed objects can give a list of nothing; a list is an answer only if the whole text parses
-    whole = F.try_parse_json(raw).isNotNull()
+    parses = lambda x: F.try_parse_json(x).isNotNull()
     is_list = lambda v: F.coalesce(F.schema_of_variant(v).startswith("ARRAY"), F.lit(False))
-    items = F.try_element_at(fields, F.lit("items"))
-    named = F.when(is_list(items), F.try_variant_get(items, "$", "array<variant>"))
-    first = F.try_variant_get(F.get(F.filter(F.map_values(fields), is_list), F.lit(0)), "$", "array<variant>")
-    picked = F.when(F.size(named) > 0, named).when(items.isNull() | is_list(items), first)
-    between = F.regexp_extract(raw, r"(?s)(\[.*\])", 1)
-    found = F.coalesce(F.when(whole, F.coalesce(as_list(raw), picked)), F.when(F.try_parse_json(between).isNotNull(), as_list(between)))
-    return F.transform(found, lambda v: F.to_json(v))
+
+    def picked(fields: Column) -> Column:
+        first = F.try_variant_get(F.get(F.filter(F.map_values(fields), is_list), F.lit(0)), "$", "array<variant>")
+
+        def chosen(items: Column) -> Column:
+            named = F.when(is_list(items), F.try_variant_get(items, "$", "array<variant>"))
+            return let(named, lambda xs: F.when(F.size(xs) > 0, xs).when(items.isNull() | is_list(items), first))
+
+        return let(F.try_element_at(fields, F.lit("items")), chosen)
+
+    def found(raw: Column) -> Column:
+        of_object = let(F.from_json(F.when(raw.startswith("{"), raw), "map<string,variant>"), picked)
+        between = let(F.regexp_extract(raw, r"(?s)(\[.*\])", 1), lambda x: F.when(parses(x), as_list(x)))
+        return F.coalesce(F.when(parses(raw), F.coalesce(as_list(raw), of_object)), between)
+
+    return F.transform(let(F.regexp_replace(bare, rf"^{_S}+", ""), found), lambda v: F.to_json(v))
 
 
 def masked(html: Column, mark: str = "█") -> Column:

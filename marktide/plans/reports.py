@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marktide.functions import exams
-from marktide.functions.values import cents, half_up
+from marktide.functions.values import cents, half_up, let
 from marktide.operators import merging, records, scoring, vocabulary
 from marktide.plans.analytics import _BANDS_SQL, _GROUPED, _scored
 from marktide.sources.shared import new_path
-from marktide.sources.tables import ITEM_ORDER, attempts, items, reviews, table
+from marktide.sources.tables import ITEM_ORDER, attempts, dealt, items, reviews, table
 from marktide.sources.xlsx import write_xlsx
 
 
@@ -181,8 +181,9 @@ def json_items(spark, d):
         .when(n == 2, F.concat(F.lit('{"a": 1, "rows": ['), p, F.lit("], \"z\": [2]}"))).when(n == 3, F.concat(F.lit("Here: ["), p, F.lit("] as asked")))
         .when(n == 4, F.concat(F.lit('{"items": [], "b": 2}'))).when(n == 5, p).otherwise("no list [ here")
     )
-    got = exams.json_items(text)
-    return table(spark, d, "events").select("event_id", F.coalesce(F.size(got), F.lit(-1)).alias("n_items"), F.coalesce(F.get(F.transform(got, lambda x: F.get_json_object(x, "$.k")), F.lit(0)).cast("long"), F.lit(-1)).alias("k"))
+    shown = lambda got: F.struct(F.coalesce(F.size(got), F.lit(-1)).alias("n_items"), F.coalesce(F.get_json_object(F.get(got, F.lit(0)), "$.k").cast("long"), F.lit(-1)).alias("k"))
+    rows = dealt(table(spark, d, "events").select("event_id", "props"), "event_id").select("event_id", let(exams.json_items(text), shown).alias("x"))
+    return rows.select("event_id", "x.n_items", "x.k")
 
 
 def masked_text(spark, d):

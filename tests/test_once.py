@@ -6,6 +6,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from marktide.functions import exams
 from marktide.operators import alignment
 
 
@@ -40,3 +41,9 @@ def test_structures_of_a_long_text(spark):
     text = "The old mill stands here. " * 6000 + "Never had I seen it."
     rows, took = seconds(spark.createDataFrame([(text,)], "t string").select(F.explode(alignment.grammar_items(F.col("t"))).alias("x")))
     assert [tuple(r.x) for r in rows] == [("neg_inversion", "Never had I seen it.")] and took < 15
+
+
+def test_loose_json_is_trimmed_once(spark):
+    out = spark.createDataFrame([('```json\n{"a": [1, 2]}\n```',)], "t string").select(exams.json_items(F.col("t")).alias("x"))
+    assert out.first().x == ["1", "2"]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("(?i:json)") == 1
