@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marktide.functions.values import plain_key
+from marktide.functions.values import let, plain_key
 
 #: Different quotes, and their characters in all, that are sent to all tasks as one automaton; beyond, grams are joined.
 QUOTES, QUOTE_CHARS = 200_000, 16_000_000
@@ -20,6 +20,8 @@ QUOTES, QUOTE_CHARS = 200_000, 16_000_000
 GRAM, CHOICE = 8, 9
 #: Letters by which words may be alike.
 CLASS = 4
+#: Words from one word of a phrase to the next, at most.
+REACH = 5
 
 
 def normal(text: Column) -> Column:
@@ -138,21 +140,34 @@ def stands_in(phrase: Column, source: Column, gap: Column, nearest: bool = True)
     return (F.size(phrase) > 0) & (F.size(F.aggregate(rest, ends, following)) > 0)
 
 
+def _near_keys(classes: Column) -> Column:
+    """Rows of an index: each word class of a text and each pair of them up to REACH words apart, by hashes."""
+    of = [F.col(f"w.{k}") for k in range(REACH + 1)]
+    return F.array(F.xxhash64(of[0], of[0], F.lit(0)), *[F.xxhash64(of[0], of[d], F.lit(d)) for d in range(1, REACH + 1)])
+
+
 def phrases_in(phrases: DataFrame, sources: DataFrame) -> DataFrame:
     """phrases (phrase_id, phrase, gap), sources (source_id, text): pairs where the phrase stands in the source, see stands_in().
 
-    An index of word classes: each phrase is looked up by the class of its words that the fewest sources have, and only
-    sources with it are read word by word. A phrase with a class that no source has stands nowhere.
+    An index of pairs of word classes and how far they are apart: each phrase is looked up by that pair of its neighbouring
+    words that the fewest sources have within its gap (one word by its class), and only sources with it are read word by
+    word. A phrase with a pair that no source has stands nowhere. Hashes that meet by chance are told apart by that reading.
     """
-    have = sources.select("source_id", words_of(F.col("text")).alias("have"))
-    want = phrases.select("phrase_id", words_of(F.col("phrase")).alias("want"), "gap").where(F.size("want") > 0)
-    asked = want.select("phrase_id", "gap", F.explode(F.array_distinct(F.transform("want", word_class))).alias("c"))
-    classes = asked.select("c").distinct()
-    index = have.select("source_id", F.explode(F.array_distinct(F.transform("have", word_class))).alias("c")).join(classes, "c", "left_semi")
-    spread = index.groupBy("c").agg(F.count("*").alias("n"))
-    rated = asked.join(spread, "c", "left").select("phrase_id", "gap", "c", F.coalesce("n", F.lit(0)).alias("n"))
-    rarest = F.row_number().over(Window.partitionBy("phrase_id", "gap").orderBy("n", "c"))
-    chosen = rated.withColumn("_k", rarest).where("_k = 1").select("phrase_id", "gap", "c")
-    met = chosen.join(index, "c").select("phrase_id", "gap", "source_id").distinct()
-    full = met.join(want, ["phrase_id", "gap"]).join(have, "source_id")
-    return full.where(stands_in(F.col("want"), F.col("have"), F.col("gap"))).select("phrase_id", "gap", "source_id").distinct()
+    want = phrases.select("phrase_id", "gap", words_of(F.col("phrase")).alias("want")).where(F.size("want") > 0)
+    classes = F.transform("want", word_class)
+    pairs = F.when(F.size("want") > 1, F.transform(F.slice(classes, 2, 1_000_000), lambda b, k: F.struct(F.get(classes, k).alias("a"), b.alias("b")))).otherwise(F.array(F.struct(F.get(classes, F.lit(0)).alias("a"), F.get(classes, F.lit(0)).alias("b"))))
+    apart = F.when(F.size("want") > 1, F.sequence(F.lit(1), F.col("gap").cast("int") + 1)).otherwise(F.array(F.lit(0)))
+    each = want.select("phrase_id", "gap", apart.alias("apart"), F.explode(F.array_distinct(pairs)).alias("pair")).select("phrase_id", "gap", "pair", F.explode("apart").alias("d"))
+    asked = each.select("phrase_id", "gap", "pair", F.xxhash64("pair.a", "pair.b", "d").alias("key"))
+    words = sources.select("source_id", F.transform(words_of(F.col("text")), word_class).alias("c"))
+    rows = words.select("source_id", F.explode(F.arrays_zip(*[F.slice("c", d + 1, 1_000_000_000).alias(str(d)) for d in range(REACH + 1)])).alias("w"))
+    keyed = rows.select("source_id", F.explode(_near_keys(F.col("w"))).alias("key"))
+    index = keyed.join(asked.select("key").distinct(), "key", "left_semi").distinct()
+    spread = index.groupBy("key").agg(F.count("*").alias("n"))
+    rated = asked.join(spread, "key", "left").groupBy("phrase_id", "gap", "pair").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    rarest = rated.groupBy("phrase_id", "gap").agg(F.min_by("pair", F.struct("n", "pair")).alias("pair"))
+    chosen = asked.join(rarest, ["phrase_id", "gap", "pair"]).select("phrase_id", "gap", "key")
+    met = chosen.join(index, "key").select("phrase_id", "gap", "source_id").distinct()
+    full = met.join(sources.select("source_id", "text"), "source_id").join(want, ["phrase_id", "gap"])
+    held = let(words_of(F.col("text")), lambda have: stands_in(F.col("want"), have, F.col("gap")))
+    return full.where(held).select("phrase_id", "gap", "source_id").distinct()
