@@ -53,6 +53,20 @@ def test_exam_clock(spark, tmp_path):
     assert len([r for r in got[3] if r[0] == "a"]) == 2  # one warning, one end
 
 
+def test_attempts_of_a_slot_share_their_state(spark, tmp_path):
+    """The state has an entry for each slot and millisecond at which attempts end, not for each attempt, and loses none."""
+    begin = lambda k: T + timedelta(microseconds=k % 2)
+    signs = [(f"w{k}", k, at(5 + k % 7), "resume" if k % 5 == 0 else "submit" if k % 5 == 1 else "beat", begin(k), 20 + k % 3, False) for k in range(300)]
+    make = lambda s: clock.exam_clock(s, ["who"], "1 minute", slots=2)
+    first = arrivals(spark, f"file://{tmp_path}", [signs], SIGNS, make)[0]
+    assert first == sorted(((f"w{k}", "resumed", 1, at(5 + k % 7)) for k in range(0, 300, 5)), key=str)
+    assert spark.read.format("statestore").option("stateVarName", "attempts").load(f"file://{tmp_path}/out-state").count() == 6
+    land(spark.createDataFrame([sign("z", 999, 9000, minutes=300)], SIGNS), f"file://{tmp_path}/in", 1)
+    out = run(make(landed(spark, f"file://{tmp_path}/in", spark.createDataFrame([], SIGNS).schema)), f"file://{tmp_path}/out")
+    ended = [(f"w{k}", "expired", 0, begin(k) + timedelta(minutes=20 + k % 3)) for k in range(300) if k % 5 != 1]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(first + ended, key=str)
+
+
 def test_results_settle_once(spark, tmp_path):
     base = f"file://{tmp_path}"
     results = [[(1, at(0)), (2, at(10)), (3, at(20)), (None, at(30))], [(4, at(700))], [(5, at(5000))]]
