@@ -4,7 +4,8 @@
     lines = spark.read.format("exam_docx").load(folder)
 
 Reading gives path, line_no, html, text, error: a row for each paragraph and table, and for a file that breaks a limit or is no
-Word document one row with its error. Each partition reads a group of files of about group_bytes (an option). Writing
+Word document one row with its error. Each partition reads a group of files of about group_bytes (an option), where each
+file counts as open_bytes more (an option), so that many small files are dealt to many tasks. Writing
 takes rows path, line_no, text and puts one document for each path into the folder; all rows of a path must be in one
 partition, in order (see write_documents()). Files go through pyarrow's file systems, under names that tell their attempt until
 the whole write succeeds.
@@ -16,6 +17,7 @@ import html
 import io
 import zipfile
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -23,7 +25,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 
 from marktide.sources import docx
 
-GROUP_BYTES = 64 << 20
+GROUP_BYTES, OPEN_BYTES = 64 << 20, 256 << 10
+#: Files that the driver renames at a time.
+MOVES = 16
 _DOCUMENT = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?><w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{}</w:body></w:document>'
 _TYPES = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="xml" ContentType="application/xml"/><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>'
 _RELATIONS = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/></Relationships>'
@@ -51,8 +55,8 @@ class Group(InputPartition):
 
 
 class DocxReader(DataSourceReader):
-    def __init__(self, folder: str, group_bytes: int):
-        self.folder, self.group_bytes = folder, group_bytes
+    def __init__(self, folder: str, group_bytes: int, open_bytes: int = OPEN_BYTES):
+        self.folder, self.group_bytes, self.open_bytes = folder, group_bytes, open_bytes
 
     def partitions(self) -> list[Group]:
         import pyarrow.fs as pafs
@@ -61,11 +65,12 @@ class DocxReader(DataSourceReader):
         groups, size = [[]], 0
         for f in sorted(fs.get_file_info(pafs.FileSelector(place)), key=lambda f: f.path):
             if f.type == pafs.FileType.File and f.path.lower().endswith(".docx"):
-                if groups[-1] and size + f.size > self.group_bytes:
+                cost = f.size + self.open_bytes
+                if groups[-1] and size + cost > self.group_bytes:
                     groups.append([])
                     size = 0
                 groups[-1].append(f.path)
-                size += f.size
+                size += cost
         return [Group(g) for g in groups]
 
     def read(self, partition: Group) -> Iterator[tuple]:
@@ -117,9 +122,10 @@ class DocxWriter(DataSourceWriter):
 
     def commit(self, messages: list[Written | None]) -> None:
         fs, place = _opened(self.folder)
-        for m in messages:
-            for a, b in m.names if m else ():
-                fs.move(f"{place}/{a}", f"{place}/{b}")
+        names = [x for m in messages if m for x in m.names]
+        with ThreadPoolExecutor(MOVES) as pool:
+            for _ in pool.map(lambda x: fs.move(f"{place}/{x[0]}", f"{place}/{x[1]}"), names):
+                pass
 
     def abort(self, messages: list[Written | None]) -> None:
         fs, place = _opened(self.folder)
@@ -137,7 +143,7 @@ class DocxFormat(DataSource):
         return "path string, line_no int, html string, text string, error string"
 
     def reader(self, schema) -> DocxReader:
-        return DocxReader(self.options["path"], int(self.options.get("group_bytes", GROUP_BYTES)))
+        return DocxReader(self.options["path"], int(self.options.get("group_bytes", GROUP_BYTES)), int(self.options.get("open_bytes", OPEN_BYTES)))
 
     def writer(self, schema, overwrite: bool) -> DocxWriter:
         return DocxWriter(self.options["path"], schema.fieldNames())

@@ -22,6 +22,15 @@ def test_round_trip_in_groups(spark, tmp_path):
     assert sorted(x.name for x in (tmp_path / "out").iterdir() if not x.name.startswith(".")) == sorted(want)
 
 
+def test_small_files_are_dealt_to_many_tasks(spark, tmp_path):
+    """Without a cost of each file, 600 documents of a line were read by one task."""
+    rows = spark.range(600).selectExpr("concat('d', id) AS path", "0 AS line_no", "concat('line ', id) AS text")
+    docx_format.write_documents(rows, f"file://{tmp_path}/out")
+    got = docx_format.read_documents(spark, f"file://{tmp_path}/out")
+    assert got.rdd.getNumPartitions() == 3
+    assert {(r.path.rpartition("/")[2], r.text) for r in got.collect()} == {(f"d{k}.docx", f"line {k}") for k in range(600)}
+
+
 def test_bad_files_are_rows(spark, tmp_path, monkeypatch):
     (tmp_path / "a.docx").write_bytes(document(p("good")))
     (tmp_path / "b.docx").write_bytes(b"no archive")
