@@ -85,6 +85,17 @@ def test_results_settle_once(spark, tmp_path):
     assert seen[2] == sorted(want, key=str)
 
 
+def test_join_keeps_one_store(spark, tmp_path):
+    """Each partition of the join had four stores; the session's own settings stay."""
+    base, counted = f"file://{tmp_path}", "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows"
+    land(spark.createDataFrame([(1, at(0))], "result_id long, at timestamp"), f"{base}/r", 0)
+    land(spark.createDataFrame([(2, 1, at(1))], "ack_id long, acked_id long, at timestamp"), f"{base}/a", 0)
+    r, a = landed(spark, f"{base}/r", spark.createDataFrame([], "result_id long, at timestamp").schema), landed(spark, f"{base}/a", spark.createDataFrame([], "ack_id long, acked_id long, at timestamp").schema)
+    assert [x.result_id for x in run(journal.settled(r, a), f"{base}/out").collect()] == [1]
+    assert not [x.name for x in (tmp_path / "out-state/state/0/0").iterdir() if x.name.startswith(("left-", "right-"))]
+    assert spark.conf.get(counted, None) is None
+
+
 def test_presence_over_a_restart(spark, tmp_path):
     schema = "who string, at timestamp, kind string"
     parts = [
