@@ -17,7 +17,6 @@ import html
 import io
 import zipfile
 from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -26,8 +25,6 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from marktide.sources import docx
 
 GROUP_BYTES, OPEN_BYTES = 64 << 20, 256 << 10
-#: Files that the driver renames at a time.
-MOVES = 16
 _DOCUMENT = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?><w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{}</w:body></w:document>'
 _TYPES = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="xml" ContentType="application/xml"/><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>'
 _RELATIONS = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/></Relationships>'
@@ -122,10 +119,9 @@ class DocxWriter(DataSourceWriter):
 
     def commit(self, messages: list[Written | None]) -> None:
         fs, place = _opened(self.folder)
-        names = [x for m in messages if m for x in m.names]
-        with ThreadPoolExecutor(MOVES) as pool:
-            for _ in pool.map(lambda x: fs.move(f"{place}/{x[0]}", f"{place}/{x[1]}"), names):
-                pass
+        for m in messages:
+            for a, b in m.names if m else ():
+                fs.move(f"{place}/{a}", f"{place}/{b}")
 
     def abort(self, messages: list[Written | None]) -> None:
         fs, place = _opened(self.folder)
